@@ -295,230 +295,6 @@ def centroid(g: Column) -> Column:
     return F.when(~is_empty(g), let(c, lambda v: point(v["x"], v["y"])))
 
 
-# -- predicates -----------------------------------------------------------
-
-
-def _side(ax, ay, bx, by, px, py) -> Column:
-    return (bx - ax) * (py - ay) - (by - ay) * (px - ax)
-
-
-def on_segment(px: Column, py: Column, s: Column) -> Column:
-    return (
-        (_side(s["x1"], s["y1"], s["x2"], s["y2"], px, py) == 0)
-        & px.between(F.least(s["x1"], s["x2"]), F.greatest(s["x1"], s["x2"]))
-        & py.between(F.least(s["y1"], s["y2"]), F.greatest(s["y1"], s["y2"]))
-    )
-
-
-def ray_crosses(px: Column, py: Column, s: Column) -> Column:
-    """Whether a ray from the point towards +x crosses the segment (half-open rule)."""
-    return ((s["y1"] > py) != (s["y2"] > py)) & (
-        px < (s["x2"] - s["x1"]) * (py - s["y1"]) / (s["y2"] - s["y1"]) + s["x1"]
-    )
-
-
-def locate(px: Column, py: Column, g: Column) -> Column:
-    """1 inside a polygon, 0 on a boundary, path or point, -1 elsewhere."""
-    return let(segments(g), lambda segs: _locate(px, py, segs, vertices(g), is_polygonal(g)))
-
-
-def _locate(px: Column, py: Column, segs: Column, verts: Column, areal: Column) -> Column:
-    touching = F.exists(segs, lambda s: on_segment(px, py, s)) | F.exists(
-        verts, lambda v: (v["x"] == px) & (v["y"] == py)
-    )
-    crossings = F.size(F.filter(segs, lambda s: ray_crosses(px, py, s)))
-    return (
-        F.when(touching, F.lit(0)).when(areal & (crossings % 2 == 1), F.lit(1)).otherwise(F.lit(-1))
-    )
-
-
-def is_rectangle(g: Column) -> Column:
-    """Whether a polygon is exactly its own bounding box."""
-    v = vertices(g)
-    b = bbox(g)
-    corners = F.forall(
-        v,
-        lambda p: ((p["x"] == b["minx"]) | (p["x"] == b["maxx"]))
-        & ((p["y"] == b["miny"]) | (p["y"] == b["maxy"])),
-    )
-    full = F.abs(signed_area(F.get(rings_of(g), F.lit(0)))) == (b["maxx"] - b["minx"]) * (b["maxy"] - b["miny"])
-    return F.coalesce(
-        (g["type"] == "Polygon") & (F.size(rings_of(g)) == 1) & (F.size(v) == 5) & corners & full,
-        F.lit(False),
-    )
-
-
-def segments_meet(s: Column, t: Column) -> Column:
-    d1 = _side(s["x1"], s["y1"], s["x2"], s["y2"], t["x1"], t["y1"])
-    d2 = _side(s["x1"], s["y1"], s["x2"], s["y2"], t["x2"], t["y2"])
-    d3 = _side(t["x1"], t["y1"], t["x2"], t["y2"], s["x1"], s["y1"])
-    d4 = _side(t["x1"], t["y1"], t["x2"], t["y2"], s["x2"], s["y2"])
-    proper = (F.signum(d1) * F.signum(d2) < 0) & (F.signum(d3) * F.signum(d4) < 0)
-    return (
-        proper
-        | on_segment(t["x1"], t["y1"], s)
-        | on_segment(t["x2"], t["y2"], s)
-        | on_segment(s["x1"], s["y1"], t)
-        | on_segment(s["x2"], s["y2"], t)
-    )
-
-
-def segments_cross(s: Column, t: Column) -> Column:
-    """Proper crossing: the two segments share one point interior to both."""
-    d1 = _side(s["x1"], s["y1"], s["x2"], s["y2"], t["x1"], t["y1"])
-    d2 = _side(s["x1"], s["y1"], s["x2"], s["y2"], t["x2"], t["y2"])
-    d3 = _side(t["x1"], t["y1"], t["x2"], t["y2"], s["x1"], s["y1"])
-    d4 = _side(t["x1"], t["y1"], t["x2"], t["y2"], s["x2"], s["y2"])
-    return (F.signum(d1) * F.signum(d2) < 0) & (F.signum(d3) * F.signum(d4) < 0)
-
-
-def _near(segs: Column, b: dict[str, Column]) -> Column:
-    """The segments whose box meets a box; keeps pair tests short on long outlines."""
-    return F.filter(
-        segs,
-        lambda s: (F.least(s["x1"], s["x2"]) <= b["maxx"])
-        & (F.greatest(s["x1"], s["x2"]) >= b["minx"])
-        & (F.least(s["y1"], s["y2"]) <= b["maxy"])
-        & (F.greatest(s["y1"], s["y2"]) >= b["miny"]),
-    )
-
-
-def boxes_meet(a: dict[str, Column], b: dict[str, Column]) -> Column:
-    return (
-        (a["minx"] <= b["maxx"]) & (a["maxx"] >= b["minx"]) & (a["miny"] <= b["maxy"]) & (a["maxy"] >= b["miny"])
-    )
-
-
-def outline(g: Column) -> Column:
-    """What the predicates need of a geometry: its segments, vertices and kind."""
-    return F.struct(segments(g).alias("s"), vertices(g).alias("v"), is_polygonal(g).alias("areal"), g["type"].alias("type"))
-
-
-def intersects(a: Column, b: Column, ba=None, bb=None) -> Column:
-    """The two geometries share at least one point.
-
-    Pass the bounding boxes as existing columns where there are any: otherwise they
-    are worked out again for every vertex that is tested.
-    """
-    ba, bb = ba or bbox(a), bb or bbox(b)
-
-    def seen(v: Column, o: Column) -> Column:
-        return _locate(v["x"], v["y"], o["s"], o["v"], o["areal"]) >= 0
-
-    def test(p: Column, q: Column) -> Column:
-        return (
-            F.exists(p["v"], lambda v: seen(v, q))
-            | F.exists(q["v"], lambda v: seen(v, p))
-            | let(
-                _near(q["s"], ba),
-                lambda ts: F.exists(_near(p["s"], bb), lambda s: F.exists(ts, lambda t: segments_meet(s, t))),
-            )
-        )
-
-    exact = let(outline(a), lambda p: let(outline(b), lambda q: test(p, q)))
-    return F.coalesce(boxes_meet(ba, bb) & exact, F.lit(False))
-
-
-def within(a: Column, b: Column, ba=None, bb=None) -> Column:
-    """``a`` lies inside ``b`` and their interiors meet (boundary contact alone is not enough)."""
-    ba, bb = ba or bbox(a), bb or bbox(b)
-    inside_box = (
-        (ba["minx"] >= bb["minx"]) & (ba["maxx"] <= bb["maxx"]) & (ba["miny"] >= bb["miny"]) & (ba["maxy"] <= bb["maxy"])
-    )
-
-    def middles(segs: Column) -> Column:
-        return F.transform(segs, lambda s: xy((s["x1"] + s["x2"]) / 2, (s["y1"] + s["y2"]) / 2))
-
-    def test(p: Column, q: Column) -> Column:
-        def at(v: Column, o: Column) -> Column:
-            return _locate(v["x"], v["y"], o["s"], o["v"], o["areal"])
-
-        places = F.transform(F.concat(p["v"], middles(p["s"])), lambda v: at(v, q))
-        no_cross = let(
-            _near(q["s"], ba), lambda ts: ~F.exists(p["s"], lambda s: F.exists(ts, lambda t: segments_cross(s, t)))
-        )
-        holds_corner = F.exists(
-            F.filter(q["v"], lambda v: v["x"].between(ba["minx"], ba["maxx"]) & v["y"].between(ba["miny"], ba["maxy"])),
-            lambda v: at(v, p) == 1,
-        )
-        dots = p["type"].isin("Point", "MultiPoint")
-        lines = p["type"].isin("LineString", "MultiLineString")
-        q_lines = q["type"].isin("LineString", "MultiLineString")
-        q_dots = q["type"].isin("Point", "MultiPoint")
-
-        def judged(pl: Column) -> Column:
-            covered = F.forall(pl, lambda k: k >= 0) & no_cross
-            return (
-                F.when(p["areal"] & q["areal"], covered & ~holds_corner)
-                .when(q["areal"], covered & F.exists(pl, lambda k: k == 1))
-                .when((lines & q_lines) | (dots & q_dots), covered)
-                .when(dots & q_lines, covered & ~_at_line_ends(a, b))
-                .otherwise(F.lit(False))
-            )
-
-        return let(places, judged)
-
-    exact = let(outline(a), lambda p: let(outline(b), lambda q: test(p, q)))
-    return F.coalesce(inside_box & exact, F.lit(False))
-
-
-def _at_line_ends(a: Column, b: Column) -> Column:
-    """Every vertex of ``a`` is an end of some path of ``b``."""
-    ends = F.flatten(F.transform(rings_of(b), lambda p: F.array(F.get(p, F.lit(0)), F.element_at(p, -1))))
-    return F.forall(vertices(a), lambda v: F.array_contains(ends, v))
-
-
-def contains(a: Column, b: Column, ba=None, bb=None) -> Column:
-    return within(b, a, bb, ba)
-
-
-def invalid_reason(g: Column) -> Column:
-    """Why a geometry is invalid, NULL when it is valid; NULL for empty ones too."""
-    rings = rings_of(g)
-    open_ring = F.exists(rings, lambda r: F.get(r, F.lit(0)) != F.element_at(r, -1))
-    short = F.exists(rings, lambda r: F.size(r) < 4)
-    # i < j, and neighbours may share the vertex that joins them
-    segs = F.flatten(
-        F.transform(
-            rings,
-            lambda r, k: F.transform(
-                path_segments(r),
-                lambda s, i: F.struct(
-                    s["x1"].alias("x1"), s["y1"].alias("y1"), s["x2"].alias("x2"), s["y2"].alias("y2"),
-                    k.alias("k"), i.alias("i"), (F.size(r) - 1).alias("n"),
-                ),
-            ),
-        )
-    )
-
-    def adjacent(s: Column, t: Column) -> Column:
-        return (s["k"] == t["k"]) & (
-            (t["i"] == s["i"] + 1) | ((s["i"] == 0) & (t["i"] == s["n"] - 1))
-        )
-
-    crossing = F.exists(
-        segs,
-        lambda s: F.exists(
-            segs,
-            lambda t: ((s["k"] < t["k"]) | ((s["k"] == t["k"]) & (s["i"] < t["i"])))
-            & (F.greatest(s["x1"], s["x2"]) >= F.least(t["x1"], t["x2"]))
-            & (F.greatest(t["x1"], t["x2"]) >= F.least(s["x1"], s["x2"]))
-            & (F.greatest(s["y1"], s["y2"]) >= F.least(t["y1"], t["y2"]))
-            & (F.greatest(t["y1"], t["y2"]) >= F.least(s["y1"], s["y2"]))
-            & (segments_cross(s, t) | ((s["k"] == t["k"]) & ~adjacent(s, t) & segments_meet(s, t))),
-        ),
-    )
-    lines = F.exists(rings, lambda r: F.size(r) < 2)
-    return (
-        F.when(is_empty(g), F.lit(None).cast("string"))
-        .when(is_linear(g) & lines, F.lit("Too few points in geometry component"))
-        .when(~is_polygonal(g), F.lit(None).cast("string"))
-        .when(short, F.lit("Too few points in geometry component"))
-        .when(open_ring, F.lit("Ring is not closed"))
-        .when(crossing, F.lit("Self-intersection"))
-    )
-
-
 def map_vertices(g: Column, fn) -> Column:
     """Apply ``fn(x, y) -> (x, y)`` to every vertex."""
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import crs as C
 from ..functions import geom as G
+from ..functions import predicates as P
 from ..session import choice, require_columns
 
 PREDICATES = ("intersects", "within", "contains")
@@ -88,23 +89,17 @@ def aligned(left: DataFrame, right: DataFrame, geom: str = "geom", srids: tuple[
 
 
 def _exact(predicate: str) -> Column:
-    test = {"intersects": G.intersects, "within": G.within, "contains": G.contains}[predicate]
-    lb = {c: F.col("l_" + c) for c in G.BBOX}
-    rb = {c: F.col("r_" + c) for c in G.BBOX}
-    lg, rg = F.col("l_geom"), F.col("r_geom")
-    # a rectangle against a point or another rectangle needs no outline test
-    point_in = (
-        (lb["minx"] > rb["minx"]) & (lb["minx"] < rb["maxx"]) & (lb["miny"] > rb["miny"]) & (lb["miny"] < rb["maxy"])
-    )
-    inside = {
-        "intersects": F.lit(True),
-        "within": (lb["minx"] >= rb["minx"]) & (lb["maxx"] <= rb["maxx"]) & (lb["miny"] >= rb["miny"]) & (lb["maxy"] <= rb["maxy"]),
-        "contains": (rb["minx"] >= lb["minx"]) & (rb["maxx"] <= lb["maxx"]) & (rb["miny"] >= lb["miny"]) & (rb["maxy"] <= lb["maxy"]),
+    """The exact test on ``l_geom``/``r_geom``; boxes and points skip the outline test."""
+    test = {"intersects": P.intersects, "within": P.within, "contains": P.contains}[predicate]
+    strictly = "l_minx > r_minx and l_minx < r_maxx and l_miny > r_miny and l_miny < r_maxy"
+    dot = {"intersects": "true", "within": strictly, "contains": "false"}[predicate]
+    boxes = {
+        "intersects": "true", "within": P.box_inside("l_", "r_"), "contains": P.box_inside("r_", "l_"),
     }[predicate]
-    is_point = lg["type"] == "Point"
-    cheap = F.when(is_point & F.col("r__rect"), point_in if predicate == "within" else F.lit(predicate == "intersects"))
-    cheap = cheap.when(F.col("l__rect") & F.col("r__rect"), inside)
-    return cheap.otherwise(test(lg, rg, lb, rb))
+    return F.expr(
+        f"case when l_geom.type = 'Point' and r__rect then {dot} when l__rect and r__rect then {boxes}"
+        f" else {test('l_geom', 'r_geom', 'l_', 'r_')} end"
+    )
 
 
 def matched_pairs(
@@ -112,8 +107,8 @@ def matched_pairs(
 ) -> DataFrame:
     """All ``l_*``/``r_*`` columns of the pairs that satisfy the predicate."""
     choice(predicate, "predicate", PREDICATES)
-    lp = _prefixed(left.withColumn("_rect", G.is_rectangle(F.col(geom))).withColumnRenamed(geom, "geom"), "l_", "geom")
-    rp = _prefixed(right.withColumn("_rect", G.is_rectangle(F.col(geom))).withColumnRenamed(geom, "geom"), "r_", "geom")
+    lp = _prefixed(left.withColumn("_rect", F.expr(P.is_rectangle(geom))).withColumnRenamed(geom, "geom"), "l_", "geom")
+    rp = _prefixed(right.withColumn("_rect", F.expr(P.is_rectangle(geom))).withColumnRenamed(geom, "geom"), "r_", "geom")
     return candidate_pairs(lp, rp, group).where(_exact(predicate)).drop("l__rect", "r__rect")
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import crs as C
 from ..functions import geom as G
+from ..functions import predicates as P
 from ..session import choice, number, require_columns
 from .percentiles import group_percentiles
 
@@ -68,7 +69,7 @@ def list_layers(df: DataFrame, layer: str = "layer", geom: str = "geom") -> Data
 def with_validity(df: DataFrame, geom: str = "geom") -> DataFrame:
     """Add ``empty`` and ``reason`` (NULL when the geometry is valid)."""
     return df.withColumns(
-        {"empty": G.is_empty(F.col(geom)), "reason": G.invalid_reason(F.col(geom))}
+        {"empty": G.is_empty(F.col(geom)), "reason": F.expr(P.invalid_reason(geom))}
     )
 
 
@@ -274,7 +275,7 @@ def simplify(
     short = F.when(fine, G.make(g["type"], parts)).otherwise(g)
     out = kept.withColumn("_short", short)
     if preserve_topology:
-        broke = G.invalid_reason(F.col("_short")).isNotNull() & G.invalid_reason(g).isNull()
+        broke = F.expr(f"({P.invalid_reason('_short')}) is not null and ({P.invalid_reason(geom)}) is null")
         out = out.withColumn("_short", F.when(broke, g).otherwise(F.col("_short")))
     return out.withColumn(geom, F.col("_short")).drop("_short", "_keep", *G.BBOX)
 
