@@ -28,6 +28,9 @@ def connect(sf_dir: str):
     return con
 
 
+TIMES: dict[str, float] = {}
+
+
 def canon(v):
     if v is None:
         return "~null"
@@ -48,6 +51,7 @@ def rows_of(columns, rows):
 def compare(spark, con, name, fn, sql, sf_dir):
     df = fn(spark, sf_dir)
     got = [tuple(r) for r in df.collect()]
+    TIMES["spark"] = time.time()
     cols, mine = rows_of(df.columns, got)
     if sql is None:
         return len(mine), None
@@ -79,7 +83,7 @@ def main(argv):
     queries, oracle = E.queries(), E.oracle_sql()
     failed = 0
     for name, fn in queries.items():
-        if argv and not any(a in name for a in argv):
+        if argv and not any(a in name or a == fn.__module__.rsplit('.', 1)[-1] for a in argv):
             continue
         t = time.time()
         try:
@@ -88,7 +92,7 @@ def main(argv):
             n, err = -1, f"{type(exc).__name__}: {str(exc)[:900]}"
         status = "ok" if err is None else "FAIL"
         note = "" if name in oracle else " (no sql)"
-        print(f"{status:4} {name:40} rows={n} {time.time() - t:6.2f}s{note} {err or ''}", flush=True)
+        print(f"{status:4} {name:40} rows={n} {TIMES.get("spark", t) - t:6.2f}s sql {time.time() - max(t, TIMES.get("spark", t)):6.2f}s{note} {err or ''}", flush=True)
         failed += err is not None
     print("failed:", failed)
     return failed
