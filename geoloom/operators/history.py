@@ -8,6 +8,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geom import let
 from .catalog import collapse_space
 
 # Text bounds and search constants of the history index.
@@ -116,10 +117,13 @@ def unit_counts(units: DataFrame) -> DataFrame:
 def query_terms(query: Column) -> Column:
     """The first 16 words of a query that differ when case is ignored."""
     words = F.regexp_extract_all(F.coalesce(query, F.lit("")), F.lit(WORD), F.lit(0))
-    fresh = F.filter(
-        words, lambda w, i: ~F.array_contains(F.transform(F.slice(words, F.lit(1), i), lambda v: F.lower(v)), F.lower(w))
-    )
-    return F.slice(fresh, 1, MAX_QUERY_TERMS)
+
+    def first_spellings(pair: Column) -> Column:
+        fresh = F.slice(F.array_distinct(pair["low"]), 1, MAX_QUERY_TERMS)
+        return F.transform(fresh, lambda v: F.get(pair["own"], (F.array_position(pair["low"], v) - 1).cast("int")))
+
+    both = let(words, lambda w: F.struct(w.alias("own"), F.transform(w, lambda v: F.lower(v)).alias("low")))
+    return let(both, first_spellings)
 
 
 def term_list(query: str) -> list[str]:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geom as G
+from ..functions.geom import let
 
 # Makes that mark a capture as drone imagery.
 DRONE_MAKES = ("dji", "autel", "parrot", "sensefly", "wingtra", "yuneec", "skydio", "3dr", "delair", "quantum")
@@ -37,35 +38,44 @@ def clean(text: Column) -> Column:
 
 def first_number(text: Column) -> Column:
     """The first number in a metadata text, or a ``n/d`` rational."""
-    ratio = F.regexp_extract(text, rf"^\s*({NUMBER})/({NUMBER})\s*$", 1)
-    low = F.regexp_extract(text, rf"^\s*({NUMBER})/({NUMBER})\s*$", 2).try_cast("double")
-    plain = F.regexp_extract(text, NUMBER, 0)
-    return F.when((ratio != "") & (low != 0), ratio.try_cast("double") / low).when(plain != "", plain.try_cast("double"))
+
+    def parsed(n: Column) -> Column:
+        ratio = F.get(n, F.lit(0)) / F.when(F.get(n, F.lit(1)) != 0, F.get(n, F.lit(1)))
+        return F.when(text.rlike(rf"^\s*{NUMBER}/{NUMBER}\s*$"), ratio).otherwise(F.get(n, F.lit(0)))
+
+    return let(numbers(text), parsed)
+
+
+def numbers(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)).cast("array<double>")
 
 
 def dms(text: Column) -> Column:
-    """``d,m[,s]`` to decimal degrees; fewer than two numbers give NULL."""
-    n = F.transform(F.split(text, ","), lambda v: first_number(v))
-    d, m, s = (F.get(n, F.lit(i)) for i in range(3))
-    return d + m / 60.0 + F.coalesce(s, F.lit(0.0)) / 3600.0
+    """``d,m[,s]`` (decimals or rationals) to decimal degrees; fewer than two give NULL."""
+    parts = F.transform(F.split(text, ","), lambda v: first_number(v))
+    return let(
+        parts,
+        lambda n: F.get(n, F.lit(0)) + F.get(n, F.lit(1)) / 60.0 + F.coalesce(F.get(n, F.lit(2)), F.lit(0.0)) / 3600.0,
+    )
 
 
 def xmp_coordinate(value: Column, ref: Column) -> Column:
     """Decimal, ``24,40.8167N`` or d/m/s text; a hemisphere letter or the reference sets the sign."""
-    raw = clean(value)
-    tail = F.upper(F.regexp_extract(raw, r"([NSEWnsew])\s*$", 1))
-    head = F.upper(F.regexp_extract(raw, r"^\s*([NSEWnsew])", 1))
-    letter = F.when(tail != "", tail).otherwise(head)
-    found = F.transform(F.regexp_extract_all(raw, F.lit(NUMBER), F.lit(0)), lambda v: v.cast("double"))
-    first = F.get(found, F.lit(0))
-    joined = F.when(first < 0, -1.0).otherwise(1.0) * (
-        F.abs(first) + F.coalesce(F.get(found, F.lit(1)), F.lit(0.0)) / 60.0 + F.coalesce(F.get(found, F.lit(2)), F.lit(0.0)) / 3600.0
+    tail = F.regexp_extract(value, r"([NSEWnsew])\s*$", 1)
+    letter = F.upper(F.when(tail != "", tail).otherwise(F.regexp_extract(value, r"^\s*([NSEWnsew])", 1)))
+    seen = F.struct(
+        numbers(value).alias("n"), letter.alias("letter"), F.substring(F.upper(clean(ref)), 1, 1).alias("mark")
     )
-    number = F.when(F.size(found) == 1, first).when(F.size(found) > 1, joined)
-    mark = F.upper(clean(ref))
-    south = letter.isin("S", "W") | F.substring(mark, 1, 1).isin("S", "W")
-    north = letter.isin("N", "E") | F.substring(mark, 1, 1).isin("N", "E")
-    return F.when(south, -F.abs(number)).when(north, F.abs(number)).otherwise(number)
+
+    def signed(p: Column) -> Column:
+        first = F.get(p["n"], F.lit(0))
+        minutes, seconds = (F.coalesce(F.get(p["n"], F.lit(i)), F.lit(0.0)) for i in (1, 2))
+        size = F.abs(first) + minutes / 60.0 + seconds / 3600.0
+        south = p["letter"].isin("S", "W") | p["mark"].isin("S", "W")
+        north = p["letter"].isin("N", "E") | p["mark"].isin("N", "E")
+        return F.when(south, -size).when(north, size).when(first < 0, -size).otherwise(size)
+
+    return let(seen, signed)
 
 
 def unescape(text: Column) -> Column:
@@ -74,14 +84,27 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def xmp_field(packet: Column, names: tuple[str, ...]) -> Column:
-    """The first attribute or element with one of the local names, any prefix."""
-    found = []
-    for name in names:
-        found.append(F.regexp_extract(packet, rf'(?:^|[\s:<]){name}\s*=\s*"([^"]*)"', 1))
-    for name in names:
-        found.append(F.regexp_extract(packet, rf"<(?:\w[\w.-]*:)?{name}(?:\s[^>]*)?>\s*([^<]+?)\s*</", 1))
-    return F.coalesce(*[F.when(f != "", F.trim(unescape(f))) for f in found])
+def xmp_fields(packet: Column) -> Column:
+    """The known fields of a packet as a map, by local name and any prefix.
+
+    Attributes count before elements, and the first match of a field stays.
+    """
+    known = "|".join(n for names in XMP_NAMES.values() for n in names)
+    attribute = rf'(?:^|[\s:<])({known})\s*=\s*"([^"]*)"'
+    element = rf"<(?:\w[\w.-]*:)?({known})(?:\s[^>]*)?>\s*([^<]+?)\s*</"
+
+    def pairs(pattern: str) -> Column:
+        names = F.regexp_extract_all(packet, F.lit(pattern), F.lit(1))
+        values = F.regexp_extract_all(packet, F.lit(pattern), F.lit(2))
+        return F.arrays_zip(names.alias("name"), values.alias("value"))
+
+    return F.concat(pairs(attribute), pairs(element))
+
+
+def xmp_field(fields: Column, names: tuple[str, ...]) -> Column:
+    """A field's text from the packet's pairs: the first pair with one of its names."""
+    hit = F.get(F.filter(fields, lambda p: p["name"].isin(*names) & (p["value"] != "")), F.lit(0))
+    return F.trim(unescape(hit["value"]))
 
 
 def looks_like_drone(camera: Column, xmp: Column) -> Column:
@@ -92,15 +115,17 @@ def looks_like_drone(camera: Column, xmp: Column) -> Column:
 def photo_records(headers: DataFrame) -> DataFrame:
     """Flat photo records, EXIF before XMP; photos without a usable position are dropped."""
     x = F.col("exif")
-    staged = headers.withColumns({f"_{k}": xmp_field(F.coalesce("xmp", F.lit("")), v) for k, v in XMP_NAMES.items()})
-    lat = dms(x["GPSLatitude"]) * F.when(F.startswith(F.upper(clean(x["GPSLatitudeRef"])), F.lit("S")), -1.0).otherwise(1.0)
-    lon = dms(x["GPSLongitude"]) * F.when(F.startswith(F.upper(clean(x["GPSLongitudeRef"])), F.lit("W")), -1.0).otherwise(1.0)
-    has_gps = dms(x["GPSLatitude"]).isNotNull() & dms(x["GPSLongitude"]).isNotNull()
+    staged = headers.withColumn("_x", xmp_fields(F.coalesce("xmp", F.lit(""))))
+    staged = staged.withColumns({f"_{k}": xmp_field(F.col("_x"), v) for k, v in XMP_NAMES.items()}).drop("_x")
+    south = F.when(F.startswith(F.upper(clean(x["GPSLatitudeRef"])), F.lit("S")), -1.0).otherwise(1.0)
+    west = F.when(F.startswith(F.upper(clean(x["GPSLongitudeRef"])), F.lit("W")), -1.0).otherwise(1.0)
+    staged = staged.withColumns({"_glat": dms(x["GPSLatitude"]) * south, "_glon": dms(x["GPSLongitude"]) * west})
+    has_gps = F.col("_glat").isNotNull() & F.col("_glon").isNotNull()
     below = F.trim(x["GPSAltitudeRef"]).isin("1", "\x01")
     staged = staged.withColumns(
         {
-            "lat": F.when(has_gps, lat).otherwise(xmp_coordinate(F.col("_latitude"), F.col("_latitude_ref"))),
-            "lon": F.when(has_gps, lon).otherwise(xmp_coordinate(F.col("_longitude"), F.col("_longitude_ref"))),
+            "lat": F.when(has_gps, F.col("_glat")).otherwise(xmp_coordinate(F.col("_latitude"), F.col("_latitude_ref"))),
+            "lon": F.when(has_gps, F.col("_glon")).otherwise(xmp_coordinate(F.col("_longitude"), F.col("_longitude_ref"))),
             "_gps_alt": F.when(has_gps, first_number(x["GPSAltitude"]) * F.when(below, -1.0).otherwise(1.0)),
             "_abs_alt": first_number(F.col("_altitude")), "_rel_alt": first_number(F.col("_relative_altitude")),
             "direction": F.coalesce(F.when(has_gps, first_number(x["GPSImgDirection"])), first_number(F.col("_direction"))),
