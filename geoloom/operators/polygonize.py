@@ -31,8 +31,8 @@ def label_block(values: np.ndarray) -> np.ndarray:
         before = lab.copy()
         for sel, a, b in ((across, lab[:, :-1], lab[:, 1:]), (down, lab[:-1], lab[1:])):
             low = np.minimum(a, b)
-            a[sel] = low[sel]
-            b[sel] = low[sel]
+            a[sel] = np.minimum(a[sel], low[sel])
+            b[sel] = np.minimum(b[sel], low[sel])
         flat = lab.ravel()
         live = flat >= 0
         flat[live] = flat[flat[live]]
