@@ -186,10 +186,12 @@ def bbox(g: Column) -> dict[str, Column]:
 
 def with_bbox(df: DataFrame, geom: str = "geom", prefix: str = "") -> DataFrame:
     """Add the four bounding-box columns unless the table already carries them."""
-    wanted = {f"{prefix}{k}": v for k, v in bbox(F.col(geom)).items()}
-    if all(k in df.columns for k in wanted):
+    if all(f"{prefix}{k}" in df.columns for k in BBOX):
         return df
-    return df.withColumns(wanted)
+    sides = {"minx": ("array_min", "x"), "miny": ("array_min", "y"), "maxx": ("array_max", "x"), "maxy": ("array_max", "y")}
+    return df.withColumns(
+        {f"{prefix}{k}": F.expr(f"{fn}(flatten(flatten({geom}.parts.rings)).{c})") for k, (fn, c) in sides.items()}
+    )
 
 
 # -- measures -------------------------------------------------------------

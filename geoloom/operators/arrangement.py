@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geom as G
+from ..session import cut_lineage
 from .linking import join_chains, link_rings
 
 #: Coverage is counted along a slanted direction, so that upright edges are ordinary ones.
@@ -44,18 +45,17 @@ def _slant(x, y) -> Column:
 
 def polygon_segments(df: DataFrame, keys: list[str], geom: str = "geom", role: str = "a") -> DataFrame:
     """Directed segments of polygons, exteriors counter-clockwise and holes clockwise."""
-    g = F.col(geom)
-    rings = F.flatten(
-        F.transform(
-            g["parts"],
-            lambda p: F.transform(
-                p["rings"],
-                lambda r, i: F.when((G.signed_area(r) >= 0) == (i == 0), r).otherwise(F.reverse(r)),
-            ),
-        )
+    area = (
+        "aggregate(zip_with(slice(r, 1, greatest(size(r) - 1, 0)), slice(r, 2, greatest(size(r) - 1, 0)), "
+        "(p, q) -> (p.x - r[0].x) * (q.y - r[0].y) - (q.x - r[0].x) * (p.y - r[0].y)), 0.0D, (acc, v) -> acc + v)"
+    )
+    rings = f"flatten(transform({geom}.parts, t -> transform(t.rings, (r, i) -> if(({area} >= 0) = (i = 0), r, reverse(r)))))"
+    segs = df.where(f"{geom}.type in ('Polygon', 'MultiPolygon')").select(*keys, F.expr(rings).alias("_r"))
+    steps = (
+        "explode(flatten(transform(_r, r -> zip_with(slice(r, 1, greatest(size(r) - 1, 0)), slice(r, 2, greatest(size(r) - 1, 0)), "
+        "(p, q) -> struct(p.x as x1, p.y as y1, q.x as x2, q.y as y2))))) as s"
     )
-    segs = df.where(G.is_polygonal(g)).select(*keys, F.explode(F.flatten(F.transform(rings, G.path_segments))).alias("s"))
-    return _weighted(segs.select(*keys, "s.*"), role)
+    return _weighted(segs.selectExpr(*[f"`{k}`" for k in keys], steps).select(*keys, "s.*"), role)
 
 
 def line_segments(df: DataFrame, keys: list[str], geom: str = "geom") -> DataFrame:
@@ -142,8 +142,8 @@ def _split(segs: DataFrame, keys: list[str], digits: int) -> DataFrame:
         "((b_x1 - a_x1) * (b_y2 - b_y1) - (b_y1 - a_y1) * (b_x2 - b_x1)) as num_t",
         "((b_x1 - a_x1) * (a_y2 - a_y1) - (b_y1 - a_y1) * (a_x2 - a_x1)) as num_u",
     )
-    p = "struct(round(a_x1 + num_t / den * (a_x2 - a_x1), {0}) + 0.0 as x, round(a_y1 + num_t / den * (a_y2 - a_y1), {0}) + 0.0 as y)".format(digits)
-    proper = "not (a1 or a2 or b1 or b2) and den <> 0 and num_t / den > 0 and num_t / den < 1 and num_u / den > 0 and num_u / den < 1"
+    p = "struct(round(a_x1 + try_divide(num_t, den) * (a_x2 - a_x1), {0}) + 0.0 as x, round(a_y1 + try_divide(num_t, den) * (a_y2 - a_y1), {0}) + 0.0 as y)".format(digits)
+    proper = "not (a1 or a2 or b1 or b2) and den <> 0 and try_divide(num_t, den) > 0 and try_divide(num_t, den) < 1 and try_divide(num_u, den) > 0 and try_divide(num_u, den) < 1"
     a, b = "struct(a_x1 as x1, a_y1 as y1, a_x2 as x2, a_y2 as y2)", "struct(b_x1 as x1, b_y1 as y1, b_x2 as x2, b_y2 as y2)"
     cuts = flags.where(f"a1 or a2 or b1 or b2 or ({proper})").selectExpr(
         *[f"`{k}`" for k in keys],
@@ -179,8 +179,8 @@ def _coverage(pieces: DataFrame, keys: list[str], grid: DataFrame) -> DataFrame:
         F.col("x1").alias("ox1"), F.col("x2").alias("ox2"), F.col("wa").alias("va"), F.col("wb").alias("vb"),
     )
     top, edge = oy + (F.col("_cy") + 1) * s, ox + F.col("_cx") * s
-    y_at = F.col("sy1") + (F.col("_mx") - F.col("sx1")) / (F.col("sx2") - F.col("sx1")) * (F.col("sy2") - F.col("sy1"))
-    x_at = F.col("sx1") + (top - F.col("sy1")) / (F.col("sy2") - F.col("sy1")) * (F.col("sx2") - F.col("sx1"))
+    y_at = F.col("sy1") + F.try_divide(F.col("_mx") - F.col("sx1"), F.col("sx2") - F.col("sx1")) * (F.col("sy2") - F.col("sy1"))
+    x_at = F.col("sx1") + F.try_divide(top - F.col("sy1"), F.col("sy2") - F.col("sy1")) * (F.col("sx2") - F.col("sx1"))
     me = (F.col("ox1") == F.col("x1")) & (F.col("sy1") == F.col("y1")) & (F.col("ox2") == F.col("x2")) & (F.col("sy2") == F.col("y2"))
     over = (F.col("sx1") <= F.col("_mx")) & (F.col("_mx") < F.col("sx2")) & ~me & (y_at > F.col("_my")) & (y_at <= top)
     rising = (F.col("sy1") <= top) & (F.col("sy2") > top)
@@ -195,7 +195,8 @@ def _coverage(pieces: DataFrame, keys: list[str], grid: DataFrame) -> DataFrame:
     first, last = F.ceil((_slant("x1", "y1") - ox) / s), F.ceil((_slant("x2", "y2") - ox) / s) - 1
     lines = gridded.where("wa <> 0 or wb <> 0").withColumns({"_f": first, "_l": last}).where("_f <= _l")
     lines = lines.withColumn("_cx", F.explode(F.sequence("_f", "_l")))
-    hit = F.col("y1") + (ox + F.col("_cx") * s - _slant("x1", "y1")) / (_slant("x2", "y2") - _slant("x1", "y1")) * (F.col("y2") - F.col("y1"))
+    run = _slant("x2", "y2") - _slant("x1", "y1")
+    hit = F.col("y1") + F.try_divide(ox + F.col("_cx") * s - _slant("x1", "y1"), run) * (F.col("y2") - F.col("y1"))
     walls = lines.select(*keys, "_cx", (F.floor((hit - oy) / s) - 1).alias("_cy"), (-F.col("wa")).alias("ka"), (-F.col("wb")).alias("kb"))
     used = mids.select(*keys, "_cx", "_cy", F.lit(0).cast("long").alias("ka"), F.lit(0).cast("long").alias("kb"))
     steps = used.unionByName(walls).groupBy(*cell).agg(F.sum("ka").alias("ka"), F.sum("kb").alias("kb"))
@@ -208,9 +209,10 @@ def _coverage(pieces: DataFrame, keys: list[str], grid: DataFrame) -> DataFrame:
 
 
 def _covered(segs: DataFrame, keys: list[str], digits: int) -> DataFrame:
-    merged = _canonical(segs, keys, digits)
-    grid = _grid(merged, keys)
-    pieces = _split(merged.join(grid, keys), keys, digits)
+    # each step is read several times by the next one, so it is written once
+    merged = cut_lineage(_canonical(segs, keys, digits))
+    grid = cut_lineage(_grid(merged, keys))
+    pieces = cut_lineage(_split(merged.join(grid, keys), keys, digits))
     return _coverage(pieces, keys, grid)
 
 

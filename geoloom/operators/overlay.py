@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import crs as C
 from ..functions import geom as G
 from ..functions import predicates as P
-from ..session import choice, number, require_columns
+from ..session import choice, cut_lineage, number, require_columns
 from . import arrangement as A
 from .joins import aligned, candidate_pairs, matched_pairs
 from .percentiles import group_percentiles
@@ -75,7 +75,7 @@ def _pairs(left: DataFrame, right: DataFrame, lk: str, rk: str, geom: str) -> Da
         boxed = boxed.withColumn("rect", F.expr(P.is_rectangle("geom")))
         return boxed.select(*[F.col(c).alias(f"{p}_{c}") for c in boxed.columns])
 
-    return candidate_pairs(side(left, lk, "l"), side(right, rk, "r"))
+    return cut_lineage(candidate_pairs(side(left, lk, "l"), side(right, rk, "r")))
 
 
 def overlay(

@@ -24,23 +24,15 @@ def read_geojson(spark: SparkSession, path: str, properties: str, lines: bool =
     ``lines`` reads one feature per line, which splits over tasks; a FeatureCollection
     document is one record and is exploded.
     """
-    feature = f"struct<type:string,geometry:string,properties:struct<{_fields(properties)}>>"
+    feature = T.StructType().add("geometry", "string").add("properties", T.StructType.fromDDL(properties))
     if lines:
-        rows = spark.read.schema(_as_schema(f"f {feature}")["f"].dataType).json(path).select(F.struct("*").alias("f"))
+        rows = spark.read.schema(feature).json(path).select(F.struct("*").alias("f"))
     else:
-        doc = spark.read.option("multiLine", True).schema(f"features array<{feature}>").json(path)
+        doc = spark.read.option("multiLine", True).schema(T.StructType().add("features", T.ArrayType(feature))).json(path)
         rows = doc.select(F.explode("features").alias("f"))
     return rows.select("f.properties.*", G.from_geojson(F.col("f.geometry")).alias("geom"), F.lit(srid).alias("srid"))
 
 
-def _as_schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
-def _fields(ddl: str) -> str:
-    return ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in _as_schema(ddl))
-
-
 def read_layer(spark: SparkSession, path: str, layer: str | None = None, column: str = "layer") -> DataFrame:
     """One layer of a Parquet container partitioned by ``layer``.
 
@@ -110,9 +102,9 @@ def write_tiles(tiles: DataFrame, path: str, mode: str = "errorifexists") -> Non
 
 def read_item_pages(spark: SparkSession, path: str) -> DataFrame:
     """Harvested catalog pages as one row per item, with the page's ``matched`` count."""
-    pages = spark.read.option("multiLine", True).schema(
-        f"context struct<matched:long>, features array<struct<{_fields(ITEM)}>>"
-    ).json(path)
+    page = T.StructType().add("context", T.StructType().add("matched", "long"))
+    page = page.add("features", T.ArrayType(T.StructType.fromDDL(ITEM)))
+    pages = spark.read.option("multiLine", True).schema(page).json(path)
     rows = pages.select(F.col("_metadata.file_name").alias("page"), F.col("context.matched").alias("matched"), F.posexplode("features").alias("pos", "f"))
     p = F.col("f.properties")
     return rows.select(
@@ -139,7 +131,7 @@ def search_lines(documents: DataFrame, query: str, limit: int, path: str = "path
     """
     needle = F.lit(query.lower())
     lines = documents.where(F.contains(F.lower(F.col(text)), needle)).select(
-        F.col(path).alias("file"), F.posexplode(F.split(F.col(text), r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]")).alias("pos", "line_text")
+        F.col(path).alias("file"), F.posexplode(F.split(F.col(text), r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]")).alias("pos", "line_text")
     ).where(F.contains(F.lower("line_text"), needle))
     hits = lines.select("file", (F.col("pos") + 1).alias("line"), F.substring(F.trim("line_text"), 1, 200).alias("text"))
     first = hits.orderBy("file", "line").limit(limit + 1)
