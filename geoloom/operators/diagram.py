@@ -101,8 +101,8 @@ def cells(points: DataFrame, box, extent, max_rounds: int = 200) -> DataFrame:
     )
     for step in range(max_rounds):
         near = F.array_min(F.zip_with("nx", "ny", lambda a, b: F.hypot(a - F.col("x"), b - F.col("y"))))
-        # the search radius doubles from round to round, so that early, loose cells stay cheap
-        corners = open_.select("id", "x", "y", (near * (2.0 ** (step + 1))).alias("cap"), F.posexplode(F.arrays_zip("vx", "vy")).alias("k", "v"))
+        # the search radius grows eightfold from round to round, so that early, loose cells stay cheap
+        corners = open_.select("id", "x", "y", (near * (8.0 ** (step + 1))).alias("cap"), F.posexplode(F.arrays_zip("vx", "vy")).alias("k", "v"))
         r = F.hypot(F.col("v.vx") - F.col("x"), F.col("v.vy") - F.col("y"))
         corners = corners.select("id", "k", F.col("v.vx").alias("cx"), F.col("v.vy").alias("cy"), r.alias("r"), "cap")
         reach = F.least("r", "cap")
@@ -111,11 +111,14 @@ def cells(points: DataFrame, box, extent, max_rounds: int = 200) -> DataFrame:
             (F.col("cx") - reach).alias("l_minx"), (F.col("cy") - reach).alias("l_miny"), (F.col("cx") + reach).alias("l_maxx"), (F.col("cy") + reach).alias("l_maxy"),
         )
         hits = candidate_pairs(left, right).where("l_id <> r_id").withColumn("d", F.hypot(F.col("r_minx") - F.col("l_cx"), F.col("r_miny") - F.col("l_cy")))
-        hits = hits.where(F.col("d") < F.col("l_r") * (1 - 1e-12))
+        hits = hits.where(F.col("d") < F.col("l_r") * (1 - 1e-9))
         best = hits.groupBy("l_id", "l_k").agg(F.min_by(F.struct("r_id", F.col("r_minx").alias("px"), F.col("r_miny").alias("py")), "d").alias("p"))
         fresh = best.groupBy(F.col("l_id").alias("id")).agg(F.collect_set("p").alias("add"))
         wide = corners.groupBy("id").agg(F.bool_and(F.col("r") <= F.col("cap")).alias("whole"))
-        state = cut_lineage(open_.join(wide, "id").join(fresh, "id", "left"))
+        state = open_.join(wide, "id").join(fresh, "id", "left")
+        # a corner computed a hair off may point at a neighbour that is known already
+        state = state.withColumn("add", F.filter("add", lambda p: ~F.array_contains(F.col("nid"), p["r_id"])))
+        state = cut_lineage(state.withColumn("add", F.when(F.size("add") > 0, F.col("add"))))
         settled = state.where("whole and add is null").select("id", "x", "y", "vx", "vy", "own")
         done = settled if done is None else done.unionByName(settled)
         again = state.where("not whole or add is not null").select(
