@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geom import let
+from ..session import cut_lineage
 from .catalog import collapse_space
 
 # Text bounds and search constants of the history index.
@@ -206,7 +207,8 @@ def score_units(units: DataFrame, query: str) -> DataFrame:
 
 def search(units: DataFrame, query: str, limit: int = 6) -> DataFrame:
     """The best units with a hint around the match and the cell's latest prompt and answer."""
-    best = score_units(units, query).orderBy("score", "id").limit(max(1, int(limit)))
+    # at most ``limit`` rows, read three times below
+    best = cut_lineage(score_units(units, query).orderBy("score", "id").limit(max(1, int(limit))))
     terms = F.array(*[F.lit(t) for t in term_list(query)])
     words = F.split(collapse_space(F.col("text")), " ")
     at = F.coalesce(
@@ -368,28 +370,36 @@ def page_links(pages: DataFrame, html: str = "html", link_class: str = "result__
     Anchors of ``snippet_class`` describe the nearest result link before them.
     """
     anchor = r"(?is)<a\b[^>]*>.*?</a\s*>"
-    found = pages.withColumn("_a", F.regexp_extract_all(F.col(html), F.lit(anchor), F.lit(0)))
     rest = [c for c in pages.columns if c != html]
-    rows = found.select(*rest, F.posexplode("_a").alias("pos", "_a"))
-    head = F.regexp_extract("_a", r"(?is)^<a\b([^>]*)>", 1)
 
-    def attribute(name: str) -> Column:
-        m = [F.regexp_extract(head, rf"(?is)(?:^|\s){name}\s*=\s*" + q, 1) for q in (r'"([^"]*)"', r"'([^']*)'", r"([^\s\"'>]+)")]
-        return F.coalesce(*[F.when(v != "", v) for v in m], F.lit(""))
-
-    body = F.regexp_replace(F.regexp_extract("_a", r"(?is)^<a\b[^>]*>(.*?)</a\s*>$", 1), r"(?s)<!--.*?-->|<[^>]*>", "")
-    rows = rows.withColumns(
-        {"_class": F.split(F.trim(attribute("class")), r"\s+"), "_href": html_text(attribute("href")), "_text": collapse_space(html_text(body))}
+    def attribute(head: Column, name: str) -> Column:
+        found = F.regexp_extract(head, rf"(?is)(?:^|\s){name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", 1)
+        return F.regexp_replace(found, "^[\"']|[\"']$", "")
+
+    def parsed(a: Column, pos: Column) -> Column:
+        head = F.regexp_extract(a, r"(?is)^<a\b([^>]*)>", 1)
+        classes = F.split(attribute(head, "class"), r"\s+")
+        href = html_text(attribute(head, "href"))
+        link = (F.array_contains(classes, link_class) if link_class else F.lit(True)) & (href != "")
+        snippet = F.array_contains(classes, snippet_class)
+        body = F.regexp_replace(F.regexp_extract(a, r"(?is)^<a\b[^>]*>(.*?)</a\s*>$", 1), r"(?s)<!--.*?-->|<[^>]*>", "")
+        # only anchors that count have their text resolved
+        text = F.when(link | snippet, collapse_space(html_text(body)))
+        return F.struct(pos.alias("pos"), link.alias("link"), (snippet & ~link).alias("snippet"), href.alias("href"), text.alias("text"))
+
+    # a page is one row: its anchors are paired inside the row, without a shuffle
+    found = pages.select(*rest, F.transform(F.regexp_extract_all(F.col(html), F.lit(anchor), F.lit(0)), parsed).alias("_a"))
+    found = found.select(
+        *rest, F.filter("_a", lambda a: a["link"]).alias("_links"), F.filter("_a", lambda a: a["snippet"] & (a["text"] != "")).alias("_notes")
     )
-    is_link = F.array_contains("_class", link_class) & (F.col("_href") != "") if link_class else F.col("_href") != ""
-    is_snippet = F.array_contains("_class", snippet_class) & ~is_link
-    rows = rows.withColumns({"_link": is_link, "_snip": is_snippet}).where("_link or _snip")
-    marks = running_total(rows, rest, "pos", F.col("_link").cast("int"), "rank")
-    result = marks.where("rank > 0").groupBy(*rest, "rank").agg(
-        F.max_by("_text", F.when(F.col("_link"), F.col("pos"))).alias("title"), F.max_by("_href", F.when(F.col("_link"), F.col("pos"))).alias("_href"),
-        F.max_by("_text", F.when(F.col("_snip") & (F.col("_text") != ""), F.col("pos"))).alias("snippet"),
+    rows = found.select(*rest, "_notes", F.col("_links.pos").alias("_at"), F.posexplode("_links").alias("_i", "_l"))
+    after = F.coalesce(F.get("_at", F.col("_i") + 1), F.lit(2**31 - 1))
+    own = F.filter("_notes", lambda s: (s["pos"] > F.col("_l.pos")) & (s["pos"] < after))
+    note = F.get(own, F.size(own) - 1)["text"]
+    return rows.select(
+        *rest, (F.col("_i") + 1).cast("long").alias("rank"), F.col("_l.text").alias("title"),
+        destination(F.col("_l.href"), redirect_host).alias("url"), F.coalesce(note, F.lit("")).alias("snippet"),
     )
-    return result.select(*rest, "rank", "title", destination(F.col("_href"), redirect_host).alias("url"), F.coalesce("snippet", F.lit("")).alias("snippet"))
 
 
 def html_text(text: Column) -> Column:

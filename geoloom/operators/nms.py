@@ -4,8 +4,9 @@ Greedy suppression keeps the best box, removes what overlaps it too much and goe
 A box that is the best of everything it could overlap is kept whatever happens
 elsewhere, so a round keeps all those local winners at once:
 
-1. every live box is binned at grid levels that fit its size, so that two boxes with
-   enough overlap always share a cell;
+1. every live box is shrunk about its centre by the threshold and binned at grid levels
+   that fit its size: two boxes that overlap by more than t still meet when both sides
+   are cut to (1 - t) of their length, so they always share a cell;
 2. the best box of each cell is a grouped maximum (combined before the shuffle);
 3. a box that wins all of its cells is kept;
 4. each cell then has at most one kept box, and live boxes are tested against it.
@@ -62,7 +63,11 @@ def greedy_nms(
         return boxes
     # copies of one box: only the best can survive
     live = solid.groupBy(*gs, *BOX).agg(F.max("rank").alias("rank")).withColumn("id", -F.col("rank.order"))
-    level = grid_level(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    half = (1 - threshold) * (1 + 1e-9) / 2
+    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    live = live.withColumns({"sx0": cx - w * half, "sy0": cy - h * half, "sx1": cx + w * half, "sy1": cy + h * half})
+    level = grid_level(F.col("sx1") - F.col("sx0"), F.col("sy1") - F.col("sy0"))
     # boxes overlapping by more than t differ in size by at most 1/t
     reach = math.ceil(math.log2(1 / threshold)) if threshold > 0 else None
     if reach is None:
@@ -74,15 +79,15 @@ def greedy_nms(
     kept = None
     for _ in range(max_rounds):
         binned = live.withColumn("lv", F.explode("levels"))
-        binned = binned.withColumn("cx", F.explode(F.sequence(cell_index(F.col("lv"), F.col("x0")), cell_index(F.col("lv"), F.col("x1")))))
-        binned = binned.withColumn("cy", F.explode(F.sequence(cell_index(F.col("lv"), F.col("y0")), cell_index(F.col("lv"), F.col("y1")))))
+        binned = binned.withColumn("cx", F.explode(F.sequence(cell_index(F.col("lv"), F.col("sx0")), cell_index(F.col("lv"), F.col("sx1")))))
+        binned = binned.withColumn("cy", F.explode(F.sequence(cell_index(F.col("lv"), F.col("sy0")), cell_index(F.col("lv"), F.col("sy1")))))
         cell = [*gs, "lv", "cx", "cy"]
         best = binned.groupBy(*cell).agg(F.max(F.struct("rank", "id", *BOX)).alias("b"))
         wins = best.groupBy("b.id").agg(F.count(F.lit(1)).alias("won"))
         spans = F.aggregate(
             "levels", F.lit(0).cast("long"),
             lambda acc, v: acc
-            + (cell_index(v, F.col("x1")) - cell_index(v, F.col("x0")) + 1) * (cell_index(v, F.col("y1")) - cell_index(v, F.col("y0")) + 1),
+            + (cell_index(v, F.col("sx1")) - cell_index(v, F.col("sx0")) + 1) * (cell_index(v, F.col("sy1")) - cell_index(v, F.col("sy0")) + 1),
         )
         winners = live.withColumn("need", spans).join(wins, "id").where("won = need").select("id")
         winners = cut_lineage(winners)
