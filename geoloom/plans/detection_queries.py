@@ -185,7 +185,7 @@ def detections_to_tile_pixels(spark, sf):
 
 def _in_windows(spark, sf):
     """Detections seen by every 256-pixel window of a 600 x 600 raster that holds them whole."""
-    one = L.table(spark, sf, "region").where("r_regionkey = 0").select(F.lit("r").alias("raster_id"), F.lit(600).alias("width"), F.lit(600).alias("height"))
+    one = L.table(spark, sf, "part").agg(F.count(F.lit(1))).select(F.lit("r").alias("raster_id"), F.lit(600).alias("width"), F.lit(600).alias("height"))
     windows = T.plan_tiles(one, 256, 100)
     d = L.detections(spark, sf).select("id", "label", "score", *[(F.col(c) * 2.9).alias(c) for c in N.BOX])
     return T.prompts_in_tiles(d, windows)
@@ -385,7 +385,7 @@ def contour_levels(spark, sf):
     lo, hi = L.pixels(spark, sf).agg(F.min("value"), F.max("value")).first()
     levels = Z.contour_levels(lo, hi, 0.1, 0.03)
     rows = F.posexplode(F.array(*[F.lit(v) for v in levels])).alias("k", "level")
-    return L.pixels(spark, sf).where("row = 0 and col = 0").select(rows).select(F.col("k").cast("long").alias("k"), F.round("level", 6).alias("level"))
+    return L.pixels(spark, sf).agg(F.count(F.lit(1))).select(rows).select(F.col("k").cast("long").alias("k"), F.round("level", 6).alias("level"))
 
 
 _SQUARES = """m as (select min(value) as lo from pixels), q as (select a.row, a.col, a.value as tl, b.value as tr, c.value as bl, d.value as br from pixels a

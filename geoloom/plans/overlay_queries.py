@@ -97,16 +97,16 @@ def dissolved_area_only(spark, sf):
 
 @query(
     "overlay_union",
-    """, z as (select n_nationkey*10.0 as x0, n_nationkey*10.0+30 as x1, 0.0 as y0, 250.0 as y1 from nation where n_nationkey < 3),
-       b as (select x0, x1, y0, y1 from detections where id % 40 = 0 union all select x0, x1, y0, y1 from z),
+    """, z as (select n_nationkey*10.0 as x0, n_nationkey*10.0+30 as x1, 0.0 as y0, 250.0 as y1 from nation),
+       b as (select x0, x1, y0, y1 from detections union all select x0, x1, y0, y1 from z),
        cells as (select distinct cx, unnest(range(y0::bigint, y1::bigint)) as cy from (select y0, y1, unnest(range(x0::bigint, x1::bigint)) as cx from b))
        select round(count(*)::double, 4) as area from cells""",
     base=(L.DETECTIONS,),
 )
 def overlay_union(spark, sf):
     k = F.col("n_nationkey") * 10.0
-    z = L.table(spark, sf, "nation").where("n_nationkey < 3").select(G.box(k, F.lit(0.0), k + 30, F.lit(250.0)).alias("geom"), F.lit(3857).alias("srid"))
-    return O.overlay(L.part_boxes(spark, sf).where("id % 40 = 0"), z, "union", srids=(3857, 3857)).select(area_column())
+    z = L.table(spark, sf, "nation").select(G.box(k, F.lit(0.0), k + 30, F.lit(250.0)).alias("geom"), F.lit(3857).alias("srid"))
+    return O.overlay(L.part_boxes(spark, sf), z, "union", srids=(3857, 3857)).select(area_column())
 
 
 @query(
@@ -144,21 +144,21 @@ def clip_lines(spark, sf):
 
 @query(
     "select_location_intersects",
-    "select s_suppkey from boxes a where exists (select 1 from zones b where n_regionkey < 2 and a.w <= b.e and a.e >= b.w and a.s <= b.n and a.n >= b.s)",
+    "select s_suppkey from boxes a where exists (select 1 from zones b where a.w <= b.e and a.e >= b.w and a.s <= b.n and a.n >= b.s)",
     base=(L.BOXES, L.ZONES),
 )
 def select_location_intersects(spark, sf):
-    z = L.zones(spark, sf).where("n_regionkey < 2")
+    z = L.zones(spark, sf)
     return O.select_by_location(L.boxes(spark, sf), z, "intersects", "s_suppkey", srids=(4326, 4326)).select("s_suppkey")
 
 
 @query(
     "select_location_disjoint",
-    "select s_suppkey from boxes a where not exists (select 1 from zones b where n_regionkey < 2 and a.w <= b.e and a.e >= b.w and a.s <= b.n and a.n >= b.s)",
+    "select s_suppkey from boxes a where not exists (select 1 from zones b where a.w <= b.e and a.e >= b.w and a.s <= b.n and a.n >= b.s)",
     base=(L.BOXES, L.ZONES),
 )
 def select_location_disjoint(spark, sf):
-    z = L.zones(spark, sf).where("n_regionkey < 2")
+    z = L.zones(spark, sf)
     return O.select_by_location(L.boxes(spark, sf), z, "disjoint", "s_suppkey", srids=(4326, 4326)).select("s_suppkey")
 
 
@@ -180,8 +180,8 @@ def select_location_within(spark, sf):
     base=(L.ZONES,),
 )
 def select_location_contains(spark, sf):
-    k = F.col("n_nationkey") * 0.2
-    small = L.table(spark, sf, "nation").where("n_nationkey < 5").select(
+    k = F.col("r_regionkey") * 0.2
+    small = L.table(spark, sf, "region").select(
         G.box(F.lit(-150.0) + k, F.lit(-80.0), F.lit(-149.8) + k, F.lit(-79.0)).alias("geom"), F.lit(4326).alias("srid")
     )
     return O.select_by_location(L.zones(spark, sf), small, "contains", "n_nationkey", srids=(4326, 4326)).select("n_nationkey")

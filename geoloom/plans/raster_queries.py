@@ -89,7 +89,7 @@ def clip_bounds(spark, sf):
 )
 def clip_mask(spark, sf):
     ring = F.array(G.xy(10.0, 60.0), G.xy(50.13, 60.0), G.xy(10.0, 100.13), G.xy(10.0, 60.0))
-    tri = L.table(spark, sf, "region").where("r_regionkey = 0").select(G.polygon(ring).alias("geom"))
+    tri = L.table(spark, sf, "region").agg(F.count(F.lit(1))).select(G.polygon(ring).alias("geom"))
     px = R.clip_mask(L.pixels(spark, sf), emb_grid(spark, sf), tri)
     return px.select("row", "col", F.round("value", 6).alias("value"))
 

@@ -323,20 +323,22 @@ def detect_summary(spark, sf):
 
 @query(
     "pick_dem",
-    """, g as (select c_custkey%50 as folder, min(x) as pw, min(y) as ps, max(x) as pe, max(y) as pn from points where c_custkey%700 < 50 group by 1),
-       d as (select s_suppkey as k, s_suppkey%50 as folder, w-20 as w, s-20 as s, e+20 as e, n+20 as n from boxes),
+    """, g as (select floor((x+180)/10)*100 + floor((y+85)/10) as folder, min(x) as pw, min(y) as ps, max(x) as pe, max(y) as pn from points group by 1),
+       d as (select s_suppkey as k, floor((w+180)/10)*100 + floor((s+85)/10) as folder, w-s_suppkey%9 as w, s-s_suppkey%9 as s, e+s_suppkey%9 as e, n+s_suppkey%9 as n from boxes),
        o as (select g.folder as folder, d.k as k, d.w <= pw and d.s <= ps and d.e >= pe and d.n >= pn as holds,
          greatest(least(d.e, pe) - greatest(d.w, pw), 0) * greatest(least(d.n, pn) - greatest(d.s, ps), 0) as a from g join d using (folder)),
        r as (select folder, k, row_number() over (partition by folder order by case when holds then 0 else 1 end, case when holds then 0 else -a end, k) as rn
          from o where holds or a > 0)
-       select folder, 'dem' || k as dem from r where rn = 1""",
+       select folder::bigint as folder, 'dem' || k as dem from r where rn = 1""",
     base=(L.POINTS, L.BOXES),
 )
 def pick_dem(spark, sf):
-    p = L.points(spark, sf).where("c_custkey % 700 < 50").select((F.col("c_custkey") % 50).alias("folder"), F.col("x").alias("lon"), F.col("y").alias("lat"))
+    cell = lambda x, y: F.floor((F.col(x) + 180) / 10) * 100 + F.floor((F.col(y) + 85) / 10)
+    p = L.points(spark, sf).select(cell("x", "y").alias("folder"), F.col("x").alias("lon"), F.col("y").alias("lat"))
+    m = F.col("s_suppkey") % 9
     b = G.with_bbox(L.boxes(spark, sf)).select(
-        (F.col("s_suppkey") % 50).alias("folder"), F.concat(F.lit("dem"), F.col("s_suppkey")).alias("path"), F.col("s_suppkey").alias("ordinal"),
-        (F.col("minx") - 20).alias("west"), (F.col("miny") - 20).alias("south"), (F.col("maxx") + 20).alias("east"), (F.col("maxy") + 20).alias("north"),
+        cell("minx", "miny").alias("folder"), F.concat(F.lit("dem"), F.col("s_suppkey")).alias("path"), F.col("s_suppkey").alias("ordinal"),
+        (F.col("minx") - m).alias("west"), (F.col("miny") - m).alias("south"), (F.col("maxx") + m).alias("east"), (F.col("maxy") + m).alias("north"),
     )
     return P.pick_dem(p, b, "folder", "ordinal")
 

@@ -153,3 +153,24 @@ def test_bin_join_equals_nested_loop(spark):
     rows = G.with_bbox(boxes).collect()
     want = {(a.id, b.id) for a in rows for b in rows if a.minx <= b.maxx and a.maxx >= b.minx and a.miny <= b.maxy and a.maxy >= b.miny}
     assert got == want
+
+
+def test_voronoi_cells_equal_brute_force(spark):
+    import numpy as np
+
+    from geoloom.operators import diagram as D
+
+    pts = np.random.default_rng(7).random((40, 2)) * 50
+    df = spark.createDataFrame([tuple(map(float, p)) for p in pts], "x double, y double")
+    cells = D.voronoi(df.select(G.point("x", "y").alias("geom"), F.lit(3857).alias("srid")), srid=3857)
+    box = (*pts.min(0), *pts.max(0))
+    rows = cells.select("site", G.area(F.col("geom")).alias("a")).collect()
+    assert len(rows) == 40
+    for r in rows:
+        p = r.site.parts[0].rings[0][0]
+        rest = np.array([q for q in pts if (q[0], q[1]) != (p.x, p.y)])
+        vx, vy, _ = D.cut_cell(p.x, p.y, box, np.arange(39), rest[:, 0], rest[:, 1])
+        x, y = np.array(vx), np.array(vy)
+        assert abs(abs(np.dot(x, np.roll(y, -1)) - np.dot(np.roll(x, -1), y)) / 2 - r.a) < 1e-6
+    with pytest.raises(ValueError):
+        D.voronoi(df.select(G.point("x", F.lit(1.0)).alias("geom"), F.lit(3857).alias("srid")), srid=3857)
