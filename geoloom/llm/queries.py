@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, tokens
+from . import chunks, packing, tokens
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +32,9 @@ def op1_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document, and whether it exceeds 512 tokens."""
     return tokens.token_counts(read(spark, sf_dir, "documents"), limit=512)
+
+
+@query
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    return packing.pack(read(spark, sf_dir, "documents"), 2048)
