@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, packing, tokens
+from . import chunks, packing, quality, tokens
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -38,3 +38,9 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     return packing.pack(read(spark, sf_dir, "documents"), 2048)
+
+
+@query
+def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of the line-first quality rules for every document."""
+    return quality.quality(read(spark, sf_dir, "documents"), with_text=False)
