@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, packing, quality, tokens
+from . import chunks, packing, quality, tokens, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +44,21 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdicts of the line-first quality rules for every document."""
     return quality.quality(read(spark, sf_dir, "documents"), with_text=False)
+
+
+@query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives, normalised to members, and read back by offset."""
+    back = warc.archive(read(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op7_warc"] = """
+with p as (select page_id, coalesce(html, '') h from pages),
+d as (select page_id, strlen(h)::bigint payload_bytes, sha256(h) payload_digest from p),
+f as (select payload_digest, min(page_id) first_id from d where payload_bytes >= 100 group by 1)
+select d.page_id, d.payload_bytes, d.payload_digest,
+  case when first_id < d.page_id then 'revisit' else 'response' end record_type,
+  case when first_id < d.page_id then first_id end refers_to
+from d left join f using (payload_digest)
+"""

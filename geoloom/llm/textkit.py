@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one block of array work covers.
@@ -50,6 +51,44 @@ def arrow_map(df: DataFrame, block: Callable[[pa.RecordBatch, "Texts"], pa.Recor
     return df.mapInArrow(run, schema)
 
 
+def squeezed(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with the ``text`` column compressed row by row, for texts that have to move through a shuffle."""
+    schema = ", ".join(f"`{f.name}` {'binary' if f.name == text else f.dataType.simpleString()}" for f in df.schema)
+
+    def block(rows, texts):
+        z = zstandard.ZstdCompressor(level=3)
+        packed = pa.array([z.compress(texts.raw(i)) for i in range(len(texts))], pa.binary())
+        return rows.set_column(rows.schema.get_field_index(text), text, packed)
+
+    return arrow_map(df, block, schema, text)
+
+
+def arrow_map_squeezed(df: DataFrame, block: Callable, schema: str, text: str = "text") -> DataFrame:
+    """``arrow_map`` over a table that ``squeezed`` made; the rows' ``text`` column stays compressed."""
+    prepare(df.sparkSession)
+    return df.mapInArrow(unsqueezed(block, text), schema)
+
+
+def unsqueezed(block: Callable, text: str) -> Callable:
+    """The function that gives ``block`` slices of a squeezed table and their texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdDecompressor()
+        for batch in batches:
+            at, packed = 0, batch.column(batch.schema.get_field_index(text))
+            while at < len(batch):
+                raws, size, first = [], 0, at
+                while at < len(batch) and (size < BLOCK_BYTES or at == first):
+                    raws.append(z.decompress(packed[at].as_py()))
+                    size += len(raws[-1])
+                    at += 1
+                ends = np.cumsum([len(r) for r in raws])
+                texts = Texts(np.frombuffer(b"".join(raws), np.uint8), ends - [len(r) for r in raws], ends)
+                yield block(batch.slice(first, at - first), texts)
+
+    return run
+
+
 class Texts:
     """The texts of some rows: one byte array, and where each row starts and ends in it."""
 
