@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, packing, quality, tokens, warc
+from . import chunks, licenses, packing, quality, tokens, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +62,9 @@ select d.page_id, d.payload_bytes, d.payload_digest,
   case when first_id < d.page_id then first_id end refers_to
 from d left join f using (payload_digest)
 """
+
+
+@query
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and the blocks that meet a license template, for every document."""
+    return licenses.scan(read(spark, sf_dir, "documents"))
