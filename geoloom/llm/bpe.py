@@ -63,6 +63,8 @@ class Codec:
         ranks = {p: i for i, p in enumerate(self.pieces) if p and i not in self.special.values()}
         self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special) if self.ranked else None
         self._names = set(self.special)
+        #: The narrowest integers that hold every id, for ids that have to move.
+        self.narrow = "<u2" if size <= 1 << 16 else "<u4"
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of ``text`` as unsigned 32-bit integers."""

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .bpe import Codec, codec, default_path, safe_places
-from .textkit import arrow_map, mix
+from .textkit import arrow_map, arrow_map_squeezed, squeezed
 
 #: Bytes that the rolling hash sees, least bytes of a chunk, and the mask of hash bits that makes a border.
 WINDOW = 16
@@ -169,24 +169,25 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
             cuts, raw = borders(texts.data, int(texts.starts[i]), int(texts.ends[i]), marks), texts.raw(i)
             for w in wish:
                 names.append(w["digest"])
-                ids.append(c.encode(raw[cuts[w["seq"]] : cuts[w["seq"] + 1]].decode()).tobytes())
+                ids.append(c.encode(raw[cuts[w["seq"]] : cuts[w["seq"] + 1]].decode()).astype(c.narrow).tobytes())
         return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(ids, pa.binary())], ["digest", "ids"])
 
-    first = base.join(wanted, base.k.eqNullSafe(wanted.k) & (base.h == wanted.h)).select(base.k, base.h, "t", "wanted")
+    packed = squeezed(base, "t")
+    first = packed.join(wanted, packed.k.eqNullSafe(wanted.k) & (packed.h == wanted.h)).select(packed.k, packed.h, "t", "wanted")
     # rows that repeat a first place are encoded with it; one result of each digest stays
-    stored = cut_lineage(arrow_map(first, encoded, "digest binary, ids binary", "t").groupBy("digest").agg(F.first("ids").alias("ids")))
+    stored = cut_lineage(arrow_map_squeezed(first, encoded, "digest binary, ids binary", "t").groupBy("digest").agg(F.first("ids").alias("ids")))
     given = chunks.join(stored, "digest").groupBy("k", "h").agg(F.collect_set(F.struct("seq", "ids")).alias("given"))
 
     def whole(rows, texts):
         c, marks, ids = codec(path), rolling_marks(texts.data), []
         for i, parts in enumerate(rows.column(2).to_pylist()):
-            known = {p["seq"]: np.frombuffer(p["ids"], np.uint32) for p in parts or ()}
+            known = {p["seq"]: np.frombuffer(p["ids"], c.narrow).astype(np.uint32) for p in parts or ()}
             cuts = borders(texts.data, int(texts.starts[i]), int(texts.ends[i]), marks) if known else []
             ids.append(assemble(texts.raw(i), cuts, known, c))
-        return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["k", "t", "n_tokens", "ids"])
+        return pa.RecordBatch.from_arrays([rows.column(0), pa.array([texts.raw(i).decode() for i in range(len(texts))], pa.string()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["k", "t", "n_tokens", "ids"])
 
-    full = base.join(given, base.k.eqNullSafe(given.k) & (base.h == given.h), "left").select(base.k, base.t, "given")
-    return arrow_map(full, whole, f"k {kind}, t string, n_tokens long, ids binary", "t").select(F.col("k").alias(key), F.col("t").alias("text"), "n_tokens", "ids")
+    full = packed.join(given, packed.k.eqNullSafe(given.k) & (packed.h == given.h), "left").select(packed.k, packed.t, "given")
+    return arrow_map_squeezed(full, whole, f"k {kind}, t string, n_tokens long, ids binary", "t").select(F.col("k").alias(key), F.col("t").alias("text"), "n_tokens", "ids")
 
 
 def decode(ids: DataFrame, key: str = "doc_id", column: str = "ids", path: str | None = None) -> DataFrame:
