@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, licenses, packing, quality, tokens, warc
+from . import chunks, licenses, packing, pages, quality, tokens, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +68,9 @@ from d left join f using (payload_digest)
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and the blocks that meet a license template, for every document."""
     return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+@query
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return pages.extract(read(spark, sf_dir, "pages"))
