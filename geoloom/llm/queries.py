@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, licenses, packing, pages, quality, tokens, warc
+from . import chunks, licenses, packing, pages, quality, tokens, topk, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +74,19 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return pages.extract(read(spark, sf_dir, "pages"))
+
+
+@query
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five vectors of greatest inner product for every fiftieth vector."""
+    return topk.top_k(read(spark, sf_dir, "embeddings"), 5, "vec_id % 50 = 0")
+
+
+ORACLES["op3_exact_topk"] = """
+with v as (select vec_id, [floor(256 * x::double)::bigint for x in embedding] v from embeddings
+  where embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+p as (select q.vec_id query_id, c.vec_id, list_sum([q.v[i] * c.v[i] for i in range(1, len(q.v) + 1)])::bigint score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0)
+select query_id, rank::int rank, vec_id, score from (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) rank from p) where rank <= 5
+"""
