@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, licenses, packing, pages, quality, tokens, topk, warc
+from . import chunks, licenses, neardup, packing, pages, quality, tokens, topk, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +90,9 @@ p as (select q.vec_id query_id, c.vec_id, list_sum([q.v[i] * c.v[i] for i in ran
 select query_id, rank::int rank, vec_id, score from (
   select *, row_number() over (partition by query_id order by score desc, vec_id) rank from p) where rank <= 5
 """
+
+
+@query
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"))
