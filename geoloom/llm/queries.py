@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, licenses, neardup, packing, pages, quality, tokens, topk, warc
+from . import chunks, licenses, linedup, neardup, packing, pages, quality, tokens, topk, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +96,10 @@ select query_id, rank::int rank, vec_id, score from (
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without later copies of repeated line runs, as spans and a digest of what stays."""
+    out = linedup.dedup_lines(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_deleted_lines", "n_deleted_words", "spans", F.sha2("clean_text", 256).alias("clean_sha256"))
