@@ -253,3 +253,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     named = reps.join(classes, reps.rep == classes.node, "left").select("digest", F.coalesce("component", "rep").alias("class"))
     out = found.select("k", "digest").join(named, "digest", "left").select("k", F.coalesce("class", "k").alias("class_id"))
     return out.select(F.col("k").alias(key), "class_id", F.coalesce(F.col("k") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose document is kept, all columns."""
+    gone = near_duplicates(docs, key, text, threshold).where("not kept and class_id is not null").select(key).distinct()
+    return docs.join(gone, key, "left_anti").select(docs.columns)
