@@ -12,11 +12,7 @@ from ..functions.geom import let
 from ..session import cut_lineage
 from .catalog import collapse_space
 
-# Text bounds and search constants of the history index.
-MAX_UNIT_CHARS = 120_000
-PREVIEW_CHARS = 280
-MAX_QUERY_TERMS = 16
-SNIPPET_TOKENS = 48
+# Search constants of the history index.
 BM25_K1 = 1.2
 BM25_B = 0.75
 BM25_LEAST_IDF = 1e-6
@@ -26,11 +22,11 @@ WORD = r"[\p{L}\p{N}]+"
 BUCKET = 4096
 
 
-def clip(text: Column) -> Column:
-    return F.substring(text, 1, MAX_UNIT_CHARS)
+def clip(text: Column, chars: int | None) -> Column:
+    return text if chars is None else F.substring(text, 1, chars)
 
 
-def step_units(steps: DataFrame) -> DataFrame:
+def step_units(steps: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Tool calls and non-empty tool results as units; ``args`` is JSON text, keys come out sorted."""
     name = F.coalesce(F.when(F.col("name") != "", F.col("name")), F.lit("tool"))
     args = F.coalesce(F.to_json(F.try_parse_json("args")), F.when(F.col("args").isNull(), "null").otherwise(F.col("args")))
@@ -39,7 +35,7 @@ def step_units(steps: DataFrame) -> DataFrame:
     )
     return steps.select(
         "cell_id", F.col("type").alias("kind"), "step_index", F.col("tool_call_id").alias("step_id"),
-        F.col("name").alias("tool_name"), clip(text).alias("text"),
+        F.col("name").alias("tool_name"), clip(text, max_chars).alias("text"),
     ).where("text is not null and text <> ''")
 
 
@@ -58,7 +54,7 @@ def running_total(df: DataFrame, keys: list[str], order: str, value: Column, out
     return local.join(sums, [*keys, "_b"]).withColumn(out, F.col("_base") + F.col("_local")).drop("_b", "_v", "_local", "_base")
 
 
-def fold_text(steps: DataFrame) -> DataFrame:
+def fold_text(steps: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Text deltas folded into blocks, one row per visible block.
 
     A ``text`` step starts a block, ``text_delta`` extends it, any other step and any
@@ -74,16 +70,16 @@ def fold_text(steps: DataFrame) -> DataFrame:
     blocks = marked.groupBy("cell_id", "block").agg(
         F.min("step_index").alias("step_index"), F.array_sort(F.collect_list(F.struct("step_index", "content"))).alias("parts")
     )
-    text = clip(collapse_space(F.array_join(F.transform("parts", lambda p: p["content"]), "")))
+    text = clip(collapse_space(F.array_join(F.transform("parts", lambda p: p["content"]), "")), max_chars)
     return blocks.select("cell_id", "step_index", F.lit("assistant").alias("kind"), text.alias("text")).where("text <> ''")
 
 
-def final_answers(results: DataFrame) -> DataFrame:
+def final_answers(results: DataFrame, max_chars: int | None = None) -> DataFrame:
     """The answer of each finished run, or its error; empty ones are left out."""
     done = F.col("status") == "done"
     text = F.when(done, F.col("output")).otherwise(F.coalesce(F.when(F.col("error") != "", F.col("error")), F.col("output")))
     return results.select(
-        "cell_id", F.when(done, "response").otherwise("error").alias("kind"), clip(collapse_space(text)).alias("text")
+        "cell_id", F.when(done, "response").otherwise("error").alias("kind"), clip(collapse_space(text), max_chars).alias("text")
     ).where(text.isNotNull() & (text != ""))
 
 
@@ -115,32 +111,26 @@ def unit_counts(units: DataFrame) -> DataFrame:
 # -- search ---------------------------------------------------------------
 
 
-def query_terms(query: Column) -> Column:
-    """The first 16 words of a query that differ when case is ignored."""
+def query_terms(query: Column, limit: int | None = None) -> Column:
+    """The words of a query that differ when case and accents are ignored, in order; with ``limit``, the first ones."""
     words = F.regexp_extract_all(F.coalesce(query, F.lit("")), F.lit(WORD), F.lit(0))
 
     def first_spellings(pair: Column) -> Column:
-        fresh = F.slice(F.array_distinct(pair["low"]), 1, MAX_QUERY_TERMS)
+        fresh = F.array_distinct(pair["low"])
+        fresh = fresh if limit is None else F.slice(fresh, 1, limit)
         return F.transform(fresh, lambda v: F.get(pair["own"], (F.array_position(pair["low"], v) - 1).cast("int")))
 
-    both = let(words, lambda w: F.struct(w.alias("own"), F.transform(w, lambda v: F.lower(v)).alias("low")))
+    both = let(words, lambda w: F.struct(w.alias("own"), F.transform(w, fold).alias("low")))
     return let(both, first_spellings)
 
 
-def term_list(query: str) -> list[str]:
+def term_list(query: str, limit: int | None = None) -> list[str]:
     """The same for a query given as text, folded like the indexed tokens."""
-    seen = []
-    for w in re.findall(r"[^\W_]+", query or ""):
-        folded = fold_text_value(w)
-        if folded not in seen:
-            seen.append(folded)
-        if len(seen) >= MAX_QUERY_TERMS:
-            break
-    return seen
+    return list(dict.fromkeys(fold_text_value(w) for w in re.findall(r"[^\W_]+", query or "")))[:limit]
 
 
 def fold_text_value(text: str) -> str:
-    plain = unicodedata.normalize("NFD", text.casefold())
+    plain = unicodedata.normalize("NFD", text.lower())
     return "".join(c for c in plain if not unicodedata.combining(c))
 
 
@@ -205,8 +195,12 @@ def score_units(units: DataFrame, query: str) -> DataFrame:
     return hit.withColumn("score", -score).drop("_st", "_tf", "_dl")
 
 
-def search(units: DataFrame, query: str, limit: int = 6) -> DataFrame:
-    """The best units with a hint around the match and the cell's latest prompt and answer."""
+def search(units: DataFrame, query: str, limit: int = 6, hint_words: int | None = None, preview_chars: int | None = None) -> DataFrame:
+    """The best units with a hint and the cell's latest prompt and answer, blanks collapsed.
+
+    The hint is the unit's text from the first match on, led by half of ``hint_words`` where that is given
+    and cut to that many words; previews are cut to ``preview_chars`` where given.
+    """
     # at most ``limit`` rows, read three times below
     best = cut_lineage(score_units(units, query).orderBy("score", "id").limit(max(1, int(limit))))
     terms = F.array(*[F.lit(t) for t in term_list(query)])
@@ -214,21 +208,21 @@ def search(units: DataFrame, query: str, limit: int = 6) -> DataFrame:
     at = F.coalesce(
         F.array_position(F.transform(words, lambda w: F.arrays_overlap(tokens(w), terms)), True), F.lit(1)
     ).cast("int")
-    start = F.greatest(at - SNIPPET_TOKENS // 2, F.lit(1))
-    cut = F.array_join(F.slice(words, start, SNIPPET_TOKENS), " ")
-    hint = F.concat(
-        F.when(start > 1, F.lit("…")).otherwise(""), cut, F.when(F.size(words) >= start + SNIPPET_TOKENS, F.lit("…")).otherwise("")
-    )
+    size = F.size(words) if hint_words is None else F.lit(hint_words)
+    start = F.greatest(at - F.lit((hint_words or 0) // 2), F.lit(1))
+    cut = F.array_join(F.slice(words, start, size), " ")
+    hint = F.concat(F.when(start > 1, F.lit("…")).otherwise(""), cut, F.when(F.size(words) >= start + size, F.lit("…")).otherwise(""))
     best = best.withColumn("hint", hint)
     cells = units.join(best.select("cell_id").distinct(), "cell_id", "left_semi")
 
     def preview(kinds: list[str], name: str) -> DataFrame:
         rows = cells.where(F.col("kind").isin(*kinds))
-        return rows.groupBy("cell_id").agg(F.substring(F.max_by("text", "id"), 1, PREVIEW_CHARS).alias(name))
+        return rows.groupBy("cell_id").agg(collapse_space(clip(F.max_by("text", "id"), preview_chars)).alias(name))
 
     out = best.join(preview(["prompt"], "prompt"), "cell_id", "left").join(preview(["response", "error"], "answer"), "cell_id", "left")
     step = F.when(F.col("step_index").isNotNull(), F.concat(F.lit(" · step "), F.col("step_index"))).otherwise("")
-    return out.withColumn("reference", F.concat(F.lit("prompt cell "), F.col("cell_id"), F.lit(" · "), F.col("kind"), step))
+    tool = F.when(F.col("tool_name") != "", F.concat(F.lit(" · "), F.col("tool_name"))).otherwise("") if "tool_name" in out.columns else F.lit("")
+    return out.withColumn("reference", F.concat(F.lit("prompt cell "), F.col("cell_id"), F.lit(" · "), F.col("kind"), tool, step))
 
 
 def token_index(units: DataFrame) -> DataFrame:

@@ -1,11 +1,12 @@
 """Joins between layers.
 
 Catalyst plans a join on ranges alone as a nested loop.  ``candidate_pairs`` gives
-it an equi-join instead: every box is binned at a grid level fitting its size, the
-two sides meet at the coarser of their two levels, and a pair counts only in the one
-cell that holds the lower left corner of the overlap.  A box therefore falls into at
-most four cells of each level in use, however uneven the sizes are, no pair appears
-twice, and no distinct is needed afterwards.
+it an equi-join instead: every box is binned at a grid level fitting its size, and a
+copy of it visits the coarser levels that the other side uses.  Two boxes meet at the
+coarser of their two levels, so a visitor is only joined with boxes that are at home
+there, never with another visitor: one huge box costs as many rows as it has
+neighbours.  A pair counts only in the one cell that holds the lower left corner of
+the overlap, so no pair appears twice and no distinct is needed afterwards.
 """
 
 from __future__ import annotations
@@ -56,22 +57,24 @@ def candidate_pairs(left: DataFrame, right: DataFrame, group: list[str] | None =
     right = right.where("r_minx is not null").withColumn("_rl", rv)
     # the levels in use: at most ~60 whatever the table sizes
     none = F.array().cast("array<int>")
-    l_used = left.agg(F.collect_set("_ll").alias("levels")).scalar()
-    r_used = right.agg(F.collect_set("_rl").alias("levels")).scalar()
-    used = F.array_union(F.coalesce(l_used, none), F.coalesce(r_used, none))
-    lc = _cells(left, used, "_ll", "l_")
-    rc = _cells(right, used, "_rl", "r_")
-    pairs = lc.join(rc, [*(group or []), "_level", "_cx", "_cy"])
+    l_used = F.coalesce(left.agg(F.collect_set("_ll").alias("levels")).scalar(), none)
+    r_used = F.coalesce(right.agg(F.collect_set("_rl").alias("levels")).scalar(), none)
+    lc = _cells(left, F.array_union(r_used, F.array("_ll")), "_ll", "l_")
+    rc = _cells(right, F.array_union(l_used, F.array("_rl")), "_rl", "r_")
+    # meeting 0: left at home with any right; meeting 1: left visiting a right that is at home
+    lc = lc.withColumn("_meeting", F.when(F.col("_level") == F.col("_ll"), 0).otherwise(1))
+    home = F.when(F.col("_level") == F.col("_rl"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rc = rc.withColumn("_meeting", F.explode(home))
+    pairs = lc.join(rc, [*(group or []), "_meeting", "_level", "_cx", "_cy"])
     overlap = (
         (F.col("l_minx") <= F.col("r_maxx")) & (F.col("l_maxx") >= F.col("r_minx"))
         & (F.col("l_miny") <= F.col("r_maxy")) & (F.col("l_maxy") >= F.col("r_miny"))
     )
     level = F.col("_level")
-    meet = level == F.greatest("_ll", "_rl")
     owner = (F.col("_cx") == cell_index(level, F.greatest("l_minx", "r_minx"))) & (
         F.col("_cy") == cell_index(level, F.greatest("l_miny", "r_miny"))
     )
-    return pairs.where(meet & overlap & owner).drop("_level", "_cx", "_cy", "_ll", "_rl")
+    return pairs.where(overlap & owner).drop("_meeting", "_level", "_cx", "_cy", "_ll", "_rl")
 
 
 def _prefixed(df: DataFrame, prefix: str, geom: str) -> DataFrame:

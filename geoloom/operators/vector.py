@@ -84,10 +84,11 @@ def check_geometry(df: DataFrame, geom: str = "geom") -> DataFrame:
     )
 
 
-def invalid_details(df: DataFrame, order: str, geom: str = "geom", limit: int = 50) -> DataFrame:
-    """The first invalid features by ``order`` with their reasons."""
+def invalid_details(df: DataFrame, order: str, geom: str = "geom", limit: int | None = None) -> DataFrame:
+    """The invalid features by ``order`` with their reasons; with ``limit``, the first ones."""
     bad = with_validity(df, geom).where(F.col("reason").isNotNull())
-    return bad.select(order, "reason").orderBy(order).limit(limit)
+    rows = bad.select(order, "reason").orderBy(order)
+    return rows if limit is None else rows.limit(limit)
 
 
 def drawn_features(df: DataFrame, geom: str = "geom") -> DataFrame:

@@ -187,7 +187,7 @@ def collections(spark, sf) -> DataFrame:
     d = table(spark, sf, "documents")
     return d.select(
         F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("ordinal"),
-        F.substring("text", 1, 60).alias("title"), F.col("text").alias("description"),
+        F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("description"),
         F.array("lang", "source").alias("keywords"),
     )
 
@@ -199,12 +199,13 @@ def history_units(spark, sf) -> DataFrame:
     return c.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("cell_id"),
         F.col("turn").alias("step_index"), kind.alias("kind"), "text",
+        F.when(kind == "tool_result", F.concat(F.lit("tool_"), (F.col("turn") % 3).cast("string"))).alias("tool_name"),
     )
 
 
 UNITS = """units as (select conv_id*1000 + turn as id, conv_id as cell_id, turn as step_index,
-  case role when 'user' then 'prompt' when 'assistant' then 'response' else 'tool_result' end as kind, text
-  from conversations)"""
+  case role when 'user' then 'prompt' when 'assistant' then 'response' else 'tool_result' end as kind, text,
+  case when role not in ('user', 'assistant') then 'tool_' || (turn % 3) end as tool_name from conversations)"""
 
 
 def trace_steps(spark, sf) -> DataFrame:

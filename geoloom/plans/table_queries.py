@@ -28,18 +28,18 @@ def search_terms(spark, sf):
     return d.select("doc_id", F.array_join(F.array_sort(K.search_terms(F.col("text"))), " ").alias("terms"))
 
 
-_ENTRY = """entries as (select doc_id, doc_id::varchar as id, text[1:60] as title,
-  trim(regexp_replace(text, '\\s+', ' ', 'g'))[1:300] as description, lang, source from documents)"""
+_ENTRY = """entries as (select doc_id, doc_id::varchar as id, split_part(text, chr(10), 1) as title,
+  trim(regexp_replace(text, '\\s+', ' ', 'g')) as description, lang, source from documents)"""
 
 
 @query(
     "list_collections_ranked",
     f""", s as (select id, doc_id, len(list_intersect({_TERMS.format("concat_ws(' ', id, title, description, lang, source)")}, ['the', 'des', 'src0', 'en'])) as score from entries)
-       select id, score::integer as score from s where score > 0 order by score desc, doc_id limit 50""",
+       select id, score::integer as score from s where score > 0 order by score desc, doc_id limit 150""",
     base=(_ENTRY,),
 )
 def list_collections_ranked(spark, sf):
-    return K.list_collections(L.collections(spark, sf), "the DES src0 en datasets image", 50).select("id", "score")
+    return K.list_collections(L.collections(spark, sf), "the DES src0 en datasets image", 150).select("id", "score")
 
 
 @query("list_collections_by_id", "select doc_id::varchar as id from documents order by id limit 20")
@@ -108,20 +108,20 @@ def _scene_columns(df):
 
 @query(
     "search_scenes_date",
-    f"{_SCENE_COLS} where {_SCENE_FILTER} order by datetime desc, k limit 100",
+    f"{_SCENE_COLS} where {_SCENE_FILTER} order by datetime desc, k limit 500",
     base=(L.SCENES,),
 )
 def search_scenes_date(spark, sf):
-    return _scene_columns(K.search_scenes(L.scene_items(spark, sf), sort="date", limit=100, **_SEARCH))
+    return _scene_columns(K.search_scenes(L.scene_items(spark, sf), sort="date", limit=500, **_SEARCH))
 
 
 @query(
     "search_scenes_cloud",
-    f"{_SCENE_COLS} where {_SCENE_FILTER} order by cloud is null, cloud, datetime desc, k limit 100",
+    f"{_SCENE_COLS} where {_SCENE_FILTER} order by cloud is null, cloud, datetime desc, k limit 500",
     base=(L.SCENES,),
 )
 def search_scenes_cloud(spark, sf):
-    return _scene_columns(K.search_scenes(L.scene_items(spark, sf), sort="cloud", limit=100, **_SEARCH))
+    return _scene_columns(K.search_scenes(L.scene_items(spark, sf), sort="cloud", limit=500, **_SEARCH))
 
 
 @query("filter_scenes_all", f"{_SCENE_COLS} where {_SCENE_FILTER}", base=(L.SCENES,))
@@ -151,7 +151,7 @@ def unusable_items(spark, sf):
 @query(
     "scene_cache_newest",
     """, r as (select 'k' || (o_orderkey % 700) as scene_key, o_orderkey as seq, o_totalprice as price from orders)
-       select scene_key, min(seq) as seq, arg_max(price, seq) as price from r group by 1 order by seq desc limit 500""".replace(", r as", "with r as", 1),
+       select scene_key, min(seq) as seq, arg_max(price, seq) as price from r group by 1""".replace(", r as", "with r as", 1),
 )
 def scene_cache_newest(spark, sf):
     o = L.table(spark, sf, "orders").select(
@@ -426,9 +426,8 @@ def unit_counts(spark, sf):
 @query(
     "query_terms",
     """, w as (select doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) as w, generate_subscripts(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), 1) as i from documents),
-       f as (select doc_id, arg_min(w, i) as w, min(i) as i from w group by doc_id, lower(w)),
-       r as (select *, row_number() over (partition by doc_id order by i) as rn from f)
-       select doc_id, string_agg(w, ' ' order by i) as terms from r where rn <= 16 group by 1""".replace(", w as", "with w as", 1),
+       f as (select doc_id, arg_min(w, i) as w, min(i) as i from w group by doc_id, strip_accents(lower(w)))
+       select doc_id, string_agg(w, ' ' order by i) as terms from f group by 1""".replace(", w as", "with w as", 1),
 )
 def query_terms(spark, sf):
     d = L.table(spark, sf, "documents")
@@ -458,15 +457,21 @@ def score_units(spark, sf):
     "search_history",
     """, s as (select id, cell_id, round(-sum(idf*tf*2.2/(tf + 1.2*(1-0.75+0.75*dl/av))), 6) as score from tf join idf using (term), st
          group by id, cell_id having sum(tf) > 0),
-       p as (select cell_id, arg_max(text, id)[1:280] as prompt from units where kind = 'prompt' group by 1),
-       a as (select cell_id, arg_max(text, id)[1:280] as answer from units where kind = 'response' group by 1)
-       select s.id as id, s.cell_id as cell_id, score, prompt, answer from s left join p on p.cell_id = s.cell_id left join a on a.cell_id = s.cell_id
-       order by score, s.id limit 10""",
+       p as (select cell_id, trim(regexp_replace(arg_max(text, id), '\\s+', ' ', 'g')) as prompt from units where kind = 'prompt' group by 1),
+       a as (select cell_id, trim(regexp_replace(arg_max(text, id), '\\s+', ' ', 'g')) as answer from units where kind = 'response' group by 1),
+       b as (select s.*, string_split(trim(regexp_replace(u.text, '\\s+', ' ', 'g')), ' ') as words,
+         'prompt cell ' || u.cell_id || ' · ' || u.kind || coalesce(' · ' || u.tool_name, '') || ' · step ' || u.step_index as reference
+         from s join units u on u.id = s.id order by score, s.id limit 10),
+       h as (select *, list_position(list_transform(words, lambda w: list_has_any(regexp_extract_all(strip_accents(lower(w)), '[\\p{L}\\p{N}]+'),
+         ['einen', 'elan', 'the', 'that', 'que', 'mentier'])), true) as first_hit from b)
+       select h.id as id, h.cell_id as cell_id, score, prompt, answer, reference,
+         case when first_hit > 1 then '…' else '' end || array_to_string(words[first_hit:], ' ') as hint
+       from h left join p on p.cell_id = h.cell_id left join a on a.cell_id = h.cell_id""",
     base=(L.UNITS, _BM25),
 )
 def search_history(spark, sf):
     hits = H.search(L.history_units(spark, sf), _QUERY, 10)
-    return hits.select("id", "cell_id", F.round("score", 6).alias("score"), "prompt", "answer")
+    return hits.select("id", "cell_id", F.round("score", 6).alias("score"), "prompt", "answer", "reference", "hint")
 
 
 @query(
@@ -619,7 +624,7 @@ def unique_names(spark, sf):
     "search_document_lines",
     """, l as (select 'd' || lpad(doc_id::varchar, 7, '0') as file, unnest(string_split_regex(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]')) as t,
          generate_subscripts(string_split_regex(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]'), 1) as line from documents)
-       select file, line::integer as line, trim(t)[1:200] as text, true as truncated from l where contains(lower(t), 'the ') order by file, line limit 40""".replace(", l as", "with l as", 1),
+       select file, line::integer as line, trim(t) as text, true as truncated from l where contains(lower(t), 'the ') order by file, line limit 40""".replace(", l as", "with l as", 1),
 )
 def search_document_lines(spark, sf):
     d = L.table(spark, sf, "documents").select(

@@ -42,7 +42,7 @@ def read_layer(spark: SparkSession, path: str, layer: str | None = None, column:
     if column not in df.columns:
         return df
     if layer is None:
-        names = [r[0] for r in df.select(column).distinct().orderBy(column).limit(20).collect()]
+        names = [r[0] for r in df.select(column).distinct().orderBy(column).collect()]
         if len(names) > 1:
             raise ValueError(f"{path!r} holds {len(names)} layers ({', '.join(names)}); pass layer=... to choose one")
         return df.drop(column)
@@ -125,7 +125,7 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
 
 
 def search_lines(documents: DataFrame, query: str, limit: int, path: str = "path", text: str = "text") -> DataFrame:
-    """Lines that hold the query, case ignored: file, 1-based line number, the text's first 200 characters.
+    """Lines that hold the query, case ignored: file, 1-based line number, the text without blank ends.
 
     ``truncated`` is true on every row when more than ``limit`` lines matched.
     """
@@ -133,7 +133,7 @@ def search_lines(documents: DataFrame, query: str, limit: int, path: str = "path
     lines = documents.where(F.contains(F.lower(F.col(text)), needle)).select(
         F.col(path).alias("file"), F.posexplode(F.split(F.col(text), r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]")).alias("pos", "line_text")
     ).where(F.contains(F.lower("line_text"), needle))
-    hits = lines.select("file", (F.col("pos") + 1).alias("line"), F.substring(F.trim("line_text"), 1, 200).alias("text"))
+    hits = lines.select("file", (F.col("pos") + 1).alias("line"), F.trim("line_text").alias("text"))
     first = hits.orderBy("file", "line").limit(limit + 1)
     over = first.agg((F.count(F.lit(1)) > limit).alias("t"))
     return first.withColumn("truncated", over.scalar()).orderBy("file", "line").limit(limit)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators.catalog import collapse_space
-from ..operators.history import MAX_UNIT_CHARS, flatten_usage
+from ..operators.history import flatten_usage
 from ..sources.traces import parse_lines
 
 BLOCK_SCHEMA = "cell_id long, step_index long, text string"
@@ -72,8 +72,7 @@ def fold_text_stream(steps: DataFrame, first_index: int = 0) -> DataFrame:
         )
 
     blocks = rows.groupBy("cell_id").applyInPandasWithState(fold, BLOCK_SCHEMA, STATE_SCHEMA, "append", "NoTimeout")
-    text = F.substring(collapse_space(F.col("text")), 1, MAX_UNIT_CHARS)
-    return blocks.withColumn("text", text).where("text <> ''")
+    return blocks.withColumn("text", collapse_space(F.col("text"))).where("text <> ''")
 
 
 def usage_totals(rows: DataFrame) -> DataFrame:
