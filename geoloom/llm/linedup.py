@@ -152,7 +152,7 @@ def marked(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words:
     whole = F.array(F.struct(F.lit(0).alias("p"), (F.octet_length("hashes") / 8).cast("int").alias("length")))
     first = distinct.where("n > 1").select("digest", F.col("k").alias("least"))
     copies = found.where(F.col("total") >= min_words).join(first, "digest").where("k > least").select("k", "g", whole.alias("__runs"))
-    runs_of = some.unionByName(copies).dropDuplicates(["k", "g"])
+    runs_of = some.unionByName(copies).dropDuplicates(["k", "g"]).withColumnsRenamed({"k": "__k", "g": "__of"})
 
     schema = ", ".join(f"`{f.name}` {'binary' if f.name == text else f.dataType.simpleString()}" for f in docs.schema)
 
@@ -165,15 +165,19 @@ def marked(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words:
         return rows.append_column("__digest", pa.array(digests, pa.binary()))
 
     packed = K.arrow_map(docs, pack, schema + ", __digest binary", text).withColumn("__g", F.xxhash64("__digest"))
-    same = (packed[key] == runs_of.k) & (packed["__g"] == runs_of.g)
-    return packed.join(runs_of, same, "left").drop("k", "g", "__g", "__digest")
+    same = (packed[key] == runs_of["__k"]) & (packed["__g"] == runs_of["__of"])
+    return packed.join(runs_of, same, "left").drop("__k", "__of", "__g", "__digest")
 
 
 def _kept_lines(n: int, number: np.ndarray, runs) -> np.ndarray:
-    """Which of ``n`` lines stay; a deleted run takes the blank lines inside it along."""
-    keep = np.ones(n, np.bool_)
+    """Which of ``n`` lines stay; blank lines go where the lines on both sides of them do."""
+    gone = np.zeros(len(number) + 1, np.bool_)
     for r in runs or ():
-        keep[number[r["p"]] : number[r["p"] + r["length"] - 1] + 1] = False
+        gone[r["p"] : r["p"] + r["length"]] = True
+    keep = np.ones(n, np.bool_)
+    keep[number[gone[:-1]]] = False
+    for i in np.flatnonzero(gone[:-1] & gone[1:]).tolist():
+        keep[number[i] : number[i + 1]] = False
     return keep
 
 

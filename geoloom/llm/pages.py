@@ -109,7 +109,8 @@ def _groups(attributes: str) -> tuple[int, str | None]:
 def parse(forest: Forest, page: int, source: str) -> None:
     """Add the tree of one page; unclosed and stray tags are taken as browsers take them."""
     root = forest.add(page, -1, _TAG_OF["html"])
-    stack: list[tuple[str, int, int]] = [("html", root, 0)]  # tag, node of the enclosing block, label
+    # tag, node of the enclosing block, label; a page has a body whether it says so or not
+    stack: list[tuple[str, int, int]] = [("html", root, 0), ("body", forest.add(page, root, _TAG_OF["body"]), 0)]
     text: list[str] = []
     links, linked = 0, 0
 
@@ -148,7 +149,7 @@ def parse(forest: Forest, page: int, source: str) -> None:
             continue
         tag = m[2].lower()
         if m[1]:
-            found = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
+            found = next((i for i in range(len(stack) - 1, 1, -1) if stack[i][0] == tag), 0)
             if found:
                 close(found)
             elif tag == "p":
@@ -166,7 +167,7 @@ def parse(forest: Forest, page: int, source: str) -> None:
             text.append(" ")
             continue
         if tag in CLOSES:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 1, -1):
                 if stack[i][0] in CLOSES[tag]:
                     close(i)
                     break
@@ -176,7 +177,7 @@ def parse(forest: Forest, page: int, source: str) -> None:
             flush()
             group, truth = _groups(m[3])
             label = int(truth) if truth else stack[-1][2]
-            if tag == "html":
+            if tag in ("html", "body"):
                 continue
             if tag not in VOID:
                 parent = stack[-1][1]
@@ -305,10 +306,13 @@ def composed(n: int, seed: int = 7) -> list[str]:
 
     def inside(kind):
         if kind in ("links", "items"):
-            return "<ul>" + "".join(f"<li><a href='/x'>{words(int(r.integers(1, 4)))}</a></li>" if kind == "links" else f"<li>{prose(int(r.integers(1, 3)))}</li>" for _ in range(r.integers(2, 9))) + "</ul>"
+            return top() + "<ul>" + "".join(f"<li><a href='/x'>{words(int(r.integers(1, 4)))}</a></li>" if kind == "links" else f"<li>{prose(int(r.integers(1, 3)))}</li>" for _ in range(r.integers(1, 9))) + "</ul>"
         if kind == "title":
             return f"<h1>{words(2)}</h1>"
-        return f"{prose(1)}" if kind == "line" else "".join(f"<p>{prose(int(r.integers(1, 4)))}</p>" for _ in range(r.integers(1, 4)))
+        return top() + (prose(1) if kind == "line" else "".join(f"<p>{prose(int(r.integers(1, 4)))}</p>" for _ in range(r.integers(1, 4))))
+
+    def top():
+        return "<{0}>{1}</{0}>".format(("h2", "h3")[int(r.integers(2))], words(int(r.integers(1, 4)))) if r.random() < 0.3 else ""
 
     out = []
     for _ in range(n):
@@ -316,7 +320,7 @@ def composed(n: int, seed: int = 7) -> list[str]:
         split = int(r.integers(0, len(around)))
         tag, css = INSIDE[int(r.integers(len(INSIDE)))]
         body = "".join(
-            (f"<h2>{words(3)}</h2>", f"<ul><li>{words(3)}</li><li>{words(4)}</li></ul>", f"<blockquote>{prose(1)}</blockquote>", f"<p>{words(1)}.</p>")[int(r.integers(4))] if r.random() < 0.3 else f"<p>{prose(int(r.integers(1, 6)))}</p>"
+            ("<{0}>{1}</{0}>".format(("h2", "h3")[int(r.integers(2))], words(int(r.integers(1, 6)))), f"<ul><li>{words(3)}</li><li>{words(4)}</li></ul>", f"<blockquote>{prose(1)}</blockquote>", f"<p>{words(1)}.</p>")[int(r.integers(4))] if r.random() < 0.3 else f"<p>{prose(int(r.integers(1, 6)))}</p>"
             for _ in range(1 if r.random() < 0.2 else r.integers(2, 14))
         )
         head = f"<h1>{words(4)}</h1>"
@@ -324,7 +328,8 @@ def composed(n: int, seed: int = 7) -> list[str]:
         own = "" if r.random() < 0.7 else "<{0} class='{1}' data-truth='0'>{2}</{0}>".format(*(lambda x: (x[0], x[1], inside(x[2])))(AROUND[int(r.integers(7, len(AROUND)))]))
         article = f"<{tag} class='{css}' data-truth='1'>{head}{body}{own}</{tag}>"
         article = f"<table><tr>{article}</tr></table>" if tag == "td" else article
-        pieces = [f"<{t} class='{c}' data-truth='0'>{inside(k)}</{t}>" for t, c, k in around]
+        bare = [c if t not in ("nav", "header", "footer", "aside", "form", "dialog") or r.random() < 0.5 else "" for t, c, _ in around]
+        pieces = [f"<{t} class='{c}' data-truth='0'>{inside(k)}</{t}>" for (t, _, k), c in zip(around, bare)]
         page = "".join(pieces[:split]) + article + "".join(pieces[split:])
         out.append(f"<html><body><div id='page'>{page}</div></body></html>" if r.random() < 0.5 else f"<html><body>{page}</body></html>")
     return out
