@@ -27,6 +27,20 @@ def union_all(df: DataFrame, keys: list[str], geom: str = "geom", digits: int =
     return A.arrange(A.polygon_segments(df, keys, geom), keys, "union", digits)
 
 
+def merged(df: DataFrame, keys: list[str], geom: str = "geom", digits: int = 9) -> DataFrame:
+    """One geometry per key, ``keys, geom``: the union of its polygons, else its distinct lines, else its distinct points."""
+    g = F.col(geom)
+    areas = union_all(df, keys, geom, digits)
+    others = df.where(~G.is_polygonal(g) & ~G.is_empty(g))
+    parts = others.select(*keys, G.is_linear(g).alias("_line"), F.explode(g["parts"]).alias("_p")).distinct()
+    kinds = parts.groupBy(*keys).agg(F.max("_line").alias("_any"))
+    own = parts.join(kinds, keys).where("_line = _any").groupBy(*keys, "_any").agg(F.array_sort(F.collect_set("_p")).alias("_parts"))
+    single = F.when(F.col("_any"), "LineString").otherwise("Point")
+    kind = F.when(F.size("_parts") > 1, F.concat(F.lit("Multi"), single)).otherwise(single)
+    rest = own.select(*keys, G.make(kind, F.col("_parts")).alias("_other"))
+    return areas.join(rest, keys, "full").select(*keys, F.coalesce("geom", "_other").alias("geom"))
+
+
 def dissolve(df: DataFrame, column: str | None = None, order: str | None = None, geom: str = "geom", digits: int = 9) -> DataFrame:
     """One geometry, or one per value of ``column`` with the first non-NULL of every other column.
 
@@ -34,8 +48,7 @@ def dissolve(df: DataFrame, column: str | None = None, order: str | None = None,
     """
     if column is None:
         one = df.select(geom, F.lit(0).alias("_k"), "srid")
-        merged = union_all(one, ["_k"], geom, digits).drop("_k")
-        return merged.withColumn("srid", df.agg(F.max("srid")).scalar())
+        return merged(one, ["_k"], geom, digits).drop("_k").withColumn("srid", df.agg(F.max("srid")).scalar())
     require_columns(df, [column] + ([order] if order else []))
     rows = df.where(F.col(column).isNotNull())
     rest = [c for c in rows.columns if c not in (column, geom, *G.BBOX)]
@@ -44,7 +57,7 @@ def dissolve(df: DataFrame, column: str | None = None, order: str | None = None,
     attributes = rows.groupBy(column).agg(
         *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in rest], F.count(F.lit(1)).alias("_n")
     ).drop("_n")
-    return attributes.join(union_all(rows, [column], geom, digits), column, "left")
+    return attributes.join(merged(rows, [column], geom, digits), column, "left")
 
 
 def aggregate(df: DataFrame, column: str, statistic: str = "count", field: str | None = None, geom: str = "geom", digits: int = 9) -> DataFrame:
@@ -136,8 +149,12 @@ def clip_vector(df: DataFrame, mask: DataFrame, key: str, geom: str = "geom", sr
     pairs = _pairs(df, numbered, key, "_m", geom)
     rest = df.drop(*G.BBOX)
     dots = rest.where(~G.is_polygonal(F.col(geom)) & ~G.is_linear(F.col(geom)))
-    hits = matched_pairs(dots.select(key, geom), numbered, "intersects", geom).select(F.col(f"l_{key}").alias(key)).distinct()
-    kept = dots.join(hits, key, "left_semi")
+    # of several points only those that meet the mask stay
+    each = explode(dots.select(key, geom), geom).withColumn("_id", F.struct(key, "part"))
+    met = matched_pairs(each.select("_id", geom), numbered, "intersects", geom).select(F.col("l__id").alias("_id"), F.col("l_geom").alias("_g")).dropDuplicates(["_id"])
+    points = met.groupBy(F.col(f"_id.{key}").alias(key)).agg(F.array_sort(F.collect_list(F.struct(F.col("_id.part").alias("at"), F.col("_g")["parts"][0].alias("p")))).alias("_p"))
+    points = points.select(key, F.transform("_p", lambda v: v["p"]).alias("_p"))
+    kept = dots.join(points, key).withColumn(geom, G.make(F.col(geom)["type"], F.col("_p"))).drop("_p")
     near = pairs.select(F.col("l_key").alias(key), F.col("l_geom"), F.col("r_geom"))
     one = near.select(key, "l_geom").dropDuplicates([key])
     b = A.polygon_segments(near, [key], "r_geom", "b")
@@ -181,8 +198,12 @@ def select_by_location(df: DataFrame, mask: DataFrame, predicate: str, key: str,
     parts = explode(dissolve(mask.select(geom, "srid"), geom=geom, digits=A.digits_for(srids[0] if srids else None)), geom)
     pieces = explode(probe, geom).withColumn("_id", F.struct(key, "part"))
     inside = matched_pairs(pieces.select("_id", geom), parts.select(geom), "within", geom).select(F.col("l__id").alias("_id")).distinct()
-    missed = pieces.join(inside, "_id", "left_anti").select(key).distinct()
-    return real.join(missed, key, "left_anti")
+    # of several points some may lie on the mask's outline, as long as one lies inside
+    dots = pieces.where(F.col(geom)["type"] == "Point")
+    touching = matched_pairs(dots.select("_id", geom), parts.select(geom), "intersects", geom).select(F.col("l__id").alias("_id")).distinct()
+    missed = pieces.join(inside.unionByName(touching).distinct(), "_id", "left_anti").select(key).distinct()
+    some = inside.select(F.col(f"_id.{key}").alias(key)).distinct()
+    return real.join(missed, key, "left_anti").join(some, key, "left_semi")
 
 
 def fix_geometry(df: DataFrame, key: str, geom: str = "geom", digits: int = 9) -> DataFrame:
@@ -279,8 +300,8 @@ def buffer(
     digits = A.digits_for(metric)
     if dissolved:
         every = pieces.unionByName(round_points).select(F.lit(0).alias("_k"), "geom")
-        merged = union_all(every, ["_k"], "geom", digits).drop("_k")
-        return merged.select(C.transform_geom(F.col("geom"), metric, src).alias(geom), F.lit(src).alias("srid"))
+        return union_all(every, ["_k"], "geom", digits).select(C.transform_geom(F.col("geom"), metric, src).alias(geom), F.lit(src).alias("srid"))
     grown = round_points.unionByName(union_all(pieces, [key], "geom", digits))
-    out = attributes.join(grown.withColumnRenamed("geom", geom), key)
+    # a feature without a geometry, or with an empty one, keeps its row
+    out = attributes.join(grown.withColumnRenamed("geom", geom), key, "left")
     return out.withColumn(geom, C.transform_geom(F.col(geom), metric, src))

@@ -361,9 +361,9 @@ def grid(
     choice(kind, "kind", ("rectangle", "hexagon"))
     number(cell_width, "cell_width", positive=True)
     height = number(cell_width if cell_height is None else cell_height, "cell_height", positive=True)
-    west, south, east, north = (float(v) for v in bounds)
-    if not all(math.isfinite(v) for v in (west, south, east, north)) or west >= east or south >= north:
-        raise ValueError("bounds must be [west, south, east, north]")
+    west, south, east, north = map(float, bounds)
+    if not (0 < east - west < math.inf and 0 < north - south < math.inf):
+        raise ValueError(f"bounds {bounds!r} span no finite area")
     if kind == "rectangle":
         cols, rows = math.ceil((east - west) / cell_width), math.ceil((north - south) / height)
     else:
@@ -371,7 +371,7 @@ def grid(
         step_x, step_y = 1.5 * r, math.sqrt(3) * r
         cols, rows = math.ceil((east - west) / step_x) + 1, math.ceil((north - south) / step_y) + 1
     if max_cells is not None and cols * rows > max_cells:
-        raise ValueError(f"that cell size would create {cols * rows} cells (limit {max_cells})")
+        raise ValueError(f"{cols} columns by {rows} rows are more than max_cells={max_cells}")
     cells = spark.range(cols * rows).select(
         (F.col("id") % cols).alias("col_id"), F.floor(F.col("id") / cols).alias("row_id")
     )
@@ -425,16 +425,14 @@ def select_by_value(df: DataFrame, column: str, operator: str, value=None) -> Da
     Comparison is numeric when both sides are finite numbers and textual otherwise;
     an empty cell matches ``is-null`` alone.
     """
-    choice(operator, "operator", VALUE_OPERATORS)
-    if operator not in ("is-null", "is-not-null") and value is None:
-        raise ValueError(f"operator {operator!r} needs a value")
     require_columns(df, [column])
     cell = F.col(column)
     empty = is_blank(cell, dict(df.dtypes)[column])
-    if operator == "is-null":
-        return df.where(empty)
-    if operator == "is-not-null":
-        return df.where(~empty)
+    on_emptiness = {"is-null": empty, "is-not-null": ~empty}
+    if choice(operator, "operator", VALUE_OPERATORS) in on_emptiness:
+        return df.where(on_emptiness[operator])
+    if value is None:
+        raise ValueError(f"there is no value to test {column!r} with by {operator}")
     text, raw = cell.cast("string"), F.lit(str(value))
     left, right = as_number(text), as_number(raw)
     numeric = left.isNotNull() & right.isNotNull()

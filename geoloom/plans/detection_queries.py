@@ -382,10 +382,7 @@ def change_polygons(spark, sf):
     base=(L.PIXELS,),
 )
 def contour_levels(spark, sf):
-    lo, hi = L.pixels(spark, sf).agg(F.min("value"), F.max("value")).first()
-    levels = Z.contour_levels(lo, hi, 0.1, 0.03)
-    rows = F.posexplode(F.array(*[F.lit(v) for v in levels])).alias("k", "level")
-    return L.pixels(spark, sf).agg(F.count(F.lit(1))).select(rows).select(F.col("k").cast("long").alias("k"), F.round("level", 6).alias("level"))
+    return Z.contour_levels(L.pixels(spark, sf), 0.1, 0.03).select("k", F.round("level", 6).alias("level"))
 
 
 _SQUARES = """m as (select min(value) as lo from pixels), q as (select a.row, a.col, a.value as tl, b.value as tr, c.value as bl, d.value as br from pixels a

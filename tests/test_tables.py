@@ -98,7 +98,7 @@ def test_contours_close_and_join_across_blocks(spark):
     y, x = np.mgrid[0:20, 0:20]
     hill = 100 - ((x - 9.3) ** 2 + (y - 9.7) ** 2)
     g = R.Grid(20, 20, 3857, 1.0, 0.0, 0.0, 0.0, -1.0, 0.0)
-    lines = Z.contour(raster(spark, hill), g, 40.0, 0.0, block=4, limit=None).where("value = 40").collect()
+    lines = Z.contour(raster(spark, hill), g, 40.0, 0.0, block=4).where("value = 40").collect()
     assert len(lines) == 1
     path = lines[0].geom.parts[0].rings[0]
     assert path[0] == path[-1] and len(path) > 20

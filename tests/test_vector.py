@@ -174,3 +174,61 @@ def test_voronoi_cells_equal_brute_force(spark):
         assert abs(abs(np.dot(x, np.roll(y, -1)) - np.dot(np.roll(x, -1), y)) / 2 - r.a) < 1e-6
     with pytest.raises(ValueError):
         D.voronoi(df.select(G.point("x", F.lit(1.0)).alias("geom"), F.lit(3857).alias("srid")), srid=3857)
+
+
+def multipoint(*at):
+    return G.make("MultiPoint", F.array(*[G.part(F.array(G.xy(F.lit(float(x)), F.lit(float(y))))) for x, y in at]))
+
+
+def test_dissolve_points_and_lines(spark):
+    p = points(spark).withColumn("zone", F.when(F.col("point") == "s", "far").otherwise("near"))
+    one = O.dissolve(p.drop("point", "zone")).first()
+    assert one.geom.type == "MultiPoint" and len(one.geom.parts) == 4 and one.srid == 4326
+    by = {r.zone: r.geom for r in O.dissolve(p.select("zone", "geom"), "zone").collect()}
+    assert by["far"].type == "Point" and by["near"].type == "MultiPoint" and len(by["near"].parts) == 3
+    path = G.line(F.array(G.xy(F.lit(0.0), F.lit(0.0)), G.xy(F.lit(1.0), F.lit(1.0))))
+    lines = spark.range(2).select(path.alias("geom"), F.lit(4326).alias("srid"))
+    assert O.dissolve(lines).first().geom.type == "LineString"
+
+
+def test_clip_cuts_multipoints(spark):
+    rows = spark.createDataFrame([("in",), ("half",), ("out",)], "name string")
+    g = F.when(F.col("name") == "in", multipoint((0.1, 0.1), (0.2, 0.2))).when(F.col("name") == "half", multipoint((0.1, 0.1), (7, 7))).otherwise(multipoint((8, 8), (9, 9)))
+    out = O.clip_vector(rows.withColumns({"geom": g, "srid": F.lit(4326)}), squares(spark), "name")
+    assert {r.name: len(r.geom.parts) for r in out.collect()} == {"in": 2, "half": 1}
+
+
+def test_within_for_several_points(spark):
+    rows = spark.createDataFrame([("inside",), ("edge and inside",), ("edge",), ("outside",)], "name string")
+    g = (
+        F.when(F.col("name") == "inside", multipoint((0.1, 0.1), (0.2, 0.2))).when(F.col("name") == "edge and inside", multipoint((0, 0.1), (0.2, 0.2)))
+        .when(F.col("name") == "edge", multipoint((0, 0.1), (0, 0.2))).otherwise(multipoint((0.1, 0.1), (7, 7)))
+    )
+    df = rows.withColumns({"geom": g, "srid": F.lit(4326)})
+    assert names(O.select_by_location(df, squares(spark), "within", "name")) == ["edge and inside", "inside"]
+
+
+def test_buffer_keeps_rows_without_geometry(spark):
+    df = points(spark).withColumn("geom", F.when(F.col("point") != "q", F.col("geom")))
+    out = {r.point: r.geom for r in O.buffer(df, 0.1, "point", "degrees").collect()}
+    assert set(out) == {"p", "q", "r", "s"} and out["q"] is None and out["p"].type == "Polygon"
+
+
+def test_one_huge_box_does_not_make_the_join_quadratic(spark):
+    def boxes(prefix, huge):
+        i = F.col("id")
+        x, y = (i * 37 % 3600) / 10.0, (i * 53 % 1700) / 10.0
+        small = spark.range(400).select(i, x.alias("minx"), y.alias("miny"), (x + 0.05).alias("maxx"), (y + 0.05).alias("maxy"))
+        big = spark.range(1000, 1001).select(i, *(F.lit(float(v)).alias(c) for v, c in zip((0, 0, 360, 170), ("minx", "miny", "maxx", "maxy"))))
+        both = small.unionByName(big) if huge else small
+        return both.select([F.col(c).alias(prefix + c) for c in both.columns])
+
+    pairs = J.candidate_pairs(boxes("l_", True), boxes("r_", True))
+    want = boxes("l_", True).crossJoin(boxes("r_", True)).where("l_minx <= r_maxx and l_maxx >= r_minx and l_miny <= r_maxy and l_maxy >= r_miny")
+    found = sorted(map(tuple, pairs.select("l_id", "r_id").collect()))
+    assert found == sorted(map(tuple, want.select("l_id", "r_id").collect()))
+    plan = pairs.select("l_id", "r_id")
+    assert plan.count() == len(found) < 2000
+    # the rows that meet in a cell stay near the results: dropping the overlap test shows them
+    probed = J.candidate_pairs(boxes("l_", True), boxes("r_", False)).count() + J.candidate_pairs(boxes("l_", False), boxes("r_", True)).count()
+    assert probed <= 3 * len(found)
