@@ -124,6 +124,31 @@ def stretch_tiles(spark, sf):
     return e.select("vec_id", F.aggregate(T.stretch_band(F.col("v")), F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
 
 
+@query(
+    "normalised_channels",
+    """select vec_id, round(list_sum(list_transform(embedding, lambda v: (least(greatest(floor(v::double*40+128), 0), 255)/255.0::double - 0.456)/0.224)), 6) as total from embeddings""",
+)
+def normalised_channels(spark, sf):
+    e = L.table(spark, sf, "embeddings")
+    byte = F.transform(F.col("embedding").cast("array<double>"), lambda v: F.least(F.greatest(F.floor(v * 40 + 128), F.lit(0)), F.lit(255)))
+    return e.select("vec_id", F.round(F.aggregate(T.normalise(byte, 1), F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
+
+
+@query(
+    "read_windows",
+    """, r as (select s_suppkey, round_even((w+180)/0.36, 0)::bigint as c0, round_even((e-w)/0.36, 0)::bigint as wd,
+         round_even((85-n)/0.17, 0)::bigint as r0, round_even((n-s)/0.17, 0)::bigint as hg from boxes),
+       k as (select s_suppkey, greatest(c0, 0) as col, greatest(r0, 0) as row, least(c0+wd, 1000) as c1, least(r0+hg, 1000) as r1 from r)
+       select s_suppkey, col, row, c1-col as width, r1-row as height from k where c1 > col and r1 > row""",
+    base=(L.BOXES,),
+)
+def read_windows(spark, sf):
+    grid = R.Grid(1000, 1000, 4326, 0.36, 0.0, -180.0, 0.0, -0.17, 85.0)
+    b = G.with_bbox(L.boxes(spark, sf))
+    windows = b.select("s_suppkey", T.window_of(grid, *(F.col(c) for c in G.BBOX)).alias("w")).where("w is not null")
+    return windows.select("s_suppkey", "w.*")
+
+
 @query(
     "tile_rgb_not_blank",
     "select vec_id from embeddings where vec_id % 4 <> 0",
@@ -151,20 +176,20 @@ def score_tiles(spark, sf):
 
 @query(
     "decode_detections",
-    """, e as (select vec_id, list_transform(embedding[1:6], lambda v: v::double*10) as z, embedding[7]::double as cx, embedding[8]::double as cy from embeddings),
+    """, e as (select vec_id, list_transform(embedding[1:62], lambda v: v::double*10) as z, embedding[63]::double as cx, embedding[64]::double as cy from embeddings),
        s as (select vec_id, cx, cy, z, list_max(z) as m from e), t as (select *, list_transform(z, lambda v: exp(v-m)) as x from s),
        p as (select *, list_transform(x, lambda v: v/list_sum(x))[1:5] as p from t),
        b as (select *, list_max(p) as score, list_position(p, list_max(p)) - 1 as c from p)
        select vec_id, c::integer as class_id, ['car','N/A','ship','plane','tree'][c+1] as label, round(score, 6) as score, round(cx-0.1, 6) as x0, round(cy+0.15, 6) as y1
-       from b where score >= 0.4 and c in (0, 2, 3)""".replace(", e as", "with e as", 1),
+       from b where score >= 0.05 and c in (0, 2, 3)""".replace(", e as", "with e as", 1),
 )
 def decode_detections(spark, sf):
     v = F.col("embedding").cast("array<double>")
     raw = L.table(spark, sf, "embeddings").select(
-        "vec_id", F.transform(F.slice(v, 1, 6), lambda z: z * 10).alias("logits"), F.get(v, F.lit(6)).alias("cx"), F.get(v, F.lit(7)).alias("cy"),
+        "vec_id", F.transform(F.slice(v, 1, 62), lambda z: z * 10).alias("logits"), F.get(v, F.lit(62)).alias("cx"), F.get(v, F.lit(63)).alias("cy"),
         F.lit(0.2).alias("bw"), F.lit(0.3).alias("bh"),
     )
-    d = T.decode_detections(raw, ["car", "N/A", "ship", "plane", "tree"], 0.4, ["Car", "ship", "plane"], ["vec_id"], order="vec_id")
+    d = T.decode_detections(raw, ["car", "N/A", "ship", "plane", "tree"], 0.05, ["Car", "ship", "plane"], ["vec_id"], order="vec_id")
     return d.select("vec_id", "class_id", "label", F.round("score", 6).alias("score"), F.round("x0", 6).alias("x0"), F.round("y1", 6).alias("y1"))
 
 

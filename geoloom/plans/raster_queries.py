@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import geom as G
@@ -327,20 +329,21 @@ def combine_bounds(spark, sf):
 
 @query(
     "reproject_nearest",
-    """, c as (select (d//100)::integer as row, (d%100)::integer as col from range(12000) t(d))
+    """, c as (select (d//100)::integer as row, (d%100)::integer as col from (select unnest(range((ceil((max(row)+1)*0.25/0.333)*100)::bigint)) as d from pixels))
        select c.row as row, c.col as col, round(value, 6) as value from c left join pixels p
        on p.col = floor(((c.col+0.5)*3.51)/1.8) and p.row = floor((c.row+0.5)*0.333/0.25)""",
     base=(L.PIXELS,),
 )
 def reproject_nearest(spark, sf):
-    dst = R.Grid(100, 120, 4326, 3.51, 0.0, -180.0, 0.0, -0.333, 85.0)
-    px = R.reproject(L.pixels(spark, sf), emb_grid(spark, sf), dst)
+    src = emb_grid(spark, sf)
+    dst = R.Grid(100, math.ceil(src.height * 0.25 / 0.333), 4326, 3.51, 0.0, -180.0, 0.0, -0.333, 85.0)
+    px = R.reproject(L.pixels(spark, sf), src, dst)
     return px.select("row", "col", F.round("value", 6).alias("value"))
 
 
 @query(
     "reproject_bilinear",
-    """, c as (select (d//60)::integer as row, (d%60)::integer as col from range(3000) t(d)),
+    """, c as (select (d//138)::integer as row, (d%138)::integer as col from (select unnest(range((floor((max(row)+1-10.5)/1.7)*138)::bigint)) as d from pixels)),
        s as (select row, col, (col+0.5)*1.3+20.5-0.5 as fc, (row+0.5)*1.7+10.5-0.5 as fr from c),
        k as (select s.row as row, s.col as col, floor(fr)::bigint + dr as pr, floor(fc)::bigint + dc as pc,
          (case when dr=1 then fr-floor(fr) else 1-(fr-floor(fr)) end)*(case when dc=1 then fc-floor(fc) else 1-(fc-floor(fc)) end) as wt
@@ -351,7 +354,7 @@ def reproject_nearest(spark, sf):
 )
 def reproject_bilinear(spark, sf):
     g = emb_grid(spark, sf)
-    dst = R.Grid(60, 50, 4326, 1.8 * 1.3, 0.0, -180.0 + 20.5 * 1.8, 0.0, -0.25 * 1.7, 85.0 - 10.5 * 0.25)
+    dst = R.Grid(138, math.floor((g.height - 10.5) / 1.7), 4326, 1.8 * 1.3, 0.0, -180.0 + 20.5 * 1.8, 0.0, -0.25 * 1.7, 85.0 - 10.5 * 0.25)
     return R.reproject(L.pixels(spark, sf), g, dst, "bilinear").select("row", "col", F.round("value", 6).alias("value"))
 
 
