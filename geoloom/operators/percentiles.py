@@ -1,32 +1,39 @@
-"""Exact linear-interpolated percentiles, whole-table or per group, at any size.
+"""Exact linear-interpolated percentiles, whole-table or per group, by one method at any size.
 
-Spark's ``percentile`` keeps a value-to-count map per group, which one executor
-must hold.  That is the best plan while the biggest group is small, so the size is
-checked first.  Beyond the limit the two order statistics on either side of each
-wanted rank are found by histogram narrowing: every pass is one grouped count, and
-only the rows of the bucket that holds the rank go on to the next pass.
+Equal values of a group count as one weighted row.  These rows are sorted by group and value over all
+tasks (by range, so that a large group lies in many of them), running counts give each row its ranks, and
+the rows that hold a wanted rank are picked.  No group is ever gathered in one task, and nothing depends on
+the spread of the values.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import DIRECT_PERCENTILE_ROWS
-
-BUCKETS = 1024
-PASSES = 2
+from ..session import cut_lineage
 
 
 def percentile_names(ps) -> list[str]:
     return [f"p{i}" for i in range(len(ps))]
 
 
-def group_percentiles(
-    df: DataFrame, keys: list[str], value: str, ps: list[float], limit: int | None = None
-) -> DataFrame:
+def running_before(counted: DataFrame, order: list[str], weight: str, out: str) -> DataFrame:
+    """``counted`` with ``out``: the sum of ``weight`` over all rows that sort before it by ``order``.
+
+    The ranges are stored, so that the sums of whole ranges and the rows inside them agree.
+    """
+    n = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut_lineage(counted.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
+    sums = dealt.groupBy("_range").agg(F.sum(weight).alias("_all"))
+    # one row a range
+    base = sums.select("_range", (F.sum("_all").over(Window.orderBy("_range")) - F.col("_all")).alias("_base"))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn(out, F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+    return placed.join(base, "_range").withColumn(out, F.col(out) + F.col("_base")).drop("_range", "_base")
+
+
+def group_percentiles(df: DataFrame, keys: list[str], value: str, ps: list[float]) -> DataFrame:
     """One row per key with columns ``p0, p1, ...``, the percentiles ``ps`` (0..1) of ``value``.
 
     NULL and NaN values are left out; a group without values has no row.
@@ -34,74 +41,32 @@ def group_percentiles(
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(
         *keys, F.col(value).cast("double").alias("_v")
     )
-    limit = DIRECT_PERCENTILE_ROWS if limit is None else limit
-    largest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= limit:
-        ranked = rows.groupBy(*keys).agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in ps])).alias("_p"))
-        return ranked.where("_p is not null").select(
-            *keys, *[F.col("_p")[i].alias(n) for i, n in enumerate(percentile_names(ps))]
-        )
-    return _narrowed(rows, keys, ps)
-
-
-def _narrowed(rows: DataFrame, keys: list[str], ps: list[float]) -> DataFrame:
-    # equal values count as one weighted row from here on: copies cost nothing
     counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    extent = counts.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total")
-    )
-    ranks = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("p"),
-                F.lit(side).alias("side"),
-                (F.floor(F.lit(float(p)) * (F.col("_total") - 1)) + side).alias("rank"),
-            )
-            for i, p in enumerate(ps)
-            for side in (0, 1)
-        ]
-    )
-    wanted = extent.select(*keys, "_lo", "_hi", "_total", F.explode(ranks).alias("_w")).select(
-        *keys, "_lo", "_hi", "_total",
-        F.col("_w.p").alias("_p"), F.col("_w.side").alias("_side"),
-        F.least(F.col("_w.rank"), F.col("_total") - 1).alias("_rank"),
-    )
-    on = [*keys, "_p", "_side"]
-    # each wanted order statistic follows its own shrinking slice of the values
-    live = _join(counts, wanted, keys)
-    for _ in range(PASSES):
-        width = (F.col("_hi") - F.col("_lo")) / BUCKETS
-        bucket = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(BUCKETS - 1))).otherwise(0)
-        live = live.withColumn("_b", bucket)
-        hist = live.groupBy(*on, "_rank", "_b").agg(
-            F.sum("_n").alias("_bn"), F.min("_v").alias("_blo"), F.max("_v").alias("_bhi")
-        )
-        upto = Window.partitionBy(*on).orderBy("_b")
-        hist = hist.withColumn("_before", F.sum("_bn").over(upto) - F.col("_bn"))
-        hit = hist.where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_bn")))
-        hit = hit.select(
-            *on, "_b", (F.col("_rank") - F.col("_before")).alias("_r2"), F.col("_blo").alias("_lo2"), F.col("_bhi").alias("_hi2")
-        )
-        live = live.join(hit, [*on, "_b"]).select(
-            *on, "_v", "_n", F.col("_r2").alias("_rank"), F.col("_lo2").alias("_lo"), F.col("_hi2").alias("_hi"), "_total"
-        )
-    upto = Window.partitionBy(*on).orderBy("_v")
-    live = live.withColumn("_before", F.sum("_n").over(upto) - F.col("_n"))
-    found = live.where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_n")))
-    per_p = []
-    for i, p in enumerate(ps):
-        exact = F.lit(float(p)) * (F.first("_total") - 1)
-        low = F.max(F.when((F.col("_p") == i) & (F.col("_side") == 0), F.col("_v")))
-        high = F.max(F.when((F.col("_p") == i) & (F.col("_side") == 1), F.col("_v")))
-        per_p.append((low + (high - low) * (exact - F.floor(exact))).alias(f"p{i}"))
-    return found.groupBy(*keys).agg(*per_p)
+    placed = running_before(counts, [*keys, "_v"], "_n", "_before")
+    extent = placed.groupBy(*keys).agg(F.min("_before").alias("_first"), F.sum("_n").alias("_total"))
+    if keys:
+        extent = extent.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+        both = placed.join(extent, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    else:
+        both = placed.withColumn("_e", extent.select(F.struct("_first", "_total")).scalar()).select("_v", "_n", "_before", "_e.*")
+    start = F.col("_before") - F.col("_first")
 
+    def holds(rank):
+        return (rank >= start) & (rank < start + F.col("_n"))
 
-def _join(counts: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    if keys:
-        return counts.join(wanted, keys)
-    # no key: attach the few wanted ranks to every row as one literal-sized array
-    packed = wanted.agg(F.collect_list(F.struct(*wanted.columns)).alias("a"))
-    return counts.withColumn("_w", F.explode(packed.scalar())).select(
-        "_v", "_n", *[F.col(f"_w.{c}").alias(c) for c in wanted.columns]
+    wanted = [F.lit(float(p)) * (F.col("_total") - 1) for p in ps]
+    lows = [F.floor(w) for w in wanted]
+    highs = [F.least(low + 1, F.col("_total") - 1) for low in lows]
+    any_rank = F.lit(False)
+    for rank in (*lows, *highs):
+        any_rank = any_rank | holds(rank)
+    picked = both.where(any_rank).select(
+        *keys, *[w.alias(f"_w{i}") for i, w in enumerate(wanted)],
+        *[F.when(holds(r), F.col("_v")).alias(f"_{side}{i}") for side, rs in (("l", lows), ("h", highs)) for i, r in enumerate(rs)],
     )
+    out = []
+    for i, name in enumerate(percentile_names(ps)):
+        low, high, rank = F.max(f"_l{i}"), F.max(f"_h{i}"), F.max(f"_w{i}")
+        out.append((low + (high - low) * (rank - F.floor(rank))).alias(name))
+    grouped = picked.groupBy(*keys).agg(*out)
+    return grouped if keys else grouped.where("p0 is not null")

@@ -68,9 +68,9 @@ def test_narrowed_percentiles_equal_numpy(spark):
     values = np.concatenate([rng.normal(size=500), np.full(400, 0.25), rng.random(100) * 1e6])
     df = spark.createDataFrame([(int(i % 2), float(v)) for i, v in enumerate(values)], "k int, v double")
     ps = [0.0, 0.02, 0.5, 0.98, 1.0]
-    whole = Q.group_percentiles(df, [], "v", ps, limit=10).first()
+    whole = Q.group_percentiles(df, [], "v", ps).first()
     assert list(whole) == pytest.approx(list(np.quantile(values, ps)))
-    for row in Q.group_percentiles(df, ["k"], "v", ps, limit=10).collect():
+    for row in Q.group_percentiles(df, ["k"], "v", ps).collect():
         assert list(row)[1:] == pytest.approx(list(np.quantile(values[row.k :: 2], ps)))
 
 
