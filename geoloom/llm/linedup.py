@@ -113,8 +113,9 @@ def later_copies(found: DataFrame, min_words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([row.column(0).take(take), row.column(1).take(take), pa.array(np.arange(len(h)), pa.int32()), pa.array(h), pa.array([lengths.get(p, []) for p in range(len(h))], pa.list_(pa.int32()))], ["k", "g", "p", "s", "lengths"])
 
     every = found.mapInArrow(explode, f"k {kind}, g long, p int, s long, lengths array<int>")
-    again = every.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    symbols = cut_lineage(every.join(again.select("s"), "s"))
+    # stored before it is joined back, so that Spark deals both sides anew and can split a hot symbol
+    again = cut_lineage(every.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("s"))
+    symbols = cut_lineage(every.join(again, "s"))
     ranks = suffix_ranks(symbols.select("k", "g", "p", "s"), (min_words - 1).bit_length())
     runs = symbols.select("k", "g", "p", F.explode("lengths").alias("length"))
     levelled = None
@@ -127,7 +128,7 @@ def later_copies(found: DataFrame, min_words: int) -> DataFrame:
         levelled = named if levelled is None else levelled.unionByName(named)
     levelled = cut_lineage(levelled)
     interval = levelled.groupBy("length", "r1", "r2").agg(F.min(F.struct("k", "g", "p")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return levelled.join(interval, ["length", "r1", "r2"]).where(F.struct("k", "g", "p") > F.col("first")).select("k", "g", "p", "length")
+    return levelled.join(cut_lineage(interval), ["length", "r1", "r2"]).where(F.struct("k", "g", "p") > F.col("first")).select("k", "g", "p", "length")
 
 
 def marked(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
