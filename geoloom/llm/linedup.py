@@ -102,17 +102,22 @@ def later_copies(found: DataFrame, min_words: int) -> DataFrame:
 
     def explode(batches):
         for batch in batches:
-            for at in range(len(batch)):
-                row = batch.slice(at, 1)
-                h = np.frombuffer(row.column(2)[0].as_py(), np.int64)
-                w = np.frombuffer(row.column(3)[0].as_py(), "<u4").astype(np.int64)
-                lengths: dict[int, list[int]] = {}
-                for p, n in shortest_runs(w, min_words):
-                    lengths.setdefault(p, []).append(n)
-                take = pa.array(np.zeros(len(h), np.int64))
-                yield pa.RecordBatch.from_arrays([row.column(0).take(take), row.column(1).take(take), pa.array(np.arange(len(h)), pa.int32()), pa.array(h), pa.array([lengths.get(p, []) for p in range(len(h))], pa.list_(pa.int32()))], ["k", "g", "p", "s", "lengths"])
-
-    every = found.mapInArrow(explode, f"k {kind}, g long, p int, s long, lengths array<int>")
+            hashes = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(2)]
+            words = [np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in batch.column(3)]
+            n = np.array([len(h) for h in hashes])
+            begin = np.cumsum(n) - n
+            starts, lengths = [], []
+            for at, w in zip(begin.tolist(), words):
+                for p, length in shortest_runs(w, min_words):
+                    starts.append(at + p)
+                    lengths.append(length)
+            offsets = np.searchsorted(np.array(starts, np.int64), np.arange(n.sum() + 1))
+            take = pa.array(np.repeat(np.arange(len(n)), n))
+            runs = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(lengths, pa.int32()))
+            place = np.arange(n.sum()) - np.repeat(begin, n)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(place, pa.int32()), pa.array(np.concatenate([*hashes, np.zeros(0, np.int64)])), runs], ["k", "g", "p", "s", "lengths"])
+
+    every = cut_lineage(found.mapInArrow(explode, f"k {kind}, g long, p int, s long, lengths array<int>"))
     # stored before it is joined back, so that Spark deals both sides anew and can split a hot symbol
     again = cut_lineage(every.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("s"))
     symbols = cut_lineage(every.join(again, "s"))
