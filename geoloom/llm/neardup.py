@@ -155,7 +155,8 @@ def candidates(reps: DataFrame) -> DataFrame:
     keys = F.array(*(F.xxhash64(F.lit(i), F.substring("sketch", 1 + 2 * ROWS * i, 2 * ROWS)) for i in range(BANDS)))
     bands = reps.select("rep", F.explode(keys).alias("band"))
     sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = cut_lineage(bands.join(sizes, "band"))
+    # stored before they are joined back, so that Spark deals both sides anew and can split a hot band
+    members = cut_lineage(bands.join(cut_lineage(sizes), "band"))
     degree = members.groupBy("rep").agg(F.sum("n").alias("degree"))
     parts = F.ceil(F.col("n") / PART_ROWS).cast("int")
     # the central members of a large band are those whose bands are largest; few of each task travel
@@ -249,7 +250,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     reps = cut_lineage(reps)
     pairs = cut_lineage(candidates(reps.select("rep", "sketch").dropDuplicates(["rep"])))
     links = cut_lineage(verified(docs, pairs, reps, key, text, threshold))
-    classes = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    classes = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), hubs=True)
     named = reps.join(classes, reps.rep == classes.node, "left").select("digest", F.coalesce("component", "rep").alias("class"))
     out = found.select("k", "digest").join(named, "digest", "left").select("k", F.coalesce("class", "k").alias("class_id"))
     return out.select(F.col("k").alias(key), "class_id", F.coalesce(F.col("k") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"))
