@@ -124,7 +124,8 @@ def plan_records(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     base = pages.select(F.col(key).alias("k"), F.col(url).cast("string").alias("u"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("t"))
     light = base.where(F.octet_length("t") >= least).select("k", F.sha2("t", 256).alias("digest"))
     first = light.groupBy("digest").agg(F.min("k").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers_to is not null")
-    again = light.join(first.drop("n"), "digest").where("k is null or k > refers_to").distinct()
+    # stored before it is joined back, so that Spark deals both sides anew and can split a hot digest
+    again = light.join(cut_lineage(first.drop("n")), "digest").where("k is null or k > refers_to").distinct()
     packed = squeezed(base.withColumn("digest", F.sha2("t", 256)), "t")
     same = packed.k.eqNullSafe(again.k) & (packed.digest == again.digest)
     return packed.join(again, same, "left").select(packed.k, packed.u, packed.t, packed.digest, "refers_to").sortWithinPartitions("k", "digest")
