@@ -13,7 +13,10 @@ of equal registers estimates the probability Jaccard similarity of two texts.
    band's most central members, so a group of near copies of one text meets that text in every part.
 3. Each candidate pair is verified on the shingles themselves: it is a link when the Jaccard or the
    probability Jaccard similarity reaches the threshold.
-4. Links give connected components; a class is named by its least document id.
+4. Links give connected components.  These are what the forest could see early; every other pair of a band that
+   may be similar and whose ends lie in different components is verified then, the best few of two components
+   first, so that the rest of them can be skipped once they are one.
+5. A class is a component, named by its least document id.
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ PART_ROWS, CENTRAL = 512, 16
 #: Estimates below this do not become candidates: five standard deviations under the threshold.
 LEAST_ESTIMATE = 0.62
 NEIGHBOURS = 3
+#: Pairs of two components that are verified before all the others of the two.
+EARLY = 8
 
 _U = np.uint64
 
@@ -148,15 +153,19 @@ def _grouped(batches, columns: int):
         yield rows
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """Distinct ``a, b`` (a < b) of ``reps(rep, sketch)`` that share a band and may be similar."""
-    spark = reps.sparkSession
-    kind = reps.schema["rep"].dataType.simpleString()
+def band_members(reps: DataFrame) -> DataFrame:
+    """``band, rep, n`` for the bands of ``reps(rep, sketch)`` that have more than one member."""
     keys = F.array(*(F.xxhash64(F.lit(i), F.substring("sketch", 1 + 2 * ROWS * i, 2 * ROWS)) for i in range(BANDS)))
     bands = reps.select("rep", F.explode(keys).alias("band"))
     sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # stored before they are joined back, so that Spark deals both sides anew and can split a hot band
-    members = cut_lineage(bands.join(cut_lineage(sizes), "band"))
+    return cut_lineage(bands.join(cut_lineage(sizes), "band"))
+
+
+def candidates(reps: DataFrame, members: DataFrame) -> DataFrame:
+    """Distinct ``a, b`` (a < b) of ``reps(rep, sketch)`` that share a band, and may be similar, to begin with."""
+    spark = reps.sparkSession
+    kind = reps.schema["rep"].dataType.simpleString()
     degree = members.groupBy("rep").agg(F.sum("n").alias("degree"))
     parts = F.ceil(F.col("n") / PART_ROWS).cast("int")
     # the central members of a large band are those whose bands are largest; few of each task travel
@@ -187,6 +196,35 @@ def candidates(reps: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
+def cross_pairs(reps: DataFrame, members: DataFrame, named: DataFrame) -> DataFrame:
+    """Distinct ``a, b, estimate`` (a < b): all that meet in a part of a band, may be similar, and lie in
+    different components of ``named(rep, c)``."""
+    spark = reps.sparkSession
+    kind = reps.schema["rep"].dataType.simpleString()
+    own = cut_lineage(members.select("band", "rep").join(named, "rep"))
+    bands = own.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high"))
+    dealt = own.join(cut_lineage(bands.where("low <> high").select("band", "n")), "band")
+    part = F.pmod(F.xxhash64("band", "rep"), F.ceil(F.col("n") / PART_ROWS).cast("int")).cast("int")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = dealt.select("band", part.alias("part"), "rep", "c").join(reps, "rep")
+    rows = rows.select("band", "part", "rep", "c", "sketch").repartition(n, "band", "part").sortWithinPartitions("band", "part", "rep")
+
+    def run(batches):
+        for group in _grouped(batches, 2):
+            names, c, x = zip(*group)
+            x = np.frombuffer(b"".join(x), "<u2").reshape(len(names), -1)
+            c = np.unique(c, return_inverse=True)[1]
+            names = pa.array(names)
+            for i in range(len(c) - 1):
+                j = i + 1 + np.flatnonzero(c[i + 1 :] != c[i])
+                like = (x[j] == x[i]).mean(1)
+                j, like = j[like >= LEAST_ESTIMATE], like[like >= LEAST_ESTIMATE]
+                if len(j):
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(np.full(len(j), i))), names.take(pa.array(j)), pa.array(like)], ["a", "b", "estimate"])
+
+    return rows.mapInArrow(run, f"a {kind}, b {kind}, estimate double").distinct()
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """The larger of the Jaccard and the probability Jaccard similarity of two (hashes, weights)."""
     both, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -205,10 +243,11 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return max(plain, float((1 / (above[at] / x[i] + below[at] / y[i])).sum()))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
-    """The ``pairs`` that are links."""
+def shingle_sets(docs: DataFrame, pairs: DataFrame, reps: DataFrame, key: str, text: str, had: DataFrame | None = None) -> DataFrame:
+    """``rep, hashes, counts`` for the ends of the ``pairs``, without those that ``had`` has."""
     kind = reps.schema["rep"].dataType.simpleString()
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(reps.select("rep", "digest"), "rep")
+    nodes = nodes if had is None else nodes.join(had.select("rep"), "rep", "left_anti")
     base = docs.select(F.col(key).alias("rep"), F.col(text).cast("string").alias("t")).where(F.col("rep").isNotNull() & F.col("t").isNotNull())
 
     def block(rows, texts):
@@ -219,7 +258,12 @@ def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, key: str, text:
         return pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(good, pa.int64())), *(pa.array(s, pa.binary()) for s in sets)], ["rep", "hashes", "counts"])
 
     packed = K.squeezed(base, "t").join(nodes, "rep").select("rep", "digest", "t")
-    sets = cut_lineage(K.arrow_map_squeezed(packed, block, f"rep {kind}, hashes binary, counts binary", "t").dropDuplicates(["rep"]))
+    return cut_lineage(K.arrow_map_squeezed(packed, block, f"rep {kind}, hashes binary, counts binary", "t").dropDuplicates(["rep"]))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The ``pairs`` that are links."""
+    kind = sets.schema["rep"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
@@ -236,6 +280,37 @@ def verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, key: str, text:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ha", "ca", "hb", "cb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def components(docs: DataFrame, reps: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
+    """``rep, c`` for every one of ``reps(rep, digest, sketch)``: the component of its links, by its least member."""
+    # an id that names several texts stands for the first of them; the others' links run through it
+    one = cut_lineage(reps.drop("digest").dropDuplicates(["rep"]))
+    members = band_members(one)
+    pairs = cut_lineage(candidates(one, members))
+    sets = shingle_sets(docs, pairs, reps, key, text)
+    links = cut_lineage(verified(pairs, sets, threshold))
+    classes = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), hubs=True)
+    named = cut_lineage(one.select("rep").join(classes, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("c")))
+    cross = cut_lineage(cross_pairs(one, members, named).join(pairs, ["a", "b"], "left_anti"))
+    if cross.isEmpty():
+        return named
+    sets = sets.unionByName(shingle_sets(docs, cross, reps, key, text, sets))
+    for most in (EARLY, None):
+        ends = [named.select(F.col("rep").alias(x), F.col("c").alias(f"c{x}")) for x in "ab"]
+        left = cross.join(ends[0], "a").join(ends[1], "b").where("ca <> cb")
+        if most:
+            place = F.row_number().over(W.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy(F.desc("estimate"), "a", "b"))
+            left = left.withColumn("place", place).where(F.col("place") <= most)
+        left = cut_lineage(left.select("a", "b", "ca", "cb"))
+        if left.isEmpty():
+            break
+        links = cut_lineage(verified(left.select("a", "b"), sets, threshold).join(left, ["a", "b"]))
+        cross = cross.join(left, ["a", "b"], "left_anti")
+        if not links.isEmpty():
+            joined = cut_lineage(connected_components(links.select(F.col("ca").alias("src"), F.col("cb").alias("dst")), hubs=True))
+            named = cut_lineage(named.join(joined, F.col("c") == F.col("node"), "left").select("rep", F.coalesce("component", "c").alias("c")))
+    return named
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``key, class_id, kept`` for every row; of each class the row with the least id is kept.
 
@@ -246,12 +321,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     """
     found = cut_lineage(sketches(docs, key, text))
     reps = found.where("digest is not null and k is not null").groupBy("digest").agg(F.min("k").alias("rep"), F.first("sketch").alias("sketch"))
-    # an id that names several texts stands for the first of them; the others' links run through it
     reps = cut_lineage(reps)
-    pairs = cut_lineage(candidates(reps.select("rep", "sketch").dropDuplicates(["rep"])))
-    links = cut_lineage(verified(docs, pairs, reps, key, text, threshold))
-    classes = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), hubs=True)
-    named = reps.join(classes, reps.rep == classes.node, "left").select("digest", F.coalesce("component", "rep").alias("class"))
+    named = components(docs, reps, key, text, threshold)
+    named = reps.join(named, "rep").select("digest", F.col("c").alias("class"))
     out = found.select("k", "digest").join(named, "digest", "left").select("k", F.coalesce("class", "k").alias("class_id"))
     return out.select(F.col("k").alias(key), "class_id", F.coalesce(F.col("k") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"))
 

@@ -70,6 +70,20 @@ def test_large_bands_are_cut_in_parts(spark, monkeypatch):
     assert {r.class_id for r in out} == {0}
 
 
+def grown(text, more, seed):
+    """``text`` with ``more`` words of its own at its end."""
+    return text + "".join(f" own{seed}x{i}" for i in range(more))
+
+
+def test_one_link_among_many_pairs_below_it(spark):
+    base = prose(14, 420)
+    rows = [(i, grown(base, 10, f"a{i}")) for i in range(30)]
+    rows += [(30 + i, grown(grown(base, 10, f"b{i}" if i else "a0"), 100, "s14b")) for i in range(30)]  # 0 and 30: 0.83, the others 0.79
+    want = classes(rows)
+    assert set(want.values()) == {0}
+    assert {r.doc_id: r.class_id for r in neardup.near_duplicates(documents(spark, rows)).collect()} == want
+
+
 def test_registers_estimate_probability_jaccard():
     r = np.random.default_rng(3)
     a = {int(h): w for h, w in zip(r.integers(1, 2**62, 300), r.uniform(0.5, 3, 300))}
