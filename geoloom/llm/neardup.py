@@ -13,8 +13,8 @@ of equal registers estimates the probability Jaccard similarity of two texts.
    band's most central members, so a group of near copies of one text meets that text in every part.
 3. Each candidate pair is verified on the shingles themselves: it is a link when the Jaccard or the
    probability Jaccard similarity reaches the threshold.
-4. Links give connected components.  These are what the forest could see early; every other pair of a band that
-   may be similar and whose ends lie in different components is verified then, the best few of two components
+4. Links give connected components.  These are what the forest could see early; every other pair of a band,
+   whatever its parts, that may be similar and whose ends lie in different components is verified then, the best few of two components
    first, so that the rest of them can be skipped once they are one.
 5. A class is a component, named by its least document id.
 """
@@ -42,6 +42,8 @@ PART_ROWS, CENTRAL = 512, 16
 #: Estimates below this do not become candidates: five standard deviations under the threshold.
 LEAST_ESTIMATE = 0.62
 NEIGHBOURS = 3
+#: Members on each side of what is compared at once after that; larger bands take several such blocks.
+BLOCK_ROWS = 1024
 #: Pairs of two components that are verified before all the others of the two.
 EARLY = 8
 
@@ -197,30 +199,44 @@ def candidates(reps: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def cross_pairs(reps: DataFrame, members: DataFrame, named: DataFrame) -> DataFrame:
-    """Distinct ``a, b, estimate`` (a < b): all that meet in a part of a band, may be similar, and lie in
-    different components of ``named(rep, c)``."""
+    """Distinct ``a, b, estimate`` (a < b): all that share a band, may be similar, and lie in different
+    components of ``named(rep, c)``.
+
+    A band of more than ``BLOCK_ROWS`` members is compared part against part.  Its most frequent component is
+    dealt apart from the others: there is nothing to compare inside it.
+    """
     spark = reps.sparkSession
     kind = reps.schema["rep"].dataType.simpleString()
     own = cut_lineage(members.select("band", "rep").join(named, "rep"))
-    bands = own.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high"))
-    dealt = own.join(cut_lineage(bands.where("low <> high").select("band", "n")), "band")
-    part = F.pmod(F.xxhash64("band", "rep"), F.ceil(F.col("n") / PART_ROWS).cast("int")).cast("int")
+    parts = own.groupBy("band", "c").agg(F.count(F.lit(1)).alias("n"))
+    bands = parts.groupBy("band").agg(F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("most"))
+    bands = bands.where("n > most.n").select("band", "n", F.col("most.c").alias("main"), F.col("most.n").alias("mains"))
+    blocks = F.ceil((F.col("n") - F.col("mains")) / BLOCK_ROWS).cast("int")
+    bands = bands.withColumn("whole", F.col("n") <= BLOCK_ROWS)
+    bands = bands.withColumn("p", F.when(F.col("whole"), 1).otherwise(blocks)).withColumn("q", F.when(F.col("whole"), 0).otherwise(F.ceil(F.col("mains") / BLOCK_ROWS).cast("int")))
+    dealt = own.join(cut_lineage(bands), "band").withColumn("inside", ~F.col("whole") & (F.col("c") == F.col("main")))
+    hashed = F.xxhash64("band", "rep")
+    dealt = dealt.withColumn("part", F.when(F.col("inside"), F.col("p") + F.pmod(hashed, F.greatest("q", F.lit(1)))).otherwise(F.pmod(hashed, F.col("p"))).cast("int"))
+    last = F.when(F.col("inside"), F.col("p") - 1).otherwise(F.col("p") + F.col("q") - 1)
+    dealt = dealt.select("band", "part", "rep", "c", F.explode(F.sequence(F.lit(0), last)).alias("other"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = dealt.select("band", part.alias("part"), "rep", "c").join(reps, "rep")
-    rows = rows.select("band", "part", "rep", "c", "sketch").repartition(n, "band", "part").sortWithinPartitions("band", "part", "rep")
+    rows = dealt.select("band", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "rep", "c").join(reps, "rep")
+    rows = rows.select("band", "lo", "hi", "part", "rep", "c", "sketch").repartition(n, "band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "rep")
 
     def run(batches):
-        for group in _grouped(batches, 2):
-            names, c, x = zip(*group)
+        for group in _grouped(batches, 3):
+            part, names, c, x = zip(*group)
             x = np.frombuffer(b"".join(x), "<u2").reshape(len(names), -1)
-            c = np.unique(c, return_inverse=True)[1]
-            names = pa.array(names)
-            for i in range(len(c) - 1):
-                j = i + 1 + np.flatnonzero(c[i + 1 :] != c[i])
+            c, part, names = np.unique(c, return_inverse=True)[1], np.array(part), pa.array(names)
+            inner = part[0] == part.max() == part.min()
+            there = np.flatnonzero(part == part.max())
+            for i in (there if inner else np.flatnonzero(part != part.max())).tolist():
+                j = there[(c[there] != c[i]) & (there > i)] if inner else there[c[there] != c[i]]
                 like = (x[j] == x[i]).mean(1)
                 j, like = j[like >= LEAST_ESTIMATE], like[like >= LEAST_ESTIMATE]
                 if len(j):
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(np.full(len(j), i))), names.take(pa.array(j)), pa.array(like)], ["a", "b", "estimate"])
+                    low, high = np.minimum(i, j), np.maximum(i, j)  # rows are in order of their names
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(low)), names.take(pa.array(high)), pa.array(like)], ["a", "b", "estimate"])
 
     return rows.mapInArrow(run, f"a {kind}, b {kind}, estimate double").distinct()
 

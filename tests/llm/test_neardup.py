@@ -84,6 +84,20 @@ def test_one_link_among_many_pairs_below_it(spark):
     assert {r.doc_id: r.class_id for r in neardup.near_duplicates(documents(spark, rows)).collect()} == want
 
 
+def test_links_across_parts_of_a_band(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "PART_ROWS", 2)
+    monkeypatch.setattr(neardup, "CENTRAL", 0)
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 4, raising=False)
+    base = prose(92, 420)
+    rows = [(i, grown(base, 60, f"t{i}")) for i in range(60)]  # a template that does not itself occur: 0.78
+    rows += [(100 + i, grown(grown(base, 9, f"l{i % 15}"), 51, f"u{i}")) for i in range(30)]  # pairs of the same i % 15: 0.81
+    big = grown(base, 60, "big")
+    rows += [(200 + i, edited(big, 140, i)) for i in range(20)]  # one large component
+    want = classes(rows)
+    assert 20 < len(set(want.values())) < 90
+    assert {r.doc_id: r.class_id for r in neardup.near_duplicates(documents(spark, rows)).collect()} == want
+
+
 def test_registers_estimate_probability_jaccard():
     r = np.random.default_rng(3)
     a = {int(h): w for h, w in zip(r.integers(1, 2**62, 300), r.uniform(0.5, 3, 300))}
