@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, licenses, linedup, neardup, packing, pages, quality, tokens, topk, warc
+from ..session import cut_lineage
+from . import chunks, dialogue, licenses, linedup, merkle, neardup, packing, pages, quality, tokens, topk, vectors, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -103,3 +104,79 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without later copies of repeated line runs, as spans and a digest of what stays."""
     out = linedup.dedup_lines(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_deleted_lines", "n_deleted_words", "spans", F.sha2("clean_text", 256).alias("clean_sha256"))
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proof of every document, folded again after some documents have been tampered with."""
+    docs = read(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(F.col("text"))
+    return merkle.audit(merkle.manifest(docs, now={"text": tampered}))
+
+
+#: The bits of CRC-32 over the decimal digits of an id, and the tree level by level, up to the root.
+_CRC = """list_reduce(list_prepend(4294967295::bigint, [ascii(c)::bigint for c in string_split(doc_id::varchar, '')]), lambda a, b:
+  list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))"""
+
+
+def _field(c: str) -> str:
+    return f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')"
+
+
+def _fields(text: str) -> str:
+    return " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", text))
+
+
+_STEP = """
+  select w.k, w.g, w.lev + 1 lev, w.i // 8 i, w.s || coalesce(string_agg(t.h, '' order by t.i) filter (t.i <> w.i), '') s,
+    sha256(coalesce(string_agg(t.h, '' order by t.i) filter (t.i < w.i), '') || w.f || coalesce(string_agg(t.h, '' order by t.i) filter (t.i > w.i), '')) f
+  from {walk} w join {tree} t on t.g = w.g and t.lev = w.lev and t.i // 8 = w.i // 8 and t.n > 1
+  group by w.k, w.g, w.lev, w.i, w.s, w.f
+"""
+ORACLES["op11_merkle_manifest"] = f"""
+with recursive d as (select *, 4294967295 - {_CRC} crc, row_number() over () k from documents),
+leaf as (select k, doc_id, coalesce('v' || lang, '') g, sha256({_fields("text")}) h,
+  sha256({_fields("(case when crc % 3 = 0 then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end)")}) f from d),
+low as (select *, row_number() over (partition by g order by doc_id nulls first, h) - 1 i, count(*) over (partition by g) n from leaf),
+tree as (select g, 0 lev, i, h, n from low union all
+  select g, lev + 1, i // 8, sha256(string_agg(h, '' order by i)), (n + 7) // 8 from tree where n > 1 group by g, lev, i // 8, n),
+subroot as (select g, h, row_number() over (order by g) - 1 i, count(*) over () n from tree where n = 1),
+top as (select 0 g, 0 lev, i, h, n from subroot union all
+  select g, lev + 1, i // 8, sha256(string_agg(h, '' order by i)), (n + 7) // 8 from top where n > 1 group by g, lev, i // 8, n),
+walk as (select k, g, 0 lev, i, '' s, f from low union all {_STEP.format(walk="walk", tree="tree")}),
+done as (select k, arg_max(s, lev) s, arg_max(f, lev) f from walk group by k),
+climb as (select done.k, 0 g, 0 lev, subroot.i, s, done.f from done join low using (k) join subroot using (g) union all {_STEP.format(walk="climb", tree="top")}),
+ended as (select k, arg_max(s, lev) s, arg_max(f, lev) f from climb group by k),
+root as (select h root from top where n = 1)
+select doc_id, leaf.h leaf, subroot.h subroot, root, sha256(s) proof_sha256, ended.f folded_root, ended.f = root verified
+from leaf join subroot using (g) join ended using (k), root
+"""
+
+
+@query
+def op12_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations, their faults, and the cheapest repair of each."""
+    every = read(spark, sf_dir, "conversations")
+    rows = dialogue.damaged(every)
+    found = cut_lineage(dialogue.repair(rows))
+    found = found.join(dialogue.repaired_digests(rows, found).withColumnRenamed("conv_id", "conv"), F.col("conv_id").eqNullSafe(F.col("conv"))).drop("conv").withColumnRenamed("conv_id", "conv")
+    out = every.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+@query
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector, by cosine within its label."""
+    return vectors.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op13_near_vectors"] = """
+with recursive v as (select vec_id, label, embedding::double[] e from embeddings),
+good as (select vec_id, label, [x / sqrt(list_sum([y * y for y in e])) for x in e] u from v
+  where label is not null and e is not null and len([x for x in e if x is null or not isfinite(x)]) = 0 and len([x for x in e if x <> 0]) > 0),
+link as (select a.vec_id a, b.vec_id b from good a join good b on a.label = b.label and a.vec_id <> b.vec_id and list_dot_product(a.u, b.u) >= 0.93),
+reach as (select vec_id, vec_id other from v union select reach.vec_id, link.b from reach join link on link.a = reach.other),
+least as (select vec_id, min(other) component_id from reach group by 1)
+select vec_id, (select count(*) from link where a = vec_id)::bigint n_links, component_id, vec_id = component_id kept from least
+"""
