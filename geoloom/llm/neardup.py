@@ -13,9 +13,10 @@ of equal registers estimates the probability Jaccard similarity of two texts.
    band's most central members, so a group of near copies of one text meets that text in every part.
 3. Each candidate pair is verified on the shingles themselves: it is a link when the Jaccard or the
    probability Jaccard similarity reaches the threshold.
-4. Links give connected components.  These are what the forest could see early; every other pair of a band,
-   whatever its parts, that may be similar and whose ends lie in different components is verified then, the best few of two components
-   first, so that the rest of them can be skipped once they are one.
+4. Links give connected components.  These are what the forest could see early.  The members of every band
+   that still holds several of them are then compared whole, block against block, with their shingles at
+   hand: a pair is verified where it meets first, unless its ends have been joined before, and what leaves a
+   block is at most one link for each component in it.
 5. A class is a component, named by its least document id.
 """
 
@@ -44,8 +45,6 @@ LEAST_ESTIMATE = 0.62
 NEIGHBOURS = 3
 #: Members on each side of what is compared at once after that; larger bands take several such blocks.
 BLOCK_ROWS = 1024
-#: Pairs of two components that are verified before all the others of the two.
-EARLY = 8
 
 _U = np.uint64
 
@@ -141,24 +140,24 @@ def candidate_pairs(x: np.ndarray) -> set[tuple[int, int]]:
     return out
 
 
-def _grouped(batches, columns: int):
-    """Runs of rows with equal values in the first ``columns`` columns, as lists of the other columns."""
+def _grouped(batches, columns: int, named: bool = False):
+    """Runs of rows with equal values in the first ``columns`` columns, as lists of the other columns; with those values if ``named``."""
     name, rows = None, []
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             if row[:columns] != name:
                 if rows:
-                    yield rows
+                    yield (name, rows) if named else rows
                 name, rows = row[:columns], []
             rows.append(row[columns:])
     if rows:
-        yield rows
+        yield (name, rows) if named else rows
 
 
 def band_members(reps: DataFrame) -> DataFrame:
-    """``band, rep, n`` for the bands of ``reps(rep, sketch)`` that have more than one member."""
+    """``rep, number, band, n`` for the bands of ``reps(rep, sketch)`` that have more than one member."""
     keys = F.array(*(F.xxhash64(F.lit(i), F.substring("sketch", 1 + 2 * ROWS * i, 2 * ROWS)) for i in range(BANDS)))
-    bands = reps.select("rep", F.explode(keys).alias("band"))
+    bands = reps.select("rep", F.posexplode(keys).alias("number", "band"))
     sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # stored before they are joined back, so that Spark deals both sides anew and can split a hot band
     return cut_lineage(bands.join(cut_lineage(sizes), "band"))
@@ -198,16 +197,13 @@ def candidates(reps: DataFrame, members: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
-def cross_pairs(reps: DataFrame, members: DataFrame, named: DataFrame) -> DataFrame:
-    """Distinct ``a, b, estimate`` (a < b): all that share a band, may be similar, and lie in different
-    components of ``named(rep, c)``.
+def cross_members(members: DataFrame, named: DataFrame) -> DataFrame:
+    """``band, number, lo, hi, part, rep, c``: who is compared with whom in the bands that hold several components of ``named(rep, c)``.
 
     A band of more than ``BLOCK_ROWS`` members is compared part against part.  Its most frequent component is
     dealt apart from the others: there is nothing to compare inside it.
     """
-    spark = reps.sparkSession
-    kind = reps.schema["rep"].dataType.simpleString()
-    own = cut_lineage(members.select("band", "rep").join(named, "rep"))
+    own = cut_lineage(members.select("band", "number", "rep").join(named, "rep"))
     parts = own.groupBy("band", "c").agg(F.count(F.lit(1)).alias("n"))
     bands = parts.groupBy("band").agg(F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("most"))
     bands = bands.where("n > most.n").select("band", "n", F.col("most.c").alias("main"), F.col("most.n").alias("mains"))
@@ -218,27 +214,104 @@ def cross_pairs(reps: DataFrame, members: DataFrame, named: DataFrame) -> DataFr
     hashed = F.xxhash64("band", "rep")
     dealt = dealt.withColumn("part", F.when(F.col("inside"), F.col("p") + F.pmod(hashed, F.greatest("q", F.lit(1)))).otherwise(F.pmod(hashed, F.col("p"))).cast("int"))
     last = F.when(F.col("inside"), F.col("p") - 1).otherwise(F.col("p") + F.col("q") - 1)
-    dealt = dealt.select("band", "part", "rep", "c", F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    dealt = dealt.select("band", "number", "part", "rep", "c", F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    return dealt.select("band", "number", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "rep", "c")
+
+
+class Shingled:
+    """The shingle sets of a block, and the similarity of one of them to many."""
+
+    def __init__(self, hashes: list[np.ndarray], counts: list[np.ndarray]):
+        self.hashes, self.weights = hashes, [1 + np.log2(c) for c in counts]
+        self.size = np.array([len(h) for h in hashes])
+        self.at = np.append(0, np.cumsum(self.size))
+        words, self.flat = np.unique(np.concatenate(hashes), return_inverse=True)
+        self.share = np.concatenate([w / w.sum() for w in self.weights])
+        self.even = np.array([bool((w == w[0]).all()) for w in self.weights])
+        self.mark, self.load = np.zeros(len(words), np.int64), np.zeros(len(words))
+
+    def linked(self, i: int, many: np.ndarray, threshold: float) -> np.ndarray:
+        """Which of ``many`` reach the threshold with ``i``.
+
+        The probability Jaccard similarity lies between s / (2 - s) and s, the sum of the lesser shares; only
+        where these do not tell is it worked out.
+        """
+        own = self.flat[self.at[i] : self.at[i + 1]]
+        self.mark[own], self.load[own] = 1, self.share[self.at[i] : self.at[i + 1]]
+        begin = np.append(0, np.cumsum(self.size[many])[:-1])
+        at = np.arange(self.size[many].sum()) + np.repeat(self.at[many] - begin, self.size[many])
+        words = self.flat[at]
+        both = np.add.reduceat(self.mark[words], begin)
+        least = np.add.reduceat(np.minimum(self.load[words], self.share[at]), begin)
+        self.mark[own], self.load[own] = 0, 0
+        bar = threshold - 1e-12
+        good = both / (self.size[i] + self.size[many] - both) >= bar
+        open_ = ~good & (least >= bar - 1e-9) & ~(self.even[i] & self.even[many])
+        for k in np.flatnonzero(open_).tolist():
+            j = many[k]
+            good[k] = similarity((self.hashes[i], self.weights[i]), (self.hashes[j], self.weights[j])) >= bar
+        return many[good]
+
+
+def _root(root: list[int], i: int) -> int:
+    while root[i] != i:
+        root[i] = root[root[i]]
+        i = root[i]
+    return i
+
+
+def joining(x: np.ndarray, names: np.ndarray, part: np.ndarray, band: int, sets: Shingled, threshold: float) -> list[tuple[int, int]]:
+    """Members of a block whose links join its components ``names``, at most one link for each but one of them.
+
+    Pairs are compared in the first band that they share, unless their components have been joined before.
+    """
+    inner = part.min() == part.max()
+    there = np.arange(len(x)) if inner else np.flatnonzero(part == part.max())
+    root, now, out = list(range(int(names.max()) + 1)), names.copy(), []
+    rows = x.reshape(len(x), -1, ROWS)
+    for i in (there if inner else np.flatnonzero(part != part.max())).tolist():
+        j = there[(now[there] != now[i]) & ((there > i) if inner else True)]
+        if not len(j):
+            continue
+        same = rows[j] == rows[i]
+        j = j[(same.mean((1, 2)) >= LEAST_ESTIMATE) & (same.all(2).argmax(1) == band)]
+        if not len(j):
+            continue
+        before = len(out)
+        for k in sets.linked(i, j, threshold).tolist():
+            a, b = _root(root, int(names[i])), _root(root, int(names[k]))
+            if a != b:
+                root[a] = b
+                out.append((i, k))
+        if len(out) > before:
+            now = np.array([_root(root, n) for n in range(len(root))])[names]
+    return out
+
+
+def cross_links(rows: DataFrame, threshold: float) -> DataFrame:
+    """``src, dst``: components that links join, at most one link for each component in a block.
+
+    ``rows(band, number, lo, hi, part, rep, c, sketch, hashes, counts)`` are the members of ``cross_members``
+    with what is needed to compare and to verify them in place: a pair never leaves its block.
+    """
+    spark = rows.sparkSession
+    kind = rows.schema["c"].dataType.simpleString()
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = dealt.select("band", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "rep", "c").join(reps, "rep")
-    rows = rows.select("band", "lo", "hi", "part", "rep", "c", "sketch").repartition(n, "band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "rep")
+    rows = rows.select("band", "number", "lo", "hi", "part", "rep", "c", "sketch", "hashes", "counts")
+    rows = rows.repartition(n, "band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "rep")
 
     def run(batches):
-        for group in _grouped(batches, 3):
-            part, names, c, x = zip(*group)
-            x = np.frombuffer(b"".join(x), "<u2").reshape(len(names), -1)
-            c, part, names = np.unique(c, return_inverse=True)[1], np.array(part), pa.array(names)
-            inner = part[0] == part.max() == part.min()
-            there = np.flatnonzero(part == part.max())
-            for i in (there if inner else np.flatnonzero(part != part.max())).tolist():
-                j = there[(c[there] != c[i]) & (there > i)] if inner else there[c[there] != c[i]]
-                like = (x[j] == x[i]).mean(1)
-                j, like = j[like >= LEAST_ESTIMATE], like[like >= LEAST_ESTIMATE]
-                if len(j):
-                    low, high = np.minimum(i, j), np.maximum(i, j)  # rows are in order of their names
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(low)), names.take(pa.array(high)), pa.array(like)], ["a", "b", "estimate"])
-
-    return rows.mapInArrow(run, f"a {kind}, b {kind}, estimate double").distinct()
+        for group in _grouped(batches, 4, named=True):
+            (_, band, _, _), members = group
+            part, _, c, x, hashes, counts = zip(*members)
+            x = np.frombuffer(b"".join(x), "<u2").reshape(len(x), -1)
+            sets = Shingled([np.frombuffer(h, _U) for h in hashes], [np.frombuffer(k, "<u4") for k in counts])
+            kinds, names = np.unique(np.array(c, object if isinstance(c[0], (str, bytes)) else None), return_inverse=True)
+            found = joining(x, names, np.array(part), band, sets, threshold)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([c[i] for i, _ in found]), pa.array([c[k] for _, k in found])], ["src", "dst"])
+
+    return rows.mapInArrow(run, f"src {kind}, dst {kind}").distinct()
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -259,10 +332,10 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return max(plain, float((1 / (above[at] / x[i] + below[at] / y[i])).sum()))
 
 
-def shingle_sets(docs: DataFrame, pairs: DataFrame, reps: DataFrame, key: str, text: str, had: DataFrame | None = None) -> DataFrame:
-    """``rep, hashes, counts`` for the ends of the ``pairs``, without those that ``had`` has."""
+def shingle_sets(docs: DataFrame, nodes: DataFrame, reps: DataFrame, key: str, text: str, had: DataFrame | None = None) -> DataFrame:
+    """``rep, hashes, counts`` for the ``nodes(rep)``, without those that ``had`` has."""
     kind = reps.schema["rep"].dataType.simpleString()
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(reps.select("rep", "digest"), "rep")
+    nodes = nodes.select("rep").distinct().join(reps.select("rep", "digest"), "rep")
     nodes = nodes if had is None else nodes.join(had.select("rep"), "rep", "left_anti")
     base = docs.select(F.col(key).alias("rep"), F.col(text).cast("string").alias("t")).where(F.col("rep").isNotNull() & F.col("t").isNotNull())
 
@@ -302,29 +375,19 @@ def components(docs: DataFrame, reps: DataFrame, key: str, text: str, threshold:
     one = cut_lineage(reps.drop("digest").dropDuplicates(["rep"]))
     members = band_members(one)
     pairs = cut_lineage(candidates(one, members))
-    sets = shingle_sets(docs, pairs, reps, key, text)
+    sets = shingle_sets(docs, pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))), reps, key, text)
     links = cut_lineage(verified(pairs, sets, threshold))
     classes = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), hubs=True)
     named = cut_lineage(one.select("rep").join(classes, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("c")))
-    cross = cut_lineage(cross_pairs(one, members, named).join(pairs, ["a", "b"], "left_anti"))
+    cross = cut_lineage(cross_members(members, named))
     if cross.isEmpty():
         return named
     sets = sets.unionByName(shingle_sets(docs, cross, reps, key, text, sets))
-    for most in (EARLY, None):
-        ends = [named.select(F.col("rep").alias(x), F.col("c").alias(f"c{x}")) for x in "ab"]
-        left = cross.join(ends[0], "a").join(ends[1], "b").where("ca <> cb")
-        if most:
-            place = F.row_number().over(W.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy(F.desc("estimate"), "a", "b"))
-            left = left.withColumn("place", place).where(F.col("place") <= most)
-        left = cut_lineage(left.select("a", "b", "ca", "cb"))
-        if left.isEmpty():
-            break
-        links = cut_lineage(verified(left.select("a", "b"), sets, threshold).join(left, ["a", "b"]))
-        cross = cross.join(left, ["a", "b"], "left_anti")
-        if not links.isEmpty():
-            joined = cut_lineage(connected_components(links.select(F.col("ca").alias("src"), F.col("cb").alias("dst")), hubs=True))
-            named = cut_lineage(named.join(joined, F.col("c") == F.col("node"), "left").select("rep", F.coalesce("component", "c").alias("c")))
-    return named
+    joined = cut_lineage(cross_links(cross.join(one, "rep").join(sets, "rep"), threshold))
+    if joined.isEmpty():
+        return named
+    joined = cut_lineage(connected_components(joined, hubs=True))
+    return cut_lineage(named.join(joined, F.col("c") == F.col("node"), "left").select("rep", F.coalesce("component", "c").alias("c")))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
