@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 XY = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 RING = T.ArrayType(XY)
+RINGS = T.ArrayType(RING)
 PART = T.StructType([T.StructField("rings", T.ArrayType(RING))])
 GEOM = T.StructType(
     [T.StructField("type", T.StringType()), T.StructField("parts", T.ArrayType(PART))]

@@ -215,8 +215,21 @@ def is_rectangle(g: str) -> str:
     return f"coalesce({g}.type = 'Polygon' and size({rings(g)}) = 1 and {let(vertices(g), test)}, false)"
 
 
+def shape_reason(g: str) -> str:
+    """Why the rings or paths of a geometry are none; NULL otherwise, or when it is empty."""
+    short = exists(rings(g), lambda q: f"size({q}) < 4")
+    stub = exists(rings(g), lambda q: f"size({q}) < 2")
+    opened = exists(rings(g), lambda q: f"get({q}, 0) != element_at({q}, -1)")
+    few = "'Too few points in geometry component'"
+    return (
+        f"case when {g} is null or coalesce(size({vertices(g)}), 0) <= 0 then null"
+        f" when {linear(g + '.type')} and {stub} then {few}"
+        f" when not ({polygonal(g + '.type')}) then null when {short} then {few} when {opened} then 'Ring is not closed' end"
+    )
+
+
 def invalid_reason(g: str) -> str:
-    """Why a geometry is invalid; NULL when it is valid or empty."""
+    """Why one short outline is invalid, by all pairs of its segments; ``validity.reasons`` tests whole layers."""
     r, k, s, i = _var("r"), _var("k"), _var("s"), _var("i")
     a, b = _var("p"), _var("q")
     n = f"greatest(size({r}) - 1, 0)"
@@ -238,16 +251,7 @@ def invalid_reason(g: str) -> str:
         )
 
     crossing = let(numbered, lambda segs: exists(segs, lambda s: exists(segs, lambda t: clash(s, t))))
-    short = exists(rings(g), lambda q: f"size({q}) < 4")
-    stub = exists(rings(g), lambda q: f"size({q}) < 2")
-    opened = exists(rings(g), lambda q: f"get({q}, 0) != element_at({q}, -1)")
-    few = "'Too few points in geometry component'"
-    return (
-        f"case when {g} is null or coalesce(size({vertices(g)}), 0) <= 0 then null"
-        f" when {linear(g + '.type')} and {stub} then {few}"
-        f" when not ({polygonal(g + '.type')}) then null when {short} then {few}"
-        f" when {opened} then 'Ring is not closed' when {crossing} then 'Self-intersection' end"
-    )
+    return f"coalesce({shape_reason(g)}, case when {polygonal(g + '.type')} and {crossing} then 'Self-intersection' end)"
 
 
 def as_column(text: str) -> Column:

@@ -112,6 +112,12 @@ def _bin(df: DataFrame, pad: float) -> DataFrame:
     return at.where(F.abs(dx * my - dy * mx) <= (s * 0.7072 + pad) * F.hypot(dx, dy))
 
 
+def binned(segs: DataFrame, keys: list[str]) -> DataFrame:
+    """``segs`` once for each grid cell that they pass through, ``_cx, _cy``, the cells sized to their key."""
+    grid = _grid(segs, keys)
+    return _bin(segs.join(grid, keys), 1e-9)
+
+
 def _split(segs: DataFrame, keys: list[str], digits: int) -> DataFrame:
     """Cut every segment where another crosses or touches it."""
     tol = 2 * 10.0**-digits

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import crs as C
 from ..functions import geom as G
-from ..session import choice, cut_lineage
+from ..session import cut_lineage, one_of
 from .joins import candidate_pairs
 
 NEAR = 6
@@ -136,7 +136,7 @@ def voronoi(df: DataFrame, kind: str = "voronoi", geom: str = "geom", srid: int
 
     Needs three points that do not share an x or a y.
     """
-    choice(kind, "kind", ("voronoi", "delaunay"))
+    one_of("kind", kind, ("voronoi", "delaunay"))
     src, metric = C.metric_srid(df, geom, srid)
     g = C.transform_geom(F.col(geom), src, metric)
     dots = df.where(F.col(geom)["type"].isin("Point", "MultiPoint")).select(F.explode(G.vertices(g)).alias("p")).select("p.x", "p.y").distinct()

@@ -319,43 +319,64 @@ def usage_by_model(rows: DataFrame) -> DataFrame:
 # -- tool results ---------------------------------------------------------
 
 
+_STEP = re.compile(r"\[\s*(?:(?P<from>-?\d+)?\s*(?P<span>:)\s*(?P<to>-?\d+)?|(?P<item>-?\d+))\s*\]|(?P<name>[^.\[\]]+)")
+
+
+class _Value:
+    """A JSON value in a column, seen as each of the kinds that a step may ask for; NULL where it is another kind."""
+
+    def __init__(self, value: Column):
+        kind = F.schema_of_variant(value)
+        self.value = value
+        self.members = F.when(kind.startswith("OBJECT"), F.json_object_keys(F.to_json(value)))
+        self.items = F.when(kind.startswith("ARRAY"), value.try_cast("array<variant>"))
+        self.text = F.when(kind == "STRING", value.try_cast("string"))
+        self.size = F.coalesce(F.size(self.items), F.length(self.text))
+
+    def keys(self) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.size(self.items)), lambda i: i < F.size(self.items))
+        return F.coalesce(F.to_variant_object(self.members), F.to_variant_object(places))
+
+    def length(self) -> Column:
+        return F.coalesce(F.size(self.members), self.size).cast("variant")
+
+    def member(self, name: str) -> Column:
+        return F.when(self.members.isNotNull(), F.try_variant_get(self.value, f"$.{name}", "variant"))
+
+    def item(self, at: int) -> Column:
+        place = self._from_end(at)
+        letter = F.when(place.between(0, F.length(self.text) - 1), F.substring(self.text, place + 1, F.lit(1)))
+        return F.coalesce(F.get(self.items, place), letter.cast("variant"))
+
+    def span(self, start: int, stop: int | None) -> Column:
+        first = F.greatest(self._from_end(start), F.lit(0))
+        last = self.size if stop is None else F.least(self._from_end(stop), self.size)
+        many = F.greatest(last - first, F.lit(0))
+        return F.coalesce(F.to_variant_object(F.slice(self.items, first + 1, many)), F.substring(self.text, first + 1, many).cast("variant"))
+
+    def _from_end(self, at: int) -> Column:
+        return F.lit(at) if at >= 0 else self.size + F.lit(at)
+
+
+def _steps(path: str) -> list[tuple]:
+    """The steps of a path, each as the name of what it does and its arguments."""
+    out: list[tuple] = []
+    for m in _STEP.finditer(path):
+        if m["span"]:
+            out.append(("span", int(m["from"] or 0), int(m["to"]) if m["to"] else None))
+        elif m["item"]:
+            out.append(("item", int(m["item"])))
+        else:
+            out.append((m["name"],) if m["name"] in ("keys", "length") else ("member", m["name"]))
+    return out
+
+
 def json_path(df: DataFrame, column: str, path: str, out: str = "value") -> DataFrame:
     """A jq-like path over JSON text: keys, ``[i]``, ``[a:b]``, ``keys``, ``length``; NULL where it fails."""
-    cur = F.try_parse_json(F.col(column))
-    for token in re.findall(r"\[[^\]]*\]|[^.\[\]]+", path):
-        kind = F.schema_of_variant(cur)
-        is_object, is_array = F.startswith(kind, F.lit("OBJECT")), F.startswith(kind, F.lit("ARRAY"))
-        items = F.when(is_array, cur.try_cast("array<variant>"))
-        text = F.when(kind == "STRING", cur.try_cast("string"))
-        if token == "keys":
-            count = F.size(items)
-            cur = F.when(is_object, F.to_variant_object(F.json_object_keys(F.to_json(cur)))).when(
-                is_array, F.to_variant_object(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>")))
-            )
-        elif token == "length":
-            size = F.when(is_object, F.size(F.json_object_keys(F.to_json(cur)))).when(is_array, F.size(items)).otherwise(F.length(text))
-            cur = size.cast("variant")
-        elif token.startswith("["):
-            inner = token[1:-1].strip()
-            if ":" in inner:
-                a, _, b = inner.partition(":")
-                n = F.coalesce(F.size(items), F.length(text))
-                lo = F.lit(int(a)) if a.strip() else F.lit(0)
-                hi = F.lit(int(b)) if b.strip() else n
-                lo = F.greatest(F.when(lo < 0, lo + n).otherwise(lo), F.lit(0))
-                hi = F.least(F.when(hi < 0, hi + n).otherwise(hi), n)
-                span = F.greatest(hi - lo, F.lit(0))
-                cur = F.when(is_array, F.to_variant_object(F.slice(items, lo + 1, span))).when(
-                    text.isNotNull(), F.substring(text, lo + 1, span).cast("variant")
-                )
-            else:
-                i = int(inner)
-                at = F.lit(i) if i >= 0 else F.size(items) + i
-                ch = F.lit(i) if i >= 0 else F.length(text) + i
-                cur = F.coalesce(F.get(items, at), F.substring(text, ch + 1, F.lit(1)).cast("variant"))
-        else:
-            cur = F.when(is_object, F.try_variant_get(cur, "$." + token, "variant"))
-    return df.withColumn(out, F.to_json(cur))
+    found = F.try_parse_json(F.col(column))
+    for what, *arguments in _steps(path):
+        found = getattr(_Value(found), what)(*arguments)
+    return df.withColumn(out, F.to_json(found))
 
 
 def page_links(pages: DataFrame, html: str = "html", link_class: str = "result__a", snippet_class: str = "result__snippet", redirect_host: str = "duckduckgo.com") -> DataFrame:

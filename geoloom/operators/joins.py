@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import crs as C
 from ..functions import geom as G
 from ..functions import predicates as P
-from ..session import choice, require_columns
+from ..session import one_of, require_columns
 
 PREDICATES = ("intersects", "within", "contains")
 #: Cells are never finer than 2**-20 units; points sit at this level.
@@ -109,7 +109,7 @@ def matched_pairs(
     left: DataFrame, right: DataFrame, predicate: str, geom: str = "geom", group: list[str] | None = None
 ) -> DataFrame:
     """All ``l_*``/``r_*`` columns of the pairs that satisfy the predicate."""
-    choice(predicate, "predicate", PREDICATES)
+    one_of("predicate", predicate, PREDICATES)
     lp = _prefixed(left.withColumn("_rect", F.expr(P.is_rectangle(geom))).withColumnRenamed(geom, "geom"), "l_", "geom")
     rp = _prefixed(right.withColumn("_rect", F.expr(P.is_rectangle(geom))).withColumnRenamed(geom, "geom"), "r_", "geom")
     return candidate_pairs(lp, rp, group).where(_exact(predicate)).drop("l__rect", "r__rect")
@@ -130,7 +130,7 @@ def spatial_join(
     keeps unmatched features with NULL right columns; ``key`` names a column that is
     unique in the left layer (without one, a hash of the whole row stands in).
     """
-    choice(how, "how", ("inner", "left"))
+    one_of("how", how, ("inner", "left"))
     right = aligned(left, right, geom, srids)
     skip = {geom, "srid", *G.BBOX}
     l_names = [c for c in left.columns if c not in G.BBOX]

@@ -1,132 +1,153 @@
-"""Small kernels that order the pieces of one geometry: rings from edges, lines from chains.
-
-They run inside grouped tasks, one output geometry per group.
-"""
+"""Geometries from pieces: rings and polygons from edges, lines from chains."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geom as G
-
-RINGS = "array<array<array<array<double>>>>"
-
-
-def _turn(ax: float, ay: float, bx: float, by: float) -> float:
-    """Angle from direction a to direction b, in (-pi, pi]; larger is further left."""
-    return float(np.arctan2(ax * by - ay * bx, ax * bx + ay * by))
+from ..session import cut_lineage
+from .chains import BATCH_ROWS, completed, linked, per_path, side_by_side
+from .joins import candidate_pairs
 
 
-def trace_rings(x1, y1, x2, y2) -> list[list[tuple[float, float]]]:
-    """Closed rings from directed edges with the interior on their left.
+def successors(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """``edges(keys, node, x1, y1, x2, y2)`` with ``nxt``, the edge that goes on where each one ends.
 
-    Where a vertex has several ways on, the walk takes the leftmost, so that parts that
-    only touch stay separate rings.
+    Where a vertex has several ways on, the leftmost is taken, so that parts that only touch stay separate
+    rings.  Around a vertex that is the way out next to the edge's own direction back, clockwise.
     """
-    n = len(x1)
-    starts: dict[tuple[float, float], list[int]] = {}
-    for i in range(n):
-        starts.setdefault((x1[i], y1[i]), []).append(i)
-    used = np.zeros(n, dtype=bool)
-    rings = []
-    for first in range(n):
-        if used[first]:
-            continue
-        path, edge = [], first
-        while True:
-            used[edge] = True
-            path.append((x1[edge], y1[edge]))
-            end = (x2[edge], y2[edge])
-            if end == path[0]:
-                break
-            ways = [i for i in starts.get(end, ()) if not used[i]]
-            if not ways:
-                path = []
-                break
-            if len(ways) == 1:
-                edge = ways[0]
-            else:
-                dx, dy = x2[edge] - x1[edge], y2[edge] - y1[edge]
-                edge = max(ways, key=lambda i: _turn(dx, dy, x2[i] - x1[i], y2[i] - y1[i]))
-        if len(path) >= 3:
-            rings.append(path)
-    return rings
-
-
-def drop_collinear(ring: list[tuple[float, float]], eps: float = 0.0) -> list[tuple[float, float]]:
-    keep = []
-    n = len(ring)
-    for i in range(n):
-        (ax, ay), (bx, by), (cx, cy) = ring[i - 1], ring[i], ring[(i + 1) % n]
-        cross = (bx - ax) * (cy - by) - (by - ay) * (cx - bx)
-        if abs(cross) > eps * (abs(bx - ax) + abs(by - ay)) * (abs(cx - bx) + abs(cy - by)):
-            keep.append(ring[i])
-    return keep
-
-
-def ring_area(ring) -> float:
-    x = np.array([p[0] for p in ring]) - ring[0][0]
-    y = np.array([p[1] for p in ring]) - ring[0][1]
-    return float(np.dot(x, np.roll(y, -1)) - np.dot(np.roll(x, -1), y)) / 2
-
-
-def _inside(px: float, py: float, ring) -> bool:
-    x = np.array([p[0] for p in ring])
-    y = np.array([p[1] for p in ring])
+    base = edges.select(*keys, "node", "x1", "y1", "x2", "y2")
+    none = F.lit(None).cast("long")
+
+    def side(x: str, y: str, to_x: str, to_y: str, out: Column, own: Column) -> DataFrame:
+        angle = F.atan2(F.col(to_y) - F.col(y), F.col(to_x) - F.col(x))
+        return base.select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"), angle.alias("_a"), out.alias("_out"), own.alias("node"), "x1", "y1", "x2", "y2")
+
+    both = side("x1", "y1", "x2", "y2", F.col("node"), none).unionByName(side("x2", "y2", "x1", "y1", none, F.col("node")))
+    around = W.partitionBy(*keys, "_x", "_y").orderBy("_a")
+    before = F.last("_out", ignorenulls=True).over(around.rowsBetween(W.unboundedPreceding, W.currentRow))
+    last = F.last("_out", ignorenulls=True).over(around.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    return both.withColumn("nxt", F.coalesce(before, last)).where("node is not null").select(*keys, "node", "nxt", "x1", "y1", "x2", "y2")
+
+
+def _tidy(eps: float):
+    """A function for ``per_path``: rings without vertices on straight lines, their areas, boxes, and a point inside."""
+
+    def run(t: pa.Table):
+        xs, ys = t.column("xs").combine_chunks(), t.column("ys").combine_chunks()
+        n = xs.value_lengths().to_numpy()
+        x, y = xs.flatten().to_numpy(), ys.flatten().to_numpy()
+
+        def around(n):
+            """The place after each vertex of closed rings."""
+            end = np.cumsum(n)
+            nxt = np.arange(1, int(n.sum()) + 1)
+            nxt[end[n > 0] - 1] = (end - n)[n > 0]
+            return nxt
+
+        nxt = around(n)
+        ring = np.repeat(np.arange(len(n)), n)
+        before = np.empty(len(x), np.int64)
+        before[nxt] = np.arange(len(x))
+        ax, ay, bx, by = x - x[before], y - y[before], x[nxt] - x, y[nxt] - y
+        keep = np.abs(ax * by - ay * bx) > eps * (np.abs(ax) + np.abs(ay)) * (np.abs(bx) + np.abs(by))
+        n = np.bincount(ring[keep], minlength=len(n))
+        good = n >= 3
+        keep &= good[ring]
+        x, y, ring = x[keep], y[keep], ring[keep]
+        rows = np.flatnonzero(good)
+        n = n[rows]
+        if not len(rows):
+            return pa.array([], pa.int64()), {k: pa.array([], pa.list_(pa.float64()) if k in ("xs", "ys") else pa.float64()) for k in ("area", "xs", "ys", "minx", "miny", "maxx", "maxy", "px", "py")}
+        start = np.cumsum(n) - n
+        nxt = around(n)
+        of = np.repeat(np.arange(len(n)), n)
+        ux, uy = x - x[start][of], y - y[start][of]
+        area = np.add.reduceat(ux * uy[nxt] - ux[nxt] * uy, start) / 2
+        inside = [_inner_point(x[a : a + k], y[a : a + k]) if s < 0 else (np.nan, np.nan) for a, k, s in zip(start.tolist(), n.tolist(), area.tolist())]
+        offsets = pa.array(np.append(start, len(x)), pa.int32())
+        return pa.array(rows), {
+            "area": pa.array(area), "xs": pa.ListArray.from_arrays(offsets, pa.array(x)), "ys": pa.ListArray.from_arrays(offsets, pa.array(y)),
+            "minx": pa.array(np.minimum.reduceat(x, start)), "miny": pa.array(np.minimum.reduceat(y, start)),
+            "maxx": pa.array(np.maximum.reduceat(x, start)), "maxy": pa.array(np.maximum.reduceat(y, start)),
+            "px": pa.array([p[0] for p in inside]), "py": pa.array([p[1] for p in inside]),
+        }
+
+    return run
+
+
+def _inner_point(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """A point inside a simple ring, on a level between two vertices."""
+    levels = np.unique(y)
+    k = int(np.diff(levels).argmax())
+    at = (levels[k] + levels[k + 1]) / 2
     x2, y2 = np.roll(x, -1), np.roll(y, -1)
-    cross = (y > py) != (y2 > py)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        at = (x2 - x) * (py - y) / (y2 - y) + x
-    return bool(np.count_nonzero(cross & (px < at)) % 2)
-
-
-def assemble(rings) -> list[list[list[tuple[float, float]]]]:
-    """Polygons as ``[exterior, hole, ...]``: counter-clockwise rings hold the clockwise ones."""
-    sized = [(ring_area(r), r) for r in rings]
-    outer = sorted(((a, r) for a, r in sized if a > 0), key=lambda t: t[0])
-    polygons = [[r] for _, r in outer]
-    for a, hole in sized:
-        if a >= 0:
-            continue
-        own = set(hole)
-        for (area, ring), polygon in zip(outer, polygons):
-            if area <= -a:
-                continue
-            # a vertex that is not on the shell decides; the middle of an edge stands in
-            probe = next((p for p in hole if p not in set(ring)), None)
-            if probe is None:
-                probe = ((hole[0][0] + hole[1][0]) / 2, (hole[0][1] + hole[1][1]) / 2)
-            if own and _inside(probe[0], probe[1], ring):
-                polygon.append(hole)
-                break
-    return polygons
+    hit = (y > at) != (y2 > at)
+    where = np.sort(x[hit] + (at - y[hit]) / (y2[hit] - y[hit]) * (x2[hit] - x[hit]))
+    gap = int(np.diff(where)[::2].argmax()) * 2
+    return float(where[gap] + where[gap + 1]) / 2, float(at)
 
 
-def link_rings(edges: DataFrame, keys: list[str], eps: float = 0.0) -> DataFrame:
-    """One polygonal geometry per key from directed boundary edges ``x1,y1,x2,y2``."""
-    types = dict(edges.dtypes)
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + f", rings {RINGS}"
+RING = "area double, xs array<double>, ys array<double>, minx double, miny double, maxx double, maxy double, px double, py double"
 
-    def link(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        raw = trace_rings(*(pdf[c].to_numpy() for c in ("x1", "y1", "x2", "y2")))
-        rings = [r for r in (drop_collinear(p, eps) for p in raw) if len(r) >= 3]
-        shapes = [[[list(p) for p in [*ring, ring[0]]] for ring in poly] for poly in assemble(rings)]
-        return pd.DataFrame({**{k: [v] for k, v in zip(keys, key)}, "rings": [shapes]})
 
-    out = edges.select(*keys, "x1", "y1", "x2", "y2").groupBy(*keys).applyInPandas(link, schema)
-    return out.where(F.size("rings") > 0).select(*keys, polygons(F.col("rings")).alias("geom"))
+def rings(edges: DataFrame, keys: list[str], eps: float = 0.0, rows: int = BATCH_ROWS) -> DataFrame:
+    """The closed rings of directed edges: ``keys, path`` and ``RING``; exteriors have positive areas, holes negative ones."""
+    numbered = cut_lineage(edges.select(*keys, "x1", "y1", "x2", "y2").withColumn("node", F.monotonically_increasing_id()))
+    pieces = cut_lineage(linked(side_by_side(successors(numbered, keys), keys), keys, rows))
+    whole = completed(pieces, keys).where("closed")
+    return cut_lineage(per_path(whole.select(*keys, "path", "xs", "ys"), keys, _tidy(eps), RING))
 
 
-def polygons(nested: Column) -> Column:
-    """Nested coordinate arrays as a polygon or multipolygon."""
-    parts = F.transform(
-        nested,
-        lambda p: F.struct(F.transform(p, lambda r: F.transform(r, lambda v: G.xy(v[0], v[1]))).alias("rings")),
+def nested(found: DataFrame, keys: list[str]) -> DataFrame:
+    """``hole, shell``: the smallest exterior of its key around each hole of ``found``, which ``rings`` gave.
+
+    A key with one exterior needs no test; elsewhere boxes are joined by bins, and only where several of them
+    hold a hole are the edges of those counted above a point inside it.
+    """
+    outer, holes = found.where("area > 0"), found.where("area < 0")
+    count = outer.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max("path").alias("_only"))
+    counted = holes.select(*keys, "path", "area", "px", "py").join(count, keys)
+    alone = counted.where("_n = 1").select(F.col("path").alias("hole"), F.col("_only").alias("shell"))
+    point = {"l_minx": "px", "l_miny": "py", "l_maxx": "px", "l_maxy": "py"}
+    left = counted.where("_n > 1").select(*keys, F.col("path").alias("hole"), F.col("area").alias("hole_area"), *(F.col(c).alias(k) for k, c in point.items()))
+    right = outer.select(*keys, F.col("path").alias("shell"), F.col("area").alias("shell_area"), *(F.col(c).alias(f"r_{c}") for c in G.BBOX))
+    pairs = candidate_pairs(left, right, keys).where("shell_area > -hole_area").select("hole", "shell", "shell_area", F.col("l_minx").alias("px"), F.col("l_miny").alias("py"))
+    pairs = cut_lineage(pairs)
+    many = pairs.groupBy("hole").agg(F.count(F.lit(1)).alias("_n"), F.max("shell").alias("shell"))
+    one = many.where("_n = 1").select("hole", "shell")
+    unsure = pairs.join(many.where("_n > 1").select("hole"), "hole", "left_semi")
+    edge = F.zip_with(
+        F.arrays_zip("xs", "ys"), F.concat(F.slice(F.arrays_zip("xs", "ys"), F.lit(2), F.size("xs")), F.slice(F.arrays_zip("xs", "ys"), 1, 1)),
+        lambda p, q: F.struct(p["xs"].alias("x1"), p["ys"].alias("y1"), q["xs"].alias("x2"), q["ys"].alias("y2")),
     )
-    return G.make(F.when(F.size(nested) == 1, "Polygon").otherwise("MultiPolygon"), parts)
+    asked = outer.join(unsure.select(F.col("shell").alias("path")).distinct(), "path", "left_semi").select(F.col("path").alias("shell"), F.explode(edge).alias("e")).select("shell", "e.*")
+    over = (F.col("y1") > F.col("py")) != (F.col("y2") > F.col("py"))
+    cross = over & (F.col("px") < F.col("x1") + F.try_divide(F.col("py") - F.col("y1"), F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1")))
+    odd = unsure.join(asked, "shell").where(cross).groupBy("hole", "shell", "shell_area").agg((F.count(F.lit(1)) % 2).alias("_odd")).where("_odd = 1")
+    return alone.unionByName(one).unionByName(odd.groupBy("hole").agg(F.min_by("shell", F.struct("shell_area", "shell")).alias("shell")))
+
+
+def link_rings(edges: DataFrame, keys: list[str], eps: float = 0.0, rows: int = BATCH_ROWS) -> DataFrame:
+    """One polygonal geometry per key from directed boundary edges ``x1,y1,x2,y2`` with the interior on their left.
+
+    Edges, runs of them and rings are dealt over all tasks whatever key they have; only the finished geometry
+    of a key is one row.  ``rows`` edges are linked together inside a task.
+    """
+    found = rings(edges, keys, eps, rows)
+    ring = F.zip_with(F.concat("xs", F.slice("xs", 1, 1)), F.concat("ys", F.slice("ys", 1, 1)), lambda x, y: G.xy(x, y)).alias("_ring")
+    shells = found.where("area > 0").select(*keys, "path", ring)
+    holes = found.where("area < 0").select(F.col("path").alias("hole"), ring).join(nested(found, keys), "hole")
+    inner = holes.groupBy(F.col("shell").alias("path")).agg(F.sort_array(F.collect_list(F.struct("hole", "_ring"))).alias("_in"))
+    part = F.concat(F.array("_ring"), F.coalesce(F.transform("_in", lambda h: h["_ring"]), F.array().cast(G.RINGS)))
+    parts = shells.join(inner, "path", "left").select(*keys, "path", part.alias("rings"))
+    whole = parts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("path", "rings"))).alias("_p"))
+    kind = F.when(F.size("_p") == 1, "Polygon").otherwise("MultiPolygon")
+    return whole.select(*keys, G.make(kind, F.transform("_p", lambda p: F.struct(p["rings"].alias("rings")))).alias("geom"))
 
 
 def join_chains(start: list, end: list, points: list[list]) -> list[tuple[object, object, list]]:

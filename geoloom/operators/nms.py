@@ -43,8 +43,7 @@ def iou(a: str = "a_", b: str = "b_") -> Column:
 
 
 def greedy_nms(
-    boxes: DataFrame, threshold: float = 0.5, group: list[str] | None = None, score: str = "score", order: str = "id",
-    max_rounds: int = 10_000,
+    boxes: DataFrame, threshold: float = 0.5, group: list[str] | None = None, score: str = "score", order: str = "id"
 ) -> DataFrame:
     """The rows kept by greedy suppression: best score first, ties by the lower ``order``.
 
@@ -77,7 +76,7 @@ def greedy_nms(
         levels = F.sequence(level, level + reach)
     live = cut_lineage(live.withColumn("levels", levels))
     kept = None
-    for _ in range(max_rounds):
+    while True:  # the best live box of all wins its cells, so every round keeps one at least
         binned = live.withColumn("lv", F.explode("levels"))
         binned = binned.withColumn("cx", F.explode(F.sequence(cell_index(F.col("lv"), F.col("sx0")), cell_index(F.col("lv"), F.col("sx1")))))
         binned = binned.withColumn("cy", F.explode(F.sequence(cell_index(F.col("lv"), F.col("sy0")), cell_index(F.col("lv"), F.col("sy1")))))
@@ -99,7 +98,5 @@ def greedy_nms(
         live = cut_lineage(live.join(gone, "id", "left_anti"))
         if live.isEmpty():
             break
-    else:
-        raise RuntimeError("suppression did not settle")
     keep = flat if kept is None else kept.unionByName(flat)
     return boxes.join(keep.select(F.col("id").alias(order)), order, "left_semi")

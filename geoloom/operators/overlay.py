@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import crs as C
 from ..functions import geom as G
 from ..functions import predicates as P
-from ..session import choice, cut_lineage, number, require_columns
+from ..session import cut_lineage, measure, one_of, require_columns
 from . import arrangement as A
 from .joins import aligned, candidate_pairs, matched_pairs
 from .percentiles import group_percentiles
+from .validity import with_reasons
 from .vector import STATISTICS, explode
 
 OVERLAYS = ("intersection", "difference", "union")
@@ -62,7 +63,7 @@ def dissolve(df: DataFrame, column: str | None = None, order: str | None = None,
 
 def aggregate(df: DataFrame, column: str, statistic: str = "count", field: str | None = None, geom: str = "geom", digits: int = 9) -> DataFrame:
     """Polygons merged by ``column`` with one statistic: ``count`` or ``<field>_<statistic>``."""
-    choice(statistic, "statistic", STATISTICS)
+    one_of("statistic", statistic, STATISTICS)
     if statistic != "count" and not field:
         raise ValueError(f"statistic {statistic!r} needs a numeric field to reduce")
     require_columns(df, [column] + ([field] if field else []))
@@ -101,7 +102,7 @@ def overlay(
     (``_1``/``_2`` on equal names), ``difference`` the left area outside all right
     features, ``union`` one geometry.  The keys are unique per layer.
     """
-    choice(operation, "operation", OVERLAYS)
+    one_of("operation", operation, OVERLAYS)
     right = aligned(left, right, geom, srids)
     digits = A.digits_for(srids[0] if srids else None)
     if operation == "union":
@@ -173,7 +174,7 @@ def select_by_location(df: DataFrame, mask: DataFrame, predicate: str, key: str,
     ``within`` looks inside the union, so a feature may lie across several mask
     features; ``contains`` asks for the whole mask.  ``key`` is unique per feature.
     """
-    choice(predicate, "predicate", LOCATIONS)
+    one_of("predicate", predicate, LOCATIONS)
     mask = aligned(df, mask, geom, srids)
     if mask.isEmpty():
         raise ValueError("the mask layer has no features")
@@ -211,7 +212,7 @@ def fix_geometry(df: DataFrame, key: str, geom: str = "geom", digits: int = 9) -
 
     A repair that comes out empty keeps the original.
     """
-    checked = df.drop(*G.BBOX).withColumn("_bad", F.expr(P.invalid_reason(geom)).isNotNull() & G.is_polygonal(F.col(geom)))
+    checked = with_reasons(df.drop(*G.BBOX), geom, key).withColumn("_bad", F.col("reason").isNotNull() & G.is_polygonal(F.col(geom))).drop("reason")
     fixed = A.arrange(A.polygon_segments(checked.where("_bad"), [key], geom), [key], "even-odd", digits)
     out = checked.join(fixed.select(key, F.col("geom").alias("_fixed")), key, "left")
     return out.withColumn(geom, F.coalesce("_fixed", geom)).drop("_bad", "_fixed")
@@ -271,8 +272,8 @@ def buffer(
     Every segment gives a strip, every outer corner a fan of 16 steps per quarter turn;
     their union with the shape itself is the buffer.  ``dissolved`` merges all of them.
     """
-    number(distance, "distance")
-    choice(unit, "unit", ("meters", "degrees"))
+    measure("distance", distance)
+    one_of("unit", unit, ("meters", "degrees"))
     src, metric = C.metric_srid(df, geom, srid) if unit == "meters" else (C.layer_srid(df, srid),) * 2
     d = float(distance)
     base = df.drop(*G.BBOX).withColumn(geom, C.transform_geom(F.col(geom), src, metric))

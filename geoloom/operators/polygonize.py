@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geom as G
-from ..session import number
+from ..session import cut_lineage, measure
+from .chains import PATH, completed, paths
 from .components import connected_components
-from .linking import join_chains, link_rings
-from .raster import Grid, valid
+from .linking import link_rings
+from .raster import Grid, grid_of, valid, with_grid
 from .vector import simplify
 
 BLOCK = 64
+#: A pixel's sides: the neighbour behind it, then its start and end corner, each as (row, column); the interior lies on the left.
+SIDES = ((-1, 0, (0, 1), (0, 0)), (0, -1, (0, 0), (1, 0)), (1, 0, (1, 0), (1, 1)), (0, 1, (1, 1), (0, 1)))
 #: Block-local labels are ``row * SPAN + col`` of the region's first pixel.
 SPAN = 1 << 31
 
@@ -39,7 +43,7 @@ def label_block(values: np.ndarray) -> np.ndarray:
             return lab
 
 
-def _block_edges(pixels: DataFrame, value: str, block: int) -> DataFrame:
+def _block_edges(pixels: DataFrame, value: str, block: int, keys: list[str]) -> DataFrame:
     """Directed pixel sides between regions, labelled inside each block.
 
     Sides inside a region vanish here; sides on a block border are kept and flagged.
@@ -57,8 +61,7 @@ def _block_edges(pixels: DataFrame, value: str, block: int) -> DataFrame:
         pad = np.full((block + 2, block + 2), -2)
         pad[1:-1, 1:-1] = lab
         frames = []
-        # neighbour offset, then the side's start and end corner as (drow, dcol)
-        for dr, dc, (a, b), (p, q) in ((-1, 0, (0, 1), (0, 0)), (0, -1, (0, 0), (1, 0)), (1, 0, (1, 0), (1, 1)), (0, 1, (1, 1), (0, 1))):
+        for dr, dc, (a, b), (p, q) in SIDES:
             other = pad[rows + 1 + dr, cols + 1 + dc]
             keep = other != own
             rr, cc, lb = rows[keep], cols[keep], own[keep]
@@ -71,30 +74,36 @@ def _block_edges(pixels: DataFrame, value: str, block: int) -> DataFrame:
                     }
                 )
             )
-        return pd.concat(frames, ignore_index=True)
+        out = pd.concat(frames, ignore_index=True)
+        return out.assign(**{k: [pdf[k].iloc[0]] * len(out) for k in keys})[[*keys, "label", "value", "x1", "y1", "x2", "y2", "seam"]]
 
-    keyed = pixels.where(valid(value)).select("row", "col", F.col(value).cast("double").alias("value"))
-    blocks = keyed.groupBy(F.floor(F.col("row") / block).alias("_br"), F.floor(F.col("col") / block).alias("_bc"))
-    return blocks.applyInPandas(run, "label long, value double, x1 double, y1 double, x2 double, y2 double, seam boolean")
+    types = dict(pixels.dtypes)
+    keyed = pixels.where(valid(value)).select(*keys, "row", "col", F.col(value).cast("double").alias("value"))
+    blocks = keyed.groupBy(*keys, F.floor(F.col("row") / block).alias("_br"), F.floor(F.col("col") / block).alias("_bc"))
+    return blocks.applyInPandas(run, ", ".join([*(f"`{k}` {types[k]}" for k in keys), "label long, value double, x1 double, y1 double, x2 double, y2 double, seam boolean"]))
 
 
-def region_edges(pixels: DataFrame, value: str = "value", block: int = BLOCK) -> DataFrame:
-    """Boundary sides of every region with its ``region`` id (its first pixel) and ``value``."""
-    edges = _block_edges(pixels, value, block)
+def region_edges(pixels: DataFrame, value: str = "value", block: int = BLOCK, keys: list[str] | None = None) -> DataFrame:
+    """Boundary sides of every region with its ``region`` id (its first pixel) and ``value``; regions stay within their ``keys``."""
+    keys = list(keys or [])
+    edges = cut_lineage(_block_edges(pixels, value, block, keys))
     # two blocks see a shared side in opposite directions
     seam = edges.where("seam").select(
-        "label", "value", F.least("x1", "x2").alias("a"), F.least("y1", "y2").alias("b"), F.greatest("x1", "x2").alias("c"), F.greatest("y1", "y2").alias("d")
+        *keys, "label", "value", F.least("x1", "x2").alias("a"), F.least("y1", "y2").alias("b"), F.greatest("x1", "x2").alias("c"), F.greatest("y1", "y2").alias("d")
     )
-    met = seam.groupBy("a", "b", "c", "d", "value").agg(
+    met = seam.groupBy(*keys, "a", "b", "c", "d", "value").agg(
         F.min("label").alias("src"), F.max("label").alias("dst"), F.count(F.lit(1)).alias("n")
     ).where("n = 2")
-    groups = connected_components(met.select("src", "dst"))
-    named = edges.join(groups.withColumnRenamed("node", "label"), "label", "left").withColumn(
-        "region", F.coalesce("component", "label")
-    )
-    inner = named.where("not seam").select("region", "value", "x1", "y1", "x2", "y2")
+
+    def node(c: str) -> Column:
+        return F.struct(*keys, F.col(c).alias("label")) if keys else F.col(c)
+
+    groups = connected_components(met.select(node("src").alias("src"), node("dst").alias("dst")))
+    first = F.col("component.label") if keys else F.col("component")
+    named = edges.withColumn("node", node("label")).join(groups, "node", "left").withColumn("region", F.coalesce(first, "label"))
+    inner = named.where("not seam").select(*keys, "region", "value", "x1", "y1", "x2", "y2")
     border = named.where("seam").groupBy(
-        "region", F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2")
+        *keys, "region", F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2")
     ).agg(*[F.first(c).alias(c) for c in ("value", "x1", "y1", "x2", "y2")], F.count(F.lit(1)).alias("n")).where("n = 1")
     return inner.unionByName(border.select(inner.columns))
 
@@ -106,6 +115,18 @@ def polygonize(pixels: DataFrame, grid: Grid, value: str = "value", block: int =
     return shapes.select("region", "value", placed.alias("geom"), F.lit(grid.srid).alias("srid"))
 
 
+def polygonize_all(pixels: DataFrame, rasters: DataFrame, keys: list[str] | None = None, value: str = "value", block: int = BLOCK) -> DataFrame:
+    """``polygonize`` of many rasters and bands at once: ``keys, region, value, geom, srid``.
+
+    ``keys`` has ``raster_id`` first; ``rasters`` holds it and the columns of a grid.
+    """
+    keys = list(keys or ["raster_id"])
+    shapes = with_grid(link_rings(region_edges(pixels, value, block, keys), [*keys, "region", "value"]), rasters, ["raster_id"])
+    grid = grid_of("_g_")
+    placed = G.map_vertices(F.col("geom"), lambda x, y: grid.place(x, -y))
+    return shapes.select(*keys, "region", "value", placed.alias("geom"), grid.srid.alias("srid"))
+
+
 def region_sizes(pixels: DataFrame, value: str = "value", block: int = BLOCK) -> DataFrame:
     """``region, value, pixels, perimeter`` straight from the boundary sides (no geometry built)."""
     e = region_edges(pixels, value, block)
@@ -120,72 +141,78 @@ def region_sizes(pixels: DataFrame, value: str = "value", block: int = BLOCK) ->
 
 def contour_levels(pixels: DataFrame, interval: float, base: float = 0.0, value: str = "value") -> DataFrame:
     """``k, level``: the multiples of ``interval`` from ``base`` that lie in the range of the band, counted from 0."""
-    step, zero = F.lit(number(interval, "interval", positive=True)), F.lit(float(base))
+    step, zero = F.lit(measure("interval", interval, above_zero=True)), F.lit(float(base))
     extent = pixels.agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"))
     ends = extent.select(F.ceil((F.col("lo") - zero) / step).alias("m0"), F.floor((F.col("hi") - zero) / step).alias("m1"))
     marks = ends.where("m0 <= m1").select("m0", F.explode(F.sequence("m0", "m1")).alias("m"))
     return marks.select((F.col("m") - F.col("m0")).alias("k"), (zero + F.col("m") * step).alias("level"))
 
 
-def contour_segments(pixels: DataFrame, interval: float, base: float, width: int, value: str = "value") -> DataFrame:
-    """Marching squares: ``k, level, s, e, x1, y1, x2, y2`` with grid-edge keys at both ends.
+#: The sides of a cell that a line runs between, start and end, by which corners are high (1 top left, 2 top right,
+#: 4 bottom left, 8 bottom right).  Where two opposite corners are high, each is cut off on its own.
+CASES = {
+    1: ("tl",), 2: ("rt",), 3: ("rl",), 4: ("lb",), 5: ("tb",), 6: ("rt", "lb"), 7: ("rb",), 8: ("br",), 9: ("tl", "br"),
+    10: ("bt",), 11: ("bl",), 12: ("lr",), 13: ("tr",), 14: ("lt",),
+}
+_SIDE = {name: i for i, name in enumerate("tblr")}
+#: By case and line: the sides it runs between, -1 where there is none.
+_LINES = np.array([[[_SIDE[c] for c in (CASES.get(k, ()) + ("", ""))[i]] or [-1, -1] for i in (0, 1)] for k in range(16)])
+
 
-    Level ``k`` is ``base + k * interval``; a cell knows its own levels, so no pass over the band comes before.
+def cell_lines(v: np.ndarray, row: int, col: int, interval: float, base: float, width: int) -> dict[str, np.ndarray]:
+    """Marching squares over the cells between the pixels ``v``, the first of which stands at ``row, col``.
 
-    Positions are fractional columns and rows.  A corner is high when it exceeds the
-    level; in a saddle each high corner is cut off on its own.
+    ``k, s, e, x1, y1, x2, y2``: the level ``base + k * interval``, names of the grid edges at both ends, and
+    the ends as fractional columns and rows.  A corner is high when it exceeds the level.
     """
-    # a pixel sends its value to the up to four cells that it is a corner of
-    px = pixels.select("row", "col", F.col(value).cast("double").alias("v"))
-    corners = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr in (0, 1) for dc in (0, 1)])
-    sent = px.withColumn("_o", F.explode(corners)).select(
-        (F.col("row") - F.col("_o.dr")).alias("row"), (F.col("col") - F.col("_o.dc")).alias("col"), (F.col("_o.dr") * 2 + F.col("_o.dc")).alias("i"), "v"
-    )
-    cells = sent.groupBy("row", "col").agg(
-        *[F.max(F.when(F.col("i") == i, F.col("v"))).alias(n) for i, n in enumerate(("tl", "tr", "bl", "br"))], F.count("v").alias("n")
-    ).where("n = 4")
-    low, high = F.least("tl", "tr", "bl", "br"), F.greatest("tl", "tr", "bl", "br")
+    tl, tr, bl, br = v[:-1, :-1].ravel(), v[:-1, 1:].ravel(), v[1:, :-1].ravel(), v[1:, 1:].ravel()
+    low, high = np.minimum.reduce([tl, tr, bl, br]), np.maximum.reduce([tl, tr, bl, br])
     # one more on both sides: the quotients are rounded, the comparison below is not
-    first = F.floor((low - F.lit(base)) / F.lit(interval)) - 1
-    last = F.ceil((high - F.lit(base)) / F.lit(interval)) + 1
-    cells = cells.withColumn("k", F.explode(F.sequence(first, last)))
-    cells = cells.withColumn("level", F.lit(base) + F.col("k") * F.lit(interval))
-    cells = cells.where((F.col("level") >= low) & (F.col("level") < high))
-    lv = F.col("level")
-
-    def cut(a: str, b: str) -> Column:
-        return (lv - F.col(a)) / (F.col(b) - F.col(a))
-
-    def key(o: int, row: Column, col: Column) -> Column:
-        return (row.cast("long") * F.lit(width + 1) + col.cast("long")) * 2 + o
-
-    r, c = F.col("row"), F.col("col")
-    ends = {
-        "top": F.struct(key(0, r, c).alias("key"), (c + cut("tl", "tr")).alias("x"), r.cast("double").alias("y")),
-        "bottom": F.struct(key(0, r + 1, c).alias("key"), (c + cut("bl", "br")).alias("x"), (r + 1).cast("double").alias("y")),
-        "left": F.struct(key(1, r, c).alias("key"), c.cast("double").alias("x"), (r + cut("tl", "bl")).alias("y")),
-        "right": F.struct(key(1, r, c + 1).alias("key"), (c + 1).cast("double").alias("x"), (r + cut("tr", "br")).alias("y")),
-    }
-    case = sum(F.when(F.col(n) > lv, F.lit(b)).otherwise(0) for n, b in (("tl", 1), ("tr", 2), ("bl", 4), ("br", 8)))
-
-    def seg(a: str, b: str) -> Column:
-        return F.struct(ends[a].alias("s"), ends[b].alias("e"))
-
-    pairs = {
-        1: [("top", "left")], 2: [("right", "top")], 3: [("right", "left")], 4: [("left", "bottom")], 5: [("top", "bottom")],
-        6: [("right", "top"), ("left", "bottom")], 7: [("right", "bottom")], 8: [("bottom", "right")],
-        9: [("top", "left"), ("bottom", "right")], 10: [("bottom", "top")], 11: [("bottom", "left")], 12: [("left", "right")],
-        13: [("top", "right")], 14: [("left", "top")],
-    }
-    choice = None
-    for k, v in pairs.items():
-        arr = F.array(*[seg(a, b) for a, b in v])
-        choice = F.when(F.col("_case") == k, arr) if choice is None else choice.when(F.col("_case") == k, arr)
-    rows = cells.withColumn("_case", case).withColumn("_s", F.explode(choice))
-    return rows.select(
-        "k", "level", "row", "col", F.col("_s.s.key").alias("s"), F.col("_s.e.key").alias("e"), F.col("_s.s.x").alias("x1"),
-        F.col("_s.s.y").alias("y1"), F.col("_s.e.x").alias("x2"), F.col("_s.e.y").alias("y2"),
-    )
+    first = np.floor((low - base) / interval).astype(np.int64) - 1
+    many = np.ceil((high - base) / interval).astype(np.int64) + 2 - first
+    at = np.repeat(np.arange(len(tl)), many)
+    k = np.repeat(first, many) + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+    level = base + k * interval
+    cut = (level >= low[at]) & (level < high[at])
+    at, k, level = at[cut], k[cut], level[cut]
+    tl, tr, bl, br = tl[at], tr[at], bl[at], br[at]
+    r, c = row + at // (v.shape[1] - 1), col + at % (v.shape[1] - 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        x = np.stack([c + (level - tl) / (tr - tl), c + (level - bl) / (br - bl), c + 0.0, c + 1.0])
+        y = np.stack([r + 0.0, r + 1.0, r + (level - tl) / (bl - tl), r + (level - tr) / (br - tr)])
+    name = np.stack([(r * (width + 1) + c) * 2, ((r + 1) * (width + 1) + c) * 2, (r * (width + 1) + c) * 2 + 1, (r * (width + 1) + c + 1) * 2 + 1])
+    case = (tl > level) + 2 * (tr > level) + 4 * (bl > level) + 8 * (br > level)
+    ends = _LINES[case].reshape(-1, 2)
+    one = np.flatnonzero(ends[:, 0] >= 0)
+    a, b, of = ends[one, 0], ends[one, 1], one // 2
+    return {"k": k[of], "s": name[a, of], "e": name[b, of], "x1": x[a, of], "y1": y[a, of], "x2": x[b, of], "y2": y[b, of]}
+
+
+def contour_runs(pixels: DataFrame, grid: Grid, interval: float, base: float, value: str, block: int) -> DataFrame:
+    """``k`` and the runs of contour lines inside blocks of cells, as ``chains.linked`` gives them."""
+    edges = 2 * (grid.width + 1) * (grid.height + 1)
+
+    def run(t: pa.Table) -> pa.Table:
+        r0, c0 = (t.column(c)[0].as_py() * block for c in ("br", "bc"))
+        row, col = t.column("row").to_numpy() - r0, t.column("col").to_numpy() - c0
+        v = np.full((int(row.max()) + 1, int(col.max()) + 1), np.nan)
+        v[row, col] = t.column("v").to_numpy()
+        found = cell_lines(v, r0, c0, interval, base, grid.width) if min(v.shape) > 1 else {}
+        if not found or not len(found["k"]):
+            return pa.schema([("k", pa.int64()), ("node", pa.int64()), ("nxt", pa.int64()), ("closed", pa.bool_()), ("xs", pa.list_(pa.float64())), ("ys", pa.list_(pa.float64())), ("ex", pa.float64()), ("ey", pa.float64())]).empty_table()
+        node, nxt = (found["k"] * edges + found[c] for c in ("s", "e"))
+        begin, columns = paths(node, nxt, *(found[c] for c in ("x1", "y1", "x2", "y2")))
+        return pa.table({"k": pa.array(found["k"][begin]), **columns})
+
+    # a block has the first pixels of the next ones as well
+    px = pixels.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col(value).cast("double").alias("v"))
+
+    def targets(c: str) -> Column:
+        own = F.floor(F.col(c) / block).cast("int")
+        return F.when((F.col(c) % block == 0) & (F.col(c) > 0), F.array(own, own - 1)).otherwise(F.array(own))
+
+    dealt = px.withColumn("br", F.explode(targets("row"))).withColumn("bc", F.explode(targets("col")))
+    return dealt.groupBy("br", "bc").applyInArrow(run, f"k long, {PATH}")
 
 
 def contour(
@@ -194,42 +221,18 @@ def contour(
 ) -> DataFrame:
     """Contour lines with their ``value``; a band with missing pixels is refused.
 
-    Segments are chained inside blocks of cells first; only open chain ends take part in
-    the connected components that say which chains form one line.
+    Lines are linked inside blocks of cells; the runs that go on in another block are ordered by pointer
+    doubling, so a line of any length is dealt over all tasks until it is one row.
     """
-    interval, base = number(interval, "interval", positive=True), float(base)
+    interval, base = measure("interval", interval, above_zero=True), float(base)
     known, low, high = pixels.agg(F.count_if(valid(value)), F.min(value), F.max(value)).first()
     if known != grid.width * grid.height:
         raise ValueError(f"{known} of {grid.width * grid.height} pixels have a value; contours need all of them")
     if low == high:
         raise ValueError(f"every pixel is {low:g}: a flat band has no contours")
-    # a contour through a grid corner yields segments without length: their ends coincide
-    segs = contour_segments(pixels, interval, base, grid.width, value)
-    types = "k long, level double, s long, e long, xs array<double>, ys array<double>"
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pts = [list(zip(r.xs, r.ys)) for r in pdf.itertuples()]
-        out = join_chains(pdf["s"].tolist(), pdf["e"].tolist(), pts)
-        return pd.DataFrame(
-            {
-                "k": int(pdf["k"].iloc[0]), "level": float(pdf["level"].iloc[0]), "s": [o[0] for o in out], "e": [o[1] for o in out],
-                "xs": [[p[0] for p in o[2]] for o in out], "ys": [[p[1] for p in o[2]] for o in out],
-            }
-        )
-
-    pieces = segs.select(
-        "k", "level", "s", "e", F.array("x1", "x2").alias("xs"), F.array("y1", "y2").alias("ys"),
-        F.floor(F.col("row") / block).alias("br"), F.floor(F.col("col") / block).alias("bc"),
-    )
-    chains = pieces.groupBy("k", "br", "bc").applyInPandas(lambda pdf: chain(pdf), types)
-    edges = 2 * (grid.width + 1) * (grid.height + 1)
-    node = lambda end: F.col("k") * F.lit(edges) + F.col(end)
-    open_ends = chains.where("s <> e").select(node("s").alias("src"), node("e").alias("dst"))
-    groups = connected_components(open_ends)
-    tagged = chains.where("s <> e").withColumn("node", node("s")).join(groups, "node").drop("node")
-    joined = tagged.groupBy("component").applyInPandas(lambda pdf: chain(pdf.drop(columns="component")), types)
-    lines = chains.where("s = e").unionByName(joined)
-    path = F.zip_with("xs", "ys", lambda u, v: G.xy(*grid.place(u + 0.5, v + 0.5)))
-    out = lines.select(F.col("level").alias("value"), G.line(path).alias("geom"), F.lit(grid.srid).alias("srid"))
+    # a contour through a grid corner yields pieces without length: their ends coincide
+    lines = completed(cut_lineage(contour_runs(pixels, grid, interval, base, value, block)), ["k"])
+    path = F.zip_with(F.concat("xs", F.array("ex")), F.concat("ys", F.array("ey")), lambda u, v: G.xy(*grid.place(u + 0.5, v + 0.5)))
+    out = lines.select((F.lit(base) + F.col("k") * F.lit(interval)).alias("value"), G.line(path).alias("geom"), F.lit(grid.srid).alias("srid"))
     tolerance = simplify_pixels * max(abs(grid.a), abs(grid.e))
     return simplify(out, tolerance, preserve_topology=False) if tolerance > 0 else out

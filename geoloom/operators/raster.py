@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import crs as C
 from ..functions import geom as G
 from ..functions import predicates as P
-from ..session import choice
+from ..session import cut_lineage, one_of
 from .joins import candidate_pairs
 from .percentiles import group_percentiles
 
@@ -83,6 +83,25 @@ class Grid:
         return self == other
 
 
+#: The columns of a table of rasters that make a grid.
+GRID = ("width", "height", "srid", "a", "b", "c", "d", "e", "f")
+
+
+def grid_of(prefix: str = "") -> Grid:
+    """A grid whose numbers are columns; its ``srid`` is one too, so positions have to be in it already."""
+    return Grid(*(F.col(prefix + c) for c in GRID))
+
+
+def with_grid(pixels: DataFrame, rasters: DataFrame, keys: list[str], prefix: str = "_g_") -> DataFrame:
+    """``pixels`` with the grid of their raster beside them, from ``rasters(keys, width, height, srid, a..f)``."""
+    return pixels.join(rasters.select(*keys, *(F.col(c).alias(prefix + c) for c in GRID)), keys)
+
+
+def srids_of(rasters: DataFrame) -> list[int]:
+    """The coordinate systems in use, of which there are few."""
+    return sorted(r.srid for r in rasters.select("srid").distinct().collect())
+
+
 def require_same_grid(first: Grid, *others: Grid) -> None:
     if any(not first.same_as(g) for g in others):
         raise ValueError("the rasters do not share one grid and CRS; reproject and clip them first")
@@ -108,17 +127,20 @@ def tile_pixels(tiles: DataFrame, *extra: str) -> DataFrame:
     )
 
 
-def pixel_tiles(pixels: DataFrame, size: int, value: str = "value") -> DataFrame:
-    """A pixel table as square tiles; pixels that are missing become NULL."""
-    size = int(size)
+def pixel_tiles(pixels: DataFrame, size: int, value: str = "value", keys: list[str] | None = None) -> DataFrame:
+    """A pixel table as square tiles; pixels that are missing become NULL.
+
+    ``keys`` are those of ``raster_id`` and ``band`` that the pixels have; the others get one name for all.
+    """
+    size, own = int(size), list(keys or [])
     keyed = pixels.select(
-        F.floor(F.col("row") / size).cast("int").alias("tile_row"), F.floor(F.col("col") / size).cast("int").alias("tile_col"),
+        *own, F.floor(F.col("row") / size).cast("int").alias("tile_row"), F.floor(F.col("col") / size).cast("int").alias("tile_col"),
         ((F.col("row") % size) * size + F.col("col") % size).cast("int").alias("i"), F.col(value).alias("value"),
     )
-    cells = keyed.groupBy("tile_row", "tile_col").agg(F.map_from_entries(F.collect_list(F.struct("i", "value"))).alias("m"))
+    cells = keyed.groupBy(*own, "tile_row", "tile_col").agg(F.map_from_entries(F.collect_list(F.struct("i", "value"))).alias("m"))
+    names = {"raster_id": F.lit("raster"), "band": F.lit(1)} | {k: F.col(k) for k in own}
     return cells.select(
-        F.lit("raster").alias("raster_id"), F.lit(1).alias("band"), "tile_row", "tile_col",
-        F.lit(size).alias("h"), F.lit(size).alias("w"),
+        *(c.alias(k) for k, c in names.items()), "tile_row", "tile_col", F.lit(size).alias("h"), F.lit(size).alias("w"),
         F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda i: F.element_at("m", i)).alias("values"),
     )
 
@@ -130,44 +152,68 @@ def valid(value: str) -> Column:
     return F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
 
 
-def band_stats(pixels: DataFrame, value: str = "value") -> DataFrame:
-    """min, max, mean, std (population), p2 and p98 over valid pixels."""
-    rows = pixels.where(valid(value))
-    basic = rows.agg(
-        F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std")
-    )
-    p = group_percentiles(rows, [], value, [0.02, 0.98])
-    return basic.withColumns(
-        {"p2": p.select("p0").scalar(), "p98": p.select("p1").scalar()}
-    )
+def band_stats(pixels: DataFrame, value: str = "value", keys: list[str] | None = None) -> DataFrame:
+    """min, max, mean, std (population), p2 and p98 over valid pixels; one row per raster and band that ``keys`` name.
+
+    A key without a valid pixel has NULL statistics.
+    """
+    keys = list(keys or [])
+    seen = F.when(valid(value), F.col(value))
+    basic = pixels.groupBy(*keys).agg(F.min(seen).alias("min"), F.max(seen).alias("max"), F.avg(seen).alias("mean"), F.stddev_pop(seen).alias("std"))
+    p = group_percentiles(pixels, keys, value, [0.02, 0.98]).withColumnsRenamed({"p0": "p2", "p1": "p98"})
+    if keys:
+        return _beside(basic, p, keys)
+    return basic.withColumns({c: p.select(c).scalar() for c in ("p2", "p98")})
 
 
-def histogram(pixels: DataFrame, bins: int = 256, value: str = "value") -> DataFrame:
-    """Equal bins over min..max, the maximum in the last one; a flat band spans value ± 0.5."""
+def _beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """``left`` with the columns of ``right``, joined by keys that may be NULL."""
+    named = right.withColumnsRenamed({k: f"_{k}" for k in keys})
+    return left.join(named, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").drop(*(f"_{k}" for k in keys))
+
+
+def histogram(pixels: DataFrame, bins: int = 256, value: str = "value", keys: list[str] | None = None) -> DataFrame:
+    """Equal bins over min..max, the maximum in the last one; a flat band spans value ± 0.5.
+
+    With ``keys`` every raster and band has its own range and all its bins.
+    """
+    keys = list(keys or [])
     rows = pixels.where(valid(value))
-    edges = rows.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    edges = rows.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     flat = F.col("lo") == F.col("hi")
     edges = edges.select(
-        F.struct(
-            F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
-            F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
-        )
+        *keys, F.struct(F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi")).alias("_e")
     )
-    binned = rows.withColumn("_e", edges.scalar()).select(
-        F.least(F.width_bucket(F.col(value), F.col("_e.lo"), F.col("_e.hi"), F.lit(bins)) - 1, F.lit(bins - 1)).alias("bin")
+    with_edges = _beside(rows, edges, keys) if keys else rows.withColumn("_e", edges.scalar())
+    binned = with_edges.select(
+        *keys, F.least(F.width_bucket(F.col(value), F.col("_e.lo"), F.col("_e.hi"), F.lit(bins)) - 1, F.lit(bins - 1)).alias("bin")
     )
-    counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
-    every = pixels.sparkSession.range(bins).select(F.col("id").alias("bin"))
-    return every.join(counts, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
+    counts = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
+    own = pixels.select(*keys).distinct() if keys else pixels.sparkSession.range(1).select()
+    every = own.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"))
+    return _beside(every, counts, [*keys, "bin"]).select(*keys, "bin", F.coalesce("n", F.lit(0)).alias("n"))
+
 
+def stretch_limits(pixels: DataFrame, values: str | list[str], method: str, pmin: float, pmax: float, keys: list[str] | None = None) -> DataFrame:
+    """``keys`` and a struct ``lo, hi`` for each of the ``values``: percentile or min-max limits; one row without keys.
 
-def stretch_limits(pixels: DataFrame, value: str, method: str, pmin: float, pmax: float) -> DataFrame:
-    """One row ``lo, hi``: percentile or min-max limits of a band."""
-    choice(method, "method", ("percentile", "minmax"))
+    All columns share one pass: they are told apart by a further key.
+    """
+    one_of("method", method, ("percentile", "minmax"))
+    keys, values = list(keys or []), [values] if isinstance(values, str) else list(values)
     if method == "minmax":
-        return pixels.where(valid(value)).agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"))
-    p = group_percentiles(pixels, [], value, [pmin / 100, pmax / 100])
-    return p.select(F.col("p0").alias("lo"), F.col("p1").alias("hi"))
+        seen = {v: F.when(valid(v), F.col(v)).cast("double") for v in values}
+        return pixels.groupBy(*keys).agg(*(F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(v) for v, c in seen.items()))
+    long = pixels.select(*keys, F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(v).cast("double").alias("v")) for i, v in enumerate(values)))).alias("_s"))
+    p = group_percentiles(long.select(*keys, F.col("_s.i").alias("_i"), F.col("_s.v").alias("_x")), [*keys, "_i"], "_x", [pmin / 100, pmax / 100])
+    picked = {v: F.when(F.col("_i") == i, F.struct(F.col("p0").alias("lo"), F.col("p1").alias("hi"))) for i, v in enumerate(values)}
+    return p.groupBy(*keys).agg(*(F.max(c).alias(v) for v, c in picked.items()))
+
+
+def _with_limits(pixels: DataFrame, limits: DataFrame, keys: list[str]) -> DataFrame:
+    """``pixels`` with the columns of ``limits`` in a struct ``_lim``."""
+    packed = limits.select(*keys, F.struct(*(c for c in limits.columns if c not in keys)).alias("_lim"))
+    return _beside(pixels, packed, keys) if keys else pixels.withColumn("_lim", packed.scalar())
 
 
 def to_byte(value: Column, lo: Column, hi: Column) -> Column:
@@ -177,15 +223,17 @@ def to_byte(value: Column, lo: Column, hi: Column) -> Column:
 
 def rescale(
     pixels: DataFrame, value: str = "value", vmin: float | None = None, vmax: float | None = None,
-    method: str = "percentile", pmin: float = 2, pmax: float = 98, fill: bool = False,
+    method: str = "percentile", pmin: float = 2, pmax: float = 98, fill: bool = False, keys: list[str] | None = None,
 ) -> DataFrame:
-    """Stretch a band to bytes; a flat band gives 0, NULL stays NULL unless ``fill`` makes it 0."""
-    out = pixels
+    """Stretch a band to bytes; a flat band gives 0, NULL stays NULL unless ``fill`` makes it 0.
+
+    With ``keys`` every raster and band is stretched between limits of its own.
+    """
+    out, keys = pixels, list(keys or [])
     if vmin is None or vmax is None:
-        limits = stretch_limits(pixels, value, method, pmin, pmax)
-        out = out.withColumn("_lim", limits.select(F.struct("lo", "hi")).scalar())
-    lo = F.lit(float(vmin)) if vmin is not None else F.col("_lim.lo")
-    hi = F.lit(float(vmax)) if vmax is not None else F.col("_lim.hi")
+        out = _with_limits(out, stretch_limits(pixels, value, method, pmin, pmax, keys), keys)
+    lo = F.lit(float(vmin)) if vmin is not None else F.col(f"_lim.{value}.lo")
+    hi = F.lit(float(vmax)) if vmax is not None else F.col(f"_lim.{value}.hi")
     byte = F.when(F.col(value).isNull(), F.lit(0 if fill else None)).when(hi <= lo, F.lit(0)).otherwise(to_byte(F.col(value), lo, hi))
     return out.withColumn(value, byte.cast("short")).drop("_lim")
 
@@ -203,7 +251,7 @@ def spectral_index(
     out: str = "value",
 ) -> DataFrame:
     """A named index per pixel; masked bands and zero denominators give NULL."""
-    key = choice(index.strip().lower(), "index", INDEX_BANDS)
+    key = one_of("index", index.strip().lower(), INDEX_BANDS)
     if not (math.isfinite(scale) and scale):
         raise ValueError(f"bands cannot be divided by a scale of {scale!r}")
     column_of = dict(zip(INDEX_BANDS[key], INDEX_BANDS[key])) | (names or {})
@@ -234,17 +282,16 @@ def stack_bands(rasters: dict[str, tuple[DataFrame, Grid]]) -> DataFrame:
 
 def compose_rgb(
     bands: DataFrame, red: str = "red", green: str = "green", blue: str = "blue", stretch: bool = True,
-    pmin: float = 2, pmax: float = 98,
+    pmin: float = 2, pmax: float = 98, keys: list[str] | None = None,
 ) -> DataFrame:
-    """Three bands stretched to bytes; masked pixels are 0."""
-    out = bands
-    for name in (red, green, blue):
-        limits = stretch_limits(bands, name, "percentile" if stretch else "minmax", pmin, pmax)
-        top = F.when(F.col("hi") <= F.col("lo"), F.col("lo") + 1.0).otherwise(F.col("hi"))
-        out = out.withColumn("_lim", limits.select(F.struct("lo", top.alias("hi"))).scalar())
-        byte = to_byte(F.col(name), F.col("_lim.lo"), F.col("_lim.hi"))
-        out = out.withColumn(name, F.coalesce(byte, F.lit(0)).cast("short")).drop("_lim")
-    return out
+    """Three bands stretched to bytes; masked pixels are 0.  With ``keys`` every raster has limits of its own."""
+    keys, names = list(keys or []), list(dict.fromkeys((red, green, blue)))
+    out = _with_limits(bands, stretch_limits(bands, names, "percentile" if stretch else "minmax", pmin, pmax, keys), keys)
+    for name in names:
+        lo, hi = F.col(f"_lim.{name}.lo"), F.col(f"_lim.{name}.hi")
+        byte = to_byte(F.col(name), lo, F.when(hi <= lo, lo + 1.0).otherwise(hi))
+        out = out.withColumn(name, F.coalesce(byte, F.lit(0)).cast("short"))
+    return out.drop("_lim")
 
 
 # -- location -------------------------------------------------------------
@@ -327,64 +374,132 @@ def default_grid(spark, grid: Grid, dst_srid: int) -> Grid:
     return Grid(max(1, round((e - w) / res)), max(1, round((n - s) / res)), dst_srid, res, 0.0, w, 0.0, -res, n)
 
 
+RESAMPLING = ("nearest", "bilinear", "cubic", "average", "mode", "min", "max", "median")
+
+
+def _kernel(t: Column) -> Column:
+    """Cubic convolution weights (the usual a = -0.5) at distance ``t``."""
+    return (
+        F.when(t <= 1, (F.lit(1.5) * t - 2.5) * t * t + 1)
+        .when(t < 2, ((F.lit(-0.5) * t + 2.5) * t - 4) * t + 2)
+        .otherwise(0.0)
+    )
+
+
 def reproject(
     pixels: DataFrame, grid: Grid, dst: Grid, resampling: str = "nearest", value: str = "value"
 ) -> DataFrame:
-    """Warp onto another grid: every target pixel looks up its source by an equi-join."""
-    choice(resampling, "resampling", ("nearest", "bilinear"))
-    spark = pixels.sparkSession
-    cells = spark.range(dst.width * dst.height).select(
-        F.floor(F.col("id") / dst.width).cast("int").alias("dst_row"), (F.col("id") % dst.width).cast("int").alias("dst_col")
-    )
+    """Warp onto another grid: every target pixel looks up its sources by an equi-join.
+
+    ``nearest``, ``bilinear`` (2 x 2) and ``cubic`` (4 x 4) read around the target's centre; ``average``,
+    ``mode``, ``min``, ``max`` and ``median`` read every valid pixel whose centre lies in the target's
+    footprint: source pixels find their target, so each is read once.  Ties of ``mode`` go to the lesser value.
+    """
+    one = pixels.select(F.lit(0).alias("_r"), "row", "col", F.col(value).alias("value"))
+    return _warped(one, ["_r"], grid, dst, resampling, pixels.sparkSession.range(1).select(F.lit(0).alias("_r"))).drop("_r")
+
+
+def reproject_all(pixels: DataFrame, rasters: DataFrame, targets: DataFrame, resampling: str = "nearest", keys: list[str] | None = None, value: str = "value") -> DataFrame:
+    """Many rasters warped at once: ``keys, row, col, value`` on the grid that ``targets`` names for each.
+
+    ``rasters`` and ``targets`` hold ``raster_id`` and the columns of ``GRID``; ``keys`` are those of the pixels, ``raster_id``
+    first (for example with ``band``).
+    """
+    keys = list(keys or ["raster_id"])
+    s, d = ([F.col(c).alias(f"_{p}_{c}") for c in GRID] for p in "sd")
+    both = rasters.select("raster_id", *s).join(targets.select("raster_id", *d), "raster_id")
+    pairs = both.select("_s_srid", "_d_srid").distinct().collect()  # few coordinate systems
+    bands = pixels.select(*keys).distinct()
+    out = None
+    for src, dst in sorted(map(tuple, pairs)):
+        own = both.where((F.col("_s_srid") == src) & (F.col("_d_srid") == dst))
+        named = pixels.select(*keys, "row", "col", F.col(value).alias("value")).join(own.select("raster_id"), "raster_id", "left_semi")
+        source, target = (Grid(*(v if c == "srid" else F.col(f"_{p}_{c}") for c in GRID)) for p, v in (("s", src), ("d", dst)))
+        found = _warped(named, keys, source, target, resampling, bands.join(own, "raster_id"), own)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return pixels.select(*keys, "row", "col", F.col(value).cast("double").alias("value")).limit(0)
+    return out
+
+
+def _warped(pixels: DataFrame, keys: list[str], grid: Grid, dst: Grid, resampling: str, each: DataFrame, grids: DataFrame | None = None) -> DataFrame:
+    """``keys, row, col, value`` on ``dst`` for every row of ``each``, which holds the keys and the grids' columns."""
+    one_of("resampling", resampling, RESAMPLING)
+    numbers = [c for c in each.columns if c not in keys]
+    width, height = F.lit(dst.width), F.lit(dst.height)
+    # the target's rows first, then the pixels of each: no task starts with a whole raster
+    lines = each.withColumn("dst_row", F.explode(F.sequence(F.lit(0), (height - 1).cast("int"))))
+    n = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = lines.repartition(n, *keys, "dst_row").withColumn("dst_col", F.explode(F.sequence(F.lit(0), (width - 1).cast("int"))))
+    if resampling in ("average", "mode", "min", "max", "median"):
+        x, y = grid.place(F.col("col") + 0.5, F.col("row") + 0.5)
+        placed = pixels.where(valid("value"))
+        placed = placed if grids is None else placed.join(grids, "raster_id")
+        col, row = dst.locate(*C.transform_xy(grid.srid, dst.srid, x, y))
+        placed = placed.select(*keys, F.floor(row).cast("int").alias("row"), F.floor(col).cast("int").alias("col"), F.col("value").cast("double").alias("value"))
+        at = [*keys, "row", "col"]
+        if resampling == "mode":
+            votes = placed.groupBy(*at, "value").agg(F.count(F.lit(1)).alias("_n"))
+            found = votes.groupBy(*at).agg(F.max_by("value", F.struct("_n", -F.col("value"))).alias("value"))
+        elif resampling == "median":
+            found = placed.groupBy(*at).agg(F.median("value").alias("value"))
+        else:
+            found = placed.groupBy(*at).agg({"average": F.avg, "min": F.min, "max": F.max}[resampling]("value").alias("value"))
+        return cells.select(*keys, F.col("dst_row").alias("row"), F.col("dst_col").alias("col")).join(found, at, "left")
     x, y = dst.place(F.col("dst_col") + 0.5, F.col("dst_row") + 0.5)
     col, row = grid.locate(*C.transform_xy(dst.srid, grid.srid, x, y))
-    src = pixels.select("row", "col", F.col(value).alias("value"))
     if resampling == "nearest":
-        at = cells.withColumns({"row": F.floor(row).cast("int"), "col": F.floor(col).cast("int")})
-        return at.join(src, ["row", "col"], "left").select(
-            F.col("dst_row").alias("row"), F.col("dst_col").alias("col"), "value"
-        )
-    at = cells.withColumns({"_c": col - 0.5, "_r": row - 0.5})
-    corner = F.array(*[F.struct(F.lit(i).alias("dr"), F.lit(j).alias("dc")) for i in (0, 1) for j in (0, 1)])
+        at = cells.withColumns({"row": F.floor(row).cast("int"), "col": F.floor(col).cast("int")}).drop(*numbers)
+        return at.join(pixels, [*keys, "row", "col"], "left").select(*keys, F.col("dst_row").alias("row"), F.col("dst_col").alias("col"), "value")
+    at = cells.withColumns({"_c": col - 0.5, "_r0": row - 0.5, "_w": F.lit(grid.width), "_h": F.lit(grid.height)}).drop(*numbers)
+    reach = (0, 1) if resampling == "bilinear" else (-1, 0, 1, 2)
+    corner = F.array(*[F.struct(F.lit(i).alias("dr"), F.lit(j).alias("dc")) for i in reach for j in reach])
     at = at.withColumn("_o", F.explode(corner))
-    fr, fc = F.col("_r") - F.floor("_r"), F.col("_c") - F.floor("_c")
-    weight = F.when(F.col("_o.dr") == 1, fr).otherwise(1 - fr) * F.when(F.col("_o.dc") == 1, fc).otherwise(1 - fc)
+    fr, fc = F.col("_r0") - F.floor("_r0"), F.col("_c") - F.floor("_c")
+    if resampling == "bilinear":
+        weight = F.when(F.col("_o.dr") == 1, fr).otherwise(1 - fr) * F.when(F.col("_o.dc") == 1, fc).otherwise(1 - fc)
+    else:
+        weight = _kernel(F.abs(fr - F.col("_o.dr"))) * _kernel(F.abs(fc - F.col("_o.dc")))
     at = at.select(
-        "dst_row", "dst_col", (F.floor("_r") + F.col("_o.dr")).cast("int").alias("row"),
-        (F.floor("_c") + F.col("_o.dc")).cast("int").alias("col"), weight.alias("_w"),
-        (F.floor(F.col("_r") + 0.5).between(0, grid.height - 1) & F.floor(F.col("_c") + 0.5).between(0, grid.width - 1)).alias("_in"),
+        *keys, "dst_row", "dst_col", (F.floor("_r0") + F.col("_o.dr")).cast("int").alias("row"),
+        (F.floor("_c") + F.col("_o.dc")).cast("int").alias("col"), weight.alias("_k"),
+        (F.floor(F.col("_r0") + 0.5).between(0, F.col("_h") - 1) & F.floor(F.col("_c") + 0.5).between(0, F.col("_w") - 1)).alias("_in"),
     )
-    found = at.join(src, ["row", "col"], "left")
+    found = at.join(pixels, [*keys, "row", "col"], "left")
     have = F.col("value").isNotNull() & F.col("_in")
-    return found.groupBy("dst_row", "dst_col").agg(
-        F.sum(F.when(have, F.col("_w") * F.col("value"))).alias("s"), F.sum(F.when(have, F.col("_w"))).alias("w")
+    return found.groupBy(*keys, "dst_row", "dst_col").agg(
+        F.sum(F.when(have, F.col("_k") * F.col("value"))).alias("s"), F.sum(F.when(have, F.col("_k"))).alias("w")
     ).select(
-        F.col("dst_row").alias("row"), F.col("dst_col").alias("col"), F.when(F.col("w") > 0, F.col("s") / F.col("w")).alias("value")
+        *keys, F.col("dst_row").alias("row"), F.col("dst_col").alias("col"), F.when(F.col("w") > 0, F.col("s") / F.col("w")).alias("value")
     )
 
 
 # -- zones ----------------------------------------------------------------
 
 
-def _rect_tests(touched: bool, half: tuple[float, float]) -> str:
+def _rect_tests(touched: bool) -> str:
     if touched:
-        return "x + {0!r} > minx and x - {0!r} < maxx and y + {1!r} > miny and y - {1!r} < maxy".format(*half)
+        return "x + _hw > minx and x - _hw < maxx and y + _hh > miny and y - _hh < maxy"
     return "x > minx and x < maxx and y > miny and y < maxy"
 
 
 def centres_in_zones(
-    pixels: DataFrame, grid: Grid, zones: DataFrame, geom: str = "geom", all_touched: bool = False, block: int = 64
+    pixels: DataFrame, grid: Grid, zones: DataFrame, geom: str = "geom", all_touched: bool = False, block: int = 64, keys: list[str] | None = None,
 ) -> DataFrame:
     """Pixels joined to the zones that hold their centre (or touch them).
 
+    With ``keys`` the pixels are those of many rasters, and carry the columns that ``grid`` refers to.
+
     Zones meet blocks of pixels first, by the binned join on boxes; a pixel is tested
     against the outlines of its own block's zones only.
     """
     zone_cols = [c for c in zones.columns if c not in G.BBOX]
     zl = G.with_bbox(zones.select(zone_cols), geom).withColumn("_rect", F.expr(P.is_rectangle(geom)))
     zl = zl.select(*[F.col(c).alias(f"r_{c}") for c in zl.columns])
+    keys = list(keys or [])
+    own = [f"_g_{c}" for c in GRID] if keys else []
     blocks = pixels.select(
-        F.floor(F.col("row") / block).alias("l__br"), F.floor(F.col("col") / block).alias("l__bc")
+        *(F.col(k).alias(f"l_{k}") for k in keys), *own, F.floor(F.col("row") / block).alias("l__br"), F.floor(F.col("col") / block).alias("l__bc")
     ).distinct()
     x0, y0 = grid.place(F.col("l__bc") * block, F.col("l__br") * block)
     x1, y1 = grid.place((F.col("l__bc") + 1) * block, (F.col("l__br") + 1) * block)
@@ -393,23 +508,21 @@ def centres_in_zones(
     )
     near = candidate_pairs(blocks, zl)
     near = near.select(
-        F.col("l__br").alias("_br"), F.col("l__bc").alias("_bc"),
+        *(F.col(f"l_{k}").alias(k) for k in keys), F.col("l__br").alias("_br"), F.col("l__bc").alias("_bc"),
         *[F.col(f"r_{c}").alias(c) for c in [*zone_cols, *G.BBOX, "_rect"]],
     )
     x, y = grid.place(F.col("col") + 0.5, F.col("row") + 0.5)
     px = pixels.withColumns(
         {"_br": F.floor(F.col("row") / block), "_bc": F.floor(F.col("col") / block), "x": x, "y": y}
     )
-    half = (abs(grid.a) / 2, abs(grid.e) / 2)
-    hits = px.join(near, ["_br", "_bc"])
+    hits = px.join(near, [*keys, "_br", "_bc"]).withColumns({"_hw": F.abs(F.lit(grid.a)) / 2, "_hh": F.abs(F.lit(grid.e)) / 2})
     inside = f"({P.locate('x', 'y', geom)}) = 1"
     if all_touched:
-        hits = hits.withColumns({"_pg": G.box(F.col("x") - half[0], F.col("y") - half[1], F.col("x") + half[0], F.col("y") + half[1]),
-                                 "_pminx": F.col("x") - half[0], "_pmaxx": F.col("x") + half[0],
-                                 "_pminy": F.col("y") - half[1], "_pmaxy": F.col("y") + half[1]})
+        hits = hits.withColumns({"_pminx": F.col("x") - F.col("_hw"), "_pmaxx": F.col("x") + F.col("_hw"), "_pminy": F.col("y") - F.col("_hh"), "_pmaxy": F.col("y") + F.col("_hh")})
+        hits = hits.withColumn("_pg", G.box("_pminx", "_pminy", "_pmaxx", "_pmaxy"))
         inside = P.intersects("_pg", geom, "_p", "")
-    test = F.expr(f"case when _rect then {_rect_tests(all_touched, half)} else {inside} end")
-    return hits.where(test).drop("_br", "_bc", "_rect", "x", "y", "_pg", "_pminx", "_pmaxx", "_pminy", "_pmaxy", *G.BBOX)
+    test = F.expr(f"case when _rect then {_rect_tests(all_touched)} else {inside} end")
+    return hits.where(test).drop(*own, "_br", "_bc", "_rect", "x", "y", "_hw", "_hh", "_pg", "_pminx", "_pmaxx", "_pminy", "_pmaxy", *G.BBOX)
 
 
 def zonal_stats(
@@ -421,26 +534,60 @@ def zonal_stats(
     ``key`` is unique per zone.  A zone without data has count 0 and NULL statistics;
     overlapping zones each count a shared pixel.
     """
-    for name in stats:
-        choice(name, "statistic", ZONAL_STATS)
     srid = C.layer_srid(zones, zones_srid)
     shaped = zones.select(key, C.transform_geom(F.col(geom), srid, grid.srid).alias(geom))
+    # read again by the median
     hits = centres_in_zones(pixels.where(valid("value")), grid, shaped, geom, all_touched).select(key, "value")
+    return _zone_table(zones, hits, [key], stats, prefix)
+
+
+def _zone_table(zones: DataFrame, hits: DataFrame, keys: list[str], stats, prefix: str) -> DataFrame:
+    """``zones`` with the statistics of ``hits(keys, value)``."""
+    for name in stats:
+        one_of("statistic", name, ZONAL_STATS)
+    if "median" in stats:
+        hits = cut_lineage(hits)  # read twice
     aggregates = {
         "count": F.count("value"), "mean": F.avg("value"), "min": F.min("value"), "max": F.max("value"),
         "sum": F.sum("value"), "std": F.stddev_pop("value"),
     }
     wanted = [n for n in stats if n != "median"] or ["count"]
-    summary = hits.groupBy(key).agg(*[aggregates[n].alias(f"{prefix}_{n}") for n in wanted])
-    out = zones.join(summary, key, "left")
+    summary = hits.groupBy(*keys).agg(*[aggregates[n].alias(f"{prefix}_{n}") for n in wanted])
+    out = zones.join(summary, keys, "left")
     if "median" in stats:
-        med = group_percentiles(hits, [key], "value", [0.5]).select(key, F.col("p0").alias(f"{prefix}_median"))
-        out = out.join(med, key, "left")
+        med = group_percentiles(hits, keys, "value", [0.5]).select(*keys, F.col("p0").alias(f"{prefix}_median"))
+        out = out.join(med, keys, "left")
     if "count" in wanted:
         out = out.withColumn(f"{prefix}_count", F.coalesce(f"{prefix}_count", F.lit(0)))
     return out if "count" in stats or wanted != ["count"] else out.drop(f"{prefix}_count")
 
 
+def zonal_stats_all(
+    pixels: DataFrame, rasters: DataFrame, zones: DataFrame, key: str, stats=("count", "mean", "min", "max"), keys: list[str] | None = None,
+    prefix: str = "raster", all_touched: bool = False, geom: str = "geom", zones_srid: int | None = None,
+) -> DataFrame:
+    """``zonal_stats`` of many rasters and bands at once: a row for every zone and every one of ``keys``, ``raster_id`` first.
+
+    ``rasters`` holds ``raster_id`` and the columns of ``GRID``; zones are brought into the coordinate system
+    of each.
+    """
+    keys, srid = list(keys or ["raster_id"]), C.layer_srid(zones, zones_srid)
+    hits = None
+    for own in srids_of(rasters):
+        shaped = zones.select(key, C.transform_geom(F.col(geom), srid, own).alias(geom))
+        placed = with_grid(pixels.where(valid("value")), rasters.where(F.col("srid") == own), ["raster_id"])
+        found = centres_in_zones(placed, grid_of("_g_"), shaped, geom, all_touched, keys=keys).select(key, *keys, "value")
+        hits = found if hits is None else hits.unionByName(found)
+    bands = pixels.select(*keys).distinct()
+    if hits is None:
+        hits = pixels.select(*keys, "value").limit(0).withColumn(key, F.lit(None).cast(zones.schema[key].dataType))
+    # a row for every zone and band is what is asked for; the bands are dealt, so that no task has them all
+    n = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = bands.withColumn("_b", F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int"))
+    every = dealt.join(zones.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))), "_b").drop("_b")
+    return _zone_table(every, hits, [key, *keys], stats, prefix)
+
+
 # -- resampling and mosaics -----------------------------------------------
 
 
@@ -450,7 +597,7 @@ def build_pyramid(tiles: DataFrame, levels: int, resample: str = "nearest") -> D
     ``nearest`` keeps the upper left pixel of each 2x2 block, ``average`` the mean of
     its valid pixels.
     """
-    choice(resample, "resample", ("nearest", "average"))
+    one_of("resample", resample, ("nearest", "average"))
     keys = [c for c in ("raster_id", "band") if c in tiles.columns]
     base = tiles.select(*keys, F.lit(0).alias("level"), "tile_row", "tile_col", "h", "w", "values")
     out, below = base, base
@@ -506,10 +653,10 @@ def downsample_factor(grid: Grid, max_side: int) -> int:
     return max(1, math.ceil(max(grid.width, grid.height) / max_side))
 
 
-def mosaic(pixels: DataFrame, priority: str, value: str = "value") -> DataFrame:
-    """Rasters on one grid merged: the lowest ``priority`` with a valid pixel wins each cell."""
-    best = F.min_by(F.col(value), F.when(F.col(value).isNotNull(), F.col(priority)))
-    return pixels.groupBy("row", "col").agg(best.alias(value))
+def mosaic(pixels: DataFrame, priority: str, value: str = "value", keys: list[str] | None = None) -> DataFrame:
+    """Rasters on one grid merged: the lowest ``priority`` with a valid pixel wins each cell (of each band, with ``keys``)."""
+    best = F.min_by(F.col(value), F.when(valid(value), F.col(priority)))
+    return pixels.groupBy(*(keys or []), "row", "col").agg(best.alias(value))
 
 
 def combine_bounds(boxes: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import choice
+from ..session import one_of
 from .raster import Grid
 
 SIDES = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if (dr, dc) != (0, 0)]
@@ -162,7 +162,7 @@ def hillshade(tiles: DataFrame, grid: Grid, azimuth: float = 315.0, altitude: fl
 
 
 def slope(tiles: DataFrame, grid: Grid, units: str = "degrees", z_factor: float = 1.0) -> DataFrame:
-    choice(units, "units", ("degrees", "percent"))
+    one_of("units", units, ("degrees", "percent"))
 
     def steepness(x: Column, y: Column) -> Column:
         g = F.hypot(x, y)

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from ..functions import crs as C
 from ..functions import geom as G
 from ..functions import predicates as P
-from ..session import choice, number, require_columns
+from ..session import measure, one_of, require_columns
 from .percentiles import group_percentiles
+from .validity import with_reasons
 
 STATISTICS = ("count", "sum", "mean", "min", "max", "median")
 VALUE_OPERATORS = (
@@ -68,9 +69,7 @@ def list_layers(df: DataFrame, layer: str = "layer", geom: str = "geom") -> Data
 
 def with_validity(df: DataFrame, geom: str = "geom") -> DataFrame:
     """Add ``empty`` and ``reason`` (NULL when the geometry is valid)."""
-    return df.withColumns(
-        {"empty": G.is_empty(F.col(geom)), "reason": F.expr(P.invalid_reason(geom))}
-    )
+    return with_reasons(df, geom).withColumn("empty", G.is_empty(F.col(geom)))
 
 
 def check_geometry(df: DataFrame, geom: str = "geom") -> DataFrame:
@@ -232,7 +231,7 @@ def simplify(
     With ``preserve_topology`` a ring that would collapse keeps its vertices, and a
     valid geometry that would become invalid is left as it was.
     """
-    number(tolerance, "tolerance")
+    measure("tolerance", tolerance)
 
     @F.pandas_udf("array<array<boolean>>")
     def flags(xs: pd.Series, ys: pd.Series) -> pd.Series:
@@ -307,7 +306,7 @@ def points_along(
 
     ``max_points`` reads one aggregate first and refuses a denser result.
     """
-    number(interval, "interval", positive=True)
+    measure("interval", interval, above_zero=True)
     if max_points is not None:
         total = lines_of(df, geom).agg(F.sum(G.length(F.col(geom)))).first()[0] or 0.0
         if total / interval + 1 > max_points:
@@ -358,9 +357,9 @@ def grid(
     Rectangles in the last column and row end at the extent.  Hexagons are
     ``cell_width`` across the corners; those wholly outside are dropped.
     """
-    choice(kind, "kind", ("rectangle", "hexagon"))
-    number(cell_width, "cell_width", positive=True)
-    height = number(cell_width if cell_height is None else cell_height, "cell_height", positive=True)
+    one_of("kind", kind, ("rectangle", "hexagon"))
+    measure("cell_width", cell_width, above_zero=True)
+    height = measure("cell_height", cell_width if cell_height is None else cell_height, above_zero=True)
     west, south, east, north = map(float, bounds)
     if not (0 < east - west < math.inf and 0 < north - south < math.inf):
         raise ValueError(f"bounds {bounds!r} span no finite area")
@@ -429,7 +428,7 @@ def select_by_value(df: DataFrame, column: str, operator: str, value=None) -> Da
     cell = F.col(column)
     empty = is_blank(cell, dict(df.dtypes)[column])
     on_emptiness = {"is-null": empty, "is-not-null": ~empty}
-    if choice(operator, "operator", VALUE_OPERATORS) in on_emptiness:
+    if one_of("operator", operator, VALUE_OPERATORS) in on_emptiness:
         return df.where(on_emptiness[operator])
     if value is None:
         raise ValueError(f"there is no value to test {column!r} with by {operator}")
@@ -487,8 +486,8 @@ def point_density(
 
     Points are first summed per cell, so a hot spot is one row before it is spread.
     """
-    number(cell, "cell", positive=True)
-    number(intensity, "intensity")
+    measure("cell", cell, above_zero=True)
+    measure("intensity", intensity)
     pts = df.select(F.explode(G.vertices(F.col(geom))).alias("p"), *([F.col(weight)] if weight else []))
     value = F.col(weight).cast("double") if weight else F.lit(1.0)
     binned = pts.groupBy(
@@ -507,7 +506,7 @@ def point_density(
 
 def class_breaks(df: DataFrame, column: str, k: int, scheme: str = "quantile") -> DataFrame:
     """One row per class: ``class_id`` 0..k-1 with ``low`` and ``high``."""
-    choice(scheme, "scheme", ("quantile", "equal-interval"))
+    one_of("scheme", scheme, ("quantile", "equal-interval"))
     if k < 1:
         raise ValueError("k must be at least 1")
     require_columns(df, [column])

@@ -37,9 +37,9 @@ def nms_low_threshold(spark, sf):
     return N.greedy_nms(L.detections(spark, sf), 0.2, ["label"]).select("id")
 
 
-@query("nms_class_blind")
+@query("nms_class_blind", ", blind as (select *, 0 as one from detections)" + _GREEDY.format(part="one", key="one", t=0.7).replace("from detections", "from blind"), base=(L.DETECTIONS,), recursive=True)
 def nms_class_blind(spark, sf):
-    """Class-blind suppression; the SQL form is one long sequential recursion, so tests use brute force."""
+    """Class-blind suppression; its SQL takes the boxes one by one."""
     return N.greedy_nms(L.detections(spark, sf), 0.7).select("id")
 
 
@@ -209,16 +209,24 @@ def detections_to_tile_pixels(spark, sf):
 
 
 def _in_windows(spark, sf):
-    """Detections seen by every 256-pixel window of a 600 x 600 raster that holds them whole."""
-    one = L.table(spark, sf, "part").agg(F.count(F.lit(1))).select(F.lit("r").alias("raster_id"), F.lit(600).alias("width"), F.lit(600).alias("height"))
-    windows = T.plan_tiles(one, 256, 100)
+    """Detections, enlarged, seen by every 256-pixel window that holds them whole, of the raster they span."""
     d = L.detections(spark, sf).select("id", "label", "score", *[(F.col(c) * 2.9).alias(c) for c in N.BOX])
+    one = d.agg(F.ceil(F.max("x1")).cast("int").alias("width"), F.ceil(F.max("y1")).cast("int").alias("height"))
+    windows = T.plan_tiles(one.select(F.lit("r").alias("raster_id"), "width", "height"), 256, 100)
     return T.prompts_in_tiles(d, windows)
 
 
-_W = """win as (select unnest([0, 115, 229, 344]) as x), wins as (select a.x as x, b.x as y from win a, win b),
-big as (select id, label, score, x0*2.9::double as x0, y0*2.9::double as y0, x1*2.9::double as x1, y1*2.9::double as y1 from detections),
-seen as (select big.*, wins.x as wx, wins.y as wy from big join wins on x0 >= wins.x and y0 >= wins.y and x1 < wins.x+256 and y1 < wins.y+256)"""
+def _axis(side: str) -> str:
+    """The starts of the windows along one side, and the half-open cores between the middles of their overlaps."""
+    return f"""{side}s as (select unnest(range(greatest(2, ceil(({side}_n - 256)/156.0)::bigint + 1))) as i, greatest(2, ceil(({side}_n - 256)/156.0)::bigint + 1) as n, {side}_n from size),
+{side}t as (select i, n, {side}_n, round_even(i * ({side}_n - 256) / (n - 1)::double, 0)::bigint as s from {side}s),
+{side}w as (select s, case when i = 0 then 0 else (lag(s) over (order by i) + 256 + s) / 2.0::double end as lo, case when i = n - 1 then {side}_n else (s + 256 + lead(s) over (order by i)) / 2.0::double end as hi from {side}t)"""
+
+
+_W = f"""big as (select id, label, score, x0*2.9::double as x0, y0*2.9::double as y0, x1*2.9::double as x1, y1*2.9::double as y1 from detections),
+size as (select ceil(max(x1))::bigint as x_n, ceil(max(y1))::bigint as y_n from big), {_axis("x")}, {_axis("y")},
+seen as (select big.*, xw.s as wx, yw.s as wy, xw.lo as x_lo, xw.hi as x_hi, yw.lo as y_lo, yw.hi as y_hi
+  from big join xw on x0 >= xw.s and x1 < xw.s+256 join yw on y0 >= yw.s and y1 < yw.s+256)"""
 
 
 @query("prompts_in_tiles", "select id, wx::integer as x, wy::integer as y from seen", base=(L.DETECTIONS, _W))
@@ -229,9 +237,7 @@ def prompts_in_tiles(spark, sf):
 @query(
     "core_ownership",
     """, e as (select *, (x0+x1)/2 as cx, (y0+y1)/2 as cy from seen)
-       select id, wx::integer as x, wy::integer as y from e where
-       cx >= case wx when 0 then 0 when 115 then 185.5 when 229 then 300 else 414.5 end and cx < case wx when 0 then 185.5 when 115 then 300 when 229 then 414.5 else 600 end and
-       cy >= case wy when 0 then 0 when 115 then 185.5 when 229 then 300 else 414.5 end and cy < case wy when 0 then 185.5 when 115 then 300 when 229 then 414.5 else 600 end""",
+       select id, wx::integer as x, wy::integer as y from e where cx >= x_lo and cx < x_hi and cy >= y_lo and cy < y_hi""",
     base=(L.DETECTIONS, _W),
 )
 def core_ownership(spark, sf):

@@ -79,12 +79,47 @@ def check_geometry(spark, sf):
 
 @query(
     "invalid_details",
-    "select s_suppkey, 'Self-intersection' as reason from supplier where s_suppkey%3=0 order by 1 limit 50",
+    "select s_suppkey, 'Self-intersection' as reason from supplier where s_suppkey%3=0",
 )
 def invalid_details(spark, sf):
     return V.invalid_details(_bowties(spark, sf), "s_suppkey")
 
 
+def _flawed(spark, sf):
+    """Supplier boxes turned into seven kinds of polygons, by key: five invalid and two valid ones."""
+    b = G.with_bbox(L.boxes(spark, sf)).withColumn("k", F.col("s_suppkey") % 7)
+    x, y = F.col("minx"), F.col("miny")
+
+    def square(dx: float, dy: float, side: float):
+        u, v = x + dx, y + dy
+        return F.array(G.xy(u, v), G.xy(u + side, v), G.xy(u + side, v + side), G.xy(u, v + side), G.xy(u, v))
+
+    def shape(*parts):
+        made = F.array(*(F.struct(F.array(*p).alias("rings")) for p in parts))
+        return G.make(F.lit("Polygon" if len(parts) == 1 else "MultiPolygon"), made)
+
+    bow = F.array(G.xy(x, y), G.xy(x + 8, y + 8), G.xy(x + 8, y), G.xy(x, y + 8), G.xy(x, y))
+    shell, hole = square(0, 0, 8), square(1, 1, 4)
+    kinds = {
+        0: shape([bow]), 1: shape([shell, square(20, 1, 2)]), 2: shape([shell, hole, square(2, 2, 1)]), 3: shape([shell], [square(2, 2, 3)]),
+        4: shape([shell], [square(8, 0, 8)]), 5: shape([shell, hole], [square(2, 2, 1)]), 6: shape([shell, hole, square(5, 5, 2)]),
+    }
+    g = None
+    for k, s in kinds.items():
+        g = F.when(F.col("k") == k, s) if g is None else g.when(F.col("k") == k, s)
+    return b.select("s_suppkey", g.alias("geom"), "srid")
+
+
+@query(
+    "invalid_reasons",
+    """select s_suppkey, case s_suppkey % 7 when 0 then 'Self-intersection' when 1 then 'Hole lies outside shell' when 2 then 'Holes are nested'
+       when 3 then 'Nested shells' else 'Self-intersection' end as reason from supplier where s_suppkey % 7 < 5""",
+)
+def invalid_reasons(spark, sf):
+    """A crossing, a hole outside its shell, a hole in a hole, a shell in a shell, and parts that share an edge."""
+    return V.invalid_details(_flawed(spark, sf), "s_suppkey")
+
+
 @query(
     "reproject_mercator",
     """select c_custkey, round(radians(x)*6378137.0, 3) as mx,
@@ -99,14 +134,20 @@ def reproject_mercator(spark, sf):
 
 @query(
     "reproject_utm_round_trip",
-    "select c_custkey, round(x, 5) as x, round(y, 5) as y from points where x between 0 and 12 and y between -80 and 80",
+    "select c_custkey, round(x, 5) as x, round(y, 5) as y from points",
     base=(L.POINTS,),
 )
 def reproject_utm_round_trip(spark, sf):
-    p = L.points(spark, sf).where("x between 0 and 12 and y between -80 and 80").select("c_custkey", "geom", "srid")
-    back = V.reproject(V.reproject(p, 32632, srid=4326), 4326, srid=32632)
+    """Every point to a zone near its own and back; the zones, six degrees wide, are taken six at a time."""
+    p = L.points(spark, sf).withColumn("_band", F.least(F.floor((F.col("x") + 180) / 36), F.lit(9)))
+    out = None
+    for band in range(10):
+        code = 32600 + 6 * band + 3
+        own = p.where(F.col("_band") == band).select("c_custkey", "geom", "srid")
+        back = V.reproject(V.reproject(own, code, srid=4326), 4326, srid=code)
+        out = back if out is None else out.unionByName(back)
     v = F.get(G.vertices(F.col("geom")), F.lit(0))
-    return back.select("c_custkey", F.round(v["x"], 5).alias("x"), F.round(v["y"], 5).alias("y"))
+    return out.select("c_custkey", F.round(v["x"], 5).alias("x"), F.round(v["y"], 5).alias("y"))
 
 
 @query(
@@ -461,9 +502,9 @@ def attribute_join(spark, sf):
 
 @query(
     "bbox_overlap_unknown_passes",
-    "select id from scenes where not has_box or (west <= 40 and east >= -10 and south <= 60 and north >= 30)",
+    "select id from items where not has_box or (west <= 40 and west + 1 + k%3 >= -10 and south <= 60 and south + 1 + k%2 >= 30)",
     base=(L.SCENES,),
 )
 def bbox_overlap_unknown(spark, sf):
-    s = L.scene_items(spark, sf).where(F.col("ordinal") % 21 != 0)
+    s = L.scene_items(spark, sf)
     return s.where(J.bbox_overlaps(F.col("bbox"), [-10, 30, 40, 60])).select("id")
