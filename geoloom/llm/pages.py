@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -89,28 +90,82 @@ class Forest:
         return len(self.page) - 1
 
 
-def _groups(attributes: str) -> tuple[int, str | None]:
-    """The class-word groups of an element, as bits, and its ``data-truth`` mark."""
-    bits, truth = 0, None
+def _groups(attributes: str, masked: bool = False) -> int:
+    """The class-word groups of an element, as bits; without those of its class, id and role if ``masked``."""
+    bits = 0
     for name, a, b, c in _ATTR.findall(attributes):
         name, value = name.lower(), a or b or c
         if name in ("class", "id", "role"):
-            for word in _PART.findall(html.unescape(value)):
+            for word in () if masked else _PART.findall(html.unescape(value)):
                 at = GROUP_OF.get(word.lower())
                 if at is not None:
                     bits |= 1 << at
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
             bits |= 1 << GROUP_OF["hidden"]
-        elif name == "data-truth":
-            truth = value
-    return bits, truth
-
-
-def parse(forest: Forest, page: int, source: str) -> None:
-    """Add the tree of one page; unclosed and stray tags are taken as browsers take them."""
+    return bits
+
+
+class _Open:
+    """The open elements ``tag, node, label``, with what is needed to find one without looking at all of them."""
+
+    def __init__(self, lowest: list[tuple[str, int, int]]):
+        self.items, self.lowest = lowest, len(lowest)
+        self.count: Counter[str] = Counter()
+        #: Where the fences stand, and what is open above each of them.
+        self.fences, self.above = [], [Counter()]
+
+    def push(self, tag: str, node: int, label: int) -> None:
+        self.items.append((tag, node, label))
+        self.count[tag] += 1
+        if tag in FENCE:
+            self.fences.append(len(self.items) - 1)
+            self.above.append(Counter())
+        else:
+            self.above[-1][tag] += 1
+
+    def cut(self, at: int) -> list[str]:
+        """Close everything from place ``at`` on; the closed tags."""
+        gone = []
+        while len(self.items) > at:
+            tag = self.items.pop()[0]
+            gone.append(tag)
+            self.count[tag] -= 1
+            if tag in FENCE:
+                self.fences.pop()
+                self.above.pop()
+            else:
+                self.above[-1][tag] -= 1
+        return gone
+
+    def last(self, tags) -> int:
+        """The place of the last open one of ``tags``: all that is above it is about to be closed."""
+        at = len(self.items) - 1
+        while self.items[at][0] not in tags:
+            at -= 1
+        return at
+
+    def to_close(self, tag: str) -> int | None:
+        """What the opening of ``tag`` closes: above the innermost fence, or that fence itself."""
+        closes = CLOSES.get(tag, ())
+        if any(self.above[-1][t] > 0 for t in closes):
+            return self.last(closes)
+        if self.fences and self.items[self.fences[-1]][0] in closes:
+            return self.fences[-1]
+        return None
+
+
+def parse(forest: Forest, page: int, source: str, truth: dict[int, int] | None = None, masked: bool = False) -> None:
+    """Add the tree of one page; unclosed and stray tags are taken as browsers take them.
+
+    ``truth`` labels elements by where they begin in the source; all within has the label too.  ``masked``
+    takes telling tags for ``div`` and reads no classes.  An element nested deeper than ``MOST_DEPTH`` hangs,
+    as in browsers, from its ancestor there.  Time grows with the length of the source alone.
+    """
     root = forest.add(page, -1, _TAG_OF["html"])
-    # tag, node of the enclosing block, label; a page has a body whether it says so or not
-    stack: list[tuple[str, int, int]] = [("html", root, 0), ("body", forest.add(page, root, _TAG_OF["body"]), 0)]
+    # a page has a body whether it says so or not
+    open_ = _Open([("html", root, 0), ("body", forest.add(page, root, _TAG_OF["body"]), 0)])
+    stack = open_.items
+    ahead: dict[str, re.Match | None] = {}
     text: list[str] = []
     links, linked = 0, 0
 
@@ -132,10 +187,17 @@ def parse(forest: Forest, page: int, source: str) -> None:
 
     def close(at: int) -> None:
         nonlocal links
-        if any(t in BLOCK for t, *_ in stack[at:]):
+        if any(stack[i][0] in BLOCK for i in range(at, len(stack))):
             flush()
-        links = max(0, links - sum(t == "a" for t, *_ in stack[at:]))
-        del stack[at:]
+        links = max(0, links - open_.cut(at).count("a"))
+
+    def following(pattern: str, at: int) -> re.Match | None:
+        """The next match of a pattern; each part of the source is searched for it once."""
+        m = ahead[pattern] if pattern in ahead else re.compile(pattern, re.I).search(source, at)
+        while m is not None and m.start() < at:
+            m = re.compile(pattern, re.I).search(source, at)
+        ahead[pattern] = m
+        return m
 
     at, end = 0, len(source)
     while at < end:
@@ -149,15 +211,14 @@ def parse(forest: Forest, page: int, source: str) -> None:
             continue
         tag = m[2].lower()
         if m[1]:
-            found = next((i for i in range(len(stack) - 1, 1, -1) if stack[i][0] == tag), 0)
-            if found:
-                close(found)
+            if open_.count[tag] > 0:
+                close(open_.last((tag,)))
             elif tag == "p":
                 flush()
             continue
         if tag in SKIP:
-            stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(source, at) if not m[3].endswith("/") else None
-            body = re.compile(r"<body\b", re.I).search(source, at) if tag == "head" else None
+            stop = following(rf"</{re.escape(tag)}\b[^>]*>?", at) if not m[3].endswith("/") else None
+            body = following(r"<body\b", at) if tag == "head" else None
             if body and (not stop or body.start() < stop.start()):
                 at = body.start()
             elif stop:
@@ -166,28 +227,25 @@ def parse(forest: Forest, page: int, source: str) -> None:
                 at = end
             text.append(" ")
             continue
-        if tag in CLOSES:
-            for i in range(len(stack) - 1, 1, -1):
-                if stack[i][0] in CLOSES[tag]:
-                    close(i)
-                    break
-                if stack[i][0] in FENCE and stack[i][0] not in CLOSES[tag]:
-                    break
+        found = open_.to_close(tag)
+        if found is not None:
+            close(found)
         if tag in BLOCK:
             flush()
-            group, truth = _groups(m[3])
-            label = int(truth) if truth else stack[-1][2]
             if tag in ("html", "body"):
                 continue
             if tag not in VOID:
+                label = (truth or {}).get(m.start(), stack[-1][2])
                 parent = stack[-1][1]
-                node = forest.add(page, parent, _TAG_OF.get(tag, len(TAGS)), group, label=label) if forest.depth[parent] < MOST_DEPTH else parent
-                stack.append((tag, node, label))
+                while forest.depth[parent] >= MOST_DEPTH:
+                    parent = forest.parent[parent]
+                seen = "div" if masked and tag in TELLING else tag
+                open_.push(tag, forest.add(page, parent, _TAG_OF.get(seen, len(TAGS)), _groups(m[3], masked), label=label), label)
         elif tag in VOID:
             text.append(" ")
         elif not m[3].endswith("/"):
             links += tag == "a"
-            stack.append((tag, stack[-1][1], stack[-1][2]))
+            open_.push(tag, stack[-1][1], stack[-1][2])
     flush()
 
 
@@ -293,8 +351,8 @@ AROUND = (
 INSIDE = (("article", ""), ("main", ""), ("div", "content"), ("div", "post entry"), ("section", "article-body"), ("div", ""), ("td", ""))
 
 
-def composed(n: int, seed: int = 7) -> list[str]:
-    """``n`` labelled pages: an article in one of the usual containers, among what usually surrounds it."""
+def composed(n: int, seed: int = 7) -> list[tuple[str, dict[int, int]]]:
+    """``n`` pages and their labels by place: an article in one of the usual containers, among what usually surrounds it."""
     r = np.random.default_rng(seed)
     parts = "an be co de el fi gra ho in jo ka lu mo ne or pi qua re sti to un ve wi ya zo".split()
 
@@ -325,30 +383,27 @@ def composed(n: int, seed: int = 7) -> list[str]:
         )
         head = f"<h1>{words(4)}</h1>"
         head = f"<header>{head}</header>" if r.random() < 0.2 else head
-        own = "" if r.random() < 0.7 else "<{0} class='{1}' data-truth='0'>{2}</{0}>".format(*(lambda x: (x[0], x[1], inside(x[2])))(AROUND[int(r.integers(7, len(AROUND)))]))
-        article = f"<{tag} class='{css}' data-truth='1'>{head}{body}{own}</{tag}>"
+        own = "" if r.random() < 0.7 else "\0<{0} class='{1}'>{2}</{0}>".format(*(lambda x: (x[0], x[1], inside(x[2])))(AROUND[int(r.integers(7, len(AROUND)))]))
+        article = f"\1<{tag} class='{css}'>{head}{body}{own}</{tag}>"
         article = f"<table><tr>{article}</tr></table>" if tag == "td" else article
         bare = [c if t not in ("nav", "header", "footer", "aside", "form", "dialog") or r.random() < 0.5 else "" for t, c, _ in around]
-        pieces = [f"<{t} class='{c}' data-truth='0'>{inside(k)}</{t}>" for (t, _, k), c in zip(around, bare)]
+        pieces = [f"\0<{t} class='{c}'>{inside(k)}</{t}>" for (t, _, k), c in zip(around, bare)]
         page = "".join(pieces[:split]) + article + "".join(pieces[split:])
-        out.append(f"<html><body><div id='page'>{page}</div></body></html>" if r.random() < 0.5 else f"<html><body>{page}</body></html>")
+        page = f"<html><body><div id='page'>{page}</div></body></html>" if r.random() < 0.5 else f"<html><body>{page}</body></html>"
+        marks = [(m.start(), ord(m[0])) for m in re.finditer("[\0\1]", page)]
+        out.append((re.sub("[\0\1]", "", page), {at - i: label for i, (at, label) in enumerate(marks)}))
     return out
 
 
 _MARKED = re.compile(r"<(article|main)\b", re.I)
-_TELLING = re.compile(r"<(/?)(article|main|nav|header|footer|aside)\b", re.I)
+#: Tags that say what they hold.
+TELLING = frozenset(("article", "main", "nav", "header", "footer", "aside"))
 
 
-def self_labelled(source: str) -> str | None:
+def self_labelled(source: str) -> tuple[str, dict[int, int]] | None:
     """A page with one article element, marked as content; None for others."""
-    found = _MARKED.findall(source)
-    return _MARKED.sub(lambda m: f"<{m[1]} data-truth='1'", source) if len(found) == 1 else None
-
-
-def masked(source: str) -> str:
-    """A page without its telling tags and classes; labels stay."""
-    source = re.sub(r"(<[a-zA-Z][^>]*?)\s(?:class|id|role)=(?:\"[^\"]*\"|'[^']*')", r"\1", source)
-    return _TELLING.sub(r"<\1div", source)
+    found = list(_MARKED.finditer(source))
+    return (source, {found[0].start(): 1}) if len(found) == 1 else None
 
 
 def fit(pages: list[str], n_composed: int = 160) -> Model:
@@ -356,8 +411,8 @@ def fit(pages: list[str], n_composed: int = 160) -> Model:
     marked = [m for m in map(self_labelled, pages) if m]
     made = composed(n_composed)
     f = Forest()
-    for i, source in enumerate([*made, *marked, *map(masked, made[::8]), *map(masked, marked[::4])]):
-        parse(f, i, source)
+    for i, (source, truth) in enumerate([*made, *marked, *made[::8], *marked[::4]]):
+        parse(f, i, source, truth, masked=i >= len(made) + len(marked))
     a = arrays(f)
     # an element is content when content stands in it, so that no content stands below what is not
     inside = (a["tag"] == _TAG_OF["#text"]) & (a["label"] == 1)
@@ -392,7 +447,11 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html_colum
     if model is None:
         # long pages teach no more than short ones: those of the sample are bounded as well
         marked = base.where(F.col("t").rlike("(?i)<(article|main)\\b") & (F.octet_length("t") < 1 << 16))
-        model = fit([r.t for r in marked.select("t", F.xxhash64("t").alias("h")).orderBy("h", "t").limit(sample).select("t").collect()])
+        marked = marked.withColumn("h", F.xxhash64("t"))
+        # the hashes first, so that no task sends more than eight bytes a page; then one page for each
+        least = [r.h for r in marked.select("h").distinct().orderBy("h").limit(sample).collect()]
+        chosen = marked.where(F.col("h").isin(least)).groupBy("h").agg(F.min("t").alias("t")).collect()
+        model = fit([r.t for r in sorted(chosen, key=lambda r: r.h)])
     kinds = [pages.schema[c].dataType.simpleString() for c in (key, url)]
 
     def block(rows, texts):
