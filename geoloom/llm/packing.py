@@ -64,59 +64,85 @@ def _column(first: int, take: np.ndarray, lengths: np.ndarray, left: np.ndarray,
     return out
 
 
+def _pass(left_of: dict[int, int], capacity: int, waste: int, rounds: int, columns: int, step: float, rate: float, bonus: float, stop: float) -> tuple[dict[Column, int], int]:
+    """One solution of the program over ``left_of``, rounded, and the least waste above ``waste`` of a column found."""
+    lengths = np.array(sorted(left_of), np.int64)
+    need = np.array([left_of[n] for n in lengths.tolist()], np.float64)
+    whole = need.astype(np.int64)
+    share = np.zeros(len(lengths))
+    weight: dict[tuple, float] = {}
+    least = capacity
+    for _ in range(rounds):
+        open_ = np.flatnonzero(share < 1 - 1e-9)
+        if share.mean() > stop:
+            break
+        part = lengths[open_] / capacity
+        prices = part * np.exp(bonus * part - rate * (share[open_] - share[open_].mean()))
+        take = _knapsack(lengths[open_], prices, capacity)
+        for first in np.argsort(share[open_], kind="stable")[:columns].tolist():
+            column = {int(open_[i]): n for i, n in _column(first, take, lengths[open_], whole[open_], capacity).items()}
+            free = capacity - sum(int(lengths[i]) * n for i, n in column.items())
+            if free > waste:
+                least = min(least, free)
+                continue
+            at, many = np.fromiter(column, np.int64), np.fromiter(column.values(), np.float64)
+            per = many / need[at]
+            times = min(step / float(per.max()), float(((1 - share[at]) / per).min()))
+            if times > 1e-9:
+                share[at] += times * per
+                key = tuple(sorted(column.items()))
+                weight[key] = weight.get(key, 0.0) + times
+    used: dict[Column, int] = {}
+    left = whole.copy()
+    for key, times in sorted(weight.items(), key=lambda x: -x[1]):
+        times = min([max(1, round(times)), *(int(left[i]) // n for i, n in key)])
+        if times > 0:
+            name = tuple((int(lengths[i]), n) for i, n in sorted(key, reverse=True))
+            used[name] = used.get(name, 0) + times
+            for i, n in key:
+                left[i] -= times * n
+    return used, least
+
+
 def solve(counts: dict[int, int], capacity: int, rounds: int = 30, columns: int = 128, step: float = 0.2, rate: float = 0.1, bonus: float = 1.0, waste: int = 0, stop: float = 0.9) -> dict[Column, int]:
     """Columns and how often each is used, so that every piece of the histogram ``counts`` has one place.
 
     A round prices a length at its part of a sequence, raised by ``bonus`` for long pieces and lowered by
     ``rate`` for a covered share above the mean; each chosen column covers at most ``step`` of a length.
     Columns that leave more than ``waste`` tokens free are not used, and a pass ends when the mean share
-    covered exceeds ``stop``: what is left then still has the mix of lengths that packs without loss.
+    covered exceeds ``stop``: what is left then still has the mix of lengths that packs without loss.  A pass
+    that places little raises ``waste`` to the least that was found.  The last remainder of each such step is also packed by best fit,
+    and the plan with the fewest sequences is taken.
     """
-    used: dict[Column, int] = {((n, 1),): k for n, k in counts.items() if n == capacity}
+    full = {((n, 1),): k for n, k in counts.items() if n == capacity}
     left_of = {n: k for n, k in counts.items() if 0 < n < capacity and k > 0}
-
-    def use(column: dict[int, int], lengths: np.ndarray, times: int) -> None:
-        name = tuple((int(lengths[i]), column[i]) for i in sorted(column, reverse=True))
-        used[name] = used.get(name, 0) + times
-
-    while sum(left_of.values()) > 4 * columns:
-        lengths = np.array(sorted(left_of), np.int64)
-        need = np.array([left_of[n] for n in lengths.tolist()], np.float64)
-        whole = need.astype(np.int64)
-        share = np.zeros(len(lengths))
-        weight: dict[tuple, float] = {}
-        for _ in range(rounds):
-            open_ = np.flatnonzero(share < 1 - 1e-9)
-            if share.mean() > stop:
-                break
-            part = lengths[open_] / capacity
-            prices = part * np.exp(bonus * part - rate * (share[open_] - share[open_].mean()))
-            take = _knapsack(lengths[open_], prices, capacity)
-            for first in np.argsort(share[open_], kind="stable")[:columns].tolist():
-                column = {int(open_[i]): n for i, n in _column(first, take, lengths[open_], whole[open_], capacity).items()}
-                if capacity - sum(int(lengths[i]) * n for i, n in column.items()) > waste:
-                    continue
-                at, many = np.fromiter(column, np.int64), np.fromiter(column.values(), np.float64)
-                per = many / need[at]
-                times = min(step / float(per.max()), float(((1 - share[at]) / per).min()))
-                if times > 1e-9:
-                    share[at] += times * per
-                    key = tuple(sorted(column.items()))
-                    weight[key] = weight.get(key, 0.0) + times
-        placed = 0
-        for key, times in sorted(weight.items(), key=lambda x: -x[1]):
-            times = min([max(1, round(times)), *(left_of[int(lengths[i])] // n for i, n in key)])
-            if times > 0:
-                use(dict(key), lengths, times)
-                for i, n in key:
-                    left_of[int(lengths[i])] -= times * n
-                placed += times
+    used: dict[Column, int] = {}
+    best: dict[Column, int] | None = None
+    while True:
+        found, least = _pass(left_of, capacity, waste, rounds, columns, step, rate, bonus, stop) if left_of else ({}, capacity)
+        for column, times in found.items():
+            used[column] = used.get(column, 0) + times
+            for n, copies in column:
+                left_of[n] -= times * copies
         left_of = {n: k for n, k in left_of.items() if k}
-        if placed < columns:
+        if left_of and 8 * sum(found.values()) * capacity >= sum(n * k for n, k in left_of.items()):
+            continue
+        plan = dict(used)
+        for column, times in _best_fit(left_of, capacity).items():
+            plan[column] = plan.get(column, 0) + times
+        if best is None or sum(plan.values()) < sum(best.values()):
+            best = plan
+        if not left_of:
+            break
+        # no plan has fewer sequences than what is used and the tokens that are left
+        if sum(best.values()) <= sum(used.values()) - (-sum(n * k for n, k in left_of.items()) // capacity):
+            break
+        if waste >= capacity:
             break
-    for column, times in _best_fit(left_of, capacity).items():
-        used[column] = used.get(column, 0) + times
-    return used
+        waste = min(capacity, max(least, 2 * waste))
+    for column, times in full.items():
+        best[column] = best.get(column, 0) + times
+    return best
 
 
 def _best_fit(left: dict[int, int], capacity: int) -> dict[Column, int]:

@@ -57,3 +57,11 @@ def test_plan_is_whole_and_tight():
 def test_hot_length():
     plan = packing.solve({700: 10_000_000, 640: 5_000_000, 2048: 7, 3: 2}, 2048)
     assert sum(plan.values()) <= 7 + (10_000_000 + 5_000_000) / 3 * 1.001 + 2
+
+
+def test_lengths_that_never_fill_a_sequence():
+    for n in (10, 100, 3000):
+        assert sum(packing.solve({900: n, 600: n, 500: n}, 2048).values()) == n
+    assert sum(packing.solve({1100: 40, 700: 40, 240: 40}, 2048).values()) == 40
+    assert packing.solve({}, 2048) == {}
+    assert packing.solve({1500: 1}, 2048) == {((1500, 1),): 1}
