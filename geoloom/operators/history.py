@@ -392,18 +392,27 @@ def page_links(pages: DataFrame, html: str = "html", link_class: str = "result__
         return F.regexp_replace(found, "^[\"']|[\"']$", "")
 
     def parsed(a: Column, pos: Column) -> Column:
-        head = F.regexp_extract(a, r"(?is)^<a\b([^>]*)>", 1)
-        classes = F.split(attribute(head, "class"), r"\s+")
-        href = html_text(attribute(head, "href"))
-        link = (F.array_contains(classes, link_class) if link_class else F.lit(True)) & (href != "")
-        snippet = F.array_contains(classes, snippet_class)
-        body = F.regexp_replace(F.regexp_extract(a, r"(?is)^<a\b[^>]*>(.*?)</a\s*>$", 1), r"(?s)<!--.*?-->|<[^>]*>", "")
-        # only anchors that count have their text resolved
-        text = F.when(link | snippet, collapse_space(html_text(body)))
-        return F.struct(pos.alias("pos"), link.alias("link"), (snippet & ~link).alias("snippet"), href.alias("href"), text.alias("text"))
+        """Each part is bound once: the head, its classes, the address of a link."""
 
+        def by_class(head: Column, classes: Column) -> Column:
+            named = F.array_contains(classes, link_class) if link_class else F.lit(True)
+            return let(F.when(named, html_text(attribute(head, "href"))), lambda href: described(classes, href))
+
+        def described(classes: Column, href: Column) -> Column:
+            link, snippet = F.coalesce(href != "", F.lit(False)), F.array_contains(classes, snippet_class)
+            body = F.regexp_replace(F.regexp_extract(a, r"(?is)^<a\b[^>]*>(.*?)</a\s*>$", 1), r"(?s)<!--.*?-->|<[^>]*>", "")
+            # only anchors that count have their text resolved
+            text = F.when(link | snippet, collapse_space(html_text(body)))
+            return F.struct(pos.alias("pos"), link.alias("link"), (snippet & ~link).alias("snippet"), href.alias("href"), text.alias("text"))
+
+        return let(F.regexp_extract(a, r"(?is)^<a\b([^>]*)>", 1), lambda head: let(F.split(attribute(head, "class"), r"\s+"), lambda classes: by_class(head, classes)))
+
+    anchors = F.regexp_extract_all(F.col(html), F.lit(anchor), F.lit(0))
+    if link_class:
+        # a class that an anchor does not contain anywhere it does not have
+        anchors = F.filter(anchors, lambda a: F.contains(a, F.lit(link_class)) | F.contains(a, F.lit(snippet_class)))
     # a page is one row: its anchors are paired inside the row, without a shuffle
-    found = pages.select(*rest, F.transform(F.regexp_extract_all(F.col(html), F.lit(anchor), F.lit(0)), parsed).alias("_a"))
+    found = pages.select(*rest, F.transform(anchors, parsed).alias("_a"))
     found = found.select(
         *rest, F.filter("_a", lambda a: a["link"]).alias("_links"), F.filter("_a", lambda a: a["snippet"] & (a["text"] != "")).alias("_notes")
     )

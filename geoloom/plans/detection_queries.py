@@ -167,9 +167,10 @@ def score_tiles(spark, sf):
     e = L.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
 
     def load():
+        import numpy as np
         import pandas as pd
 
-        return lambda batch: pd.DataFrame({"vec_id": batch["vec_id"], "score": batch["v"].map(lambda a: float(sum(a) / len(a)))})
+        return lambda batch: pd.DataFrame({"vec_id": batch["vec_id"], "score": np.stack(batch["v"]).mean(1)})
 
     return T.score_tiles(e, load, "vec_id long, score double").select("vec_id", F.round("score", 6).alias("score"))
 
