@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as K
 
-#: Notices by which the public licenses ask to be named, and their labels.
+#: Notices by which the public licenses ask to be named, characteristic paragraphs of their texts, and labels.
 TEMPLATES = (
     ("mit", "Released under the MIT License"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
@@ -39,6 +39,20 @@ TEMPLATES = (
     ("cc", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("mit", "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software"),
+    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License"),
+    ("apache", "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
+    ("bsd", "This software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages"),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details"),
+    ("gpl", "The licenses for most software and other practical works are designed to take away your freedom to share and change the works. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change all versions of a program, to make sure it remains free software for all its users"),
+    ("agpl", "If your software can interact with users remotely through a computer network, you should also make sure that it provides a way for users to get its source"),
+    ("lgpl", "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below"),
+    ("mpl", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/"),
+    ("isc", "The software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness. In no event shall the author be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits"),
+    ("unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"),
 )
 #: The phrases of the base scan and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -111,6 +125,11 @@ class Index:
             span = len(text.split()) + text.count("-") + text.count(".") + text.count("/")
             self.window.append(1 << math.ceil(math.log2(2 * span)))
         self.longest = max(self.window)
+        #: The templates that have a word in their prefix.
+        self.by_word: dict[int, list[int]] = {}
+        for t, prefix in enumerate(self.prefix):
+            for w in prefix.tolist():
+                self.by_word.setdefault(w, []).append(t)
 
     def scan(self, place: np.ndarray, word: np.ndarray, n_words: int) -> list[tuple[int, int, int, float]]:
         """``template, start, end, containment`` of the blocks of one text that meet a template.
@@ -118,10 +137,10 @@ class Index:
         ``place`` and ``word`` are the places and numbers of vocabulary words.
         """
         out = []
-        for t, own in enumerate(self.words):
+        # the work follows the prefix words that the text has, not the number of templates
+        for t in sorted({t for w in np.unique(word).tolist() for t in self.by_word.get(w, ())}):
+            own = self.words[t]
             rare = place[np.isin(word, self.prefix[t])]
-            if not len(rare):
-                continue
             step = self.window[t] // 2
             last = max(0, -(-n_words // step) - 2)  # the last block ends with the text
             for b in np.unique(np.minimum(np.concatenate([rare // step, np.maximum(rare // step - 1, 0)]), last)).tolist():

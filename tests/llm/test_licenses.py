@@ -1,7 +1,8 @@
 import math
+import random
 import re
 
-from fixtures_llm import SF, documents, odd_texts
+from fixtures_llm import SF, documents, odd_texts, prose
 
 from geoloom.llm import licenses
 from geoloom.llm.queries import QUERIES
@@ -46,6 +47,20 @@ def test_rows_as_brute_force(spark):
     assert licenses.scan(documents(spark, [])).count() == 0
 
 
+def test_a_thousand_templates(spark):
+    r = random.Random(8)
+    made = ["".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(3)) for _ in range(4000)]
+    templates = [(f"t{i}", " ".join(r.sample(made, 12))) for i in range(1000)]
+    held = {i: r.sample(range(1000), 3) for i in range(40)}
+    rows = [(i, " ".join(f"{prose(i * 7 + k, 30)} {templates[t][1]}" for k, t in enumerate(own))) for i, own in held.items()]
+    for row in licenses.scan(documents(spark, rows), templates=templates).collect():
+        assert {f"t{t}" for t in held[row.doc_id]} <= set(row.labels.split(","))
+        w = words(rows[row.doc_id][1])
+        for m in row.matches:
+            own = set(words(templates[m.template][1]))
+            assert len(own & set(w[m.start_word : m.end_word])) >= 0.8 * len(own) - 1e-9
+
+
 def test_query_over_the_whole_table(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert sorted(rows_of(QUERIES["op4_license_scan"](spark, SF))) == sorted(repr((k, *brute(t))) for k, t in docs)
