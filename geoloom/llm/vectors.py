@@ -35,6 +35,8 @@ TABLES, HASHES, PROBES = 8, 2, 3
 SEED = 20
 #: Members on one side of what is compared at once, and members of a bucket before a core is sought.
 BLOCK_ROWS, CORE_ROWS = 2048, 64
+#: Members of blocks that are compared many blocks at a time.
+SMALL_ROWS = 48
 #: Tables whose buckets move through one shuffle.
 ROUND_TABLES = 4
 
@@ -223,11 +225,27 @@ def _meets(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return (one[:, :1] == two).any(1) | (one == two[:, :1]).any(1)
 
 
-def compare(x: np.ndarray, many: np.ndarray, core: np.ndarray, names: np.ndarray, home: np.ndarray, part: np.ndarray, inner: bool, table: int, threshold: float):
-    """Sums of links of each member of a block, and a forest of its links as two index arrays.
+def _counted(i, j, core, names, home, table) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs ``i, j`` that count here: not inside one core, met in no earlier table and no lesser bucket of this one.
 
-    ``names`` are the buckets by member, table and probe; ``core`` is -1 outside cores.
+    ``table`` is a number, or an array with that of each member; ``names`` are the buckets by member, table and probe.
     """
+    good = (home[i] | home[j]) & ((core[i] < 0) | (core[i] != core[j]))
+    i, j = i[good], j[good]
+    tables = np.broadcast_to(table, len(home))[i]
+    for s in range(int(tables.max(initial=0))):
+        new = (tables <= s) | ~_meets(names[i, s], names[j, s])
+        i, j, tables = i[new], j[new], tables[new]
+    a, b = names[i, tables], names[j, tables]
+    # two buckets of one table: each at home in one and visiting the other; the lesser name counts
+    both = (a[:, 0] != b[:, 0]) & (a[:, :1] == b).any(1) & (a == b[:, :1]).any(1)
+    here = np.where(home[i], a[:, 0], b[:, 0])
+    own = ~both | (here == np.minimum(a[:, 0], b[:, 0]))
+    return i[own], j[own]
+
+
+def compare(x: np.ndarray, many: np.ndarray, core: np.ndarray, names: np.ndarray, home: np.ndarray, part: np.ndarray, inner: bool, table: int, threshold: float):
+    """Sums of links of each member of a block, and a forest of its links as two index arrays; ``core`` is -1 outside cores."""
     n, sums, name, found = len(x), np.zeros(len(x), np.int64), np.arange(len(x)), []
     if inner:
         kinds, counts = np.unique(core[core >= 0], return_counts=True)
@@ -242,24 +260,26 @@ def compare(x: np.ndarray, many: np.ndarray, core: np.ndarray, names: np.ndarray
         if inner:
             later = j > i + at  # ``right`` begins with ``left``
             i, j = i[later], j[later]
-        i, j = rows[i], right[j]
-        good = (home[i] | home[j]) & ((core[i] < 0) | (core[i] != core[j]))
-        i, j = i[good], j[good]
-        for s in range(table):
-            new = ~_meets(names[i, s], names[j, s])
-            i, j = i[new], j[new]
-        a, b = names[i, table], names[j, table]
-        # two buckets of one table: each at home in one and visiting the other; the lesser name counts
-        both = (a[:, 0] != b[:, 0]) & (a[:, :1] == b).any(1) & (a == b[:, :1]).any(1)
-        here = np.where(home[i], a[:, 0], b[:, 0])
-        own = ~both | (here == np.minimum(a[:, 0], b[:, 0]))
-        i, j = i[own], j[own]
+        i, j = _counted(rows[i], right[j], core, names, home, table)
         sums += np.bincount(i, many[j], n).astype(np.int64) + np.bincount(j, many[i], n).astype(np.int64)
         found.append(_forest(i, j, name))
     empty = np.zeros(0, np.int64)
     return sums, *(np.concatenate([f[s] for f in found] or [empty]) for s in (0, 1))
 
 
+def compare_small(x: np.ndarray, many: np.ndarray, core: np.ndarray, names: np.ndarray, home: np.ndarray, block: np.ndarray, table: np.ndarray, threshold: float):
+    """``compare`` for many small blocks at once; members stand block after block, ``block`` numbers them."""
+    n = len(x)
+    stop = np.searchsorted(block, block, "right")
+    later = stop - np.arange(n) - 1
+    i = np.repeat(np.arange(n), later)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later)
+    near = np.concatenate([np.einsum("ij,ij->i", x[i[a : a + 65536]], x[j[a : a + 65536]]) >= threshold for a in range(0, len(i), 65536)] or [np.zeros(0, np.bool_)])
+    i, j = _counted(i[near], j[near], core, names, home, table)
+    sums = np.bincount(i, many[j], n).astype(np.int64) + np.bincount(j, many[i], n).astype(np.int64)
+    return sums, *_forest(i, j, np.arange(n))
+
+
 def links(signed: DataFrame, kind: str, width: int, per_table: int, threshold: float) -> DataFrame:
     """``node, n, other``: sums of links of a node (``other`` null), and links ``node, other`` of a forest of them all."""
     tables = TABLES
@@ -268,18 +288,38 @@ def links(signed: DataFrame, kind: str, width: int, per_table: int, threshold: f
     keys = ["table", "label", "bucket", "lo", "hi"]
     load = signed.select("node", "n", F.coalesce("core", F.lit(-1).cast("long")).alias("core"), "v", "sig")
 
+    def told(node, sums, i, j):
+        some = np.flatnonzero(sums).tolist()
+        one = [node[r] for r in some] + [node[r] for r in i.tolist()]
+        two = [None] * len(some) + [node[r] for r in j.tolist()]
+        return pa.RecordBatch.from_arrays([pa.array(one, pa.binary()), pa.array([*sums[some].tolist(), *[0] * len(i)], pa.int64()), pa.array(two, pa.binary())], ["node", "n", "other"])
+
+    def columns(group):
+        part, home, node, many, core, v, sig = zip(*group)
+        x = units(_dense(pa.array(v, pa.binary()), kind, width))
+        names = np.frombuffer(b"".join(sig), "<i8").reshape(len(x), tables, per_table)
+        return node, np.array(part), (x, np.array(many), np.array(core), names, np.array(home))
+
     def run(batches):
-        for rows in _grouped(batches, len(keys)):
-            (table, _, _, lo, hi), group = rows
-            part, home, node, many, core, v, sig = zip(*group)
-            x = units(_dense(pa.array(v, pa.binary()), kind, width))
-            names = np.frombuffer(b"".join(sig), "<i8").reshape(len(x), tables, per_table)
-            sums, i, j = compare(x, np.array(many), np.array(core), names, np.array(home), np.array(part), lo == hi, table, threshold)
-            some = np.flatnonzero(sums).tolist()
-            one = [node[r] for r in some] + [node[r] for r in i.tolist()]
-            two = [None] * len(some) + [node[r] for r in j.tolist()]
-            if one:
-                yield pa.RecordBatch.from_arrays([pa.array(one, pa.binary()), pa.array([*sums[some].tolist(), *[0] * len(i)], pa.int64()), pa.array(two, pa.binary())], ["node", "n", "other"])
+        held, sizes, of = [], [], []
+
+        def small():
+            node, _, loaded = columns(held)
+            return told(node, *compare_small(*loaded, np.repeat(np.arange(len(sizes)), sizes), np.repeat(of, sizes), threshold))
+
+        for (table, _, _, lo, hi), group in _grouped(batches, len(keys)):
+            if len(group) <= SMALL_ROWS and lo == hi:
+                held += group
+                sizes.append(len(group))
+                of.append(table)
+                if len(held) >= BLOCK_ROWS:
+                    yield small()
+                    held, sizes, of = [], [], []
+            else:
+                node, part, loaded = columns(group)
+                yield told(node, *compare(*loaded, part, lo == hi, table, threshold))
+        if held:
+            yield small()
 
     out = None
     for first in range(0, tables, ROUND_TABLES):
