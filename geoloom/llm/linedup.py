@@ -1,8 +1,8 @@
 """Line deduplication: repeated runs of lines from a suffix array built by distributed prefix doubling.
 
-A document is the sequence of its lines that hold a word (blank ends stripped); a line's symbol is its hash.
-Later copies of every run of at least ``min_words`` words that occurs twice anywhere in the corpus are
-deleted; the first copy, by document id and line, stays.
+A document is the sequence of its lines that hold a word (blank ends stripped); a line's symbol is its hash
+of 128 bits.  Later copies of every run of at least ``min_words`` words that occurs twice anywhere in the
+corpus are deleted; the first copy, by document id and line, stays.
 
 1. Documents with equal sequences collapse to the one of least id; each other one is a later copy throughout.
 2. Symbols that occur once cannot lie in a repeated run and leave the table.
@@ -36,12 +36,13 @@ MIN_WORDS = 50
 
 
 def lines(texts: K.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, words and number of every line with a word, the first such line of each text, and the lines of each text."""
+    """Symbol (two independent hashes), words and number of every line with a word, the first such line of each text, and the lines of each text."""
     ws, we, _ = K.word_spans(texts, K.NOT_BLANK)
     ls, le, first = K.line_spans(texts)
     a, b = np.searchsorted(ws, ls), np.searchsorted(ws, le)
     worded = np.flatnonzero(b > a)
-    hashes = K.span_hashes(texts.data, ws[a[worded]], we[b[worded] - 1])
+    starts, ends = ws[a[worded]], we[b[worded] - 1]
+    hashes = np.stack([K.span_hashes(texts.data, starts, ends, values) for values in (None, K.OTHER)], 1)
     number = worded - np.repeat(first[:-1], np.diff(first))[worded]
     return hashes, (b - a)[worded], number, np.searchsorted(worded, first), np.diff(first)
 
@@ -71,14 +72,14 @@ def _before(counted: DataFrame, order: list[str], n_parts: int) -> DataFrame:
 
 
 def suffix_ranks(symbols: DataFrame, levels: int) -> list[DataFrame]:
-    """For each span 2^j, ``k, g, p, r``: the ranks of the suffixes of ``symbols(k, g, p, s)`` by their first 2^j symbols.
+    """For each span 2^j, ``k, g, p, r``: the ranks of the suffixes of ``symbols(k, g, p, ...)`` by their first 2^j symbols.
 
     Only suffixes whose prefix occurs more than once are listed.  The rank is the place of the interval in the
     suffix array of those listed.
     """
     n_parts = int(symbols.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out: list[DataFrame] = []
-    pairs, names = symbols, ["s"]
+    pairs, names = symbols, [c for c in symbols.columns if c not in ("k", "g", "p")]
     for j in range(levels + 1):
         if j:
             span = 1 << (j - 1)
@@ -102,7 +103,7 @@ def later_copies(found: DataFrame, min_words: int) -> DataFrame:
 
     def explode(batches):
         for batch in batches:
-            hashes = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(2)]
+            hashes = [np.frombuffer(x.as_py(), np.int64).reshape(-1, 2) for x in batch.column(2)]
             words = [np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in batch.column(3)]
             n = np.array([len(h) for h in hashes])
             begin = np.cumsum(n) - n
@@ -115,13 +116,14 @@ def later_copies(found: DataFrame, min_words: int) -> DataFrame:
             take = pa.array(np.repeat(np.arange(len(n)), n))
             runs = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(lengths, pa.int32()))
             place = np.arange(n.sum()) - np.repeat(begin, n)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(place, pa.int32()), pa.array(np.concatenate([*hashes, np.zeros(0, np.int64)])), runs], ["k", "g", "p", "s", "lengths"])
+            symbols = np.concatenate([*hashes, np.zeros((0, 2), np.int64)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(place, pa.int32()), pa.array(symbols[:, 0]), pa.array(symbols[:, 1]), runs], ["k", "g", "p", "s", "s2", "lengths"])
 
-    every = cut_lineage(found.mapInArrow(explode, f"k {kind}, g long, p int, s long, lengths array<int>"))
+    every = cut_lineage(found.mapInArrow(explode, f"k {kind}, g long, p int, s long, s2 long, lengths array<int>"))
     # stored before it is joined back, so that Spark deals both sides anew and can split a hot symbol
-    again = cut_lineage(every.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("s"))
-    symbols = cut_lineage(every.join(again, "s"))
-    ranks = suffix_ranks(symbols.select("k", "g", "p", "s"), (min_words - 1).bit_length())
+    again = cut_lineage(every.groupBy("s", "s2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    symbols = cut_lineage(every.join(again, ["s", "s2"]))
+    ranks = suffix_ranks(symbols.select("k", "g", "p", "s", "s2"), (min_words - 1).bit_length())
     runs = symbols.select("k", "g", "p", F.explode("lengths").alias("length"))
     levelled = None
     for j, level in enumerate(ranks):
@@ -137,7 +139,8 @@ def later_copies(found: DataFrame, min_words: int) -> DataFrame:
 
 
 def marked(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """All columns of ``docs``, the text compressed, with ``__runs``: the runs of worded lines to delete (null: none)."""
+    """All columns of ``docs``, the text compressed, and last the runs of worded lines to delete (null: none)."""
+    digest_, g_, k_, of_, runs_ = _free(docs.columns, ("digest", "g", "k", "of", "runs"))
     kind = docs.schema[key].dataType.simpleString()
 
     def block(rows, texts):
@@ -154,11 +157,11 @@ def marked(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words:
     found = cut_lineage(found.withColumn("g", F.xxhash64("digest")))
     distinct = cut_lineage(found.groupBy("digest").agg(F.min("k").alias("k"), F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("g", "total", "hashes", "words"))))
     runs = later_copies(distinct.where(F.col("total") >= min_words).select("k", "g", "hashes", "words"), min_words)
-    some = runs.groupBy("k", "g").agg(F.collect_set(F.struct("p", "length")).alias("__runs"))
-    whole = F.array(F.struct(F.lit(0).alias("p"), (F.octet_length("hashes") / 8).cast("int").alias("length")))
+    some = runs.groupBy("k", "g").agg(F.collect_set(F.struct("p", "length")).alias(runs_))
+    whole = F.array(F.struct(F.lit(0).alias("p"), (F.octet_length("hashes") / 16).cast("int").alias("length")))
     first = distinct.where("n > 1").select("digest", F.col("k").alias("least"))
-    copies = found.where(F.col("total") >= min_words).join(first, "digest").where("k > least").select("k", "g", whole.alias("__runs"))
-    runs_of = some.unionByName(copies).dropDuplicates(["k", "g"]).withColumnsRenamed({"k": "__k", "g": "__of"})
+    copies = found.where(F.col("total") >= min_words).join(first, "digest").where("k > least").select("k", "g", whole.alias(runs_))
+    runs_of = some.unionByName(copies).dropDuplicates(["k", "g"]).withColumnsRenamed({"k": k_, "g": of_})
 
     schema = ", ".join(f"`{f.name}` {'binary' if f.name == text else f.dataType.simpleString()}" for f in docs.schema)
 
@@ -168,11 +171,21 @@ def marked(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words:
         z = K.zstandard.ZstdCompressor(level=3)
         packed = pa.array([z.compress(texts.raw(i)) for i in range(len(texts))], pa.binary())
         rows = rows.set_column(rows.schema.get_field_index(text), text, packed)
-        return rows.append_column("__digest", pa.array(digests, pa.binary()))
+        return rows.append_column(digest_, pa.array(digests, pa.binary()))
 
-    packed = K.arrow_map(docs, pack, schema + ", __digest binary", text).withColumn("__g", F.xxhash64("__digest"))
-    same = (packed[key] == runs_of["__k"]) & (packed["__g"] == runs_of["__of"])
-    return packed.join(runs_of, same, "left").drop("__k", "__of", "__g", "__digest")
+    packed = K.arrow_map(docs, pack, f"{schema}, `{digest_}` binary", text).withColumn(g_, F.xxhash64(digest_))
+    same = (packed[key] == runs_of[k_]) & (packed[g_] == runs_of[of_])
+    return packed.join(runs_of, same, "left").drop(k_, of_, g_, digest_)
+
+
+def _free(columns: list[str], names) -> list[str]:
+    """The ``names`` with underscores in front, as many as keep them apart from the ``columns``."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name in taken or not name.startswith("__"):
+            name = "_" + name
+        out.append(name)
+    return out
 
 
 def _kept_lines(n: int, number: np.ndarray, runs) -> np.ndarray:

@@ -148,9 +148,15 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+#: Values of bytes for a second, independent hash of the same spans.
+OTHER = np.random.default_rng(17).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
     """64-bit hashes of byte spans, equal for equal bytes: differences of one running polynomial sum.
 
+    ``values`` are the numbers that bytes stand for, if not their own.
+
     Spans are hashed in groups that cover about ``BLOCK_BYTES``, so that memory stays bounded
     for a very long text too.  ``starts`` is ascending.
     """
@@ -162,7 +168,8 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         top = int(ends[at:to].max())
         up, down = _power(top - base + 1)
         sums = np.zeros(top - base + 1, _U)
-        np.cumsum((data[base:top].astype(_U) + _U(1)) * up[: top - base], dtype=_U, out=sums[1:])
+        own = data[base:top].astype(_U) + _U(1) if values is None else values[data[base:top]]
+        np.cumsum(own * up[: top - base], dtype=_U, out=sums[1:])
         s, e = starts[at:to] - base, ends[at:to] - base
         out[at:to] = (sums[e] - sums[s]) * down[s] + (e - s).astype(_U) * _U(0xD6E8FEB86659FD93)
         at = to

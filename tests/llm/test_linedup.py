@@ -88,3 +88,12 @@ def test_query_over_the_whole_table(spark):
         (key,) = [x for x in gone if x[0] == r.doc_id]
         assert r.n_deleted_lines == len(gone[key])
         assert r.clean_sha256 == hashlib.sha256("\n".join(x for i, x in enumerate(key[1].split("\n")) if i not in gone[key]).encode()).hexdigest()
+
+
+def test_columns_may_have_any_name(spark):
+    run = [prose(50 + i, 20) for i in range(4)]
+    rows = [(1, "\n".join([prose(1, 30), *run])), (2, "\n".join([*run, prose(2, 30)]))]
+    df = documents(spark, rows).selectExpr("*", "1 as __g", "'d' as __digest", "2 as __K", "3 as __of", "4 as __runs", "5 as ___g")
+    kept = linedup.keep_first_copies(df)
+    assert kept.columns == df.columns
+    assert {r["doc_id"]: (r["text"], r["__g"], r["__runs"]) for r in kept.collect()} == {1: (rows[0][1], 1, 4), 2: (prose(2, 30), 1, 4)}
