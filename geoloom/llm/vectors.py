@@ -85,6 +85,12 @@ def buckets(x: np.ndarray, tables: int = TABLES, hashes: int = HASHES, probes: i
     return out
 
 
+def _name_type(width: int, hashes: int = HASHES) -> str:
+    """The narrowest type that holds the name of a bucket of vectors of ``width`` components."""
+    bits = hashes * (1 + max(1, (width - 1).bit_length()))
+    return "<u2" if bits <= 16 else "<u4" if bits <= 32 else "<i8"
+
+
 def _dense(column: pa.Array, kind: str, width: int) -> np.ndarray:
     """Vectors stored as binaries, shorter ones filled up with zeros."""
     size = np.dtype(kind).itemsize
@@ -297,7 +303,7 @@ def links(signed: DataFrame, kind: str, width: int, per_table: int, threshold: f
     def columns(group):
         part, home, node, many, core, v, sig = zip(*group)
         x = units(_dense(pa.array(v, pa.binary()), kind, width))
-        names = np.frombuffer(b"".join(sig), "<i8").reshape(len(x), tables, per_table)
+        names = np.frombuffer(b"".join(sig), _name_type(width)).reshape(len(x), tables, per_table)
         return node, np.array(part), (x, np.array(many), np.array(core), names, np.array(home))
 
     def run(batches):
@@ -366,7 +372,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embeddi
             if len(batch):
                 names = np.concatenate([buckets(units(_dense(batch.column(2).slice(a, 1024), kind, width))) for a in range(0, len(batch), 1024)]).reshape(len(batch), -1)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * names.shape[1], pa.int32()), pa.array(names.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), lists, pa.array([r.tobytes() for r in names], pa.binary())], ["node", "label", "v", "n", "names", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), lists, pa.array([r.tobytes() for r in names.astype(_name_type(width))], pa.binary())], ["node", "label", "v", "n", "names", "sig"])
 
     signed = cut_lineage(nodes.select("node", "label", "v", "n").mapInArrow(sign, f"node binary, label {lname}, v binary, n long, names array<long>, sig binary"))
     core = cut_lineage(cores(signed.select("node", "label", F.col("names")[0].alias("home"), "v"), kind, width, threshold))
