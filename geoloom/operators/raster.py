@@ -59,9 +59,11 @@ class Grid:
         """Fractional ``(col, row)`` of a position."""
         x, y = G.as_col(x) - F.lit(self.c), G.as_col(y) - F.lit(self.f)
         det = self.a * self.e - self.b * self.d
+        # without rotation one division, so that a position halfway between two pixels stays there
+        upright = (F.lit(self.b) == 0) & (F.lit(self.d) == 0)
         return (
-            (x * F.lit(self.e) - y * F.lit(self.b)) / F.lit(det),
-            (y * F.lit(self.a) - x * F.lit(self.d)) / F.lit(det),
+            F.when(upright, x / F.lit(self.a)).otherwise((x * F.lit(self.e) - y * F.lit(self.b)) / F.lit(det)),
+            F.when(upright, y / F.lit(self.e)).otherwise((y * F.lit(self.a) - x * F.lit(self.d)) / F.lit(det)),
         )
 
     def bounds(self) -> tuple[float, float, float, float]:

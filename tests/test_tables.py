@@ -12,6 +12,7 @@ from geoloom.operators import percentiles as Q
 from geoloom.operators import polygonize as Z
 from geoloom.operators import raster as R
 from geoloom.operators import terrain as T
+from geoloom.operators import tiling as TL
 from geoloom.plans import layers as L
 from geoloom.sources import layers as S
 from geoloom.sources import traces as TR
@@ -190,3 +191,13 @@ def test_stream_ingest_and_usage(spark, tmp_path):
         "complete").option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [(r.model, r.responses, r.input_tokens) for r in spark.table("usage").collect()] == [("m", 2, 3)]
+
+
+def test_windows_round_halves_as_one_division_does(spark):
+    g = R.Grid(1000, 1000, 4326, 0.36, 0.0, -180.0, 0.0, -0.17, 85.0)
+    rows = [(k, (k * 37 % 3600) / 10.0 - 180, (k * 53 % 1700) / 10.0 - 85) for k in range(0, 6120, 3)]
+    b = spark.createDataFrame(rows, "k int, w double, s double")
+    got = b.select("k", "w", "s", TL.window_of(g, F.col("w"), F.col("s"), F.col("w") + 2, F.col("s") + 3).alias("at")).where("at is not null").collect()
+    want = {k: (max(round((w + 180) / 0.36), 0), max(round((85 - (s + 3)) / 0.17), 0)) for k, w, s in rows}
+    assert [r.k for r in got if (r["at"].col, r["at"].row) != want[r.k]] == []
+    assert [r.k for r in got if TL.read_window(g, (r.w, r.s, r.w + 2, r.s + 3))[:2] != want[r.k]] == []
