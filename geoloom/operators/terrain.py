@@ -60,8 +60,8 @@ def with_halo(tiles: DataFrame) -> DataFrame:
     return grouped.where("h is not null").withColumnRenamed("side4", "values")
 
 
-def _padded(h: int, w: int, sides: dict[int, np.ndarray | None], last_row: bool, last_col: bool, first_row: bool, first_col: bool) -> np.ndarray:
-    """The tile with its border; the raster's own edge repeats, a missing tile inside is NaN."""
+def _padded(h: int, w: int, sides: dict[int, np.ndarray | None], last_row: bool, last_col: bool, first_row: bool, first_col: bool, edge: bool = False) -> np.ndarray:
+    """The tile with its border; where the raster ends its own pixels repeat, a missing tile inside is NaN unless it is an edge."""
     out = np.full((h + 2, w + 2), np.nan)
     out[1:-1, 1:-1] = np.asarray(sides[4], dtype=float).reshape(h, w)
 
@@ -79,20 +79,22 @@ def _padded(h: int, w: int, sides: dict[int, np.ndarray | None], last_row: bool,
     for side, r, c, top, left in ((0, 0, 0, first_row, first_col), (2, 0, -1, first_row, last_col), (6, -1, 0, last_row, first_col), (8, -1, -1, last_row, last_col)):
         strip = sides[side]
         ri, ci = (1 if r == 0 else -2), (1 if c == 0 else -2)
-        if strip is not None:
-            out[r, c] = np.asarray(strip, dtype=float)[0]
-        elif top:
+        if top:
             out[r, c] = out[ri, c]
-        elif left:
+        elif strip is not None:
+            out[r, c] = np.asarray(strip, dtype=float)[0]
+        elif left or edge:
             out[r, c] = out[r, ci]
     return out
 
 
-def gradients(tiles: DataFrame, grid: Grid, z_factor: float = 1.0) -> DataFrame:
+def gradients(tiles: DataFrame, grid: Grid, z_factor: float = 1.0, missing: str = "null") -> DataFrame:
     """Tiles with ``dzdx`` and ``dzdy`` arrays (Horne 3x3); NULL where any neighbour is NULL.
 
-    ``grid`` tells where the raster ends, so that its border repeats its own pixels.
+    ``grid`` tells where the raster ends, so that its border repeats its own pixels.  A tile that the table lacks
+    has NULL pixels, or with ``missing="edge"`` the raster ends there too.
     """
+    edge = one_of("missing", missing, ("null", "edge")) == "edge"
     if not math.isfinite(z_factor) or z_factor <= 0:
         raise ValueError("z_factor must be a positive, finite number")
     dx, dy = grid.cell_meters()
@@ -104,9 +106,8 @@ def gradients(tiles: DataFrame, grid: Grid, z_factor: float = 1.0) -> DataFrame:
         for t in pdf.itertuples(index=False):
             h, w = int(t.h), int(t.w)
             sides = {i: getattr(t, "values_" if i == 4 else f"side{i}") for i in range(9)}
-            p = _padded(
-                h, w, sides, (t.tile_row + 1) * h >= height, (t.tile_col + 1) * w >= width, t.tile_row == 0, t.tile_col == 0
-            )
+            ends = ((t.tile_row + 1) * h >= height, (t.tile_col + 1) * w >= width, t.tile_row == 0, t.tile_col == 0)
+            p = _padded(h, w, sides, *(end or edge and sides[i] is None for end, i in zip(ends, (7, 5, 1, 3))), edge)
             # a tile that reaches past the raster's end repeats the last real row or column
             rows, cols = height - t.tile_row * h, width - t.tile_col * w
             if rows < h:
@@ -144,7 +145,9 @@ def _derived(tiles: DataFrame, fn) -> DataFrame:
     return tiles.withColumn("values", F.zip_with("dzdx", "dzdy", fn)).drop("dzdx", "dzdy")
 
 
-def hillshade(tiles: DataFrame, grid: Grid, azimuth: float = 315.0, altitude: float = 45.0, z_factor: float = 1.0) -> DataFrame:
+def hillshade(
+    tiles: DataFrame, grid: Grid, azimuth: float = 315.0, altitude: float = 45.0, z_factor: float = 1.0, missing: str = "null"
+) -> DataFrame:
     """Shaded relief 0..255, cut to whole numbers; pixels without a gradient are 0."""
     if not 0 <= azimuth <= 360:
         raise ValueError("azimuth must be between 0 and 360 degrees")
@@ -158,23 +161,23 @@ def hillshade(tiles: DataFrame, grid: Grid, azimuth: float = 315.0, altitude: fl
         s = F.lit(math.cos(zenith)) * F.cos(slope) + F.lit(math.sin(zenith)) * F.sin(slope) * F.cos(F.lit(light) - facing)
         return F.coalesce(F.floor(F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0)) * 255.0), F.lit(0)).cast("short")
 
-    return _derived(gradients(tiles, grid, z_factor), shade)
+    return _derived(gradients(tiles, grid, z_factor, missing), shade)
 
 
-def slope(tiles: DataFrame, grid: Grid, units: str = "degrees", z_factor: float = 1.0) -> DataFrame:
+def slope(tiles: DataFrame, grid: Grid, units: str = "degrees", z_factor: float = 1.0, missing: str = "null") -> DataFrame:
     one_of("units", units, ("degrees", "percent"))
 
     def steepness(x: Column, y: Column) -> Column:
         g = F.hypot(x, y)
         return F.degrees(F.atan(g)) if units == "degrees" else g * 100.0
 
-    return _derived(gradients(tiles, grid, z_factor), steepness)
+    return _derived(gradients(tiles, grid, z_factor, missing), steepness)
 
 
-def aspect(tiles: DataFrame, grid: Grid, z_factor: float = 1.0) -> DataFrame:
+def aspect(tiles: DataFrame, grid: Grid, z_factor: float = 1.0, missing: str = "null") -> DataFrame:
     """Compass direction the slope faces; flat pixels take 0."""
     # adding 0.0 turns -0.0 into 0.0, so that flat ground faces 0 and not 180
     return _derived(
-        gradients(tiles, grid, z_factor),
+        gradients(tiles, grid, z_factor, missing),
         lambda x, y: F.when((x == 0) & (y == 0), F.lit(0.0)).otherwise(F.pmod(F.degrees(F.atan2(-x + 0.0, -y + 0.0)), F.lit(360.0))),
     )

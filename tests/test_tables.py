@@ -201,3 +201,36 @@ def test_windows_round_halves_as_one_division_does(spark):
     want = {k: (max(round((w + 180) / 0.36), 0), max(round((85 - (s + 3)) / 0.17), 0)) for k, w, s in rows}
     assert [r.k for r in got if (r["at"].col, r["at"].row) != want[r.k]] == []
     assert [r.k for r in got if TL.read_window(g, (r.w, r.s, r.w + 2, r.s + 3))[:2] != want[r.k]] == []
+
+
+def ragged(values):
+    """Horne gradients of an array whose absent pixels (NaN) end it: rows repeat their ends first, then columns."""
+    at = lambda r, c: None if min(r, c) < 0 or r >= values.shape[0] or c >= values.shape[1] or np.isnan(values[r, c]) else values[r, c]
+    out = {}
+    for r, c in np.argwhere(~np.isnan(values)):
+        north, here, south = (
+            [v if (v := at(q, k)) is not None else at(q, c) for k in (c - 1, c, c + 1)] for q in (s if at(s, c) is not None else r for s in (r - 1, r, r + 1))
+        )
+        dx = (north[2] + 2 * here[2] + south[2] - north[0] - 2 * here[0] - south[0]) / 80
+        dy = (north[0] + 2 * north[1] + north[2] - south[0] - 2 * south[1] - south[2]) / 80
+        out[int(r), int(c)] = (dx, dy)
+    return out
+
+
+@pytest.fixture(scope="module")
+def unfinished(spark):
+    """Tiles of 4 x 4 pixels of which the last row has two of three, and their gradients by brute force."""
+    values = np.random.default_rng(8).random((12, 12)) * 20
+    values[8:, 8:] = np.nan
+    tiles = R.pixel_tiles(raster(spark, values).where("value is not null"), 4)
+    return tiles, R.Grid(12, 12, 3857, 10.0, 0.0, 0.0, 0.0, -10.0, 0.0), ragged(values)
+
+
+def told(tiles, digits=6):
+    return {(r.row, r.col): None if r.value is None else round(float(r.value), digits) for r in R.tile_pixels(tiles).collect()}
+
+
+def test_aspect_ends_where_the_tiles_end(unfinished):
+    tiles, g, want = unfinished
+    assert told(T.aspect(tiles, g, missing="edge")) == {k: round(float(np.degrees(np.arctan2(-x, -y))) % 360, 6) for k, (x, y) in want.items()}
+    assert None in told(T.aspect(tiles, g)).values()
