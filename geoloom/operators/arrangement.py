@@ -247,9 +247,10 @@ def arranged_area(segs: DataFrame, keys: list[str], rule: str, digits: int = 9)
     return e.groupBy(*keys).agg((F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")) / 2).alias("area"))
 
 
-def clip_lines(segs: DataFrame, keys: list[str], digits: int = 9) -> DataFrame:
-    """Line pieces covered by the B shapes, chained again per key."""
-    inside = (F.col("cb") > 0) | (F.col("cb") - F.col("wb") > 0)
+def clip_lines(segs: DataFrame, keys: list[str], digits: int = 9, outline: bool = True) -> DataFrame:
+    """Line pieces covered by the B shapes, chained again per key; those along the outline of their union stay with ``outline``."""
+    above, below = F.col("cb") > 0, F.col("cb") - F.col("wb") > 0
+    inside = above | below if outline else above & below
     kept = _covered(segs, keys, digits).where((F.col("ln") > 0) & inside)
     types = dict(kept.dtypes)
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", paths array<array<array<double>>>"

@@ -142,8 +142,13 @@ def _intersection(left, right, pairs, lk, rk, geom, digits) -> DataFrame:
     return shapes.join(la, "l_key").join(ra, "r_key").drop("l_key", "r_key").withColumnRenamed("geom", geom)
 
 
-def clip_vector(df: DataFrame, mask: DataFrame, key: str, geom: str = "geom", srids: tuple[int, int] | None = None) -> DataFrame:
-    """Features cut to the union of the mask; points inside or on it stay.  ``key`` is unique."""
+def clip_vector(
+    df: DataFrame, mask: DataFrame, key: str, geom: str = "geom", srids: tuple[int, int] | None = None, outline: bool = True
+) -> DataFrame:
+    """Features cut to the union of the mask; points inside or on it stay.  ``key`` is unique.
+
+    Lines along the mask's outline stay as well, unless ``outline`` is false.
+    """
     mask = aligned(df, mask, geom, srids)
     digits = A.digits_for(srids[0] if srids else None)
     numbered = mask.select(F.xxhash64(F.to_json(geom)).alias("_m"), geom).dropDuplicates(["_m"])
@@ -162,7 +167,7 @@ def clip_vector(df: DataFrame, mask: DataFrame, key: str, geom: str = "geom", sr
     areas = A.arrange(A.polygon_segments(one, [key], "l_geom", "a").unionByName(b), [key], "intersection", digits)
     linear = near.where(G.is_linear(F.col("l_geom")))
     paths = A.clip_lines(
-        A.line_segments(linear.select(key, "l_geom").dropDuplicates([key]), [key], "l_geom").unionByName(A.polygon_segments(linear, [key], "r_geom", "b")), [key], digits
+        A.line_segments(linear.select(key, "l_geom").dropDuplicates([key]), [key], "l_geom").unionByName(A.polygon_segments(linear, [key], "r_geom", "b")), [key], digits, outline
     )
     cut = areas.unionByName(paths).withColumnRenamed("geom", geom)
     return kept.unionByName(rest.drop(geom).join(cut, key))

@@ -232,3 +232,13 @@ def test_one_huge_box_does_not_make_the_join_quadratic(spark):
     # the rows that meet in a cell stay near the results: dropping the overlap test shows them
     probed = J.candidate_pairs(boxes("l_", True), boxes("r_", False)).count() + J.candidate_pairs(boxes("l_", False), boxes("r_", True)).count()
     assert probed <= 3 * len(found)
+
+
+def test_clip_leaves_out_lines_along_the_outline(spark):
+    def line(y):
+        return F.when(F.col("k") == "edge", G.line(F.array(G.xy(0.1, 0.0), G.xy(0.4, 0.0)))).otherwise(G.line(F.array(G.xy(0.1, y), G.xy(0.4, y))))
+
+    rows = spark.createDataFrame([("edge",), ("inside",)], "k string").withColumns({"geom": line(0.25), "srid": F.lit(4326)})
+    mask = spark.range(1).select(G.box(*map(F.lit, (0.0, 0.0, 0.5, 0.5))).alias("geom"), F.lit(4326).alias("srid"))
+    found = lambda **more: {r.k for r in O.clip_vector(rows, mask, "k", srids=(4326, 4326), **more).select("k").collect()}
+    assert found() == {"edge", "inside"} and found(outline=False) == {"inside"}
