@@ -19,6 +19,7 @@ from .vector import STATISTICS, explode
 
 OVERLAYS = ("intersection", "difference", "union")
 LOCATIONS = ("intersects", "within", "contains", "disjoint")
+TURNS = "array<struct<x:double,y:double,a0:double,sweep:double>>"
 #: Fixed value: segments of a quarter circle in round buffers.
 QUARTER = 16
 
@@ -269,45 +270,82 @@ def _corners(df: DataFrame, keys: list[str], geom: str) -> DataFrame:
     return rows.select(*keys, segs.alias("_s")).where("size(_s) > 0")
 
 
+def _turns(segs: Column) -> Column:
+    """The corners of a closed path of segments; the last segment meets the first again."""
+    after = F.concat(F.slice(segs, F.lit(2), F.greatest(F.size(segs) - 1, F.lit(0))), F.slice(segs, 1, 1))
+
+    def corner(s: Column, t: Column) -> Column:
+        u, w = (F.atan2(v["y2"] - v["y1"], v["x2"] - v["x1"]) for v in (s, t))
+        return F.struct(s["x2"].alias("x"), s["y2"].alias("y"), (u - math.pi / 2).alias("a0"), F.pmod(w - u, F.lit(2 * math.pi)).alias("sweep"))
+
+    return F.zip_with(segs, after, corner)
+
+
+def _convex_turns(g: Column) -> Column:
+    """The corners of a convex polygon without holes or of a straight line, NULL for every other geometry.
+
+    A closed path is convex when it turns left all the way, once around; a right turn adds a whole turn more.
+    """
+    ccw = lambda r: F.when(G.signed_area(r) >= 0, r).otherwise(F.reverse(r))
+    there = lambda r: F.concat(r, F.slice(F.reverse(r), F.lit(2), F.greatest(F.size(r) - 1, F.lit(0))))
+    path = G.let(F.get(G.rings_of(g), F.lit(0)), lambda r: F.when(G.is_polygonal(g), ccw(r)).otherwise(there(r)))
+    segs = F.filter(G.path_segments(path), lambda s: (s["x1"] != s["x2"]) | (s["y1"] != s["y2"]))
+    once = lambda t: (F.size(t) > 0) & (F.abs(G.total(F.transform(t, lambda c: c["sweep"])) - 2 * math.pi) < 1e-9)
+    turns = G.let(G.let(segs, _turns), lambda t: F.when(once(t), t))
+    return F.when((G.is_polygonal(g) | G.is_linear(g)) & (F.size(G.rings_of(g)) == 1), turns)
+
+
+def _grown_ring(turns: Column, d: float, digits: int) -> Column:
+    """A convex path grown by ``d``: the fans' arcs one after another, joined by the strips' outer sides."""
+    quantum = math.pi / 2 / QUARTER
+
+    def arc(t: Column) -> Column:
+        n = F.greatest(F.floor(t["sweep"] / quantum + 0.5), F.lit(1)).cast("int")
+        at = lambda v: F.rint(v * 10.0**digits) / 10.0**digits + F.lit(0.0)
+        steps = F.when(t["sweep"] > 1e-12, F.sequence(F.lit(0), n)).otherwise(F.array(F.lit(0)))
+        return F.transform(steps, lambda k: G.let(t["a0"] + t["sweep"] * k / n, lambda a: G.xy(at(t["x"] + F.cos(a) * d), at(t["y"] + F.sin(a) * d))))
+
+    return G.let(F.flatten(F.transform(turns, arc)), lambda p: G.polygon(F.concat(p, F.slice(p, 1, 1))))
+
+
 def buffer(
     df: DataFrame, distance: float, key: str, unit: str = "meters", dissolved: bool = False, geom: str = "geom", srid: int | None = None
 ) -> DataFrame:
     """Geometries grown by ``distance``; metres are applied in a metric CRS and brought back.
 
     Every segment gives a strip, every outer corner a fan of 16 steps per quarter turn;
-    their union with the shape itself is the buffer.  ``dissolved`` merges all of them.
+    their union with the shape itself is the buffer; that of a convex shape needs no arrangement, its outline is
+    written down at once.  ``dissolved`` merges all of them.  ``key`` is unique.
     """
     measure("distance", distance)
     one_of("unit", unit, ("meters", "degrees"))
     src, metric = C.metric_srid(df, geom, srid) if unit == "meters" else (C.layer_srid(df, srid),) * 2
     d = float(distance)
     base = df.drop(*G.BBOX).withColumn(geom, C.transform_geom(F.col(geom), src, metric))
-    attributes = base.drop(geom)
-    dots = base.where(base[geom]["type"] == "Point")
-    others = base.where(base[geom]["type"] != "Point").select(key, geom)
+    digits = A.digits_for(metric)
+    # read by several steps, and one file may hold many rows
+    turned = cut_lineage(base.repartition(key).withColumn("_turns", _convex_turns(F.col(geom)) if d > 0 else F.lit(None).cast(TURNS)))
     v = F.get(G.vertices(F.col(geom)), F.lit(0))
-    round_points = dots.select(key, G.let(v, lambda p: disc(p["x"], p["y"], d)).alias("geom"))
+    shape = F.when(F.col(geom)["type"] == "Point", G.let(v, lambda p: disc(p["x"], p["y"], d))).otherwise(_grown_ring(F.col("_turns"), d, digits))
+    plain = F.coalesce((F.col(geom)["type"] == "Point") | F.col("_turns").isNotNull(), F.lit(False))
+    easy = turned.where(plain).withColumn(geom, shape).drop("_turns")
+    hard = turned.where(~plain).drop("_turns")
+    if not dissolved and hard.isEmpty():
+        return easy.withColumn(geom, C.transform_geom(F.col(geom), metric, src))
+    others = hard.select(key, geom)
     many = others.where(F.col(geom)["type"] == "MultiPoint").select(key, F.explode(G.vertices(F.col(geom))).alias("p"))
     many = many.select(key, G.let(F.col("p"), lambda p: disc(p["x"], p["y"], d)).alias("geom"))
     own = others.where(G.is_polygonal(F.col(geom))).select(key, F.col(geom).alias("geom"))
     paths = _corners(others, [key], geom)
     strips = _strips(paths.select(key, F.explode("_s").alias("s")).select(key, "s.*"), [key], d)
-    # the last segment of a closed path meets its first again
-    turns = F.zip_with(
-        "_s", F.concat(F.slice("_s", F.lit(2), F.size("_s") - 1), F.slice("_s", 1, 1)),
-        lambda s, t: F.struct(s["x2"].alias("x"), s["y2"].alias("y"), F.atan2(s["y2"] - s["y1"], s["x2"] - s["x1"]).alias("u"), F.atan2(t["y2"] - t["y1"], t["x2"] - t["x1"]).alias("w")),
-    )
-    fans = paths.select(key, F.explode(turns).alias("t")).select(
-        key, "t.x", "t.y", (F.col("t.u") - math.pi / 2).alias("a0"), F.pmod(F.col("t.w") - F.col("t.u"), F.lit(2 * math.pi)).alias("sweep")
-    )
+    fans = paths.select(key, F.explode(_turns(F.col("_s"))).alias("t")).select(key, "t.*")
     # a right turn needs no fan; turning straight back (half a turn) is a line's end
     fans = fans.where(F.col("sweep") <= math.pi + 1e-9)
     pieces = own.unionByName(strips).unionByName(_wedges(fans, [key], d)).unionByName(many)
-    digits = A.digits_for(metric)
     if dissolved:
-        every = pieces.unionByName(round_points).select(F.lit(0).alias("_k"), "geom")
+        every = pieces.unionByName(easy.select(key, F.col(geom).alias("geom"))).select(F.lit(0).alias("_k"), "geom")
         return union_all(every, ["_k"], "geom", digits).select(C.transform_geom(F.col("geom"), metric, src).alias(geom), F.lit(src).alias("srid"))
-    grown = round_points.unionByName(union_all(pieces, [key], "geom", digits))
+    grown = union_all(pieces, [key], "geom", digits)
     # a feature without a geometry, or with an empty one, keeps its row
-    out = attributes.join(grown.withColumnRenamed("geom", geom), key, "left")
+    out = hard.drop(geom).join(grown.withColumnRenamed("geom", geom), key, "left").unionByName(easy)
     return out.withColumn(geom, C.transform_geom(F.col(geom), metric, src))

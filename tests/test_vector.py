@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,6 +235,33 @@ def test_one_huge_box_does_not_make_the_join_quadratic(spark):
     assert probed <= 3 * len(found)
 
 
+SHAPES = {
+    "box, clockwise": ("Polygon", [[(0, 0), (0, 4), (6, 4), (6, 0), (0, 0)]]),
+    "triangle with a vertex on a side": ("Polygon", [[(0, 0), (3, 0.5), (6, 1), (2, 5), (0, 0)]]),
+    "slanted line": ("LineString", [[(0, 0), (3, 1), (6, 2)]]),
+}
+
+
+def grown_areas(spark, shapes, **more):
+    rows = [(k, (kind, [(paths,)])) for k, (kind, paths) in shapes.items()]
+    rows = [(k, (kind, [([[(float(x), float(y)) for x, y in p] for p in paths],) for (paths,) in parts])) for k, (kind, parts) in rows]
+    df = spark.createDataFrame(rows, f"k string, geom {G.GEOM_DDL}").withColumn("srid", F.lit(3857))
+    return {r.k: r.a for r in O.buffer(df, 2.0, "k", srid=3857, **more).select("k", G.area(F.col("geom")).alias("a")).collect()}
+
+
+def test_convex_buffers_need_no_arrangement(spark, monkeypatch):
+    usual = {}
+    with monkeypatch.context() as m:
+        m.setattr(O, "_convex_turns", lambda g: F.lit(None).cast(O.TURNS))
+        usual = grown_areas(spark, SHAPES)
+    def refuse(*_):
+        raise AssertionError("arranged")
+    with monkeypatch.context() as m:
+        m.setattr(O, "union_all", refuse)
+        assert grown_areas(spark, SHAPES) == pytest.approx(usual, abs=1e-5)
+    assert usual["box, clockwise"] == pytest.approx(24 + 2 * 20 + 32 * np.sin(2 * np.pi / 64) * 4, abs=1e-4)
+
+
 def test_clip_leaves_out_lines_along_the_outline(spark):
     def line(y):
         return F.when(F.col("k") == "edge", G.line(F.array(G.xy(0.1, 0.0), G.xy(0.4, 0.0)))).otherwise(G.line(F.array(G.xy(0.1, y), G.xy(0.4, y))))
