@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geom as G
-from ..session import cut_lineage, measure
+from ..session import cut_lineage, measure, one_of
 from .chains import PATH, completed, paths
 from .components import connected_components
 from .linking import link_rings
@@ -163,9 +163,12 @@ def cell_lines(v: np.ndarray, row: int, col: int, interval: float, base: float,
     """Marching squares over the cells between the pixels ``v``, the first of which stands at ``row, col``.
 
     ``k, s, e, x1, y1, x2, y2``: the level ``base + k * interval``, names of the grid edges at both ends, and
-    the ends as fractional columns and rows.  A corner is high when it exceeds the level.
+    the ends as fractional columns and rows.  A corner is high when it exceeds the level.  A cell with a NaN
+    corner has no lines.
     """
     tl, tr, bl, br = v[:-1, :-1].ravel(), v[:-1, 1:].ravel(), v[1:, :-1].ravel(), v[1:, 1:].ravel()
+    cell = np.flatnonzero(~np.isnan(tl + tr + bl + br))
+    tl, tr, bl, br = tl[cell], tr[cell], bl[cell], br[cell]
     low, high = np.minimum.reduce([tl, tr, bl, br]), np.maximum.reduce([tl, tr, bl, br])
     # one more on both sides: the quotients are rounded, the comparison below is not
     first = np.floor((low - base) / interval).astype(np.int64) - 1
@@ -176,7 +179,7 @@ def cell_lines(v: np.ndarray, row: int, col: int, interval: float, base: float,
     cut = (level >= low[at]) & (level < high[at])
     at, k, level = at[cut], k[cut], level[cut]
     tl, tr, bl, br = tl[at], tr[at], bl[at], br[at]
-    r, c = row + at // (v.shape[1] - 1), col + at % (v.shape[1] - 1)
+    r, c = row + cell[at] // (v.shape[1] - 1), col + cell[at] % (v.shape[1] - 1)
     with np.errstate(divide="ignore", invalid="ignore"):
         x = np.stack([c + (level - tl) / (tr - tl), c + (level - bl) / (br - bl), c + 0.0, c + 1.0])
         y = np.stack([r + 0.0, r + 1.0, r + (level - tl) / (bl - tl), r + (level - tr) / (br - tr)])
@@ -217,16 +220,17 @@ def contour_runs(pixels: DataFrame, grid: Grid, interval: float, base: float, va
 
 def contour(
     pixels: DataFrame, grid: Grid, interval: float = 10.0, base: float = 0.0, simplify_pixels: float = 0.0,
-    value: str = "value", block: int = BLOCK,
+    value: str = "value", block: int = BLOCK, missing: str = "refuse",
 ) -> DataFrame:
     """Contour lines with their ``value``; a band with missing pixels is refused.
 
+    With ``missing="edge"`` the band ends at missing pixels: lines run between the others and stop there.
     Lines are linked inside blocks of cells; the runs that go on in another block are ordered by pointer
     doubling, so a line of any length is dealt over all tasks until it is one row.
     """
     interval, base = measure("interval", interval, above_zero=True), float(base)
     known, low, high = pixels.agg(F.count_if(valid(value)), F.min(value), F.max(value)).first()
-    if known != grid.width * grid.height:
+    if one_of("missing", missing, ("refuse", "edge")) == "refuse" and known != grid.width * grid.height:
         raise ValueError(f"{known} of {grid.width * grid.height} pixels have a value; contours need all of them")
     if low == high:
         raise ValueError(f"every pixel is {low:g}: a flat band has no contours")

@@ -435,5 +435,5 @@ len as (select level, case cs when 1 then sqrt(t*t+f*f) when 14 then sqrt(t*t+f*
 )
 def contour_lines(spark, sf):
     """Contour lines linked across blocks; their length per level equals the squares' total."""
-    c = Z.contour(L.pixels(spark, sf), metric_grid(spark, sf), 0.15, 0.03, block=32)
+    c = Z.contour(L.pixels(spark, sf), metric_grid(spark, sf), 0.15, 0.03, block=32, missing="edge")
     return c.groupBy(F.round("value", 6).alias("value")).agg(F.round(F.sum(G.length(F.col("geom"))), 3).alias("length"))

@@ -251,3 +251,15 @@ def test_slope_in_degrees_ends_where_the_tiles_end(unfinished):
 def test_slope_in_percent_ends_where_the_tiles_end(unfinished):
     tiles, g, want = unfinished
     assert told(T.slope(tiles, g, "percent", missing="edge")) == {k: round(float(np.hypot(x, y) * 100), 6) for k, (x, y) in want.items()}
+
+
+def test_contours_end_where_the_pixels_end(spark):
+    slope = np.tile(np.arange(6.0), (6, 1))
+    slope[4:, 4:] = np.nan
+    g = R.Grid(6, 6, 3857, 1.0, 0.0, 0.0, 0.0, -1.0, 0.0)
+    px = raster(spark, slope).where("value is not null")
+    with pytest.raises(ValueError):
+        Z.contour(px, g, 1.0, 0.5, block=2)
+    lines = Z.contour(px, g, 1.0, 0.5, block=2, missing="edge").collect()
+    long = {r.value: sum(abs(b.y - a.y) for a, b in zip(r.geom.parts[0].rings[0], r.geom.parts[0].rings[0][1:])) for r in lines}
+    assert long == {0.5: 5.0, 1.5: 5.0, 2.5: 5.0, 3.5: 3.0, 4.5: 3.0}
