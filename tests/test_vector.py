@@ -270,3 +270,10 @@ def test_clip_leaves_out_lines_along_the_outline(spark):
     mask = spark.range(1).select(G.box(*map(F.lit, (0.0, 0.0, 0.5, 0.5))).alias("geom"), F.lit(4326).alias("srid"))
     found = lambda **more: {r.k for r in O.clip_vector(rows, mask, "k", srids=(4326, 4326), **more).select("k").collect()}
     assert found() == {"edge", "inside"} and found(outline=False) == {"inside"}
+
+
+def test_bent_shapes_still_grow_by_arrangement(spark):
+    bent = {"L": ("Polygon", [[(0, 0), (9, 0), (9, 3), (3, 3), (3, 9), (0, 9), (0, 0)]])}
+    # five outer corners of a quarter turn; at the inner one the strips overlap in a square
+    want = 9 * 3 + 3 * 6 + 2 * 36 - 4 + 5 / 4 * 32 * np.sin(2 * np.pi / 64) * 4
+    assert grown_areas(spark, bent)["L"] == pytest.approx(want, abs=1e-4)
