@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import crs as C
 from ..functions import geom as G
 from ..functions import predicates as P
-from ..session import one_of, require_columns
+from ..session import cut_lineage, one_of, require_columns
 
 PREDICATES = ("intersects", "within", "contains")
 #: Cells are never finer than 2**-20 units; points sit at this level.
@@ -123,14 +123,19 @@ def spatial_join(
     geom: str = "geom",
     srids: tuple[int, int] | None = None,
     key: str | None = None,
+    repeats: bool = False,
 ) -> DataFrame:
     """Attach the right layer's attributes to each left feature that matches.
 
     One row per match; names in both layers get ``_left`` and ``_right``.  ``left``
     keeps unmatched features with NULL right columns; ``key`` names a column that is
     unique in the left layer (without one, a hash of the whole row stands in).
+    ``repeats`` is for inner joins of layers in which many features share a geometry:
+    each pair of different geometries is tested once and then dealt to its features.
     """
     one_of("how", how, ("inner", "left"))
+    if repeats and how != "inner":
+        raise ValueError("repeats needs an inner join")
     right = aligned(left, right, geom, srids)
     skip = {geom, "srid", *G.BBOX}
     l_names = [c for c in left.columns if c not in G.BBOX]
@@ -138,6 +143,13 @@ def spatial_join(
     both = set(l_names) & set(r_names)
     l_out = {c: f"{c}_left" if c in both else c for c in l_names}
     r_out = {c: f"{c}_right" if c in both else c for c in r_names}
+    if repeats:
+        lp, rp = (with_row_key(df.select(c), "_shape", geom) for df, c in ((left, l_names), (right, [*r_names, geom])))
+        shapes = [df.select("_shape", geom).dropDuplicates(["_shape"]) for df in (lp, rp)]
+        met = cut_lineage(matched_pairs(*shapes, predicate, geom).select(F.col("l__shape").alias("_a"), F.col("r__shape").alias("_b")))
+        a = lp.select(F.col("_shape").alias("_a"), *[F.col(c).alias(o) for c, o in l_out.items()])
+        b = rp.select(F.col("_shape").alias("_b"), *[F.col(c).alias(o) for c, o in r_out.items()])
+        return a.join(met, "_a").join(b, "_b").select(*l_out.values(), *r_out.values())
     if how == "inner":
         pairs = matched_pairs(left, right, predicate, geom)
         return pairs.select(
@@ -157,9 +169,9 @@ def spatial_join(
     return renamed.join(matches, "_id", "left").drop("_id")
 
 
-def with_row_key(df: DataFrame, name: str) -> DataFrame:
-    """A key from the row's own content: equal rows share it, and it survives retries."""
-    return df.withColumn(name, F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256))
+def with_row_key(df: DataFrame, name: str, *columns: str) -> DataFrame:
+    """A key from the row's own content, or that of some columns: equal rows share it, and it survives retries."""
+    return df.withColumn(name, F.sha2(F.to_json(F.struct(*(columns or df.columns)), {"ignoreNullFields": "false"}), 256))
 
 
 def attribute_join(

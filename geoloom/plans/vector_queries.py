@@ -473,7 +473,7 @@ def spatial_join_left(spark, sf):
 )
 def spatial_join_self(spark, sf):
     b = L.part_boxes(spark, sf).select("id", "label", "geom", "srid")
-    return J.spatial_join(b, b, srids=(3857, 3857)).where("id_left < id_right").select("id_left", "id_right", "label_left", "label_right")
+    return J.spatial_join(b, b, srids=(3857, 3857), repeats=True).where("id_left < id_right").select("id_left", "id_right", "label_left", "label_right")
 
 
 @query(
