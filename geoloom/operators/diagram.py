@@ -5,6 +5,10 @@ and precede it on a space-filling curve; its cell is the extent cut by the bisec
 to them.  A cell is right when no other point lies inside the circle around any of its
 corners through its own point.  Rounds of a binned join look for such points, add the
 nearest one per corner and cut again, until none is left.
+
+Cells that leave the points' extent (Delaunay needs them whole) are settled in two steps: all
+cells inside the extent, then those that touch its border, among themselves.  A cell is convex and
+holds its point, so one that lies partly outside the border crosses it, and outside no other point counts.
 """
 
 from __future__ import annotations
@@ -94,21 +98,36 @@ def _first_neighbours(points: DataFrame, extent) -> DataFrame:
 def cells(points: DataFrame, box, extent, max_rounds: int = 200) -> DataFrame:
     """Final cells of ``points(id, x, y)`` inside ``box``."""
     points = cut_lineage(points)
-    open_ = cut_lineage(_cut_all(_first_neighbours(points, extent), box))
+    return _settled(_cut_all(_first_neighbours(points, extent), box), points, box, 8.0, max_rounds)
+
+
+def wide_cells(points: DataFrame, box, extent, max_rounds: int = 200) -> DataFrame:
+    """Final cells of ``points(id, x, y)`` inside a ``box`` far larger than the extent."""
+    rim = max(extent[2] - extent[0], extent[3] - extent[1]) * 1e-3
+    inner = (extent[0] - rim, extent[1] - rim, extent[2] + rim, extent[3] + rim)
+    near = cut_lineage(cells(points, inner, extent, max_rounds))
+    outer = near.where(F.array_contains("own", F.lit(-1)))
+    far = _settled(_cut_all(outer, box), outer.select("id", "x", "y"), box, float("inf"), max_rounds)
+    return near.where(~F.array_contains("own", F.lit(-1))).unionByName(far)
+
+
+def _settled(open_: DataFrame, points: DataFrame, box, reach: float, max_rounds: int) -> DataFrame:
+    """Cut cells again until none of the points lies in the circle of a corner."""
+    open_ = cut_lineage(open_)
     done = None
     right = points.select(
         F.col("id").alias("r_id"), F.col("x").alias("r_minx"), F.col("y").alias("r_miny"), F.col("x").alias("r_maxx"), F.col("y").alias("r_maxy")
     )
     for step in range(max_rounds):
         near = F.array_min(F.zip_with("nx", "ny", lambda a, b: F.hypot(a - F.col("x"), b - F.col("y"))))
-        # the search radius grows eightfold from round to round, so that early, loose cells stay cheap
-        corners = open_.select("id", "x", "y", (near * (8.0 ** (step + 1))).alias("cap"), F.posexplode(F.arrays_zip("vx", "vy")).alias("k", "v"))
+        # the search radius grows from round to round, so that early, loose cells stay cheap
+        corners = open_.select("id", "x", "y", (near * (reach ** (step + 1))).alias("cap"), F.posexplode(F.arrays_zip("vx", "vy")).alias("k", "v"))
         r = F.hypot(F.col("v.vx") - F.col("x"), F.col("v.vy") - F.col("y"))
         corners = corners.select("id", "k", F.col("v.vx").alias("cx"), F.col("v.vy").alias("cy"), r.alias("r"), "cap")
-        reach = F.least("r", "cap")
+        within = F.least("r", "cap")
         left = corners.select(
             F.col("id").alias("l_id"), F.col("k").alias("l_k"), F.col("cx").alias("l_cx"), F.col("cy").alias("l_cy"), F.col("r").alias("l_r"),
-            (F.col("cx") - reach).alias("l_minx"), (F.col("cy") - reach).alias("l_miny"), (F.col("cx") + reach).alias("l_maxx"), (F.col("cy") + reach).alias("l_maxy"),
+            (F.col("cx") - within).alias("l_minx"), (F.col("cy") - within).alias("l_miny"), (F.col("cx") + within).alias("l_maxx"), (F.col("cy") + within).alias("l_maxy"),
         )
         hits = candidate_pairs(left, right).where("l_id <> r_id").withColumn("d", F.hypot(F.col("r_minx") - F.col("l_cx"), F.col("r_miny") - F.col("l_cy")))
         hits = hits.where(F.col("d") < F.col("l_r") * (1 - 1e-9))
@@ -119,7 +138,7 @@ def cells(points: DataFrame, box, extent, max_rounds: int = 200) -> DataFrame:
         # a corner computed a hair off may point at a neighbour that is known already
         state = state.withColumn("add", F.filter("add", lambda p: ~F.array_contains(F.col("nid"), p["r_id"])))
         state = cut_lineage(state.withColumn("add", F.when(F.size("add") > 0, F.col("add"))))
-        settled = state.where("whole and add is null").select("id", "x", "y", "vx", "vy", "own")
+        settled = state.where("whole and add is null").select("id", "x", "y", "nid", "nx", "ny", "vx", "vy", "own")
         done = settled if done is None else done.unionByName(settled)
         again = state.where("not whole or add is not null").select(
             "id", "x", "y", *[F.when(F.col("add").isNull(), F.col(c)).otherwise(F.concat(c, F.col("add")[f])).alias(c)
@@ -160,7 +179,7 @@ def voronoi(df: DataFrame, kind: str = "voronoi", geom: str = "geom", srid: int
     noise = lambda salt: (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1000003)) / 1000003.0 - 0.5) * side * 1e-7
     shifted = points.select("id", (F.col("x") + noise(1)).alias("x"), (F.col("y") + noise(2)).alias("y"))
     big = side * 1e5
-    rows = cells(shifted, (minx - big, miny - big, maxx + big, maxy + big), extent)
+    rows = wide_cells(shifted, (minx - big, miny - big, maxx + big, maxy + big), extent)
     behind = rows.select("id", "own", F.concat(F.slice("own", F.size("own"), 1), F.slice("own", 1, F.size("own") - 1)).alias("prev"))
     pairs = behind.select("id", F.explode(F.arrays_zip("own", "prev")).alias("e")).where("e.own <> -1 and e.prev <> -1 and e.own <> e.prev")
     corner = F.array_sort(F.array("id", "e.own", "e.prev"))

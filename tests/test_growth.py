@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from geoloom.functions import geom as G
+from geoloom.operators import diagram as D
 from geoloom.operators import joins as J
 
 
@@ -18,3 +20,17 @@ def test_join_of_repeated_shapes_equals_the_plain_one(spark):
     assert rows(plain) == rows(shared)
     with pytest.raises(ValueError):
         J.spatial_join(boxes, boxes, how="left", repeats=True)
+
+
+def test_wide_cells_equal_brute_force(spark):
+    """Cells in a box far larger than the extent, settled by its rim alone, have the neighbours that all points give."""
+    pts = np.random.default_rng(3).random((60, 2)) * 50
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(pts)], "id long, x double, y double")
+    extent, box = (*pts.min(0), *pts.max(0)), (-5e6, -5e6, 5e6, 5e6)
+    extent = tuple(map(float, extent))
+    rows = D.wide_cells(df, box, extent).select("id", "own").collect()
+    assert sorted(r.id for r in rows) == list(range(60))
+    for r in rows:
+        rest = np.delete(np.arange(60), r.id)
+        own = D.cut_cell(*pts[r.id], box, rest, pts[rest, 0], pts[rest, 1])[2]
+        assert set(own) == set(r.own)
