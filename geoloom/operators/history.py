@@ -113,15 +113,17 @@ def unit_counts(units: DataFrame) -> DataFrame:
 
 def query_terms(query: Column, limit: int | None = None) -> Column:
     """The words of a query that differ when case and accents are ignored, in order; with ``limit``, the first ones."""
-    words = F.regexp_extract_all(F.coalesce(query, F.lit("")), F.lit(WORD), F.lit(0))
+    # a text has far fewer spellings than words; only these are folded
+    words = F.array_distinct(F.regexp_extract_all(F.coalesce(query, F.lit("")), F.lit(WORD), F.lit(0)))
+    # sorted by folded word and place, the first of equal neighbours is the first spelling
+    placed = F.sort_array(F.transform(words, lambda w, i: F.struct(fold(w).alias("low"), i.alias("at"), w.alias("own"))))
 
-    def first_spellings(pair: Column) -> Column:
-        fresh = F.array_distinct(pair["low"])
-        fresh = fresh if limit is None else F.slice(fresh, 1, limit)
-        return F.transform(fresh, lambda v: F.get(pair["own"], (F.array_position(pair["low"], v) - 1).cast("int")))
+    def first_spellings(p: Column) -> Column:
+        first = F.filter(p, lambda v, i: (i == 0) | (F.get(p, i - 1)["low"] != v["low"]))
+        fresh = F.sort_array(F.transform(first, lambda v: F.struct(v["at"].alias("at"), v["own"].alias("own"))))
+        return F.transform(fresh if limit is None else F.slice(fresh, 1, limit), lambda v: v["own"])
 
-    both = let(words, lambda w: F.struct(w.alias("own"), F.transform(w, fold).alias("low")))
-    return let(both, first_spellings)
+    return let(placed, first_spellings)
 
 
 def term_list(query: str, limit: int | None = None) -> list[str]:

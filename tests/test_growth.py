@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import geom as G
 from geoloom.operators import diagram as D
+from geoloom.operators import history as H
 from geoloom.operators import joins as J
+from geoloom.operators import photos as P
+from geoloom.operators import tiling as T
+from geoloom.plans import vector_queries
 
 
 def test_join_of_repeated_shapes_equals_the_plain_one(spark):
@@ -34,3 +38,15 @@ def test_wide_cells_equal_brute_force(spark):
         rest = np.delete(np.arange(60), r.id)
         own = D.cut_cell(*pts[r.id], box, rest, pts[rest, 0], pts[rest, 1])[2]
         assert set(own) == set(r.own)
+
+
+def optimized(df):
+    df.sparkSession.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_query_terms_folds_each_spelling_once(spark):
+    text = F.lit("Été été ete b B ÉTÉ c b")
+    df = spark.range(1).select(H.query_terms(F.concat(text, F.col("id").cast("string"))).alias("t"))
+    assert df.first().t == ["Été", "b", "c", "b0"]
+    assert "array_distinct(regexp_extract_all" in optimized(df)
