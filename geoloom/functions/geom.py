@@ -41,6 +41,12 @@ def let(value: Column, fn) -> Column:
     return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 
+def bound(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``withColumns`` for costly expressions: each is worked out once a row, whatever later conditions and columns read it."""
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
+
+
 def total(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0.0), lambda acc, v: acc + v)
 

@@ -115,21 +115,22 @@ def looks_like_drone(camera: Column, xmp: Column) -> Column:
 def photo_records(headers: DataFrame) -> DataFrame:
     """Flat photo records, EXIF before XMP; photos without a usable position are dropped."""
     x = F.col("exif")
-    staged = headers.withColumn("_x", xmp_fields(F.coalesce("xmp", F.lit(""))))
-    staged = staged.withColumns({f"_{k}": xmp_field(F.col("_x"), v) for k, v in XMP_NAMES.items()}).drop("_x")
+    staged = G.bound(headers, {"_x": xmp_fields(F.coalesce("xmp", F.lit("")))})
     south = F.when(F.startswith(F.upper(clean(x["GPSLatitudeRef"])), F.lit("S")), -1.0).otherwise(1.0)
     west = F.when(F.startswith(F.upper(clean(x["GPSLongitudeRef"])), F.lit("W")), -1.0).otherwise(1.0)
-    staged = staged.withColumns({"_glat": dms(x["GPSLatitude"]) * south, "_glon": dms(x["GPSLongitude"]) * west})
+    fields = {f"_{k}": xmp_field(F.col("_x"), v) for k, v in XMP_NAMES.items()}
+    staged = G.bound(staged, fields | {"_glat": dms(x["GPSLatitude"]) * south, "_glon": dms(x["GPSLongitude"]) * west}).drop("_x")
     has_gps = F.col("_glat").isNotNull() & F.col("_glon").isNotNull()
     below = F.trim(x["GPSAltitudeRef"]).isin("1", "\x01")
-    staged = staged.withColumns(
+    staged = G.bound(
+        staged,
         {
             "lat": F.when(has_gps, F.col("_glat")).otherwise(xmp_coordinate(F.col("_latitude"), F.col("_latitude_ref"))),
             "lon": F.when(has_gps, F.col("_glon")).otherwise(xmp_coordinate(F.col("_longitude"), F.col("_longitude_ref"))),
             "_gps_alt": F.when(has_gps, first_number(x["GPSAltitude"]) * F.when(below, -1.0).otherwise(1.0)),
             "_abs_alt": first_number(F.col("_altitude")), "_rel_alt": first_number(F.col("_relative_altitude")),
             "direction": F.coalesce(F.when(has_gps, first_number(x["GPSImgDirection"])), first_number(F.col("_direction"))),
-        }
+        },
     )
     staged = staged.where("lat between -90 and 90 and lon between -180 and 180")
 

@@ -50,3 +50,10 @@ def test_query_terms_folds_each_spelling_once(spark):
     df = spark.range(1).select(H.query_terms(F.concat(text, F.col("id").cast("string"))).alias("t"))
     assert df.first().t == ["Été", "b", "c", "b0"]
     assert "array_distinct(regexp_extract_all" in optimized(df)
+
+
+def test_photo_fields_are_worked_out_once(spark):
+    row = [(f"a/{i}.jpg", {}, f'<x:xmpmeta drone-dji:GpsLatitude="{i}.5" drone-dji:GpsLongitude="7.25"/>') for i in range(3)]
+    p = P.photo_records(spark.createDataFrame(row, "path string, exif map<string,string>, xmp string"))
+    assert sorted((r.lat, r.lon) for r in p.collect()) == [(0.5, 7.25), (1.5, 7.25), (2.5, 7.25)]
+    assert optimized(p).count("GPSLongitudeRef]") <= 2
