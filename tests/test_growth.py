@@ -57,3 +57,10 @@ def test_photo_fields_are_worked_out_once(spark):
     p = P.photo_records(spark.createDataFrame(row, "path string, exif map<string,string>, xmp string"))
     assert sorted((r.lat, r.lon) for r in p.collect()) == [(0.5, 7.25), (1.5, 7.25), (2.5, 7.25)]
     assert optimized(p).count("GPSLongitudeRef]") <= 2
+
+
+def test_softmax_is_summed_once_a_row(spark):
+    raw = spark.createDataFrame([(1, [1.0, 3.0, 0.0], 0.5, 0.5, 0.2, 0.2)], "q long, logits array<double>, cx double, cy double, bw double, bh double")
+    d = T.decode_detections(raw, ["a", "b", "c"], 0.5)
+    assert [(r.label, round(r.score, 6)) for r in d.collect()] == [("b", round(float(np.exp(3) / np.exp([1, 3, 0]).sum()), 6))]
+    assert optimized(d).count("aggregate(") == 1
