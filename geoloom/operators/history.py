@@ -8,7 +8,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geom import let
+from ..functions.geom import bound, let
 from ..session import cut_lineage
 from .catalog import collapse_space
 
@@ -375,10 +375,11 @@ def _steps(path: str) -> list[tuple]:
 
 def json_path(df: DataFrame, column: str, path: str, out: str = "value") -> DataFrame:
     """A jq-like path over JSON text: keys, ``[i]``, ``[a:b]``, ``keys``, ``length``; NULL where it fails."""
-    found = F.try_parse_json(F.col(column))
+    # each step reads the value before it several times
+    found = bound(df, {"_found": F.try_parse_json(F.col(column))})
     for what, *arguments in _steps(path):
-        found = getattr(_Value(found), what)(*arguments)
-    return df.withColumn(out, F.to_json(found))
+        found = bound(found, {"_found": getattr(_Value(F.col("_found")), what)(*arguments)})
+    return found.withColumn(out, F.to_json("_found")).drop("_found")
 
 
 def page_links(pages: DataFrame, html: str = "html", link_class: str = "result__a", snippet_class: str = "result__snippet", redirect_host: str = "duckduckgo.com") -> DataFrame:

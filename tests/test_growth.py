@@ -64,3 +64,9 @@ def test_softmax_is_summed_once_a_row(spark):
     d = T.decode_detections(raw, ["a", "b", "c"], 0.5)
     assert [(r.label, round(r.score, 6)) for r in d.collect()] == [("b", round(float(np.exp(3) / np.exp([1, 3, 0]).sum()), 6))]
     assert optimized(d).count("aggregate(") == 1
+
+
+def test_json_is_parsed_once_a_row(spark):
+    df = H.json_path(spark.range(2).select(F.to_json(F.struct(F.array("id", "id", "id").alias("a"))).alias("j")), "j", "a[0:2]")
+    assert sorted(r.value for r in df.collect()) == ["[0,0]", "[1,1]"]
+    assert optimized(df).lower().count("parsejson(") <= 1 and "Generate" in optimized(df)
