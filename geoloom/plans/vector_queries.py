@@ -208,7 +208,7 @@ def convex_hull(spark, sf):
 )
 def simplify_collinear(spark, sf):
     """Boxes whose edges were cut into quarters come back as five vertices."""
-    b = L.part_boxes(spark, sf)
+    b = L.dealt(L.part_boxes(spark, sf), "id")
     cuts = F.flatten(
         F.transform(
             G.path_segments(F.get(G.rings_of(F.col("geom")), F.lit(0))),

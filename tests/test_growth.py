@@ -70,3 +70,7 @@ def test_json_is_parsed_once_a_row(spark):
     df = H.json_path(spark.range(2).select(F.to_json(F.struct(F.array("id", "id", "id").alias("a"))).alias("j")), "j", "a[0:2]")
     assert sorted(r.value for r in df.collect()) == ["[0,0]", "[1,1]"]
     assert optimized(df).lower().count("parsejson(") <= 1 and "Generate" in optimized(df)
+
+
+def test_boxes_of_simplify_are_dealt_over_tasks(spark):
+    assert "RepartitionByExpression [id" in optimized(vector_queries.simplify_collinear(spark, "/root/testdata/sf0.001"))
