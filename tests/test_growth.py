@@ -12,6 +12,7 @@ from geoloom.operators import history as H
 from geoloom.operators import joins as J
 from geoloom.operators import photos as P
 from geoloom.operators import tiling as T
+from geoloom.operators.raster import Grid
 from geoloom.plans import vector_queries
 
 
@@ -74,3 +75,12 @@ def test_json_is_parsed_once_a_row(spark):
 
 def test_boxes_of_simplify_are_dealt_over_tasks(spark):
     assert "RepartitionByExpression [id" in optimized(vector_queries.simplify_collinear(spark, "/root/testdata/sf0.001"))
+
+
+def test_mask_sides_go_on_in_small_batches(spark, monkeypatch):
+    """A task holds few sides at a time, and handing them on early loses none."""
+    monkeypatch.setattr(T, "HELD_SIDES", 5)
+    masks = spark.range(30).select("id", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: (i + F.col("id")) % 3 > 0).alias("tile_mask"), F.lit(4).alias("w"), F.lit(0).alias("x"), F.lit(0).alias("y"))
+    p = T.mask_polygons(masks, "id", Grid(4, 4, 3857))
+    got = {r.id: r.a for r in p.groupBy("id").agg(F.sum(G.area(F.col("geom"))).alias("a")).collect()}
+    assert got == {i: float(sum((k + i) % 3 > 0 for k in range(16))) for i in range(30)}
