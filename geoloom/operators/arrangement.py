@@ -11,6 +11,9 @@ geometry they belong to, with a role A or B:
    corner, so no ray leaves its cell;
 4. pieces whose two sides differ under the wanted rule are the result's boundary.
 
+In a union, cells that lie wholly inside the A shapes are known before step 2 from their corner's count and the
+segments in them.  Only segments outside these cells are cut, so that shapes many deep do not cost the square of their depth.
+
 Only step 5, putting one result's edges in order, is a grouped kernel.
 """
 
@@ -28,6 +31,9 @@ from .linking import join_chains, link_rings
 SHEAR = 0.0137035999
 #: Segments a grid cell should hold on average.
 PER_CELL = 24
+#: The same for unions: smaller cells lie inside the shapes more often.
+PER_UNION_CELL = 2
+CELL = ("_cx", "_cy")
 SEG = ("x1", "y1", "x2", "y2")
 WEIGHTS = ("wa", "wb", "ln")
 
@@ -84,19 +90,20 @@ def _canonical(df: DataFrame, keys: list[str], digits: int) -> DataFrame:
     return turned.groupBy(*keys, *SEG).agg(*[F.sum(w).alias(w) for w in WEIGHTS])
 
 
-def _grid(segs: DataFrame, keys: list[str]) -> DataFrame:
-    """Cell size and origin per key; a small key gets one cell."""
+def _grid(segs: DataFrame, keys: list[str], per_cell: int = PER_CELL) -> DataFrame:
+    """Cell size and origin per key, ``_across`` cells a side; a small key gets one cell."""
     x_lo, x_hi = _slant("x1", "y1"), _slant("x2", "y2")
     ext = segs.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min(x_lo).alias("lx"), F.max(x_hi).alias("hx"),
         F.min(F.least("y1", "y2")).alias("ly"), F.max(F.greatest("y1", "y2")).alias("hy"),
     )
     side = F.greatest(F.col("hx") - F.col("lx"), F.col("hy") - F.col("ly"), F.lit(1e-9))
-    across = F.greatest(F.floor(F.sqrt(F.col("n") / PER_CELL)), F.lit(1))
-    ext = ext.withColumn("_s", side * F.when(across > 1, 1.0).otherwise(3.0) / across)
+    small = F.col("n") < 4 * PER_CELL
+    ext = ext.withColumn("_across", F.when(small, F.lit(1)).otherwise(F.floor(F.sqrt(F.col("n") / per_cell))))
+    ext = ext.withColumn("_s", side * F.when(small, 3.0).otherwise(1.0) / F.col("_across"))
     # an odd offset keeps vertices off the grid lines
     return ext.select(
-        *keys, "_s", (F.col("lx") - F.col("_s") * 0.381966).alias("_ox"), (F.col("ly") - F.col("_s") * 0.414214).alias("_oy")
+        *keys, "_s", (F.col("lx") - F.col("_s") * 0.381966).alias("_ox"), (F.col("ly") - F.col("_s") * 0.414214).alias("_oy"), "_across"
     )
 
 
@@ -118,11 +125,52 @@ def binned(segs: DataFrame, keys: list[str]) -> DataFrame:
     return _bin(segs.join(grid, keys), 1e-9)
 
 
-def _split(segs: DataFrame, keys: list[str], digits: int) -> DataFrame:
-    """Cut every segment where another crosses or touches it."""
-    tol = 2 * 10.0**-digits
+def _tolerance(digits: int) -> float:
+    """How near to a segment a point touches it."""
+    return 2 * 10.0**-digits
+
+
+def _walls(lines: DataFrame, keys: list[str], sign: int = 1) -> DataFrame:
+    """Where gridded segments cross the grid's upright lines: ``keys, _cx, _cy, ka, kb``, the steps of the counts at the cells' corners."""
+    s, ox, oy = F.col("_s"), F.col("_ox"), F.col("_oy")
+    first, last = F.ceil((_slant("x1", "y1") - ox) / s), F.ceil((_slant("x2", "y2") - ox) / s) - 1
+    lines = lines.where("wa <> 0 or wb <> 0").withColumns({"_f": first, "_l": last}).where("_f <= _l")
+    lines = lines.withColumn("_cx", F.explode(F.sequence("_f", "_l")))
+    run = _slant("x2", "y2") - _slant("x1", "y1")
+    hit = F.col("y1") + F.try_divide(ox + F.col("_cx") * s - _slant("x1", "y1"), run) * (F.col("y2") - F.col("y1"))
+    return lines.select(*keys, "_cx", (F.floor((hit - oy) / s) - 1).alias("_cy"), (F.col("wa") * -sign).alias("ka"), (F.col("wb") * -sign).alias("kb"))
+
+
+def _corners(steps: DataFrame, keys: list[str], *others: str) -> DataFrame:
+    """Running sums of ``steps``, one a cell: ``ka, kb``, how many A and B shapes lie over the cell's upper left corner."""
+    down = Window.partitionBy(*keys, "_cx").orderBy(F.desc("_cy"))
+    return steps.select(*keys, *CELL, *others, F.sum("ka").over(down).alias("ka"), F.sum("kb").over(down).alias("kb"))
+
+
+def _losses(segs: DataFrame, keys: list[str], digits: int) -> DataFrame:
+    """The steps of ``_corners`` in all cells, with ``_loss`` in those that a segment passes; ``segs`` are gridded.
+
+    On the way from a cell's upper left corner to any point in it, first along its upper side and then down, a
+    segment of the cell takes away the A shapes above it or adds those below; a falling one that leaves through the
+    upper side may do the reverse.  No point of the cell lies under fewer A shapes than its corner less ``_loss``.
+    """
+    at = _bin(segs.where("wa <> 0 or wb <> 0 or ln <> 0"), _tolerance(digits))
+    top = F.col("_oy") + (F.col("_cy") + 1) * F.col("_s")
+    either = (F.col("y1") >= top) & (F.col("y2") <= top)
+    loss = F.when(either, F.abs("wa")).otherwise(F.greatest(F.col("wa"), F.lit(0)))
+    none = F.lit(0).cast("long")
+    passed = at.select(*keys, *CELL, none.alias("ka"), none.alias("kb"), loss.alias("_loss"))
+    walls = _walls(segs, keys).withColumn("_loss", F.lit(None).cast("long"))
+    return passed.unionByName(walls).groupBy(*keys, *CELL).agg(*[F.sum(c).alias(c) for c in ("ka", "kb", "_loss")])
+
+
+def _split(segs: DataFrame, keys: list[str], digits: int, outer: DataFrame | None = None) -> DataFrame:
+    """Cut every segment where another crosses or touches it, with ``outer`` at least where they do so in its cells."""
+    tol = _tolerance(digits)
     binned = _bin(segs, tol)
-    cell = [*keys, "_cx", "_cy"]
+    cell = [*keys, *CELL]
+    if outer is not None:
+        binned = binned.join(outer, cell, "left_semi")
     left = binned.select(*cell, *[F.col(c).alias("a_" + c) for c in SEG])
     right = binned.select(*cell, *[F.col(c).alias("b_" + c) for c in SEG])
     pairs = left.join(right, cell).where(
@@ -169,8 +217,11 @@ def _split(segs: DataFrame, keys: list[str], digits: int) -> DataFrame:
     return _canonical(pieces.select(*keys, "s.*", *WEIGHTS), keys, digits)
 
 
-def _coverage(pieces: DataFrame, keys: list[str], grid: DataFrame) -> DataFrame:
-    """Pieces with ``ca, cb``: how many A and B shapes lie just above them."""
+def _coverage(pieces: DataFrame, keys: list[str], grid: DataFrame, outer: DataFrame | None = None, more: DataFrame | None = None) -> DataFrame:
+    """Pieces with ``ca, cb``: how many A and B shapes lie just above them.
+
+    With ``outer`` only pieces with their middle in one of its cells; ``more`` are steps of other segments' counts.
+    """
     gridded = pieces.join(grid, keys)
     live = _bin(gridded.where("wa <> 0 or wb <> 0"), 0.0)
     s, ox, oy = F.col("_s"), F.col("_ox"), F.col("_oy")
@@ -179,7 +230,9 @@ def _coverage(pieces: DataFrame, keys: list[str], grid: DataFrame) -> DataFrame:
     mids = gridded.withColumns({"_mx": mx, "_my": my}).withColumns(
         {"_cx": F.floor((F.col("_mx") - ox) / s), "_cy": F.floor((F.col("_my") - oy) / s)}
     )
-    cell = [*keys, "_cx", "_cy"]
+    cell = [*keys, *CELL]
+    if outer is not None:
+        live, mids = live.join(outer, cell, "left_semi"), mids.join(outer, cell, "left_semi")
     other = live.select(
         *cell, _slant("x1", "y1").alias("sx1"), F.col("y1").alias("sy1"), _slant("x2", "y2").alias("sx2"), F.col("y2").alias("sy2"),
         F.col("x1").alias("ox1"), F.col("x2").alias("ox2"), F.col("wa").alias("va"), F.col("wb").alias("vb"),
@@ -198,34 +251,41 @@ def _coverage(pieces: DataFrame, keys: list[str], grid: DataFrame) -> DataFrame:
         F.sum(F.col("_t") * F.col("va")).alias("la"), F.sum(F.col("_t") * F.col("vb")).alias("lb")
     )
     # counts at the upper left corner of every cell in use, from crossings of the grid lines
-    first, last = F.ceil((_slant("x1", "y1") - ox) / s), F.ceil((_slant("x2", "y2") - ox) / s) - 1
-    lines = gridded.where("wa <> 0 or wb <> 0").withColumns({"_f": first, "_l": last}).where("_f <= _l")
-    lines = lines.withColumn("_cx", F.explode(F.sequence("_f", "_l")))
-    run = _slant("x2", "y2") - _slant("x1", "y1")
-    hit = F.col("y1") + F.try_divide(ox + F.col("_cx") * s - _slant("x1", "y1"), run) * (F.col("y2") - F.col("y1"))
-    walls = lines.select(*keys, "_cx", (F.floor((hit - oy) / s) - 1).alias("_cy"), (-F.col("wa")).alias("ka"), (-F.col("wb")).alias("kb"))
-    used = mids.select(*keys, "_cx", "_cy", F.lit(0).cast("long").alias("ka"), F.lit(0).cast("long").alias("kb"))
-    steps = used.unionByName(walls).groupBy(*cell).agg(F.sum("ka").alias("ka"), F.sum("kb").alias("kb"))
-    down = Window.partitionBy(*keys, "_cx").orderBy(F.desc("_cy"))
-    corners = steps.select(*cell, F.sum("ka").over(down).alias("ka"), F.sum("kb").over(down).alias("kb"))
+    used = mids.select(*cell, F.lit(0).cast("long").alias("ka"), F.lit(0).cast("long").alias("kb"))
+    steps = used.unionByName(_walls(gridded, keys))
+    if more is not None:
+        steps = steps.unionByName(more)
+    corners = _corners(steps.groupBy(*cell).agg(F.sum("ka").alias("ka"), F.sum("kb").alias("kb")), keys)
     out = mids.join(corners, cell).join(local, [*keys, *SEG], "left")
     return out.select(
         *keys, *SEG, *WEIGHTS, (F.col("ka") + F.coalesce("la", F.lit(0))).alias("ca"), (F.col("kb") + F.coalesce("lb", F.lit(0))).alias("cb")
     )
 
 
-def _covered(segs: DataFrame, keys: list[str], digits: int) -> DataFrame:
+def _covered(segs: DataFrame, keys: list[str], digits: int, union: bool = False) -> DataFrame:
+    """Pieces with their coverage; ``union`` leaves out those known to lie inside the A shapes."""
     # each step is read several times by the next one, so it is written once
     merged = cut_lineage(_canonical(segs, keys, digits))
-    grid = cut_lineage(_grid(merged, keys))
-    pieces = cut_lineage(_split(merged.join(grid, keys), keys, digits))
-    return _coverage(pieces, keys, grid)
+    grid = cut_lineage(_grid(merged, keys, PER_UNION_CELL if union else PER_CELL))
+    gridded = merged.join(grid, keys)
+    if not union or grid.where("_across > 1").isEmpty():
+        pieces = cut_lineage(_split(gridded, keys, digits))
+        return _coverage(pieces, keys, grid)
+    # cells with a point that may lie outside; a piece that reaches from one of them into another cell was cut at all
+    # that crosses it on the way, so all of it lies inside
+    steps = cut_lineage(_losses(gridded, keys, digits))
+    outer = cut_lineage(_corners(steps, keys, "_loss").where("ka <= _loss").select(*keys, *CELL))
+    near = cut_lineage(_bin(gridded, _tolerance(digits)).join(outer, [*keys, *CELL], "left_semi").select(*gridded.columns).dropDuplicates([*keys, *SEG]))
+    pieces = cut_lineage(_split(near, keys, digits, outer))
+    # the counts' steps of the segments that were not cut
+    rest = steps.select(*keys, *CELL, "ka", "kb").unionByName(_walls(near, keys, -1))
+    return _coverage(pieces, keys, grid, outer, rest)
 
 
 def boundary_edges(segs: DataFrame, keys: list[str], rule: str, digits: int = 9) -> DataFrame:
     """Directed boundary edges of the result, interior on the left; no geometry is built."""
     test = RULES[rule]
-    covered = _covered(segs, keys, digits)
+    covered = _covered(segs, keys, digits, rule == "union")
     up = test(F.col("ca"), F.col("cb"))
     down = test(F.col("ca") - F.col("wa"), F.col("cb") - F.col("wb"))
     edge = covered.withColumns({"_up": up, "_down": down}).where("_up <> _down")

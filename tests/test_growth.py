@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoloom.functions import geom as G
+from geoloom.operators import arrangement as A
 from geoloom.operators import diagram as D
 from geoloom.operators import history as H
 from geoloom.operators import joins as J
@@ -84,3 +85,25 @@ def test_mask_sides_go_on_in_small_batches(spark, monkeypatch):
     p = T.mask_polygons(masks, "id", Grid(4, 4, 3857))
     got = {r.id: r.a for r in p.groupBy("id").agg(F.sum(G.area(F.col("geom"))).alias("a")).collect()}
     assert got == {i: float(sum((k + i) % 3 > 0 for k in range(16))) for i in range(30)}
+
+
+def test_union_cuts_no_segments_deep_inside(spark, monkeypatch):
+    """Shapes that lie many deep are cut along the union's outline only, and its holes stay."""
+    w, h = 120, 80
+    rng = np.random.default_rng(11)
+    at = np.column_stack([rng.integers(0, w - 24, 1500), rng.integers(0, h - 24, 1500), rng.integers(10, 25, 1500), rng.integers(10, 25, 1500)])
+    hole = (at[:, 0] < 70) & (at[:, 0] + at[:, 2] > 50) & (at[:, 1] < 50) & (at[:, 1] + at[:, 3] > 30)
+    at = at[~hole]
+    grid = np.zeros((w, h), bool)
+    for x, y, a, b in at:
+        grid[x : x + a, y : y + b] = True
+    df = spark.createDataFrame([tuple(map(float, r)) for r in at], "x double, y double, a double, b double")
+    turned = [G.xy(c * 0.8 - s * 0.6, c * 0.6 + s * 0.8) for c, s in ((F.col("x") + F.col("a") * i, F.col("y") + F.col("b") * j) for i, j in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0)))]
+    shapes = df.select(F.lit(0).alias("k"), G.polygon(F.array(*turned)).alias("geom"))
+    cut, split = [], A._split
+    monkeypatch.setattr(A, "_split", lambda segs, *more: cut.append(segs.count()) or split(segs, *more))
+    segs = A.polygon_segments(shapes, ["k"])
+    row = A.arrange(segs, ["k"], "union", 6).select(G.area(F.col("geom")).alias("a"), F.size(G.rings_of(F.col("geom"))).alias("n")).first()
+    assert round(row.a, 3) == grid.sum()
+    assert row.n >= 2
+    assert cut[0] < segs.count() / 2
