@@ -82,12 +82,54 @@ def aggregate(df: DataFrame, column: str, statistic: str = "count", field: str |
     return union_all(rows, [column], geom, digits).join(values, column, "left")
 
 
+def _half(path: Column, axis: str, at: Column, below: bool) -> Column:
+    """A closed convex path cut to ``axis`` values not above (``below``) or not below ``at``."""
+    gap = lambda v: (at - v[axis]) if below else (v[axis] - at)
+    other = "y" if axis == "x" else "x"
+
+    def kept(p: Column, q: Column) -> Column:
+        """A side's start, if it stays, and the place where the side crosses the line."""
+        cross = lambda a, b: p[other] + (q[other] - p[other]) * a / (a - b)
+        place = lambda a, b: G.xy(at, cross(a, b)) if axis == "x" else G.xy(cross(a, b), at)
+        return G.let(
+            F.struct(gap(p).alias("a"), gap(q).alias("b")),
+            lambda g: F.concat(F.when(g["a"] >= 0, F.array(p)).otherwise(F.array().cast(G.RING)), F.when(g["a"] * g["b"] < 0, F.array(place(g["a"], g["b"]))).otherwise(F.array().cast(G.RING))),
+        )
+
+    sides = F.zip_with(F.slice(path, F.lit(1), F.greatest(F.size(path) - 1, F.lit(0))), F.slice(path, F.lit(2), F.greatest(F.size(path) - 1, F.lit(0))), kept)
+    return G.let(F.flatten(sides), lambda r: F.concat(r, F.slice(r, 1, 1)))
+
+
+def _in_box(ring: Column, box: list[Column], digits: int) -> Column:
+    """A convex ring cut to a box, counter-clockwise, NULL without an area; vertices on straight lines go."""
+    path = F.when(G.signed_area(ring) >= 0, ring).otherwise(F.reverse(ring))
+    path = G.let(path, lambda r: _half(r, "x", box[0], False))
+    path = G.let(path, lambda r: _half(r, "y", box[1], False))
+    path = G.let(path, lambda r: _half(r, "x", box[2], True))
+    path = G.let(path, lambda r: _half(r, "y", box[3], True))
+    at = lambda v: F.rint(v * 10.0**digits) / 10.0**digits + F.lit(0.0)
+    snapped = G.let(path, lambda r: F.transform(F.slice(r, F.lit(1), F.greatest(F.size(r) - 1, F.lit(0))), lambda v: G.xy(at(v["x"]), at(v["y"]))))
+    # neighbours that snapping made equal are one vertex
+    single = G.let(snapped, lambda r: F.filter(r, lambda v, i: v != F.get(r, F.pmod(i + 1, F.size(r)))))
+
+    def corner(r: Column, v: Column, i: Column) -> Column:
+        p, q = F.get(r, F.pmod(i - 1 + F.size(r), F.size(r))), F.get(r, F.pmod(i + 1, F.size(r)))
+        ax, ay, bx, by = v["x"] - p["x"], v["y"] - p["y"], q["x"] - v["x"], q["y"] - v["y"]
+        return F.abs(ax * by - ay * bx) > (F.abs(ax) + F.abs(ay)) * (F.abs(bx) + F.abs(by)) * 1e-12
+
+    bent = G.let(single, lambda r: F.filter(r, lambda v, i: corner(r, v, i)))
+    return G.let(bent, lambda r: F.when(F.size(r) >= 3, G.polygon(F.concat(r, F.slice(r, 1, 1)))))
+
+
 def _pairs(left: DataFrame, right: DataFrame, lk: str, rk: str, geom: str) -> DataFrame:
     """Overlapping boxes as ``lk, rk, l_geom, r_geom`` with the box columns and rectangle flags."""
 
     def side(df: DataFrame, key: str, p: str) -> DataFrame:
-        boxed = G.with_bbox(df.select(F.col(key).alias("key"), F.col(geom).alias("geom")), "geom")
+        # dealt over all tasks, since one file may hold many rows
+        boxed = G.with_bbox(df.select(F.col(key).alias("key"), F.col(geom).alias("geom")).repartition("key"), "geom")
         boxed = boxed.withColumn("rect", F.expr(P.is_rectangle("geom")))
+        turns = F.when(~F.col("rect") & G.is_polygonal(F.col("geom")), _convex_turns(F.col("geom")))
+        boxed = boxed.withColumn("convex", F.coalesce(F.size(turns) > 0, F.lit(False)))
         return boxed.select(*[F.col(c).alias(f"{p}_{c}") for c in boxed.columns])
 
     return cut_lineage(candidate_pairs(side(left, lk, "l"), side(right, rk, "r")))
@@ -117,8 +159,11 @@ def overlay(
     # only left features with a real overlap need cutting
     near = pairs.where("l_minx < r_maxx and l_maxx > r_minx and l_miny < r_maxy and l_maxy > r_miny")
     touched = near.select(F.col("l_key").alias(left_key)).distinct()
-    a = A.polygon_segments(left.join(touched, left_key, "left_semi"), [left_key], geom, "a")
-    b = A.polygon_segments(near.select(F.col("l_key").alias(left_key), F.col("r_geom").alias(geom)), [left_key], geom, "b")
+    # nothing is left of those inside a box
+    gone = near.where("r_rect and l_minx >= r_minx and l_maxx <= r_maxx and l_miny >= r_miny and l_maxy <= r_maxy").select(F.col("l_key").alias(left_key)).distinct()
+    near = near.withColumnRenamed("l_key", left_key).join(gone, left_key, "left_anti")
+    a = A.polygon_segments(near.select(left_key, F.col("l_geom").alias(geom)).dropDuplicates([left_key]), [left_key], geom, "a")
+    b = A.polygon_segments(near.select(left_key, F.col("r_geom").alias(geom)), [left_key], geom, "b")
     cut = A.arrange(a.unionByName(b), [left_key], "difference", digits)
     rest = left.drop(*G.BBOX)
     kept = rest.join(touched, left_key, "left_anti")
@@ -131,10 +176,18 @@ def _intersection(left, right, pairs, lk, rk, geom, digits) -> DataFrame:
         "l_key", "r_key",
         G.box(F.greatest("l_minx", "r_minx"), F.greatest("l_miny", "r_miny"), F.least("l_maxx", "r_maxx"), F.least("l_maxy", "r_maxy")).alias("geom"),
     )
+    # a convex shape in a box needs no arrangement
     other = inside.where("not (l_rect and r_rect)")
+    single = "coalesce((r_rect and l_convex) or (l_rect and r_convex), false)"
+    lb, rb = ([F.col(f"{p}_{c}") for c in G.BBOX] for p in "lr")
+    cut = F.when(F.col("r_rect"), _in_box(F.get(G.rings_of(F.col("l_geom")), F.lit(0)), rb, digits)).otherwise(_in_box(F.get(G.rings_of(F.col("r_geom")), F.lit(0)), lb, digits))
+    convex = G.bound(other.where(single), {"geom": cut}).where("geom is not null").select("l_key", "r_key", "geom")
+    other = other.where(f"not {single}")
     keys = ["l_key", "r_key"]
     segs = A.polygon_segments(other, keys, "l_geom", "a").unionByName(A.polygon_segments(other, keys, "r_geom", "b"))
-    shapes = boxes.unionByName(A.arrange(segs, keys, "intersection", digits))
+    shapes = boxes.unionByName(convex)
+    if not other.isEmpty():
+        shapes = shapes.unionByName(A.arrange(segs, keys, "intersection", digits))
     l_cols = [c for c in left.columns if c not in (geom, *G.BBOX)]
     r_cols = [c for c in right.columns if c not in (geom, "srid", *G.BBOX)]
     clash = set(l_cols) & set(r_cols)

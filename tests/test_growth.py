@@ -11,6 +11,7 @@ from geoloom.operators import arrangement as A
 from geoloom.operators import diagram as D
 from geoloom.operators import history as H
 from geoloom.operators import joins as J
+from geoloom.operators import overlay as O
 from geoloom.operators import photos as P
 from geoloom.operators import tiling as T
 from geoloom.operators.raster import Grid
@@ -107,3 +108,22 @@ def test_union_cuts_no_segments_deep_inside(spark, monkeypatch):
     assert round(row.a, 3) == grid.sum()
     assert row.n >= 2
     assert cut[0] < segs.count() / 2
+
+
+def test_convex_shapes_in_boxes_need_no_arrangement(spark, monkeypatch):
+    """Triangles inside, across and outside a box: cut at once; only a bent one is arranged, and nothing is left of inner ones."""
+    at = {1: [(1, 1), (3, 1), (1, 3)], 2: [(8, 2), (12, 2), (8, 6)], 3: [(-5, -5), (25, -5), (-5, 25)], 4: [(10, 0), (14, 0), (10, 4)], 5: [(2, 6), (2, 9), (5, 9)], 6: [(8, 8), (12, 8), (12, 12), (11, 9)]}
+    rows = [(k, [(float(x), float(y)) for x, y in [*p, p[0]]]) for k, p in at.items()]
+    df = spark.createDataFrame(rows, "k int, r array<struct<x:double,y:double>>").select("k", G.polygon(F.col("r")).alias("geom"), F.lit(3857).alias("srid"))
+    box = spark.range(1).select("id", G.box(F.lit(0.0), F.lit(0.0), F.lit(10.0), F.lit(10.0)).alias("geom"), F.lit(3857).alias("srid"))
+    areas = lambda o: {r.k: round(r.a, 6) for r in o.select("k", G.area(F.col("geom")).alias("a")).collect()}
+    seen, arrange = [], A.arrange
+    key = lambda segs, keys: {r[0] for r in segs.select(keys[0]).collect()}
+    monkeypatch.setattr(A, "arrange", lambda segs, keys, *more: seen.append(key(segs, keys)) or arrange(segs, keys, *more))
+    inside = areas(O.overlay(df, box, "intersection", "k", "id", srids=(3857, 3857)))
+    outside = areas(O.overlay(df, box, "difference", "k", "id", srids=(3857, 3857)))
+    assert seen == [{6}, {2, 3, 6}]
+    whole = areas(df)
+    assert inside == {1: 2.0, 2: 6.0, 3: 100.0, 5: 4.5, 6: inside[6]}
+    assert outside == {2: 2.0, 3: 350.0, 4: 8.0, 6: outside[6]}
+    assert abs(inside[6] + outside[6] - whole[6]) < 1e-5
