@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import crs as C
 from ..functions import geom as G
 from ..functions import predicates as P
-from ..session import cut_lineage, measure, one_of, require_columns
+from ..session import cut_lineage, measure, one_of, over_cores, require_columns
 from . import arrangement as A
 from .joins import aligned, candidate_pairs, matched_pairs
 from .percentiles import group_percentiles
@@ -376,8 +376,8 @@ def buffer(
     d = float(distance)
     base = df.drop(*G.BBOX).withColumn(geom, C.transform_geom(F.col(geom), src, metric))
     digits = A.digits_for(metric)
-    # read by several steps, and one file may hold many rows
-    turned = cut_lineage(base.repartition(key).withColumn("_turns", _convex_turns(F.col(geom)) if d > 0 else F.lit(None).cast(TURNS)))
+    # read by several steps, and few bytes may be many rows
+    turned = cut_lineage(over_cores(base, key).withColumn("_turns", _convex_turns(F.col(geom)) if d > 0 else F.lit(None).cast(TURNS)))
     v = F.get(G.vertices(F.col(geom)), F.lit(0))
     shape = F.when(F.col(geom)["type"] == "Point", G.let(v, lambda p: disc(p["x"], p["y"], d))).otherwise(_grown_ring(F.col("_turns"), d, digits))
     plain = F.coalesce((F.col(geom)["type"] == "Point") | F.col("_turns").isNotNull(), F.lit(False))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -127,3 +130,14 @@ def test_convex_shapes_in_boxes_need_no_arrangement(spark, monkeypatch):
     assert inside == {1: 2.0, 2: 6.0, 3: 100.0, 5: 4.5, 6: inside[6]}
     assert outside == {2: 2.0, 3: 350.0, 4: 8.0, 6: outside[6]}
     assert abs(inside[6] + outside[6] - whole[6]) < 1e-5
+
+
+def test_buffers_are_grown_by_all_tasks(spark):
+    """Many short lines have the bytes of one task, but growing them is work for all; no line is lost."""
+    k = F.col("id")
+    lines = spark.range(2000).select("id", G.line(F.array(G.xy(k, 0), G.xy(k + 1 + k % 7, 0))).alias("geom"), F.lit(3857).alias("srid"))
+    rows = O.buffer(lines, 0.25, "id", srid=3857).select("id", G.area(F.col("geom")).alias("a"), F.spark_partition_id().alias("task")).collect()
+    ends = 32 * math.sin(2 * math.pi / 64) * 0.25**2
+    assert {r.id: round(r.a, 3) for r in rows} == {i: round(0.5 * (1 + i % 7) + ends, 3) for i in range(2000)}
+    share = Counter(r.task for r in rows)
+    assert len(rows) == 2000 and len(share) > 1 and max(share.values()) < 500
