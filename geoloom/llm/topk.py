@@ -1,11 +1,14 @@
 """Exact top-k inner products by an impact-ordered index, read score at a time.
 
 Vectors are dealt into blocks.  The index of a block has, for each component, segments of vectors whose
-component falls into one quantised level, with the least and greatest value in it.  A query turns each
-segment into a range of gains over the component's least contribution and takes the segments by descending
-greatest gain, whatever their component, adding up lower and upper bounds.  It stops only when the bounds prove that few vectors
-can still be among the best k: all others' upper bounds lie below the k-th lower bound.  Those are scored
-exactly, ties going to the smaller id, and the blocks' results are merged.
+component falls into one quantised level, with the least and greatest value in it.  Queries are taken in
+batches, those with the same strongest component together.  A batch reads the components by descending
+impact, all segments of one at once: the middles of the segments are added up as a matrix product, what they
+may be off and what is still to be read make the bounds.  A query stops only when the bounds prove that few vectors
+can still be among the best k: all others' upper bounds lie below the k-th score found before or the k-th lower bound.
+Those are scored exactly, ties going to the smaller id, and the blocks' results are merged.
+
+Blocks and parts of the queries meet in cells of bounded size; a cell is one group, so no row holds more than a vector.
 """
 
 from __future__ import annotations
@@ -14,15 +17,19 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, over_cores
 from .textkit import prepare
 
-BLOCK_ROWS = 4096
+#: Vectors of a cell, of an index, queries of a cell, of a batch, and pairs scored at once.
+BLOCK_ROWS = 16384
+INDEX_ROWS = 4096
+PART_ROWS = 4096
 QUERY_ROWS = 256
+PAIR_ROWS = 1 << 16
 LEVELS = 32
 
 
@@ -44,61 +51,109 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 class Index:
-    """One block: its vectors, and postings by component and level."""
+    """Vectors by id, and the middle of the segment that each component of each falls into."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, levels: int = LEVELS):
         order = np.argsort(ids, kind="stable")
         self.ids, self.x = ids[order], x[order]
-        n, width = self.x.shape
-        low, high = self.x.min(0), self.x.max(0)
-        level = ((self.x - low) * levels // np.maximum(high - low + 1, 1)).astype(np.int64)
+        width = self.x.shape[1]
+        self.low, self.high = self.x.min(0), self.x.max(0)
+        self.peak = np.maximum(np.abs(self.low.astype(float)), np.abs(self.high.astype(float)))
+        level = ((self.x - self.low) * levels // np.maximum(self.high - self.low + 1, 1)).astype(np.int64)
         segment = (level + np.arange(width) * levels).T.ravel()  # component after component
         by = np.argsort(segment, kind="stable")
-        self.postings = (by % n).astype(np.int64)
-        names, first = np.unique(segment[by], return_index=True)
-        self.cuts = np.append(first, len(by))
-        self.component = names // levels
-        values = self.x.T.ravel()[by]
-        self.least = np.minimum.reduceat(values, first) if len(first) else first
-        self.most = np.maximum.reduceat(values, first) if len(first) else first
+        names, first, place = np.unique(segment[by], return_index=True, return_inverse=True)
+        values = self.x.T.ravel()[by].astype(float)
+        least = np.minimum.reduceat(values, first) if len(first) else values
+        most = np.maximum.reduceat(values, first) if len(first) else values
+        middle = np.empty(len(values), np.float32)
+        middle[by] = ((least + most) / 2)[place]
+        self.middle = middle.reshape(width, len(self.ids))
+        self.half = np.zeros(width)
+        np.maximum.at(self.half, names // levels, (most - least) / 2)
+
+    def candidates(self, names: np.ndarray, q: np.ndarray, k: int, bar: np.ndarray, rounds: int = 4, few: int = 64) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``query's row, id, score`` of all members that may be among a query's k best, its own id left out.
+
+        ``bar`` has a score for each query below which nothing is wanted, or minus infinity.
+        """
+        n, width = self.x.shape
+        size, bar, out = np.abs(q.astype(float)), bar.copy(), []
+        ends = np.maximum(q.astype(float) * self.low, q.astype(float) * self.high), np.minimum(q.astype(float) * self.low, q.astype(float) * self.high)
+        most, least = (e.sum(1) for e in ends)
+        # of queries whose sums of integers may not be exact in floating point every vector is scored
+        exact = size @ self.peak < 2**52
+        for row in np.flatnonzero(~exact):
+            out += self._scored(np.array([row]), np.ones((1, n), bool), names, q)
+        rows = np.flatnonzero(exact & (most >= bar))
+        order = np.argsort(-(size[rows].sum(0) * (self.high - self.low)), kind="stable")
+        sums = np.zeros((len(rows), n), np.float32)
+        for i, (a, b) in enumerate(zip(np.searchsorted(self.ids, names[rows]), np.searchsorted(self.ids, names[rows], "right"))):
+            sums[i, a:b] = -math.inf
+        # what single precision may be off: a factor for each rounding of a product, a sum and the two values
+        off = (width + 16) * 2.0**-22 * (size @ self.peak)
+        parts = [p for p in np.array_split(order, rounds) if len(p)] or [order]
+        for turn, part in enumerate(parts):
+            sums += q[np.ix_(rows, part)].astype(np.float32) @ self.middle[part]
+            most[rows] -= ends[0][np.ix_(rows, part)].sum(1)
+            least[rows] -= ends[1][np.ix_(rows, part)].sum(1)
+            off[rows] += size[np.ix_(rows, part)] @ self.half[part]
+            new = np.flatnonzero(np.isneginf(bar[rows]))
+            kth = np.full(len(rows), -math.inf)
+            if len(new) and k <= n:
+                kth[new] = np.partition(sums[new], n - k, axis=1)[:, n - k].astype(float) + (least - off)[rows[new]]
+            need = (np.maximum(bar[rows], kth) - most[rows] - off[rows]).astype(np.float32)
+            possible = sums >= np.nextafter(need, np.float32(-math.inf))[:, None]
+            # the proof: all others end below the bar
+            done = (np.count_nonzero(possible, axis=1) <= max(few, 2 * k)) | (turn == len(parts) - 1)
+            if done.any():
+                out += self._scored(rows[done], possible[done], names, q)
+                rows, sums = rows[~done], sums[~done]
+            if not len(rows):
+                break
+        return out
+
+    def _scored(self, rows: np.ndarray, possible: np.ndarray, names: np.ndarray, q: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        row, at = np.nonzero(possible)
+        row = rows[row]
+        other = self.ids[at] != names[row]
+        row, at = row[other], at[other]
+        cuts = range(0, len(at), PAIR_ROWS)
+        score = [np.einsum("ij,ij->i", self.x[at[c : c + PAIR_ROWS]], q[row[c : c + PAIR_ROWS]]) for c in cuts]
+        return [(row, self.ids[at], np.concatenate(score))] if score else []
 
     def search(self, query: int, q: np.ndarray, k: int, rounds: int = 4, few: int = 64) -> list[tuple[int, int]]:
-        """The k best ``id, score`` of this block for one query, its own id left out."""
-        n, width = self.x.shape
-        own = self.ids == query
-        k = min(k, n - int(own.sum()))
-        if k <= 0:
-            return []
-        a, b = q[self.component] * self.least, q[self.component] * self.most
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        floor, ceiling = np.zeros(width, np.int64), np.zeros(width, np.int64)
-        if len(low):
-            starts = np.flatnonzero(np.append(True, self.component[1:] != self.component[:-1]))
-            floor[self.component[starts]] = np.minimum.reduceat(low, starts)
-            ceiling[self.component[starts]] = np.maximum.reduceat(high, starts)
-        gain = high - floor[self.component]
-        order = np.argsort(-gain, kind="stable")
-        # sums of integers below 2^53 are exact in the counts' floating point; else every vector is scored
-        if float(np.abs(q).astype(float) @ np.abs(self.x).max(0).astype(float)) >= 2**52:
-            possible = ~own
-        else:
-            lower, upper = np.full(n, float(floor.sum())), np.full(n, float(ceiling.sum()))
-            lower[own] = upper[own] = -math.inf
-            for part in np.array_split(order, rounds):
-                many = self.cuts[part + 1] - self.cuts[part]
-                if many.sum():
-                    at = np.concatenate([self.postings[self.cuts[s] : self.cuts[s + 1]] for s in part.tolist()])
-                    component = self.component[part]
-                    lower += np.bincount(at, np.repeat((low[part] - floor[component]).astype(float), many), n)
-                    upper += np.bincount(at, np.repeat((high[part] - ceiling[component]).astype(float), many), n)
-                bar = np.partition(lower, n - k)[n - k]
-                possible = (upper >= bar) & ~own
-                if possible.sum() <= max(few, 2 * k):  # the proof: all others end below the bar
-                    break
-        at = np.flatnonzero(possible)
-        score = self.x[at] @ q
-        best = np.lexsort((self.ids[at], -score))[:k]
-        return [(int(self.ids[at[i]]), int(score[i])) for i in best]
+        """The k best ``id, score`` of this index for one query, its own id left out."""
+        found = self.candidates(np.array([query]), q[None, :], k, np.full(1, -math.inf), rounds, few)
+        _, ids, score = best(found, k)
+        return list(zip(ids.tolist(), score.tolist()))
+
+
+def best(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``row, id, score`` of the k best of each row, in order."""
+    row, ids, score = (np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in range(3))
+    order = np.lexsort((ids, ~score, row))  # ~ turns the order of all integers, also of the least
+    row, ids, score = row[order], ids[order], score[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[kept], ids[kept], score[kept]
+
+
+def search_cell(ids: np.ndarray, x: np.ndarray, names: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``query_id, vec_id, score`` of the k best of a cell's vectors for each of its queries."""
+    near = np.argsort(np.argmax(np.abs(q), axis=1), kind="stable") if q.shape[1] else np.arange(len(q))
+    names, q = names[near], q[near]
+    cuts = [slice(a, a + QUERY_ROWS) for a in range(0, len(q), QUERY_ROWS)]
+    bar = np.full(len(q), -math.inf)
+    kept: list[list] = [[] for _ in cuts]
+    for a in range(0, len(ids), INDEX_ROWS):
+        index = Index(ids[a : a + INDEX_ROWS], x[a : a + INDEX_ROWS])
+        for i, c in enumerate(cuts):
+            row, found, score = best(kept[i] + index.candidates(names[c], q[c], k, bar[c]), k)
+            kept[i] = [(row, found, score)]
+            last = np.flatnonzero(np.arange(len(row)) - np.searchsorted(row, row) == k - 1)
+            bar[c.start + row[last]] = np.nextafter(score[last].astype(float), -math.inf)
+    rows = [(names[c][row], found, score) for c, part in zip(cuts, kept) for row, found, score in part]
+    return tuple(np.concatenate([np.zeros(0, np.int64), *(r[i] for r in rows)]) for i in range(3))
 
 
 def top_k(vectors: DataFrame, k: int = 5, query: str = "vec_id % 50 = 0", key: str = "vec_id", column: str = "embedding", scale: int = 256) -> DataFrame:
@@ -112,33 +167,37 @@ def top_k(vectors: DataFrame, k: int = 5, query: str = "vec_id % 50 = 0", key: s
     spark = vectors.sparkSession
     prepare(spark)
     base = cut_lineage(quantised(vectors, key, column, scale))
-    n, width = base.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    n_blocks, width = max(1, math.ceil(n / BLOCK_ROWS)), width or 0
-
-    def build(group: pa.Table) -> pa.Table:
-        x = _matrix(group.column("v").combine_chunks(), width)
-        ids = group.column("k").to_numpy()
-        return pa.table({"block": group.column("block")[:1], "ids": [ids.tobytes()], "x": [x.astype(np.int64).tobytes()]})
-
-    dealt = base.withColumn("block", F.pmod(F.xxhash64("k"), F.lit(n_blocks)).cast("int"))
-    blocks = dealt.groupBy("block").applyInArrow(build, "block int, ids binary, x binary")
+    # -1 - x instead of -x: the least of all integers has no opposite
+    peak = F.greatest(F.array_max("v"), F.lit(-1) - F.array_min("v"))
+    n, width, peak = base.agg(F.count(F.lit(1)), F.max(F.size("v")), F.max(peak)).first()
+    kind = next(name for name, bits in (("smallint", 15), ("int", 31), ("bigint", 63)) if (peak or 0) < 2**bits)
+    base, width = base.select("k", F.col("v").cast(f"array<{kind}>").alias("v")), width or 0
     asked = base.selectExpr("k", "v", f"k as {key}").where(query).select("k", "v")
-    n_parts = max(1, math.ceil(asked.count() / QUERY_ROWS))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "k"), F.lit(n_parts)).cast("int")).groupBy("block").applyInArrow(build, "block int, ids binary, x binary")
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.col("ids").alias("query_ids"), F.col("x").alias("queries"))
-
-    def run(batches):
-        kept: tuple[bytes, Index] | None = None
-        for batch in batches:
-            for ids, x, query_ids, queries in zip(*(batch.column(i) for i in (1, 2, 3, 4))):
-                raw = ids.as_py()
-                if kept is None or kept[0] != raw:
-                    own = np.frombuffer(raw, np.int64)
-                    kept = (raw, Index(own, np.frombuffer(x.as_py(), np.int64).reshape(len(own), width)))
-                names = np.frombuffer(query_ids.as_py(), np.int64)
-                rows = [(int(name), *hit) for name, q in zip(names, np.frombuffer(queries.as_py(), np.int64).reshape(len(names), width)) for hit in kept[1].search(int(name), q, k)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["query_id", "vec_id", "score"])
-
-    found = blocks.join(asked, "block").mapInArrow(run, "query_id long, vec_id long, score long")
+    cores = spark.sparkContext.defaultParallelism
+    n_blocks = max(1, math.ceil(n / BLOCK_ROWS), min(math.ceil(n / INDEX_ROWS), 3 * cores))
+    n_parts = max(1, math.ceil(asked.count() / PART_ROWS))
+
+    def cells(rows: DataFrame, block: Column, part: Column) -> DataFrame:
+        """Rows dealt into the cells of a block and a part; where one is exploded, each of its cells gets a copy."""
+        placed = rows.withColumn("block", block).withColumn("part", part)
+        return over_cores(placed.select((F.col("block") * n_parts + F.col("part")).alias("cell"), "k", "v"), "cell")
+
+    def deal(count: int, *columns) -> Column:
+        return F.pmod(F.xxhash64(*columns), F.lit(count)).cast("int")
+
+    def all_of(count: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+
+    def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        ids, names = (t.column("k").to_numpy() for t in (vectors, queries))
+        found = (np.zeros(0, np.int64),) * 3
+        if len(ids) and len(names):
+            x, q = (_matrix(t.column("v").combine_chunks(), width) for t in (vectors, queries))
+            found = search_cell(ids, x, names, q, k)
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), found)))
+
+    blocks = cells(base, deal(n_blocks, "k", "v"), all_of(n_parts)).groupBy("cell")
+    parts = cells(asked, all_of(n_blocks), deal(n_parts, F.lit(1), "k")).groupBy("cell")
+    found = blocks.cogroup(parts).applyInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -49,3 +49,33 @@ def test_bounds_prove_the_answer():
 def test_query_over_the_whole_table(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     assert sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in QUERIES["op3_exact_topk"](spark, SF).collect()) == brute(rows, 5)
+
+
+def test_cells_hold_vectors_and_nothing_wider(spark, monkeypatch):
+    """Blocks and queries meet group by group: rows of megabytes that Spark takes for small ones were broadcast."""
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 60)
+    monkeypatch.setattr(topk, "INDEX_ROWS", 60)
+    monkeypatch.setattr(topk, "PART_ROWS", 2)
+    r = random.Random(7)
+    rows = [(i, [r.gauss(0, 1) for _ in range(6)]) for i in range(600)]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert "Broadcast" not in found._jdf.queryExecution().toString()
+    assert sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in found.collect()) == brute(rows, 5)
+
+
+def test_a_cell_of_several_indexes_and_batches(monkeypatch):
+    monkeypatch.setattr(topk, "INDEX_ROWS", 64)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 16)
+    monkeypatch.setattr(topk, "PAIR_ROWS", 100)
+    r = np.random.default_rng(3)
+    plain, skewed, few = r.integers(-150, 150, (500, 12)), r.integers(-90, 90, (500, 12)), r.integers(-1, 2, (500, 3))
+    skewed[:, 0] *= 40
+    huge = r.integers(-(2**29), 2**29, (500, 2))
+    for x in (plain, skewed, few, huge, np.full((500, 2), 7), plain[:3], np.zeros((9, 0), np.int64)):
+        ids = r.permutation(len(x))
+        names, q = ids[::7], x[::7]
+        want = []
+        for name, row in zip(names, q):
+            hits = sorted((-int(s), int(i)) for i, s in zip(ids, x @ row) if i != name)
+            want += [(int(name), i, -s) for s, i in hits[:5]]
+        assert sorted(zip(*(c.tolist() for c in topk.search_cell(ids, x, names, q, 5)))) == sorted(want)
