@@ -17,11 +17,14 @@ from pyspark.sql import functions as F
 from ..functions import crs as C
 from ..functions import geom as G
 from ..functions import predicates as P
-from ..session import cut_lineage, one_of, require_columns
+from ..session import cut_lineage, one_of, over_cores, require_columns
 
 PREDICATES = ("intersects", "within", "contains")
 #: Cells are never finer than 2**-20 units; points sit at this level.
 FINEST_LEVEL = -20
+#: Features that share a geometry are dealt in parts of about so many; two parts meet in a cell.
+MEMBERS = 4096
+CELL = ("_pair", "_i", "_j")
 
 
 def grid_level(width: Column, height: Column) -> Column:
@@ -131,7 +134,8 @@ def spatial_join(
     keeps unmatched features with NULL right columns; ``key`` names a column that is
     unique in the left layer (without one, a hash of the whole row stands in).
     ``repeats`` is for inner joins of layers in which many features share a geometry:
-    each pair of different geometries is tested once and then dealt to its features.
+    each pair of different geometries is tested once and then dealt to its features, which
+    meet in cells of bounded size that are spread over all cores.
     """
     one_of("how", how, ("inner", "left"))
     if repeats and how != "inner":
@@ -145,11 +149,15 @@ def spatial_join(
     r_out = {c: f"{c}_right" if c in both else c for c in r_names}
     if repeats:
         lp, rp = (with_row_key(df.select(c), "_shape", geom) for df, c in ((left, l_names), (right, [*r_names, geom])))
-        shapes = [df.select("_shape", geom).dropDuplicates(["_shape"]) for df in (lp, rp)]
-        met = cut_lineage(matched_pairs(*shapes, predicate, geom).select(F.col("l__shape").alias("_a"), F.col("r__shape").alias("_b")))
+        shapes = [df.groupBy("_shape").agg(F.first(geom).alias(geom), F.ceil(F.count(F.lit(1)) / MEMBERS).alias("_parts")) for df in (lp, rp)]
+        met = matched_pairs(*shapes, predicate, geom).select(
+            F.col("l__shape").alias("_a"), F.col("r__shape").alias("_b"), F.col("l__parts").alias("_m"), F.col("r__parts").alias("_n")
+        )
+        met = cut_lineage(met.withColumn("_pair", F.monotonically_increasing_id()))
         a = lp.select(F.col("_shape").alias("_a"), *[F.col(c).alias(o) for c, o in l_out.items()])
         b = rp.select(F.col("_shape").alias("_b"), *[F.col(c).alias(o) for c, o in r_out.items()])
-        return a.join(met, "_a").join(b, "_b").select(*l_out.values(), *r_out.values())
+        a, b = _in_cells(a, met, "_a", l_out[geom], ("_m", "_i"), ("_n", "_j")), _in_cells(b, met, "_b", "", ("_n", "_j"), ("_m", "_i"))
+        return a.join(b, list(CELL)).select(*l_out.values(), *r_out.values())
     if how == "inner":
         pairs = matched_pairs(left, right, predicate, geom)
         return pairs.select(
@@ -169,6 +177,16 @@ def spatial_join(
     return renamed.join(matches, "_id", "left").drop("_id")
 
 
+def _in_cells(members: DataFrame, met: DataFrame, shape: str, geom: str, own: tuple[str, str], other: tuple[str, str]) -> DataFrame:
+    """The members of a shape in the cells of its pairs: each is in one part of its own shape and meets all of the other's."""
+    (count, part), (others, each) = own, other
+    values = [c for c in members.columns if c != shape]
+    content = F.xxhash64(F.to_json(F.struct(F.lit(0), *[c for c in values if c != geom])))
+    placed = members.join(met, shape).withColumn(part, F.when(F.col(count) > 1, F.pmod(content, F.col(count))).otherwise(0))
+    placed = placed.withColumn(each, F.explode(F.sequence(F.lit(0).cast("long"), F.col(others) - 1)))
+    return over_cores(placed.select(*CELL, *values), *CELL)
+
+
 def with_row_key(df: DataFrame, name: str, *columns: str) -> DataFrame:
     """A key from the row's own content, or that of some columns: equal rows share it, and it survives retries."""
     return df.withColumn(name, F.sha2(F.to_json(F.struct(*(columns or df.columns)), {"ignoreNullFields": "false"}), 256))

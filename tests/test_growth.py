@@ -32,6 +32,19 @@ def test_join_of_repeated_shapes_equals_the_plain_one(spark):
         J.spatial_join(boxes, boxes, how="left", repeats=True)
 
 
+def test_members_of_repeated_shapes_meet_on_all_cores(spark, monkeypatch):
+    """A small file is read in one task; the many pairs that come of it are not made there."""
+    monkeypatch.setattr(J, "MEMBERS", 3)
+    k = F.col("id")
+    x = F.when(k < 60, 0).otherwise(k % 7)  # one shape with most of the members
+    boxes = spark.range(100).coalesce(1).select("id", G.box(x, k * 0, x + 1.5, k * 0 + 1).alias("geom"), F.lit(3857).alias("srid"))
+    other = boxes.where("id % 2 = 0")
+    plain, shared = (J.spatial_join(boxes, other, "intersects", srids=(3857, 3857), repeats=r) for r in (False, True))
+    rows = lambda df: sorted(tuple(r) for r in df.select("id_left", "id_right").collect())
+    assert rows(plain) == rows(shared)
+    assert shared.where("id_left < 60 and id_right < 60").select(F.spark_partition_id()).distinct().count() > 4
+
+
 def test_wide_cells_equal_brute_force(spark):
     """Cells in a box far larger than the extent, settled by its rim alone, have the neighbours that all points give."""
     pts = np.random.default_rng(3).random((60, 2)) * 50
